@@ -239,3 +239,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def _counted(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, None]]:
     for row, _, raw, offsets in text_chunks(batch, "text"):
         yield row, words(LOWER[raw], offsets, WORD)[2], None
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs, with all its columns, without the rows that hold a window of the benchmark. doc_id must be unique or null."""
+    hit = decontaminate(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_hit"))
+    return docs.join(hit, F.col("doc_id") == F.col("_hit"), "left_anti")

@@ -391,3 +391,12 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     out = members.join(named, "set_id", "left")
     alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.coalesce(alone, "doc_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """docs, with all its columns, with one row of each group of connected documents: that with the smallest doc_id.
+
+    doc_id must be unique or null; rows without one are kept.
+    """
+    gone = near_duplicate_groups(docs, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

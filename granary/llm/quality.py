@@ -1,10 +1,11 @@
 """Quality classifier from weak labels: heuristic labellers, expectation-maximisation and a hashed linear scorer.
 
-Labellers look at a whole text and vote junk, good or nothing. How often each of the vote patterns occurs is counted over
-all documents; that is all EM needs to estimate, per labeller, how it votes on good and on junk documents, and how many
-are junk, with no true label. The posterior of a document's pattern is a soft label. A bounded sample of documents with
-soft labels trains a logistic scorer on hashed features (shapes of three characters and binned statistics), which then
-scores every document.
+Labellers look at a whole text and vote junk or not, or abstain from texts with too few words. They overlap: most kinds
+of junk are seen by two or more of them. How often each pattern of votes occurs is counted over all documents; that is
+all EM needs to estimate, per labeller, how often it cries junk at good and at junk documents, and how many are junk,
+with no true label. The posterior of a document's pattern is a soft label. A bounded sample of documents with soft
+labels trains a logistic scorer on hashed features (shapes of three characters and binned statistics), which then scores
+every document.
 """
 
 from __future__ import annotations
@@ -24,16 +25,19 @@ SAMPLE = 4_000
 BUCKETS = 4096
 THRESHOLD = 0.5
 
-#: name, statistic, junk from, good up to (between them no vote), words below which it never votes.
+#: name, statistic, votes junk from, words below which it abstains.
 LABELLERS = [
-    ("symbols", 0, 0.04, 0.015, 1),
-    ("capitals", 1, 0.40, 0.15, 3),
-    ("exclamations", 2, 0.20, 0.05, 1),
-    ("bars", 3, 0.15, 0.03, 1),
-    ("repeats", 4, 0.20, 0.05, 8),
-    ("few different words", 5, 0.90, 0.75, 20),
-    ("longest repeated run", 6, 0.15, 0.06, 20),
-    ("digits", 7, 0.40, 0.10, 3),
+    ("symbols", 0, 0.04, 3),
+    ("symbol tails", 8, 0.25, 3),
+    ("capitals", 1, 0.40, 8),
+    ("exclamations", 2, 0.20, 3),
+    ("exclamation tails", 9, 0.15, 3),
+    ("bars", 3, 0.10, 3),
+    ("bar words", 10, 0.10, 3),
+    ("repeats", 4, 0.20, 8),
+    ("few different words", 5, 0.85, 20),
+    ("longest repeated run", 6, 0.05, 40),
+    ("digits", 7, 0.40, 8),
 ]
 
 _KIND = np.zeros(256, np.uint8)  # 0 other
@@ -73,20 +77,36 @@ def _statistics(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray,
                 gaps = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True])))
                 longest[i] = np.diff(gaps).max() - 1
         size, some = np.maximum(1, np.diff(offsets)), np.maximum(1, n)
+
+        def words_with(kind: int, at: np.ndarray, kinds=kinds, first=first, some=some) -> np.ndarray:
+            total = np.concatenate(([0], np.cumsum(kinds[at] == kind)))
+            return (total[first[1:]] - total[first[:-1]]) / some
+
         letters = np.maximum(1, share(2) + share(3))
         stats = np.stack(
-            [share(5) / size, share(3) / letters, share(6) / some, share(7) / some, repeats / some, 1 - different / some, longest / some, share(4) / size],
+            [
+                share(5) / size,
+                share(3) / letters,
+                share(6) / some,
+                share(7) / some,
+                repeats / some,
+                1 - different / some,
+                longest / some,
+                share(4) / size,
+                words_with(5, ends - 1),
+                words_with(6, ends - 1),
+                words_with(7, starts),
+            ],
             1,
         )
         yield stats, n, kinds, offsets
 
 
 def _votes(stats: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Vote patterns as base-3 numbers: 0 no vote, 1 good, 2 junk, the first labeller lowest."""
+    """Vote patterns as base-3 numbers: 0 abstained, 1 not junk, 2 junk, the first labeller lowest."""
     pattern = np.zeros(len(n), np.int64)
-    for i, (_, at, junk, good, least) in enumerate(LABELLERS):
-        vote = np.where(stats[:, at] >= junk, 2, np.where(stats[:, at] <= good, 1, 0))
-        pattern += np.where(n >= least, vote, 0) * 3**i
+    for i, (_, at, junk, least) in enumerate(LABELLERS):
+        pattern += np.where(n >= least, np.where(stats[:, at] >= junk, 2, 1), 0) * 3**i
     return pattern
 
 
@@ -104,23 +124,22 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
 
 
 def estimate(patterns: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
-    """EM over vote patterns: (posterior of good by pattern, P(vote | class) as (labeller, class, vote), share of good).
+    """EM over vote patterns: (posterior of good by pattern, P(junk vote | class) as (labeller, class), share of good).
 
-    Starts from the guess that any junk vote means junk. Labellers count as independent within a class.
+    Starts from the guess that any junk vote means junk. Labellers count as independent within a class, and abstaining
+    says nothing.
     """
     votes = (patterns[:, None] // 3 ** np.arange(len(LABELLERS))) % 3
     good = np.where((votes == 2).any(1), 0.1, 0.95)
-    table, share = np.full((len(LABELLERS), 2, 3), 1 / 3), 0.5
+    rates, share = np.full((len(LABELLERS), 2), 0.5), 0.5
     for _ in range(rounds):
         weight = np.stack([n * good, n * (1 - good)])
         share = float((weight[0].sum() + 1) / (n.sum() + 2))
-        for v in range(3):
-            table[:, :, v] = ((votes == v).T[:, None, :] * weight[None]).sum(2) + 0.1
-        table /= table.sum(2, keepdims=True)
-        logs = np.log(table)[np.arange(len(LABELLERS))[None], :, votes].sum(1)
-        logs += np.log([share, 1 - share])
+        junk, not_junk = ((votes == v).T.astype(np.float64) @ weight.T for v in (2, 1))
+        rates = (junk + [0.02, 0.5]) / (junk + not_junk + 1)
+        logs = (votes == 2) @ np.log(rates) + (votes == 1) @ np.log1p(-rates) + np.log([share, 1 - share])
         good = sigmoid(logs[:, 0] - logs[:, 1])
-    return good, table, share
+    return good, rates, share
 
 
 def _features(kinds: np.ndarray, stats: np.ndarray, n: np.ndarray) -> np.ndarray:
