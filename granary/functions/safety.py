@@ -1,0 +1,122 @@
+"""Column functions that judge content: risk, capabilities, reasons for rejection, redaction of lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .text import canonical, path_line_share, strip
+
+# Label, pattern, weight of what makes content risky.
+RISKS = [
+    ("curl-pipe-shell", r"curl\s+[^\n|]*\|\s*(sudo\s+)?(sh|bash|zsh)\b", 3),
+    ("wget-pipe-shell", r"wget\s+[^\n|]*\|\s*(sudo\s+)?(sh|bash|zsh)\b", 3),
+    ("rm-rf-root", r"rm\s+-rf\s+/(\s|$)", 3),
+    ("base64-decode-exec", r"base64\s+(-d|--decode)[^\n]*\|\s*(sh|bash)", 3),
+    ("eval-atob", r"eval\s*\(\s*atob\s*\(", 3),
+    ("reverse-shell-devtcp", r"/dev/tcp/\d", 3),
+    ("reverse-shell-nc", r"\bnc(at)?\s+-e\s", 3),
+    ("reverse-shell-bash-i", r"bash\s+-i\s*>&\s*/dev/tcp", 3),
+    ("powershell-encoded", r"(?i)powershell[^\n]*-(enc|EncodedCommand)\b", 3),
+    ("onion-address", r"\b[a-z2-7]{16,56}\.onion\b", 2),
+    ("crypto-miner", r"(?i)stratum\+tcp://|xmrig|minergate", 3),
+    ("exfiltration-language", r"(?i)exfiltrat(e|ion)", 2),
+    ("credential-to-remote", r"(?i)(api[_ -]?key|secret|credential|\.env)\b[^\n]{0,60}(https?://)", 2),
+    ("eval-generic", r"\beval\s*\(", 1),
+    ("exec-generic", r"\bexec\s*\(", 1),
+    ("os-system", r"os\.system\s*\(", 1),
+    ("shell-true", r"shell\s*=\s*True", 1),
+    ("dynamic-function-eval", r"new\s+Function\s*\(|Function\s*\(\s*atob", 2),
+    ("prompt-injection-ignore", r"(?i)ignore\s+(all\s+)?(previous|prior|above)\s+instructions", 3),
+    ("prompt-injection-disregard", r"(?i)disregard\s+(all\s+)?(previous|prior|your)\s+instructions", 3),
+    ("prompt-injection-secret", r"(?i)(secretly|without (telling|informing) the user|do not (tell|inform) the user)", 3),
+]
+
+# Label, pattern of what content says it does.
+CAPABILITIES = [
+    ("declared-tools", r"(?im)^\s*allowed-tools\s*:"),
+    ("bundled-scripts", r"(?i)(?:^|[\s`(])scripts[/\\]"),
+    ("declared-dependencies", r"(?im)^\s*dependencies\s*:"),
+    ("network-command", r"(?i)\b(?:curl|wget|httpx)\b|\b(?:import\s+requests|from\s+requests\b|requests\s*\.\s*(?:get|post|put|patch|delete|request|session)\b)|\bfetch\s*\("),
+    ("dependency-install", r"(?i)\b(?:pip|npm|pnpm|yarn|uv|brew|apt(?:-get)?)\s+(?:install|add)\b"),
+    ("elevated-or-destructive", r"(?i)\b(?:sudo|rm\s+-rf|chmod\s+777|powershell\s+-enc)\b"),
+    ("unconfirmed-action", r"(?is)\b(?:send|post|publish|delete|remove|drop|write|modify|change|create|execute|run|install|deploy|push)\b.{0,180}\b(?:do\s+not|don't|never|without)\s+(?:ask|request|seek|require)\b.{0,80}\b(?:confirm|approval|permission)\b"),
+]
+
+# Lines that are masked.
+CREDENTIAL_LINE = r"(?i)\b(password|passwd|secret|token|api[_-]?key)\b\s*[:=]\s*\S{6,}"
+INJECTION_LINE = r"(?i)(ignore|disregard)\s+(all\s+)?(previous|prior|above|your)\s+instructions"
+
+LEAST_CHARS, LEAST_WORDS, MOST_PATH_LINES = 180, 35, 0.6
+
+
+def _hits(text: Column, labelled: list[tuple]) -> Column:
+    return F.array_compact(F.array(*[F.when(text.rlike(x[1]), F.lit(x[0])) for x in labelled]))
+
+
+def risk_flags(text: Column) -> Column:
+    return _hits(text, RISKS)
+
+
+def risk_score(flags: Column) -> Column:
+    """Summed weights of the labels in ``flags``."""
+    weights = F.create_map(*[F.lit(v) for label, _, w in RISKS for v in (label, w)])
+    return F.aggregate(flags, F.lit(0), lambda total, flag: total + F.try_element_at(weights, flag))
+
+
+def capability_flags(text: Column) -> Column:
+    return _hits(text, CAPABILITIES)
+
+
+def looks_like_html(text: Column) -> Column:
+    head = F.lower(F.substring(F.regexp_replace(text, r"^\s+", ""), 1, 300))
+    return head.rlike(r"^(<!doctype|<html|<\?xml)") | head.contains("<head>")
+
+
+def front_matter(text: Column) -> Column:
+    """The block between the first two lines of three hyphens, or an empty string."""
+    return F.regexp_extract(canonical(text), r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)", 1)
+
+
+def without_front_matter(text: Column) -> Column:
+    return F.regexp_replace(canonical(text), r"(?s)\A---[ \t]*\n.*?\n---[ \t]*(\n|\z)", "")
+
+
+def has_front_matter(text: Column) -> Column:
+    block = front_matter(text)
+    return block.rlike(r"(?m)^name:\s*\S+") & block.rlike(r"(?m)^description:\s*(\S+|[>|])")
+
+
+def rejection_reasons(text: Column) -> Column:
+    """What speaks against storing a fetched text, in a fixed order."""
+    flat = strip(text)
+    body = without_front_matter(flat)
+    n_words = F.size(F.regexp_extract_all(body, F.lit(r"[A-Za-z][A-Za-z0-9_-]+"), F.lit(0)))
+    structure = body.contains("##") | body.rlike(r"(?m)^\s*[-*]\s+\S+") | flat.rlike(r"(?m)^name:\s*\S+")
+    return F.array_compact(
+        F.array(
+            F.when(looks_like_html(text), F.lit("html-response")),
+            F.when(F.length(flat) < LEAST_CHARS, F.lit("too-short")),
+            F.when(path_line_share(flat) >= MOST_PATH_LINES, F.lit("path-or-link-only")),
+            F.when(n_words < LEAST_WORDS, F.lit("too-few-body-words")),
+            F.when(~structure, F.lit("no-skill-structure")),
+        )
+    )
+
+
+def redacted(text: Column, mark: str = "[redacted]") -> Column:
+    """The text with every line masked that holds a credential or tries to override instructions."""
+    lines = F.split(text, "\n", -1)
+    masked = F.transform(lines, lambda s: F.when(s.rlike(CREDENTIAL_LINE) | s.rlike(INJECTION_LINE), F.lit(mark)).otherwise(s))
+    return F.array_join(masked, "\n")
+
+
+def redacted_lines(text: Column) -> Column:
+    bad = F.filter(F.split(text, "\n", -1), lambda s: s.rlike(CREDENTIAL_LINE) | s.rlike(INJECTION_LINE))
+    return F.size(bad)
+
+
+def non_portable(text: Column) -> Column:
+    """Three or more absolute paths below the same home or root folder."""
+    roots = F.regexp_extract_all(text, F.lit(r"(?:/home/|/Users/|[A-Za-z]:\\)[A-Za-z0-9_.-]+"), F.lit(0))
+    return F.exists(F.array_distinct(roots), lambda r: F.size(F.filter(roots, lambda x: x == r)) >= 3)
