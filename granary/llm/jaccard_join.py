@@ -16,7 +16,9 @@ with d(x, p) <= r is linked to p, and whatever else it links to lies within 2r o
    the others are joined again, restricted to pairs of different components within the size and overlap windows.
 5. Sets in a document pivot's window that are still not connected to it become pivots themselves (step 2 again).
 
-Every candidate is decided by the exact size of intersection and union. Components are found by large-star and
+Before any set travels, a candidate pair must pass its signatures: the number of shingles in each of about as many
+buckets as the set has shingles. The sum of the smaller counts bounds the intersection from above, so no link is lost.
+What passes is decided by the exact size of intersection and union. Components are found by large-star and
 small-star steps. Only pivots, and a bounded list of frequent shingles that affects speed alone, visit the driver.
 """
 
@@ -48,6 +50,22 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
 
 
+def _signature(s: np.ndarray) -> bytes:
+    """Numbers of shingles (255 means that or more) by their leading bits, in a power of two of buckets."""
+    bits = len(s).bit_length() - 1
+    at = (s >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(s), np.int64)
+    return np.minimum(np.bincount(at, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _most_common(x: bytes, y: bytes, n: int, m: int) -> int:
+    """An upper bound of the intersection of two sets of n and m shingles with these signatures."""
+    x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if (x == 255).any() or (y == 255).any():
+        return min(n, m)
+    size = min(len(x), len(y))
+    return int(np.minimum(x.reshape(size, -1).sum(1), y.reshape(size, -1).sum(1)).sum())
+
+
 def _frequent(group: dict[int, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Rows for the shingles that several sets of the group hold, and for the sets that mostly consist of such."""
     if len(group) < LOCAL_FREQUENT:
@@ -58,7 +76,7 @@ def _frequent(group: dict[int, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBat
     if not len(values):
         return
     zeros = np.zeros(len(values), np.int64)
-    yield _batch(kind=np.full(len(values), 1, np.int32), id=values.view(np.int64), a=counts.astype(np.int64), b=zeros)
+    yield _batch(kind=np.full(len(values), 1, np.int32), id=values.view(np.int64), a=counts.astype(np.int64), b=zeros, signature=pa.nulls(len(values), pa.binary()))
     dense = []
     for name, (doc, s) in group.items():
         at = np.minimum(np.searchsorted(values, s), len(values) - 1)
@@ -66,19 +84,21 @@ def _frequent(group: dict[int, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBat
             dense.append((name, doc, len(s)))
     if dense:
         name, doc, n = (np.array(x, np.int64) for x in zip(*dense, strict=True))
-        yield _batch(kind=np.full(len(dense), 2, np.int32), id=name, a=doc, b=n)
+        yield _batch(kind=np.full(len(dense), 2, np.int32), id=name, a=doc, b=n, signature=pa.nulls(len(dense), pa.binary()))
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: doc_id, set name, set size; 1: a locally frequent shingle, count; 2: a dense set, doc_id, size."""
+    """kind 0: doc_id, set name, set size, signature; 1: a locally frequent shingle, count; 2: a dense set, doc_id, size."""
     group: dict[int, tuple[int, np.ndarray]] = {}
     held = 0
     for batch in batches:
         ids = _ids(batch)
         names, sizes = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        signatures: list[bytes | None] = [None] * len(ids)
         for row, s in shingle_sets(batch):
             sizes[row] = len(s)
             if len(s):
+                signatures[row] = _signature(s)
                 names[row] = name = set_name(s)
                 if name not in group:
                     group[name] = (ids[row].as_py(), s)
@@ -86,7 +106,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if held >= GROUP_SHINGLES:
                         yield from _frequent(group)
                         group, held = {}, 0
-        yield _batch(kind=np.zeros(len(ids), np.int32), id=ids, a=names, b=sizes)
+        yield _batch(kind=np.zeros(len(ids), np.int32), id=ids, a=names, b=sizes, signature=pa.array(signatures, pa.binary()))
     yield from _frequent(group)
 
 
@@ -231,6 +251,34 @@ def _window(a, b, percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * room >= percent * (n + m))
 
 
+def _plausible(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose signatures leave room for a link."""
+
+    def decide(batches):
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            keep = []
+            for row, (x, n, y, m) in enumerate(zip(*columns[2:], strict=True)):
+                both = _most_common(x, y, n, m)
+                keep.append(100 * both >= percent * (n + m - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    names = cut(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+    held = profile.where("kind = 0").select(F.col("a").alias("set_id"), F.col("b").alias("n"), "signature")
+    held = cut(semi_join_sized(held, names, "set_id").dropDuplicates(["set_id"]))
+    left = held.select(F.col("set_id").alias("a"), F.col("signature").alias("x"), F.col("n").alias("nx"))
+    right = held.select(F.col("set_id").alias("b"), F.col("signature").alias("y"), F.col("n").alias("ny"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "nx", "y", "ny")
+    return both.mapInArrow(decide, "a long, b long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) that are linked; sets are read for plausible pairs only."""
+    pairs = cut(_plausible(pairs, profile, percent))
+    names = cut(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+    return _linked(pairs, written(_sets(docs, classes, names)), percent)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets reach the similarity, from whole intersections."""
 
@@ -293,7 +341,7 @@ def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFr
     docs: doc_id long and text string. A null or blank text has an empty set, which links with nothing.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    profile = written(docs.mapInArrow(_profile, "kind int, id long, a long, b long"))
+    profile = written(docs.mapInArrow(_profile, "kind int, id long, a long, b long, signature binary"))
     members = profile.where("kind = 0").select(
         F.col("id").alias("doc_id"), F.col("a").alias("set_id"), F.col("b").alias("n_shingles")
     )
@@ -314,11 +362,9 @@ def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFr
     rows = _prefixes(docs, pivots, frequent)
     shared = rows.repartition("s").mapInArrow(_shared, "s long, set_id long, place long, pivot long, at long")
     shared = written(shared)
-    names = cut(shared.select("set_id").distinct())
-    sets = written(_sets(docs, classes, names))
     star = shared.where("set_id <> pivot").where(_window(F.col("place"), F.col("at"), percent))
     star = cut(star.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct())
-    links = cut(links.unionByName(_linked(star, sets, percent)))
+    links = cut(links.unionByName(_verified(star, docs, classes, profile, percent)))
 
     labels = connected_components(links)
     active = shared.select("s", "set_id", "place").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
@@ -329,7 +375,7 @@ def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFr
     y = active.select("s", F.col("set_id").alias("b"), F.col("place").alias("pb"), F.col("label").alias("lb"))
     rest = x.join(y, "s").where("a < b and la <> lb").where(_window(F.col("pa"), F.col("pb"), percent))
     rest = cut(rest.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
-    links = cut(links.unionByName(_linked(rest, sets, percent)))
+    links = cut(links.unionByName(_verified(rest, docs, classes, profile, percent)))
 
     if near is not None:
         links = _close_windows(docs, near, pivots, classes, links, percent)

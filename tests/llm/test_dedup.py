@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import connected_components
 from granary.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
-from granary.llm.jaccard_join import drop_near_duplicates, near_duplicate_groups
+from granary.llm.jaccard_join import _most_common, _signature, drop_near_duplicates, near_duplicate_groups
 from granary.llm.line_dedup import CuckooFilter, LineStore, line_dedup
 
 from .fixtures import awkward, documents, empty, rows
@@ -105,6 +105,19 @@ def test_near_duplicate_groups_of_a_dense_neighbourhood(spark):
     assert got == near_brute(docs)
 
 
+def test_signatures_bound_intersections():
+    rng = np.random.default_rng(2)
+    pool = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2))
+    for n, m in ((1, 1), (3, 700), (900, 1000), (1023, 1025), (40, 60)):
+        for _ in range(20):
+            x, y = (np.sort(rng.choice(pool, k, replace=False)) for k in (n, m))
+            bound = _most_common(_signature(x), _signature(y), n, m)
+            assert len(np.intersect1d(x, y)) <= bound <= min(n, m)
+        assert _most_common(_signature(x), _signature(x), n, m) >= len(x) or n != m
+    crowded = np.arange(700, dtype=np.uint64)
+    assert _most_common(_signature(crowded), _signature(crowded), 700, 700) == 700
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     got = near_duplicate_groups(awkward(spark)).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"], r["component_id"]) for r in got)[:4] == [
