@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of two longs that one broadcast may hold (32 MB); larger sides are shuffled.
 BROADCAST_ROWS = 2_000_000
+#: Edges of a graph that one task holds while components are found.
+EDGES_PER_TASK = 200_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -43,6 +45,27 @@ def semi_join_sized(left: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return left.join(keys.hint("merge"), on, "left_semi")
 
 
+def merged_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, label) of a graph with more ``edges`` (a, b), from the edges between different labels alone."""
+    for end in ("a", "b"):
+        own = labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+        edges = edges.join(own, end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
+    between = cut(edges.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    if between.isEmpty():
+        return labels
+    moved = cut(connected_components(between))
+    new = moved.withColumnRenamed("label", "to")
+    kept = labels.join(new.withColumnRenamed("node", "label"), "label", "left")
+    kept = kept.select("node", F.coalesce("to", "label").alias("label"))
+    alone = moved.join(labels.select("node"), "node", "left_anti")
+    return cut(kept.unionByName(alone))
+
+
+def _few_files(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as its rows need, so that small steps are few tasks and files."""
+    return df.coalesce(rows // EDGES_PER_TASK + 1)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label): label is the smallest node reachable over undirected ``edges`` (a, b).
 
@@ -57,10 +80,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == seen or mark["n"] == 0:
             return state.select(F.col("u").alias("node"), F.col("v").alias("label"))
         seen = mark
+        state = _few_files(state, mark["n"])
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         kept = low.select("u", F.col("m").alias("v"))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = cut(kept.unionByName(moved).where("u <> v").distinct())
+        state = cut(_few_files(kept.unionByName(moved).where("u <> v").distinct(), mark["n"]))

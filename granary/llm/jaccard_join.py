@@ -31,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, semi_join_sized, written
+from .common import connected_components, cut, merged_components, semi_join_sized, written
 from .text import set_name, shingle_sets
 
 #: Document pivots measured in one pass, and shingles ordered last; bounds of what is sent to each task.
 PIVOTS = 256
-FREQUENT = 65_536
-#: A shingle is frequent in a group of documents when so many of its distinct sets hold it.
-LOCAL_FREQUENT = 8
+FREQUENT = 262_144
+#: A shingle is frequent in a group of documents when so many of its distinct sets hold it, and a neighbourhood is dense
+#: where shingles are held by so many.
+LOCAL_FREQUENT, LOCAL_DENSE = 3, 8
 GROUP_SHINGLES = 1_000_000
 
 
@@ -78,7 +79,8 @@ def _frequent(group: dict[int, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBat
     zeros = np.zeros(len(values), np.int64)
     yield _batch(kind=np.full(len(values), 1, np.int32), id=values.view(np.int64), a=counts.astype(np.int64), b=zeros, signature=pa.nulls(len(values), pa.binary()))
     dense = []
-    for name, (doc, s) in group.items():
+    values = values[counts >= LOCAL_DENSE]
+    for name, (doc, s) in group.items() if len(values) else ():
         at = np.minimum(np.searchsorted(values, s), len(values) - 1)
         if doc is not None and 2 * np.count_nonzero(values[at] == s) >= len(s):
             dense.append((name, doc, len(s)))
@@ -334,8 +336,9 @@ def _fetch_pivots(docs: DataFrame, chosen: list, percent: int) -> _Pivots:
     return _Pivots(list(found), list(found.values()), percent)
 
 
-def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """The documents' sets (doc_id, set_id, n_shingles), and exact links (a, b) that connect the sets of each group.
+def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents' sets (doc_id, set_id, n_shingles), exact links (a, b) that connect the sets of each group, and the
+    groups (node, label).
 
     Two sets within the threshold are always connected by links; not every link of a dense group is listed.
     docs: doc_id long and text string. A null or blank text has an empty set, which links with nothing.
@@ -375,18 +378,18 @@ def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFr
     y = active.select("s", F.col("set_id").alias("b"), F.col("place").alias("pb"), F.col("label").alias("lb"))
     rest = x.join(y, "s").where("a < b and la <> lb").where(_window(F.col("pa"), F.col("pb"), percent))
     rest = cut(rest.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
-    links = cut(links.unionByName(_verified(rest, docs, classes, profile, percent)))
+    more = cut(_verified(rest, docs, classes, profile, percent))
+    links, labels = cut(links.unionByName(more)), merged_components(labels, more)
 
     if near is not None:
-        links = _close_windows(docs, near, pivots, classes, links, percent)
-    return members, links
+        links, labels = _close_windows(docs, near, pivots, classes, links, labels, percent)
+    return members, links, labels
 
 
 def _close_windows(
-    docs: DataFrame, near: DataFrame, pivots: _Pivots, classes: DataFrame, links: DataFrame, percent: int
-) -> DataFrame:
-    """Links of the sets in a pivot's window that are not connected to it yet: they are measured against all sets."""
-    labels = cut(connected_components(links))
+    docs: DataFrame, near: DataFrame, pivots: _Pivots, classes: DataFrame, links: DataFrame, labels: DataFrame, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """Links and groups with the sets in a pivot's window that are not connected to it yet measured against all sets."""
     of = {r["node"]: r["label"] for r in labels.where(F.col("node").isin([int(x) for x in pivots.names])).collect()}
     owner = [of.get(int(x), int(x)) for x in pivots.names]
 
@@ -415,10 +418,11 @@ def _close_windows(
         rest = left if after is None else left.where(F.col("set_id") > after)
         chosen = rest.select("set_id", F.col("first_doc").alias("doc_id")).orderBy("set_id").limit(PIVOTS).collect()
         if not chosen:
-            return links
+            return links, labels
         after = chosen[-1]["set_id"]
         more = _fetch_pivots(docs, chosen, percent)
-        links = cut(links.unionByName(_ball_edges(_measure(docs, more), more)))
+        found = cut(_ball_edges(_measure(docs, more), more))
+        links, labels = cut(links.unionByName(found)), merged_components(labels, found)
 
 
 def near_duplicate_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -427,8 +431,7 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     Texts without a word stand alone. Rows with equal texts share a group; repeated doc_ids keep their rows; a null
     doc_id is kept, joins a group only by an equal set, and never names one. An empty table gives an empty result. Other columns are ignored.
     """
-    members, links = shingle_links(docs, percent)
-    labels = connected_components(links)
+    members, _, labels = shingle_links(docs, percent)
     first = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"))
     named = first.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = cut(named.select("set_id", "first_doc", F.coalesce("label", "set_id").alias("label")))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm.common import connected_components
+from granary.llm.common import connected_components, merged_components
 from granary.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from granary.llm.jaccard_join import _most_common, _signature, drop_near_duplicates, near_duplicate_groups
 from granary.llm.line_dedup import CuckooFilter, LineStore, line_dedup
@@ -140,6 +140,9 @@ def test_connected_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: r for x, r in root.items() if x != r}
+    some = connected_components(spark.createDataFrame(edges[::2], "a long, b long"))
+    both = merged_components(some, spark.createDataFrame(edges[1::2], "a long, b long"))
+    assert {r["node"]: r["label"] for r in both.collect() if r["node"] != r["label"]} == got
 
 
 def lines_brute(docs):
