@@ -18,7 +18,7 @@ def first_by_key(df: DataFrame, key: str, prefer: list[str]) -> DataFrame:
 
 
 def mark_duplicates(df: DataFrame, key: str, order: list[str], id_col: str) -> DataFrame:
-    """df with canonical_id and status ``duplicate`` for the rows that lose within their key.
+    """df with canonical_id (its own id for a row that stands) and status ``duplicate`` for the rows that lose within their key.
 
     Only rows of an active status take part. The winner has the largest ``order``, then the largest id.
     """
@@ -30,7 +30,7 @@ def mark_duplicates(df: DataFrame, key: str, order: list[str], id_col: str) -> D
     return rows.select(
         *[c for c in df.columns if c != "status"],
         F.when(loses, "duplicate").otherwise(F.col("status")).alias("status"),
-        F.when(loses, F.col("winner")).alias("canonical_id"),
+        F.when(loses, F.col("winner")).otherwise(F.col(id_col)).alias("canonical_id"),
     )
 
 

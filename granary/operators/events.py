@@ -90,7 +90,7 @@ def impact_report(events: DataFrame) -> DataFrame:
         F.count("*").alias("n"),
         F.countDistinct("family").alias("families"),
         F.round(F.count_if(F.col("latency") <= 50) / F.count("*"), 6).alias("within_budget"),
-        F.round(F.avg("latency"), 6).alias("avg_latency"),
+        F.round(F.avg("latency"), 9).alias("avg_latency"),
     )
     return totals.join(open_items, "user_id", "left").withColumn("undiscovered", F.coalesce("undiscovered", F.lit(0)))
 

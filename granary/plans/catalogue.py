@@ -1,13 +1,20 @@
-"""Named queries over the tables of a folder."""
+"""All named queries over the tables of a folder, and their SQL."""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries():
-    return {}
+from . import event_queries, retrieval_queries, store_queries, text_queries
 
+FLAGSHIP = "hybrid_search"
+_ALL = {**retrieval_queries.QUERIES, **text_queries.QUERIES, **event_queries.QUERIES, **store_queries.QUERIES}
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for name, (query, _) in _ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
