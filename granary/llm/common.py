@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,45 +48,59 @@ def semi_join_sized(left: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 
 
 def merged_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """labels (node, label) of a graph with more ``edges`` (a, b), from the edges between different labels alone."""
-    for end in ("a", "b"):
-        own = labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
-        edges = edges.join(own, end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
-    between = cut(edges.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-    if between.isEmpty():
-        return labels
-    moved = cut(connected_components(between))
-    new = moved.withColumnRenamed("label", "to")
-    kept = labels.join(new.withColumnRenamed("node", "label"), "label", "left")
-    kept = kept.select("node", F.coalesce("to", "label").alias("label"))
-    alone = moved.join(labels.select("node"), "node", "left_anti")
-    return cut(kept.unionByName(alone))
-
-
-def _few_files(df: DataFrame, rows: int) -> DataFrame:
-    """df in as many partitions as its rows need, so that small steps are few tasks and files."""
-    return df.coalesce(rows // EDGES_PER_TASK + 1)
+    """(node, label) of the graph with these labels (node, label) and more ``edges`` (a, b)."""
+    return connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(edges))
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges (u, v) contracted: each node once, with the smallest node that the task's edges connect it to."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        top = x
+        while root.setdefault(top, top) != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            u, v = find(u), find(v)
+            root[max(u, v)] = min(u, v)
+    pairs = [(x, find(x)) for x in list(root)]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    yield pa.RecordBatch.from_pydict(
+        {"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())}
+    )
+
+
+def _contracted(edges: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """The forests of the edges, with as many tasks as so many rows need."""
+    tasks = rows // EDGES_PER_TASK + 1
+    return cut(edges.coalesce(tasks).mapInArrow(_forests, "u long, v long")), tasks
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label): label is the smallest node reachable over undirected ``edges`` (a, b).
 
-    Alternates the large-star and small-star steps (Kiveris et al. 2014) until the edge set stays the same. Each
-    step reads a node's neighbours only through a minimum, so hubs are pre-aggregated and never gathered.
+    Each task first contracts the edges it holds, at most about EDGES_PER_TASK. Where more than one task is needed,
+    the large-star and small-star steps (Kiveris et al. 2014) alternate until the edge set stays the same. Each step
+    reads a node's neighbours only through a minimum, so hubs are pre-aggregated and never gathered.
     """
-    state = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    state = cut(state)
+    state = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
+    state, tasks = _contracted(state, state.count())
     seen = None
-    while True:
+    while tasks > 1:
         mark = state.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-        if mark == seen or mark["n"] == 0:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        if mark == seen:
+            break
         seen = mark
-        state = _few_files(state, mark["n"])
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         kept = low.select("u", F.col("m").alias("v"))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = cut(_few_files(kept.unionByName(moved).where("u <> v").distinct(), mark["n"]))
+        state = cut(kept.unionByName(moved).where("u <> v").distinct())
+    return state.select(F.col("u").alias("node"), F.col("v").alias("label"))

@@ -14,7 +14,9 @@ with d(x, p) <= r is linked to p, and whatever else it links to lies within 2r o
    a set within r of it could prefer: its first |x| - ceil(0.75 |x|) + 1 shingles.
 4. In a region the smallest member is measured against the rest; regions whose members are then connected are done, and
    the others are joined again, restricted to pairs of different components within the size and overlap windows.
-5. Sets in a document pivot's window that are still not connected to it become pivots themselves (step 2 again).
+5. The regions of connected document pivots are one region. Sets in its window that are still not connected to it are
+   replicated to it and measured against the sets it owns; large regions are dealt out in blocks, of which each pair
+   meets in one task.
 
 Before any set travels, a candidate pair must pass its signatures: the number of shingles in each of about as many
 buckets as the set has shingles. The sum of the smaller counts bounds the intersection from above, so no link is lost.
@@ -41,6 +43,8 @@ FREQUENT = 262_144
 #: where shingles are held by so many.
 LOCAL_FREQUENT, LOCAL_DENSE = 3, 8
 GROUP_SHINGLES = 1_000_000
+#: Shingles of each side of a block in the windows of document pivots.
+BLOCK_SHINGLES = 1_000_000
 
 
 def _ids(batch: pa.RecordBatch) -> pa.Array:
@@ -367,7 +371,7 @@ def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFr
     shared = written(shared)
     star = shared.where("set_id <> pivot").where(_window(F.col("place"), F.col("at"), percent))
     star = cut(star.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct())
-    links = cut(links.unionByName(_verified(star, docs, classes, profile, percent)))
+    links = links.unionByName(cut(_verified(star, docs, classes, profile, percent)))
 
     labels = connected_components(links)
     active = shared.select("s", "set_id", "place").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
@@ -379,50 +383,66 @@ def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFr
     rest = x.join(y, "s").where("a < b and la <> lb").where(_window(F.col("pa"), F.col("pb"), percent))
     rest = cut(rest.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
     more = cut(_verified(rest, docs, classes, profile, percent))
-    links, labels = cut(links.unionByName(more)), merged_components(labels, more)
+    links, labels = links.unionByName(more), merged_components(labels, more)
 
     if near is not None:
-        links, labels = _close_windows(docs, near, pivots, classes, links, labels, percent)
+        more = cut(_window_links(docs, near, pivots, classes, members, labels, percent))
+        links, labels = links.unionByName(more), merged_components(labels, more)
     return members, links, labels
 
 
-def _close_windows(
-    docs: DataFrame, near: DataFrame, pivots: _Pivots, classes: DataFrame, links: DataFrame, labels: DataFrame, percent: int
-) -> tuple[DataFrame, DataFrame]:
-    """Links and groups with the sets in a pivot's window that are not connected to it yet measured against all sets."""
+def _window_links(
+    docs: DataFrame, near: DataFrame, pivots: _Pivots, classes: DataFrame, members: DataFrame, labels: DataFrame, percent: int
+) -> DataFrame:
+    """Links (a, b) between sets that pivots own and those in the pivots' windows that are not connected to them yet.
+
+    A region is the label of a group with pivots. One link of a set to each block of a region is given.
+    """
     of = {r["node"]: r["label"] for r in labels.where(F.col("node").isin([int(x) for x in pivots.names])).collect()}
-    owner = [of.get(int(x), int(x)) for x in pivots.names]
+    region = [of.get(int(x), int(x)) for x in pivots.names]
+    known = {int(x) for x in pivots.names}
 
-    def owned(batches):
+    def roles(batches):
         for batch in batches:
-            held = batch.column(0).flatten().to_numpy()
-            counts = np.bincount(held, minlength=1)
-            at = np.flatnonzero(counts)
-            yield _batch(p=at.astype(np.int32), n=counts[at].astype(np.int64))
-
-    # A pivot that owns nothing but itself can be left: all distances to it are known.
-    counts = near.select("ball").mapInArrow(owned, "p int, n long").groupBy("p").agg(F.sum("n").alias("n"))
-    wide = {r["p"] for r in counts.where("n > 1").collect()}
+            rows = []
+            for name, ball, ring, label in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if ball and name not in known:  # the distances to a pivot are known
+                    rows.append((label, name, True))
+                rows.extend((to, name, False) for to in {region[p] for p in ring} if to != label)
+            yield _batch(
+                region=pa.array([r[0] for r in rows], pa.int64()),
+                set_id=pa.array([r[1] for r in rows], pa.int64()),
+                owned=pa.array([r[2] for r in rows], pa.bool_()),
+            )
 
-    def open_windows(batches):
-        for batch in batches:
-            name, ring, label = (batch.column(i).to_pylist() for i in range(3))
-            keep = [n for n, r, lab in zip(name, ring, label, strict=True) if any(p in wide and owner[p] != lab for p in r)]
-            yield _batch(set_id=pa.array(keep, pa.int64()))
-
-    rings = near.where("size(ring) > 0").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
-    rings = rings.select("set_id", "ring", F.coalesce("label", "set_id").alias("label"))
-    left = cut(rings.mapInArrow(open_windows, "set_id long").join(classes, "set_id"))
-    after = None
-    while True:
-        rest = left if after is None else left.where(F.col("set_id") > after)
-        chosen = rest.select("set_id", F.col("first_doc").alias("doc_id")).orderBy("set_id").limit(PIVOTS).collect()
-        if not chosen:
-            return links, labels
-        after = chosen[-1]["set_id"]
-        more = _fetch_pivots(docs, chosen, percent)
-        found = cut(_ball_edges(_measure(docs, more), more))
-        links, labels = cut(links.unionByName(found)), merged_components(labels, found)
+    labelled = near.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+    labelled = labelled.select("set_id", "ball", "ring", F.coalesce("label", "set_id").alias("label"))
+    placed = cut(labelled.mapInArrow(roles, "region long, set_id long, owned boolean"))
+    sizes = members.where("n_shingles > 0").groupBy("set_id").agg(F.first("n_shingles").alias("n"))
+    totals = placed.join(sizes, "set_id").groupBy("region")
+    blocks = totals.agg(
+        *(F.ceil(F.sum(F.when(side, F.col("n"))) / BLOCK_SHINGLES).cast("int").alias(c) for side, c in ((F.col("owned"), "i"), (~F.col("owned"), "j")))
+    )
+    # Regions without owned or without replicated sets have a null number of blocks.
+    placed = cut(placed.join(blocks.where("i > 0 and j > 0"), "region"))
+    sets = written(_sets(docs, classes, placed.select("set_id").distinct()))
+    own, other = F.when(F.col("owned"), F.col("i")).otherwise(F.col("j")), F.when(F.col("owned"), F.col("j")).otherwise(F.col("i"))
+    dealt = placed.select("region", "set_id", "owned", F.pmod(F.xxhash64("set_id"), own).alias("at"), F.explode(F.sequence(F.lit(0), other - 1)).alias("with"))
+    i, j = F.when(F.col("owned"), F.col("at")).otherwise(F.col("with")), F.when(F.col("owned"), F.col("with")).otherwise(F.col("at"))
+    dealt = dealt.select("region", "set_id", "owned", i.alias("i"), j.alias("j")).join(sets, "set_id")
+
+    def measure(table: pa.Table) -> pa.Table:
+        names, owned = table["set_id"].to_pylist(), table["owned"].to_pylist()
+        found = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        outer = [k for k, o in enumerate(owned) if not o]
+        guests = _Pivots([names[k] for k in outer], [found[k] for k in outer], percent)
+        link = {}
+        for name, s, o in zip(names, found, owned, strict=True):
+            if o:
+                link.update((int(guests.names[k]), name) for k in guests.near(s)[0])
+        return pa.table({"a": pa.array(list(link), pa.int64()), "b": pa.array(list(link.values()), pa.int64())})
+
+    return dealt.groupBy("region", "i", "j").applyInArrow(measure, "a long, b long")
 
 
 def near_duplicate_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
