@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from granary.llm import common, jaccard_join
 from granary.llm.common import connected_components, merged_components
 from granary.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from granary.llm.jaccard_join import _most_common, _signature, drop_near_duplicates, near_duplicate_groups
@@ -90,8 +91,11 @@ def test_near_duplicate_groups(spark, seed):
     assert got == near_brute(rows(seed))
 
 
-def test_near_duplicate_groups_of_a_dense_neighbourhood(spark):
-    """One text with up to 14 of 60 words changed: links at all distances around the threshold, and pivots."""
+@pytest.mark.parametrize("pivots, block", [(256, 1_000_000), (3, 500)])
+def test_near_duplicate_groups_of_a_dense_neighbourhood(spark, monkeypatch, pivots, block):
+    """One text with up to 14 of 60 words changed: links at all distances around the threshold, pivots, and windows in blocks."""
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
     rng = random.Random(5)
     base = [f"v{i}" for i in range(60)]
     docs = []
@@ -131,7 +135,9 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert kept == {c for _, c in near_brute(rows()).values()}
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("edges_per_task", [200_000, 20])
+def test_connected_components(spark, monkeypatch, edges_per_task):
+    monkeypatch.setattr(common, "EDGES_PER_TASK", edges_per_task)
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(200, 240)] + [(0, k) for k in range(1, 90)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
     root = {x: x for e in edges for x in e}
