@@ -1,36 +1,44 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 The corpus is cut into blocks of a fixed number of characters per source, and a slot of the mixed stream takes one block.
-Target weights become integer shares q of a period of Q slots. Block i of a source is released at slot floor(i Q / q) and
-due by slot ceil((i + 1) Q / q); earliest deadline first then places every block between the two, so that at each slot
-every source is less than one block away from its exact share. After a whole period all sources are exactly on target,
-so one period's pattern serves all periods and block numbers translate to slots by arithmetic. When the scarcest source
-runs out, a last period spreads what it has left, and the others go on in proportion to their shares: every document is
-placed exactly once.
+In the exact mix each source holds its weight's share of every slot, and when a source runs out the others go on in
+proportion: after a time v a source of weight w and n blocks has had min(v w, n) blocks, and T(v), their sum, is a slot.
+Block i is released at slot floor(T(i / w)) and due by slot ceil(T((i + 1) / w)). The exact mix itself is a fractional
+schedule within these windows, so a whole one exists, and earliest deadline first finds it: at each slot every source is
+less than one block away from its exact share, for any weights, however small, and any number of sources.
+
+One task makes the schedule, a slab of slots after the other: it holds numbers per source and yields a row per block.
+With a given ``period``, target weights are first rounded to integer shares q of that many slots, at least 1 each; one
+period's pattern then serves all periods, and a last one spreads what the scarcest source has left.
 
 Places within a source follow a hash of doc_id. Running totals of characters are made in two steps (totals of the shards
-of a source, then within a shard), so a source that holds a third of all rows is no single task. Only totals per source
-visit the driver; their number is checked.
+of a source, then within a shard), so a source that holds a third of all rows is no single task. Only numbers per source
+(a number, its blocks and its weight) visit the driver, and with a given period their names as well.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import BROADCAST_ROWS, cut
 
-#: Characters in a block, and slots in a period (more if there are more sources).
+#: Characters in a block, slots in a period where shares are asked for (more if there are more sources).
 BLOCK = 1 << 15
 PERIOD = 1000
+#: Slots whose blocks the exact schedule releases together.
+SLAB = 1 << 16
 #: Target weights default to the sources' sizes to this power, normalised.
 TEMPERATURE = 0.5
-#: More sources than this are refused; weights are set by hand or by source and are few.
+#: With a given period, more sources than this are refused: its plan has a row per phase and source.
 MOST_SOURCES = 2_000
 
 
@@ -65,6 +73,46 @@ def edf(share: dict[str, int]) -> list[tuple[int, str, int]]:
     return out
 
 
+def exact(blocks: np.ndarray, weight: np.ndarray, slab: int = SLAB) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(source, block, slot) of all blocks in the order of slots, in parts; sources are places in the two arrays."""
+    blocks, weight = np.asarray(blocks, np.int64), np.asarray(weight, np.float64)
+    weight = weight / weight.sum()
+    # T is linear between the times at which sources run out
+    ends = blocks / weight
+    order = np.argsort(ends, kind="stable")
+    times = np.concatenate(([0.0], ends[order]))
+    alive = np.cumsum(weight[order][::-1])[::-1]
+    slots = np.concatenate(([0.0], np.cumsum(np.diff(times) * alive)))
+    total, slot, taken = int(blocks.sum()), 0, np.zeros(len(blocks), np.int64)
+    ready: list[tuple[int, int, int]] = []
+    for start in range(0, total, slab):
+        stop = min(start + slab, total)
+        upto = np.ceil(np.interp(stop, slots, times) * weight).astype(np.int64)
+        upto = blocks if stop == total else np.clip(upto, taken, blocks)
+        n = upto - taken
+        source = np.repeat(np.arange(len(n)), n)
+        block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + taken[source]
+        taken = upto
+        # times that are whole slots but for rounding count as whole
+        near = 1e-12 * total + 1e-9
+        release = np.floor(np.interp(block / weight[source], times, slots) + near).astype(np.int64)
+        due = np.ceil(np.interp((block + 1) / weight[source], times, slots) - near).astype(np.int64)
+        by = np.argsort(release, kind="stable")
+        jobs = list(zip(due[by].tolist(), source[by].tolist(), block[by].tolist(), strict=True))
+        releases, k, out = release[by].tolist(), 0, []
+        while slot < stop and (ready or k < len(jobs)):
+            while k < len(jobs) and (releases[k] <= slot or not ready):
+                heapq.heappush(ready, jobs[k])
+                k += 1
+            _, s, i = heapq.heappop(ready)
+            out.append((s, i, slot))
+            slot += 1
+        for job in jobs[k:]:
+            heapq.heappush(ready, job)
+        if out:
+            yield tuple(np.array(out, np.int64).T)
+
+
 def phases(blocks: dict[str, int], share: dict[str, int]) -> list[dict]:
     """One row per phase and source: phase, source, share, first_block, n_blocks, first_slot, period.
 
@@ -104,16 +152,63 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def _exact_slots(sums: DataFrame, weights: dict[str, float] | None, block: int) -> DataFrame:
+    """(source, block, slot) of all blocks in the mix of exact weights."""
+    spark = sums.sparkSession
+    totals = sums.groupBy("source").agg(F.sum("chars").alias("chars"))
+    if weights is None:
+        totals = totals.withColumn("weight", F.pow("chars", F.lit(TEMPERATURE)))
+    else:
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items() if w > 0], "source string, weight double")
+        totals = totals.join(given, "source")
+    totals = totals.withColumn("blocks", F.ceil(F.col("chars") / block).cast("long"))
+    # numbers in the order of names, however the sources are dealt out
+    named = totals.repartitionByRange("source").sortWithinPartitions("source")
+    named = cut(named.select("source", "blocks", "weight", F.monotonically_increasing_id().alias("number")))
+    own = named.select("number", "blocks", "weight").toPandas().sort_values("number")
+    number, blocks, weight = (own[c].to_numpy() for c in ("number", "blocks", "weight"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and len(number):
+                for source, taken, slot in exact(blocks, weight):
+                    columns = [pa.array(number[source]), pa.array(taken), pa.array(slot)]
+                    yield pa.RecordBatch.from_arrays(columns, ["number", "block", "slot"])
+
+    slots = spark.range(0, 1, 1, 1).mapInArrow(place, "number long, block long, slot long")
+    return cut(slots.join(_small(named.select("number", "source")), "number").select("source", "block", "slot"))
+
+
+def _period_slots(placed: DataFrame, sums: DataFrame, weights: dict[str, float] | None, block: int, period: int) -> DataFrame:
+    """placed with the slot of each row's block in the mix of integer shares of a period."""
+    spark = sums.sparkSession
+    totals = {r["source"]: r["chars"] for r in sums.groupBy("source").agg(F.sum("chars").alias("chars")).limit(MOST_SOURCES + 1).collect()}
+    if len(totals) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    target = {s: n**TEMPERATURE for s, n in totals.items()} if weights is None else {s: weights[s] for s in totals if weights.get(s, 0) > 0}
+    blocks = {s: -(-totals[s] // block) for s in target}
+    plan = spark.createDataFrame(
+        [tuple(p.values()) for p in phases(blocks, shares(target, period))] if target else [],
+        "phase long, source string, share long, first_block long, n_blocks long, first_slot long, period long",
+    )
+    patterns = cut(_patterns(plan.select("phase", "source", "share")))
+    placed = placed.join(_small(cut(plan)), "source").where("block >= first_block and block < first_block + n_blocks")
+    index = F.col("block") - F.col("first_block")
+    placed = placed.withColumn("turn", F.pmod(index, F.col("share"))).withColumn("round", F.floor(index / F.col("share")))
+    placed = placed.join(_small(patterns), ["phase", "source", "turn"])
+    return placed.withColumn("slot", F.col("first_slot") + F.col("round") * F.col("period") + F.col("at"))
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None) -> DataFrame:
     """docs with all its columns and, for each row, block (number within its source), slot (of the block in the mixed
     stream) and place (order within the block). A document belongs to the block in which it starts.
 
     weights: target weight by source; sources that it lacks or gives no positive weight are left out of the mix. Without
-    it, weights are the sources' characters to the power TEMPERATURE. A null source is the source ``""``; empty and null
-    texts count one character; repeated rows are placed each; columns of docs named like a result give way to it. An
-    empty table gives an empty result.
+    it, weights are the sources' characters to the power TEMPERATURE. period: slots of which weights are rounded to
+    integer shares; without it weights count as they are. A null source is the source ``""``; empty and null texts count
+    one character; repeated rows are placed each; columns of docs named like a result give way to it. An empty table gives
+    an empty result.
     """
-    spark = docs.sparkSession
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
@@ -124,16 +219,6 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     shards = math.isqrt(sized.count()) + 1
     shard = F.pmod("key", F.lit(shards)).alias("shard")
     sums = cut(sized.groupBy("source", shard).agg(F.sum("chars").alias("chars")))
-    totals = {r["source"]: r["chars"] for r in sums.groupBy("source").agg(F.sum("chars").alias("chars")).limit(MOST_SOURCES + 1).collect()}
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    target = {s: n**TEMPERATURE for s, n in totals.items()} if weights is None else {s: weights[s] for s in totals if weights.get(s, 0) > 0}
-    blocks = {s: -(-totals[s] // block) for s in target}
-    plan = spark.createDataFrame(
-        [tuple(p.values()) for p in phases(blocks, shares(target, period))] if target else [],
-        "phase long, source string, share long, first_block long, n_blocks long, first_slot long, period long",
-    )
-    patterns = cut(_patterns(plan.select("phase", "source", "share")))
 
     by_shard = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("source", "shard", F.coalesce(F.sum("chars").over(by_shard), F.lit(0)).alias("before"))
@@ -153,15 +238,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     placed = rows.withColumn("shard", shard).withColumn("lead", F.lit(0)).unionByName(heads)
     placed = placed.withColumn("start", F.sum("chars").over(running)).withColumn("rank", F.row_number().over(within))
     placed = placed.where("lead = 0").withColumn("block", F.floor(F.col("start") / block))
-    placed = placed.join(_small(cut(plan)), "source").where("block >= first_block and block < first_block + n_blocks")
-    index = F.col("block") - F.col("first_block")
-    placed = placed.withColumn("turn", F.pmod(index, F.col("share"))).withColumn("round", F.floor(index / F.col("share")))
-    placed = placed.join(_small(patterns), ["phase", "source", "turn"])
-    slot = F.col("first_slot") + F.col("round") * F.col("period") + F.col("at")
+    if period is None:
+        placed = placed.join(_small(_exact_slots(sums, weights, block)), ["source", "block"])
+    else:
+        placed = _period_slots(placed, sums, weights, block, period)
     # within a block: by shard, then by rank, as one number
     place = F.col("start") - F.col("block") * block
     kept = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("block", "slot", "place")]
-    return placed.select(*kept, F.col("block").cast("long"), slot.cast("long").alias("slot"), place.cast("long").alias("place"))
+    return placed.select(*kept, F.col("block").cast("long"), F.col("slot").cast("long"), place.cast("long").alias("place"))
 
 
 def mixed_order(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

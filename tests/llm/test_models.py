@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from granary.llm.language import identify, language_id
-from granary.llm.mixing import edf, mix, mixed_order, phases, shares
+from granary.llm.mixing import edf, exact, mix, mixed_order, phases, shares
 from granary.llm.quality import drop_low_quality, estimate, quality
 from granary.llm.toxicity import fit, toxicity
 
@@ -166,3 +166,44 @@ def test_mix_of_awkward_rows(spark):
     got = mix(awkward(spark)).collect()
     assert len(got) == 5 and all(isinstance(r["slot"], int) for r in got)
     assert mix(documents(spark)).select(F.countDistinct("doc_id")).first()[0] == documents(spark).count()
+
+
+def exact_mix(n_blocks, weight, slots):
+    """Blocks of each source in the exact mix by each slot, source after source running out."""
+    left, done, out, at = n_blocks.astype(float), np.zeros(len(weight)), [], 0.0
+    for t in range(1, slots + 1):
+        while t - at > 1e-9:
+            rate = np.where(left > 1e-9, weight, 0)
+            rate = rate / rate.sum()
+            step = min(t - at, (left[rate > 0] / rate[rate > 0]).min())
+            done, left, at = done + step * rate, left - step * rate, at + step
+        out.append(done)
+    return np.array(out)
+
+
+def test_exact_mix_follows_the_weights():
+    rng = np.random.default_rng(7)
+    cases = [(np.array([3000, 3000, 40]), np.array([0.3337, 0.6662, 0.0001]))]
+    cases.append((rng.integers(1, 4, 1500), rng.random(1500) ** 3 + 1e-4))
+    cases += [(rng.integers(1, 200, 7), rng.random(7) ** 4 + 1e-5) for _ in range(5)]
+    for blocks, weight in cases:
+        for slab in (64, 1 << 16):
+            source, block, slot = (np.concatenate(c) for c in zip(*exact(blocks, weight, slab), strict=True))
+            assert slot.tolist() == list(range(blocks.sum()))
+            taken = np.zeros((len(slot), len(blocks)))
+            taken[slot, source] = 1
+            taken = taken.cumsum(0)
+            assert (taken[slot, source] == block + 1).all() and (taken[-1] == blocks).all()
+            assert abs(taken - exact_mix(blocks, weight, len(slot))).max() < 1 + 1e-6
+
+
+def test_mix_of_many_sources_and_tiny_weights(spark):
+    rows = [(k, "x" * 10, f"s{k % 2500}") for k in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(df, block=10).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(5000)) and sorted(r["slot"] for r in got) == list(range(5000))
+    rows = [(k, "x" * 10, "rare" if k < 50 else "often") for k in range(4050)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["slot"]: r["source"] for r in mix(df, {"rare": 0.0005, "often": 0.9995}, block=10).collect()}
+    rare = np.cumsum([got[s] == "rare" for s in range(4000)])
+    assert abs(rare - 0.0005 * np.arange(1, 4001)).max() < 1
