@@ -1,10 +1,12 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences twice: where a sentence ends or a line is empty (license texts are wrapped at any word), and
-at every line break as well (notices stand on lines of their own). Sentences are normalised to lower-case words. Known
-ones have identifiers; all others vanish. Each of the two sequences of identifiers is matched against ordered rules: a
-rule holds if its identifiers occur in its order, other ones between them allowed. For each license the first rule that
-holds counts.
+A text is cut into sentences three times: where a sentence ends or a line is empty (license texts are wrapped at any
+word); at every line break as well (notices stand on lines of their own); and, for texts in comments, on one line or in
+lists, without the comment marks that begin lines, at colons and semicolons, around copyright lines, and before known
+beginnings. There SPDX expressions count by their parts. Sentences are normalised to lower-case words. Known ones have
+identifiers; all others vanish. Each of the three sequences of identifiers is matched against ordered rules: a rule holds
+if its identifiers occur in its order, other ones between them allowed. For each license the first rule that holds counts.
+The SQL of the query states the first two sequences.
 
 Only texts that hold one of a few words go through the sentences at all; every known sentence has such a word, so
 nothing is missed.
@@ -59,7 +61,7 @@ SENTENCES = {
     "unlicense-free": "this is free and unencumbered software released into the public domain",
 }
 #: Words of which every known sentence has one.
-WORDS = ("license", "permission", "copyright", "warranty", "licensed", "redistribution", "public domain")
+WORDS = ("license", "permission", "copyright", "warranty", "licensed", "redistribution", "unencumbered")
 
 # Rules in order, (license, rule, identifiers in order).
 RULES = [
@@ -104,6 +106,37 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Ends of sentences, with wrapped lines and with every line for itself.
 WRAPPED = r"""[.!?]+["')]*[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"""
 BY_LINE = r"""[.!?]+["')]*[\x20\x09-\x0D]+|\n"""
+#: Ends once a text is laid out.
+LAID_OUT = WRAPPED + r"""|(?<!spdx-license-identifier)[:;]["')]*[\x20\x09-\x0D]+"""
+#: Beginnings of known sentences that may follow other words without an end between them.
+STARTS = [
+    "permission is hereby granted,? free of charge",
+    "permission to use,? copy,? modify",
+    "redistribution and use in source and binary forms",
+    "redistributions of source code must",
+    "redistributions in binary form must",
+    "neither the name of",
+    "the above copyright notice and this permission notice shall",
+    "the software is provided",
+    r"licensed under the apache license,? version 2\.0,? \(the",
+    "unless required by applicable law",
+    r"this program is free software[:;,]? you can",
+    "this program is distributed in the hope",
+    "this is free and unencumbered software",
+]
+#: How a lower-cased text is laid out, in order: (pattern, replacement).
+LAYOUT = [
+    # comment marks that begin lines
+    (r"(?m)^[\x20\t]*(?:/\*+/?|\*+/?|//+!?|#+|;+|--+|%+|<!--|dnl\b|rem\b)[\x20\t]*", ""),
+    # colons, semicolons and points within known sentences
+    (r"\b(free\s+software|foundation|warranty)[:;](?=\s+(?:you\s+can|either\s+version|without\s+even)\b)", "$1"),
+    (r"\bv\.(?=\s*[0-9])", "v "),
+    (r"(?m)(spdx-license-identifier:.*)$", "\n\n$1\n\n"),
+    (r"(?m)^([\x20\t]*(?:copyright[\x20\t]+(?:\(c\)|©|[0-9]{4})|(?:\(c\)|©)[\x20\t]+(?:copyright|[0-9]{4})).*)$", "\n\n$1\n\n"),
+    (r"\b(?=(?:" + "|".join(STARTS).replace(" ", r"\s+") + "))", "\n\n"),
+]
+#: An SPDX line and what joins the parts of its expression.
+SPDX, SPDX_JOINS = "spdx-license-identifier:", r"[\x20\x09()]+(?:or|and|with)[\x20\x09()]+"
 #: What separates the words of a normalised sentence.
 BETWEEN = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
@@ -113,14 +146,26 @@ def ordered_pattern(identifiers: list[str]) -> str:
     return "," + ",(.*,)?".join(identifiers) + ","
 
 
-def _identifiers(text: Column, ends: str) -> Column:
-    """The identifiers of the known sentences of a lower-cased text, in order, as ``,a,b,``; ``,`` if there are none."""
+def _identifiers(pieces: Column) -> Column:
+    """The identifiers of the known sentences among the pieces, in order, as ``,a,b,``; ``,`` if there are none."""
     known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
-    sentences = F.transform(F.split(text, ends), lambda s: F.trim(F.regexp_replace(s, BETWEEN, " ")))
+    sentences = F.transform(pieces, lambda s: F.trim(F.regexp_replace(s, BETWEEN, " ")))
     names = F.filter(F.transform(sentences, lambda s: F.try_element_at(known, s)), lambda n: n.isNotNull())
     return F.concat(F.lit(","), F.array_join(F.transform(names, lambda n: F.concat(n, F.lit(","))), ""))
 
 
+def _laid_out(text: Column) -> Column:
+    """The pieces of a lower-cased text that has been laid out; an SPDX expression is a piece per part."""
+    for pattern, replacement in LAYOUT:
+        text = F.regexp_replace(text, pattern, replacement)
+
+    def parts(s: Column) -> Column:
+        ids = F.split(F.substring(s, len(SPDX) + 1, F.length(s)), SPDX_JOINS)
+        return F.when(s.startswith(SPDX), F.transform(ids, lambda i: F.concat(F.lit(SPDX), i))).otherwise(F.array(s))
+
+    return F.flatten(F.transform(F.split(text, LAID_OUT), parts))
+
+
 def _first_rules(held: list[tuple[str, str, Column]]) -> Column:
     """array of ``license:rule``, the first rule that holds of each license, in the order of the rules."""
     out, by_license = [], {}
@@ -142,8 +187,7 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """For every row of docs: doc_id, n_sentences (known ones, found line by line or wrapped, whichever are more),
-    sentences (their identifiers in order, comma-joined), licenses (comma-joined, in the order of the rules) and rules
+    """For every row of docs: doc_id, n_sentences (known ones, of the sequence that has the most), sentences (their identifiers in order, comma-joined), licenses (comma-joined, in the order of the rules) and rules
     (license:rule, likewise).
 
     Null and empty texts have none; repeated rows are scanned each; an empty table gives an empty result; other columns
@@ -153,30 +197,22 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     # split into jobs of a few columns, so that each is evaluated once per row
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     worth = _any([F.col("text").contains(w) for w in WORDS])
-    found = rows.select(
-        "doc_id",
-        F.when(
-            worth,
-            F.struct(_identifiers(F.col("text"), WRAPPED).alias("wrapped"), _identifiers(F.col("text"), BY_LINE).alias("by_line")),
-        ).alias("ids"),
-    )
-    nothing = F.lit(",")
-    found = found.select(
-        "doc_id",
-        F.coalesce(F.col("ids.wrapped"), nothing).alias("wrapped"),
-        F.coalesce(F.col("ids.by_line"), nothing).alias("by_line"),
-    )
+    cuts = {"by_line": F.split("text", BY_LINE), "wrapped": F.split("text", WRAPPED), "laid_out": _laid_out(F.col("text"))}
+    ids = F.struct(*[_identifiers(pieces).alias(c) for c, pieces in cuts.items()])
+    found = rows.select("doc_id", F.when(worth, ids).alias("ids"))
+    found = found.select("doc_id", *[F.coalesce(F.col(f"ids.{c}"), F.lit(",")).alias(c) for c in cuts])
     held = []
     for name, rule, identifiers in RULES:
         pattern = ordered_pattern(identifiers)
-        held.append((name, rule, F.col("wrapped").rlike(pattern) | F.col("by_line").rlike(pattern)))
-    size = {c: F.size(F.split(c, ",")) - 2 for c in ("wrapped", "by_line")}
-    longer = F.when(size["wrapped"] > size["by_line"], F.col("wrapped")).otherwise(F.col("by_line"))
-    some = (F.col("wrapped") != ",") | (F.col("by_line") != ",")
+        held.append((name, rule, _any([F.col(c).rlike(pattern) for c in cuts])))
+    size = {c: F.size(F.split(c, ",")) - 2 for c in cuts}
+    most = F.greatest(*size.values())
+    longer = F.coalesce(*[F.when(size[c] == most, F.col(c)) for c in cuts])
+    some = most > 0
     rules = F.when(some, _first_rules(held)).otherwise(F.array().cast("array<string>"))
     found = found.select(
         "doc_id",
-        F.greatest(size["wrapped"], size["by_line"]).cast("long").alias("n_sentences"),
+        most.cast("long").alias("n_sentences"),
         F.trim(longer, F.lit(",")).alias("sentences"),
         rules.alias("rules"),
     )

@@ -121,6 +121,45 @@ def test_license_rules(spark):
     assert scan_licenses(awkward(spark)).count() == 5
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+   disclaimer in the documentation and/or other materials provided with the distribution."""
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+applicable law or agreed to in writing, software"""
+
+GPL = """This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation{1} either version {2} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See"""
+
+
+def test_license_layouts(spark):
+    def marked(mark, text):
+        return "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n"))
+
+    one_line = " ".join(("MIT License\n\nCopyright (c) 2020 X\n\n" + MIT[MIT.index("Permission") :]).split())
+    texts = [(f"/*\n{marked(' *', MIT)}\n */\nint x;", "MIT:text")]
+    texts += [(marked(m, "Copyright (c) 2020 X\n" + MIT[MIT.index("Permission") :]), "MIT:text") for m in ("#", "//", ";", "--", " *")]
+    texts += [(one_line, "MIT:text"), (one_line.replace(" ", "\r\n"), "MIT:text")]
+    texts += [(t, "BSD-2-Clause:text") for t in (BSD, marked("#", BSD), " ".join(BSD.split()), BSD.replace("1.", "*").replace("2.", "(b)"))]
+    texts += [(BSD + "\n3. " + SENTENCES["bsd-endorse"] + ".", "BSD-3-Clause:text")]
+    texts += [(t, "Apache-2.0:header") for t in (APACHE, marked("//", APACHE), "Copyright 2020 X " + " ".join(APACHE.split()))]
+    texts += [(marked("#", GPL.format(":", ",", 3)), "GPL-3.0:header"), (GPL.format(";", ";", 2), "GPL-2.0:header")]
+    texts += [("This is free and unencumbered software released into the public\ndomain.", "Unlicense:text")]
+    texts += [("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If", "MPL-2.0:notice")]
+    texts += [("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND ISC\n// Copyright", "MIT:notice,Apache-2.0:notice,ISC:notice")]
+    texts += [("x; # SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0\ny", "GPL-2.0:notice")]
+    texts += [("Permission is hereby granted, free of charge, to all: the above copyright notice; and more.", "")]
+    df = spark.createDataFrame(list(enumerate(t for t, _ in texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["rules"] for r in scan_licenses(df).collect()}
+    assert got == dict(enumerate(r for _, r in texts))
+
+
 def test_license_tables_agree():
     assert all(any(w in s for w in WORDS) for s in SENTENCES.values())
     assert len(set(SENTENCES.values())) == len(SENTENCES)
