@@ -6,13 +6,15 @@ doc_id, as everywhere in this module. Lanes keep their best k per query within e
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import index_terms, words
-from .common import BROADCAST_ROWS, sized, top_per_group
+from .common import BROADCAST_ROWS, cut, sized, top_per_group
 
 #: Terms that a lexical query keeps, in alphabetical order.
 QUERY_TERMS = 12
@@ -62,10 +64,15 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = BM25
     return top_per_group(scored, ["query_id"], [F.desc("score"), F.desc("doc_id")], k)
 
 
+#: Query vectors that visit the driver and a task together, and those measured at once against an Arrow batch.
+QUERY_BLOCK = 50_000
+QUERY_SLICE = 1_000
+
+
 def _scores(queries: DataFrame, vectors: DataFrame, reduce, schema: str) -> DataFrame:
     """Arrow batches of (doc_id, embedding, label) against the matrix of queries, reduced within each batch.
 
-    The query matrix is sent to every task; more queries than fit the bound are worked off in blocks by the caller.
+    The query matrix is sent to every task; _blocked keeps it bounded.
     """
     rows = queries.select("query_id", "embedding").orderBy("query_id").collect()
     ids = np.array([r["query_id"] for r in rows], np.int64)
@@ -73,24 +80,31 @@ def _scores(queries: DataFrame, vectors: DataFrame, reduce, schema: str) -> Data
 
     def score(batches):
         for batch in batches:
-            if not batch.num_rows or not len(ids):
+            if not batch.num_rows:
                 continue
             column = batch.column(1)
             flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            sims = np.round(flat.reshape(len(column), -1) @ matrix.T, 6)
-            yield reduce(ids, batch.column(0).to_numpy(), batch.column(2).to_numpy(), sims)
+            flat = flat.reshape(len(column), -1)
+            for at in range(0, len(ids), QUERY_SLICE):
+                sims = np.round(flat @ matrix[at : at + QUERY_SLICE].T, 6)
+                yield reduce(ids[at : at + QUERY_SLICE], batch.column(0).to_numpy(), batch.column(2).to_numpy(), sims)
 
     return vectors.select("doc_id", "embedding", "label").where("embedding is not null").mapInArrow(score, schema)
 
 
-#: Query vectors in one block.
-QUERY_BLOCK = 50_000
+def _blocked(queries: DataFrame, top, block: int) -> DataFrame:
+    """top(queries) over blocks of about so many query vectors, one after the other; results wait in the shared folder."""
+    n = queries.count()
+    if n <= block:
+        return top(queries)
+    queries = cut(queries.select("query_id", "embedding"))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(-(-n // block)))
+    parts = [cut(top(queries.where(number == b))) for b in range(-(-n // block))]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
     """Rows of (doc_id, embedding, label) by inner product with each query (query_id, embedding)."""
-    if queries.count() > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} query vectors: pass them in blocks")
 
     def best(ids, docs, labels, sims):
         out = {"query_id": [], "doc_id": [], "score": []}
@@ -101,29 +115,43 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFram
             out["score"].append(sims[order, j])
         return pa.RecordBatch.from_pydict({c: pa.array(np.concatenate(v)) for c, v in out.items()})
 
-    scored = _scores(queries, vectors, best, "query_id long, doc_id long, score double")
-    return top_per_group(scored, ["query_id"], [F.desc("score"), F.desc("doc_id")], k)
+    def top(own: DataFrame) -> DataFrame:
+        scored = _scores(own, vectors, best, "query_id long, doc_id long, score double")
+        return top_per_group(scored, ["query_id"], [F.desc("score"), F.desc("doc_id")], k)
 
+    return _blocked(queries, top, block)
 
-def best_member_topk(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """Labels by their best vector: (query_id, label, score, member, position)."""
+
+def best_member_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
+    """Labels by their best vector: (query_id, label, score, member, position).
+
+    A batch passes on its k best labels for each query. Labels that precede one in the batch of its best vector precede it
+    in the result as well, so the k best of all are among them, with their true scores; others can only seem worse.
+    """
 
     def best(ids, docs, labels, sims):
+        order = np.lexsort((-docs, labels))
+        docs, sims = docs[order], sims[order]
+        names, starts = np.unique(labels[order], return_index=True)
+        scores = np.maximum.reduceat(sims, starts)
+        ends = np.append(starts[1:], len(docs))
         out = {"query_id": [], "label": [], "score": [], "member": []}
-        for label in np.unique(labels):
-            own = np.flatnonzero(labels == label)
-            own = own[np.argsort(-docs[own], kind="stable")]
-            at = own[sims[own].argmax(0)]
-            out["query_id"].append(ids)
-            out["label"].append(np.full(len(ids), label, np.int64))
-            out["score"].append(sims[at, np.arange(len(ids))])
-            out["member"].append(docs[at])
+        for j in range(len(ids)):
+            first = np.lexsort((-names, -scores[:, j]))[:k]
+            out["query_id"].append(np.full(len(first), ids[j]))
+            out["label"].append(names[first])
+            out["score"].append(scores[first, j])
+            # members of a label are in descending order, so that ties go to the larger one
+            out["member"].append(np.array([docs[starts[t] + sims[starts[t] : ends[t], j].argmax()] for t in first], np.int64))
         return pa.RecordBatch.from_pydict({c: pa.array(np.concatenate(v)) for c, v in out.items()})
 
-    scored = _scores(queries, vectors, best, "query_id long, label long, score double, member long")
-    top = scored.groupBy("query_id", "label").agg(F.max(F.struct("score", "member")).alias("best"))
-    top = top.select("query_id", "label", F.col("best.score").alias("score"), F.col("best.member").alias("member"))
-    return top_per_group(top, ["query_id"], [F.desc("score"), F.desc("label")], k)
+    def top(own: DataFrame) -> DataFrame:
+        scored = _scores(own, vectors, best, "query_id long, label long, score double, member long")
+        found = scored.groupBy("query_id", "label").agg(F.max(F.struct("score", "member")).alias("best"))
+        found = found.select("query_id", "label", F.col("best.score").alias("score"), F.col("best.member").alias("member"))
+        return top_per_group(found, ["query_id"], [F.desc("score"), F.desc("label")], k)
+
+    return _blocked(queries, top, block)
 
 
 def phrase_matches(queries: DataFrame, phrases: DataFrame, least: float = FAST_PATH_SHARE) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,6 +151,30 @@ def test_greedy_groups_compare_with_the_leader_only(spark):
     assert got == {10: 10, 11: 11, 12: 10, 13: 13}
 
 
+def test_vectors_in_blocks_of_queries(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(n, [rng.randrange(-2, 3) / 2 for _ in range(4)], n // 3) for n in range(600)]
+    vectors = spark.createDataFrame(rows, "doc_id long, embedding array<float>, label long").repartition(3)
+    queries = vectors.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    near, labels = set(), set()
+    for q, e, _ in rows[::20]:
+        sims = [(round(sum(a * b for a, b in zip(e, v, strict=True)), 6), n, label) for n, v, label in rows]
+        near |= {(q, n, s, p) for p, (s, n, _) in enumerate(sorted(sims, reverse=True)[:4], 1)}
+        best = {label: max((s, n) for s, n, own in sims if own == label) for label in range(200)}
+        order = sorted(((s, label, n) for label, (s, n) in best.items()), reverse=True)[:4]
+        labels |= {(q, label, s, n, p) for p, (s, label, n) in enumerate(order, 1)}
+    scored, scores = [], retrieval._scores
+    monkeypatch.setattr(retrieval, "_scores", lambda *a: scored.append(scores(*a)) or scored[-1])
+    monkeypatch.setattr(retrieval, "QUERY_SLICE", 4)
+    for block in (7, 50):
+        scored.clear()
+        assert {tuple(r) for r in retrieval.vector_topk(queries, vectors, 4, block).collect()} == near
+        assert {tuple(r) for r in retrieval.best_member_topk(queries, vectors, 4, block).collect()} == labels
+        assert len(scored) == (10 if block == 7 else 2)
+        # each query passes on as many rows of a batch as places, not one for each label
+        assert all(part.groupBy("query_id").count().where("count > 4 * 3").isEmpty() for part in scored)
+
+
 def test_hybrid_keeps_one_place_for_rows_without_similarity(spark):
     n = 60
     lexical = spark.createDataFrame([(1, i, i + 1) for i in range(n)], "query_id long, doc_id long, position int")
