@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,10 +18,13 @@ EDGES_PER_TASK = 200_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests, one machine)."""
+    """The cluster's shared folder; a temporary one where none is set and Spark runs on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="granary-"))
     return sc.getCheckpointDir()
 
 
@@ -37,14 +41,22 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def semi_join_sized(left: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """Left rows whose key is in ``keys`` (a cut table of distinct keys).
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written once with a number of each row, and the name of that column, which no other has."""
+    row = "row"
+    while row in {c.lower() for c in docs.columns}:
+        row = f"_{row}"
+    return written(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def semi_join_sized(left: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
+    """Left rows whose key is in ``keys`` (a cut table of distinct keys), or with left_anti those whose key is not.
 
     The keys are counted; up to BROADCAST_ROWS they are broadcast, beyond that both sides are shuffled.
     """
     if keys.count() <= BROADCAST_ROWS:
-        return left.join(F.broadcast(keys), on, "left_semi")
-    return left.join(keys.hint("merge"), on, "left_semi")
+        return left.join(F.broadcast(keys), on, how)
+    return left.join(keys.hint("merge"), on, how)
 
 
 def merged_components(labels: DataFrame, edges: DataFrame) -> DataFrame:

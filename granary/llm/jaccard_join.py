@@ -1,27 +1,30 @@
 """N-gram Jaccard join: an exact metric-space join of 5-word shingle sets at a similarity of 0.75 or more.
 
-Jaccard distance d = 1 - J is a metric, so a pivot p decides many pairs without comparing them: with r = 0.25 a set x
-with d(x, p) <= r is linked to p, and whatever else it links to lies within 2r of p.
+Jaccard distance d = 1 - J is a metric. With r = 0.25 a set x with d(x, p) <= r is linked to the pivot p, and pivots decide
+which other sets can still be within r of each other.
 
 1. Equal shingle sets become one set named by a hash of its content; all that follows works on distinct sets.
-2. Document pivots. Dense neighbourhoods are found by counting shingles that recur within a task's documents, and a
-   bounded number of sets of such neighbourhoods become pivots. One pass measures every set against them: its nearest
-   pivots within r own it (Voronoi regions), those within 2r replicate it (the triangle-inequality window). Owned sets
-   need nothing more than the sets in their windows.
-3. Single-shingle pivots. Sets far from all document pivots are at distance 1 from them, which decides nothing, so the
-   recursion continues with sets {s} as pivots: d(x, {s}) = 1 - 1/|x| for s in x and 1 otherwise. All shingles of x
-   tie, a global order breaks the tie (shingles known to be frequent last), and a set is replicated to every region that
-   a set within r of it could prefer: its first |x| - ceil(0.75 |x|) + 1 shingles.
-4. In a region the smallest member is measured against the rest; regions whose members are then connected are done, and
-   the others are joined again, restricted to pairs of different components within the size and overlap windows.
-5. The regions of connected document pivots are one region. Sets in its window that are still not connected to it are
-   replicated to it and measured against the sets it owns; large regions are dealt out in blocks, of which each pair
-   meets in one task.
+2. First level, pivots {s} of one shingle. d(x, {s}) = 1 - 1/|x| for s in x and 1 otherwise, so all shingles of x tie as
+   its nearest pivot and one global order breaks the tie. A set is replicated to the Voronoi region of every shingle that
+   a set within r of it could prefer: its first |x| - ceil(0.75 |x|) + 1 shingles in that order. Two sets within r meet
+   in the region of their first common shingle, and there the order bounds what they can still have in common (_window).
+3. Regions grow with the corpus where many texts share a passage. The order is exact about that: shingles whose regions
+   hold more than REGION sets are found by a pre-aggregated count over all sets, the sets concerned are counted in full,
+   and every shingle with more than REGION of them is ordered last, the rarer first ("late"). Only sets that had such a
+   shingle among their first are ordered again; for all others nothing changes, so the order is the same for all.
+4. Second level, documents as pivots inside each region. Of two linked sets at least one has the common shingle in the
+   first seventh of its order (at r = 0.25); such sets are the core of a region, a region without core is done, and a
+   core set is its pivot. Late regions, which may be large, have two. Each set is measured against the pivots of its
+   regions and joins them if it lies within r: one row per set and pivot, no pairs.
+5. Third level, recursion into what the pivots left unconnected. Small regions (those of shingles that aren't late)
+   compare members of different components inside the task. Large ones with the same largest component become one region,
+   whose unconnected sets are measured against its members in blocks; a block is a task that emits the links it
+   found, at most one per set and component, never candidates.
 
 Before any set travels, a candidate pair must pass its signatures: the number of shingles in each of about as many
 buckets as the set has shingles. The sum of the smaller counts bounds the intersection from above, so no link is lost.
-What passes is decided by the exact size of intersection and union. Components are found by large-star and
-small-star steps. Only pivots, and a bounded list of frequent shingles that affects speed alone, visit the driver.
+What passes is decided by the exact size of intersection and union. Components are found by large-star and small-star
+steps. Late shingles go to tasks up to a counted bound and are joined beyond it; nothing else visits the driver.
 """
 
 from __future__ import annotations
@@ -33,22 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, merged_components, semi_join_sized, written
+from .common import BROADCAST_ROWS, connected_components, cut, merged_components, numbered, semi_join_sized, written
 from .text import set_name, shingle_sets
 
-#: Document pivots measured in one pass, and shingles ordered last; bounds of what is sent to each task.
-PIVOTS = 256
-FREQUENT = 262_144
-#: A shingle is frequent in a group of documents when so many of its distinct sets hold it, and a neighbourhood is dense
-#: where shingles are held by so many.
-LOCAL_FREQUENT, LOCAL_DENSE = 3, 8
-GROUP_SHINGLES = 1_000_000
-#: Shingles of each side of a block in the windows of document pivots.
-BLOCK_SHINGLES = 1_000_000
+#: Sets in a region beyond which its shingle is ordered last.
+REGION = 32
+#: Shingles of each side of a block in large regions.
+BLOCK_SHINGLES = 250_000
 
-
-def _ids(batch: pa.RecordBatch) -> pa.Array:
-    return batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
+_PLACES = "s long, set_id long, place long"
+_LOW = 0xFFFFFFFF
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -71,221 +68,227 @@ def _most_common(x: bytes, y: bytes, n: int, m: int) -> int:
     return int(np.minimum(x.reshape(size, -1).sum(1), y.reshape(size, -1).sum(1)).sum())
 
 
-def _frequent(group: dict[int, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Rows for the shingles that several sets of the group hold, and for the sets that mostly consist of such."""
-    if len(group) < LOCAL_FREQUENT:
-        return
-    values, counts = np.unique(np.concatenate([s for _, s in group.values()]), return_counts=True)
-    often = counts >= LOCAL_FREQUENT
-    values, counts = values[often], counts[often]
-    if not len(values):
-        return
-    zeros = np.zeros(len(values), np.int64)
-    yield _batch(kind=np.full(len(values), 1, np.int32), id=values.view(np.int64), a=counts.astype(np.int64), b=zeros, signature=pa.nulls(len(values), pa.binary()))
-    dense = []
-    values = values[counts >= LOCAL_DENSE]
-    for name, (doc, s) in group.items() if len(values) else ():
-        at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-        if doc is not None and 2 * np.count_nonzero(values[at] == s) >= len(s):
-            dense.append((name, doc, len(s)))
-    if dense:
-        name, doc, n = (np.array(x, np.int64) for x in zip(*dense, strict=True))
-        yield _batch(kind=np.full(len(dense), 2, np.int32), id=name, a=doc, b=n, signature=pa.nulls(len(dense), pa.binary()))
-
-
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: doc_id, set name, set size, signature; 1: a locally frequent shingle, count; 2: a dense set, doc_id, size."""
-    group: dict[int, tuple[int, np.ndarray]] = {}
-    held = 0
-    for batch in batches:
-        ids = _ids(batch)
-        names, sizes = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        signatures: list[bytes | None] = [None] * len(ids)
-        for row, s in shingle_sets(batch):
-            sizes[row] = len(s)
-            if len(s):
-                signatures[row] = _signature(s)
-                names[row] = name = set_name(s)
-                if name not in group:
-                    group[name] = (ids[row].as_py(), s)
-                    held += len(s)
-                    if held >= GROUP_SHINGLES:
-                        yield from _frequent(group)
-                        group, held = {}, 0
-        yield _batch(kind=np.zeros(len(ids), np.int32), id=ids, a=names, b=sizes, signature=pa.array(signatures, pa.binary()))
-    yield from _frequent(group)
+def _first(n: int, percent: int) -> int:
+    """Shingles of a set of n by which every set that links with it is found."""
+    return n - (percent * n + 99) // 100 + 1
 
 
-class _Pivots:
-    """Shingle sets of pivots, ready to measure other sets against all of them."""
+def _profiles(docs: DataFrame, percent: int) -> DataFrame:
+    """For every row of docs: doc_id, h (of the text), set_id, n, its first shingles in the order of hashes, signature."""
 
-    def __init__(self, names: list[int], sets: list[np.ndarray], percent: int):
-        order = np.argsort(flat := np.concatenate([*sets, np.zeros(0, np.uint64)]), kind="stable")
-        self.names, self.percent = np.array(names, np.int64), percent
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.owners = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
-        self.values, first = np.unique(flat[order], return_index=True)
-        self.first = np.append(first, len(flat)).astype(np.int64)
-        self.table = None
-
-    def near(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pivots within r of the set, nearest first, and those within 2r but not r."""
-        none = np.zeros(0, np.int32)
-        if not len(self.names) or not len(s):
-            return none, none
-        if self.table is None:
-            self.table = np.zeros(1 << 22, bool)
-            self.table[(self.values >> np.uint64(42)).astype(np.int64)] = True
-        s_in = s[self.table[(s >> np.uint64(42)).astype(np.int64)]]
-        at = np.searchsorted(self.values, s_in)
-        at = at[(at < len(self.values)) & (self.values[np.minimum(at, len(self.values) - 1)] == s_in)]
-        if not len(at):
-            return none, none
-        counts = self.first[at + 1] - self.first[at]
-        total = np.cumsum(counts)
-        both = np.bincount(
-            self.owners[np.repeat(self.first[at] - total + counts, counts) + np.arange(total[-1])],
-            minlength=len(self.names),
-        )
-        union = len(s) + self.sizes - both
-        inside = 100 * both >= self.percent * union
-        window = ~inside & (100 * both >= (2 * self.percent - 100) * union) & (both > 0)
-        ball = np.flatnonzero(inside).astype(np.int32)
-        ball = ball[np.argsort(-(both[ball] / union[ball]), kind="stable")]
-        return ball, np.flatnonzero(window).astype(np.int32)
-
-
-def _distinct_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    seen = set()
-    for _, s in shingle_sets(batch):
-        if len(s) and (name := set_name(s)) not in seen:
-            seen.add(name)
-            yield name, s
-
-
-def _measure(docs: DataFrame, pivots: _Pivots) -> DataFrame:
-    """(set_id, ball, ring) of the sets that are near a pivot; one row per set."""
-
-    def near(batches):
+    def profile(batches):
         for batch in batches:
-            rows = [(name, *pivots.near(s)) for name, s in _distinct_sets(batch)]
-            rows = [r for r in rows if len(r[1]) or len(r[2])]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "set_id": pa.array([r[0] for r in rows], pa.int64()),
-                    "ball": pa.array([r[1] for r in rows], pa.list_(pa.int32())),
-                    "ring": pa.array([r[2] for r in rows], pa.list_(pa.int32())),
-                }
+            rows = batch.num_rows
+            names, sizes = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+            firsts: list[bytes | None] = [None] * rows
+            signatures: list[bytes | None] = [None] * rows
+            for row, s in shingle_sets(batch):
+                sizes[row] = n = len(s)
+                if n:
+                    names[row], signatures[row] = set_name(s), _signature(s)
+                    firsts[row] = s[: _first(n, percent)].tobytes()
+            yield _batch(
+                doc_id=batch.column(0),
+                h=batch.column(1),
+                set_id=names,
+                n=sizes,
+                firsts=pa.array(firsts, pa.binary()),
+                signature=pa.array(signatures, pa.binary()),
             )
 
-    found = docs.mapInArrow(near, "set_id long, ball array<int>, ring array<int>")
-    return cut(found.dropDuplicates(["set_id"]))
+    rows = docs.select("doc_id", "h", "text")
+    return rows.mapInArrow(profile, "doc_id long, h long, set_id long, n long, firsts binary, signature binary")
+
+
+def _spread(sets: DataFrame, column: str) -> DataFrame:
+    """(s, set_id, place): a row per shingle of the column; place holds the size of the set and the shingle's position."""
+
+    def spread(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
+                counts = np.array([len(x) for x in found], np.int64)
+                base = np.repeat(np.cumsum(counts) - counts, counts)
+                yield _batch(
+                    s=np.concatenate(found),
+                    set_id=np.repeat(part.column(0).to_numpy(), counts),
+                    place=np.repeat(part.column(1).to_numpy() << 32, counts) + np.arange(counts.sum()) - base,
+                )
 
+    return sets.select("set_id", "n", column).mapInArrow(spread, _PLACES)
 
-def _ball_edges(near: DataFrame, pivots: _Pivots) -> DataFrame:
-    """A set with its nearest pivot, and that pivot with the others that own the set."""
 
-    def edges(batches):
+def _sets(docs: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
+    """(set_id, n, shingles) of the named sets, each read from one text."""
+
+    def read(batches):
         for batch in batches:
-            a, b = [], []
-            between = set()
-            for name, ball in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if ball:
-                    a.append(name)
-                    b.append(int(pivots.names[ball[0]]))
-                    between.update((ball[0], other) for other in ball[1:])
-            for i, j in between:
-                a.append(int(pivots.names[i]))
-                b.append(int(pivots.names[j]))
-            yield _batch(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
-
-    return near.select("set_id", "ball").mapInArrow(edges, "a long, b long").where("a <> b").distinct()
-
-
-def _prefixes(docs: DataFrame, pivots: _Pivots, frequent: np.ndarray) -> DataFrame:
-    """(s, set_id, place): the single-shingle regions of each set that no pivot owns; place holds size and position."""
-    percent = pivots.percent
-
-    def regions(batches):
+            found = {set_name(s): s for _, s in shingle_sets(batch) if len(s)}
+            yield _batch(
+                set_id=pa.array(list(found), pa.int64()),
+                n=pa.array([len(s) for s in found.values()], pa.int64()),
+                shingles=pa.array([s.tobytes() for s in found.values()], pa.binary()),
+            )
+
+    keys = cut(semi_join_sized(sets.select("set_id", "h"), names, "set_id").select("h").distinct())
+    texts = semi_join_sized(docs.select("h", "text"), keys, "h")
+    return texts.mapInArrow(read, "set_id long, n long, shingles binary").dropDuplicates(["set_id"])
+
+
+def _ranked(full: DataFrame, late: DataFrame) -> DataFrame:
+    """full (set_id, n, shingles) with ``marks``: the late shingles (s, sets that hold it) of each set."""
+    hits = _spread(full, "shingles").select("s", "set_id")
+    hits = hits.join(late.hint("merge"), "s").groupBy("set_id").agg(F.collect_list(F.struct("s", "df")).alias("marks"))
+    return full.join(hits, "set_id", "left")
+
+
+def _reordered(full: DataFrame, late: DataFrame, percent: int) -> DataFrame:
+    """(s, set_id, place, late): the first shingles of sets in an order in which late ones come last, the rarer first."""
+    few = late.count() <= BROADCAST_ROWS
+    table = None
+    if few:
+        pairs = late.orderBy("s").toPandas()
+        # all-to-all copies of a counted size: 16 bytes for each of at most BROADCAST_ROWS
+        table = late.sparkSession.sparkContext.broadcast((pairs["s"].to_numpy(), pairs["df"].to_numpy()))
+    else:
+        full = _ranked(full, late)
+
+    def order(batches):
         for batch in batches:
-            shingles, names, places = [], [], []
-            for name, s in _distinct_sets(batch):
-                if len(pivots.near(s)[0]):
-                    continue
-                n = len(s)
-                p = n - (percent * n + 99) // 100 + 1
-                if len(frequent):
-                    late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-                    if late.any():
-                        s = np.concatenate((s[~late], s[late]))
-                shingles.append(s[:p])
-                names.append(np.full(p, name, np.int64))
-                places.append(np.arange(p, dtype=np.int64) + (n << 32))
-            if names:
+            for row in range(batch.num_rows):
+                s = np.frombuffer(batch.column(2)[row].as_py(), np.int64)
+                if few:
+                    values, df = table.value
+                else:
+                    marks = sorted((m["s"], m["df"]) for m in batch.column(3)[row].as_py() or [])
+                    values, df = (np.array(x, np.int64) for x in (zip(*marks, strict=True) if marks else ((), ())))
+                rank = np.zeros(len(s), np.int64)
+                if len(values):
+                    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+                    rank = np.where(values[at] == s, df[at], 0)
+                first = np.lexsort((s.view(np.uint64), rank))[: _first(len(s), percent)]
                 yield _batch(
-                    s=np.concatenate(shingles).view(np.int64), set_id=np.concatenate(names), place=np.concatenate(places)
+                    s=s[first],
+                    set_id=np.full(len(first), batch.column(0)[row].as_py(), np.int64),
+                    place=np.arange(len(first)) + (len(s) << 32),
+                    late=rank[first] > 0,
                 )
 
-    return docs.mapInArrow(regions, "s long, set_id long, place long")
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the regions that hold two or more sets, with the smallest set_id of the region and its place."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    s, name, place = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
-    del held
-    order = np.lexsort((name, s))
-    s, name, place = s[order], name[order], place[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (name[1:] != name[:-1])
-    s, name, place = s[new], name[new], place[new]
-    first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    size = np.diff(np.append(first, len(s)))
-    keep = np.repeat(size > 1, size)
-    pivot, at = np.repeat(name[first], size), np.repeat(place[first], size)
-    if keep.any():
-        yield _batch(s=s[keep], set_id=name[keep], place=place[keep], pivot=pivot[keep], at=at[keep])
-
-
-def _window(a, b, percent: int):
-    """Whether sizes and positions of a shingle common to two sets leave room for a link."""
-    n, m = F.shiftright(a, 32), F.shiftright(b, 32)
-    i, j = a.bitwiseAND(F.lit(0xFFFFFFFF)), b.bitwiseAND(F.lit(0xFFFFFFFF))
-    room = F.least(n - i, m - j)
+    return full.mapInArrow(order, _PLACES + ", late boolean")
+
+
+def _size(place):
+    return F.shiftright(place, 32)
+
+
+def _room(place):
+    """How many shingles of the order are left from this one on."""
+    return F.shiftright(place, 32) - F.col(place).bitwiseAND(F.lit(_LOW))
+
+
+def _is_core(place: str, percent: int):
+    return (100 + percent) * _room(place) >= 2 * percent * _size(place)
+
+
+def _window(a: str, b: str, percent: int):
+    """Whether sizes and positions of a shingle common to two sets leave room for a link, if it is their first."""
+    n, m = _size(a), _size(b)
+    room = F.least(_room(a), _room(b))
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * room >= percent * (n + m))
 
 
-def _plausible(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
+def _whole_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of rows sorted by the first one, so that no region is cut in two."""
+    kept: tuple[np.ndarray, ...] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = tuple(batch.column(i).to_numpy() for i in range(batch.num_columns))
+        if kept is not None:
+            columns = tuple(np.concatenate(c) for c in zip(kept, columns, strict=True))
+        s = columns[0]
+        last = int(np.searchsorted(s, s[-1]))
+        kept = tuple(c[last:] for c in columns)
+        if last:
+            yield tuple(c[:last] for c in columns)
+    if kept is not None:
+        yield kept
+
+
+def _regions(rows: DataFrame, percent: int) -> DataFrame:
+    """(s, set_id, place, pivot, at): regions of two or more sets and a core, with the smallest core set and its place."""
+
+    def shared(batches):
+        for s, name, place in _whole_regions(batches):
+            first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+            size = np.diff(np.append(first, len(s)))
+            if not (size > 1).any():
+                continue
+            n = place >> 32
+            core = (100 + percent) * (n - (place & _LOW)) >= 2 * percent * n
+            least = np.minimum.reduceat(np.where(core, name, np.iinfo(np.int64).max), first)
+            keep = np.repeat((size > 1) & np.logical_or.reduceat(core, first), size)
+            pivot = np.repeat(least, size)
+            own = core & (name == pivot)
+            at = np.repeat(np.add.reduceat(np.where(own, place, 0), first), size)
+            yield _batch(s=s[keep], set_id=name[keep], place=place[keep], pivot=pivot[keep], at=at[keep])
+
+    rows = rows.repartition("s").sortWithinPartitions("s")
+    return rows.mapInArrow(shared, _PLACES + ", pivot long, at long")
+
+
+def _inner_pairs(regions: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of members of a small region that are not connected and whose window leaves room for a link."""
+
+    def pairs(batches):
+        for s, name, place, label in _whole_regions(batches):
+            n, room = place >> 32, (place >> 32) - (place & _LOW)
+            x, step = np.arange(len(s) - 1), 1
+            while len(x):
+                x = x[x + step < len(s)]
+                y = x + step
+                x = x[s[x] == s[y]]
+                y = x + step
+                fits = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+                fits &= (100 + percent) * np.minimum(room[x], room[y]) >= percent * (n[x] + n[y])
+                a, b = name[x[fits]], name[y[fits]]
+                if len(a):
+                    yield _batch(a=np.minimum(a, b), b=np.maximum(a, b))
+                step += 1
+
+    rows = regions.repartition("s").sortWithinPartitions("s")
+    return rows.mapInArrow(pairs, "a long, b long").distinct()
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose signatures leave room for a link."""
 
     def decide(batches):
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(6)]
             keep = []
-            for row, (x, n, y, m) in enumerate(zip(*columns[2:], strict=True)):
+            for x, n, y, m in zip(*columns[2:], strict=True):
                 both = _most_common(x, y, n, m)
                 keep.append(100 * both >= percent * (n + m - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     names = cut(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
-    held = profile.where("kind = 0").select(F.col("a").alias("set_id"), F.col("b").alias("n"), "signature")
-    held = cut(semi_join_sized(held, names, "set_id").dropDuplicates(["set_id"]))
+    held = cut(semi_join_sized(sets.select("set_id", "n", "signature"), names, "set_id"))
     left = held.select(F.col("set_id").alias("a"), F.col("signature").alias("x"), F.col("n").alias("nx"))
     right = held.select(F.col("set_id").alias("b"), F.col("signature").alias("y"), F.col("n").alias("ny"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "nx", "y", "ny")
     return both.mapInArrow(decide, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) that are linked; sets are read for plausible pairs only."""
-    pairs = cut(_plausible(pairs, profile, percent))
+    pairs = cut(_plausible(pairs, sets, percent))
     names = cut(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
-    return _linked(pairs, written(_sets(docs, classes, names)), percent)
+    return cut(_linked(pairs, written(_sets(docs, sets, names)), percent))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets reach the similarity, from whole intersections."""
 
     def decide(batches):
@@ -297,47 +300,37 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     keep.append(row)
-            yield _batch(
-                a=pa.array([columns[0][k] for k in keep], pa.int64()), b=pa.array([columns[1][k] for k in keep], pa.int64())
-            )
+            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
+    left = full.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
+    right = full.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
 
 
-def _sets(docs: DataFrame, classes: DataFrame, names: DataFrame) -> DataFrame:
-    """(set_id, shingles) of the named sets, read from one document each."""
-
-    def read(batches):
-        for batch in batches:
-            found = [(set_name(s), s.tobytes()) for _, s in shingle_sets(batch) if len(s)]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "set_id": pa.array([f[0] for f in found], pa.int64()),
-                    "shingles": pa.array([f[1] for f in found], pa.binary()),
-                }
-            )
-
-    keys = cut(classes.join(names, "set_id").select(F.col("first_doc").alias("doc_id")).distinct())
-    return semi_join_sized(docs, keys, "doc_id").mapInArrow(read, "set_id long, shingles binary").dropDuplicates(["set_id"])
-
-
-def _fetch_pivots(docs: DataFrame, chosen: list, percent: int) -> _Pivots:
-    """chosen: at most PIVOTS rows of set_id and doc_id."""
-    if not chosen:
-        return _Pivots([], [], percent)
-    wanted = {r["set_id"] for r in chosen}
+class _Pivots:
+    """Shingle sets ready to measure other sets against all of them."""
 
-    def read(batches):
-        for batch in batches:
-            for name, s in _distinct_sets(batch):
-                if name in wanted:
-                    yield _batch(set_id=pa.array([name], pa.int64()), shingles=pa.array([s.tobytes()], pa.binary()))
+    def __init__(self, names: list[int], sets: list[np.ndarray], percent: int):
+        order = np.argsort(flat := np.concatenate([*sets, np.zeros(0, np.uint64)]), kind="stable")
+        self.names, self.percent = np.array(names, np.int64), percent
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.owners = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+        self.values, first = np.unique(flat[order], return_index=True)
+        self.first = np.append(first, len(flat)).astype(np.int64)
 
-    rows = docs.where(F.col("doc_id").isin([r["doc_id"] for r in chosen])).mapInArrow(read, "set_id long, shingles binary")
-    found = {r["set_id"]: np.frombuffer(bytes(r["shingles"]), np.uint64) for r in rows.collect()}
-    return _Pivots(list(found), list(found.values()), percent)
+    def near(self, s: np.ndarray) -> np.ndarray:
+        """Indexes of the sets within r of this one."""
+        if not len(self.names) or not len(s):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.values, s), len(self.values) - 1)
+        at = at[self.values[at] == s]
+        counts = self.first[at + 1] - self.first[at]
+        total = np.cumsum(counts)
+        if not len(at):
+            return np.zeros(0, np.int64)
+        slots = np.repeat(self.first[at] - total + counts, counts) + np.arange(total[-1])
+        both = np.bincount(self.owners[slots], minlength=len(self.names))
+        return np.flatnonzero(100 * both >= self.percent * (len(s) + self.sizes - both))
 
 
 def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -348,99 +341,109 @@ def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFr
     docs: doc_id long and text string. A null or blank text has an empty set, which links with nothing.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    profile = written(docs.mapInArrow(_profile, "kind int, id long, a long, b long, signature binary"))
-    members = profile.where("kind = 0").select(
-        F.col("id").alias("doc_id"), F.col("a").alias("set_id"), F.col("b").alias("n_shingles")
-    )
-    classes = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"))
-    classes = cut(classes)
-    top = profile.where("kind = 1").groupBy("id").agg(F.sum("a").alias("n")).orderBy(F.desc("n"), "id").limit(FREQUENT)
-    frequent = np.sort(np.array([r["id"] for r in top.collect()], np.int64).view(np.uint64))
-    dense = profile.where("kind = 2").groupBy(F.col("id").alias("set_id")).agg(F.min("a").alias("doc_id"))
-    chosen = dense.orderBy(F.xxhash64("set_id"), "set_id").limit(PIVOTS).collect()
-    pivots = _fetch_pivots(docs, chosen, percent)
-
-    none = classes.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")).where("false")
-    near, links = None, none
-    if len(pivots.names):
-        near = _measure(docs, pivots)
-        links = cut(_ball_edges(near, pivots))
-
-    rows = _prefixes(docs, pivots, frequent)
-    shared = rows.repartition("s").mapInArrow(_shared, "s long, set_id long, place long, pivot long, at long")
-    shared = written(shared)
-    star = shared.where("set_id <> pivot").where(_window(F.col("place"), F.col("at"), percent))
-    star = cut(star.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct())
-    links = links.unionByName(cut(_verified(star, docs, classes, profile, percent)))
-
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    profile = written(_profiles(docs, percent))
+    members = profile.select("doc_id", "set_id", F.col("n").alias("n_shingles"))
+    sets = profile.where("n > 0").groupBy("set_id")
+    sets = written(sets.agg(*(F.min(c).alias(c) for c in ("h", "n")), *(F.first(c).alias(c) for c in ("firsts", "signature"))))
+    rows = _spread(sets, "firsts")
+
+    crowded = cut(rows.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") > REGION).select("s"))
+    late_rows = None
+    if not crowded.isEmpty():
+        touched = cut(semi_join_sized(rows, crowded, "s").select("set_id").distinct())
+        full = written(_sets(docs, sets, touched))
+        late = _spread(full, "shingles").groupBy("s").agg(F.count("*").alias("df"))
+        late = cut(late.where(F.col("df") > REGION))
+        # sets of which only a shingle that is crowded elsewhere is among the first
+        also = semi_join_sized(rows, late.select("s"), "s").select("set_id").distinct()
+        also = cut(also.join(touched, "set_id", "left_anti"))
+        if not also.isEmpty():
+            full = full.unionByName(written(_sets(docs, sets, also)))
+        ordered = written(_reordered(full, late, percent))
+        moved = cut(touched.unionByName(also))
+        rows = _spread(semi_join_sized(sets, moved, "set_id", how="left_anti"), "firsts")
+        rows = rows.unionByName(ordered.where("not late").drop("late"))
+        late_rows = _late_regions(ordered.where("late").drop("late"), percent)
+
+    regions = written(_regions(rows, percent))
+    star = regions.where("set_id <> pivot").where(_window("place", "at", percent))
+    star = star.select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b"))
+    if late_rows is not None:
+        star = star.unionByName(_late_star(late_rows, percent))
+    star = cut(star.distinct())
+    links = _verified(star, docs, sets, percent)
     labels = connected_components(links)
-    active = shared.select("s", "set_id", "place").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
-    active = active.withColumn("label", F.coalesce("label", "set_id"))
-    unsettled = active.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    active = written(active.join(unsettled.select("s"), "s"))
-    x = active.select("s", F.col("set_id").alias("a"), F.col("place").alias("pa"), F.col("label").alias("la"))
-    y = active.select("s", F.col("set_id").alias("b"), F.col("place").alias("pb"), F.col("label").alias("lb"))
-    rest = x.join(y, "s").where("a < b and la <> lb").where(_window(F.col("pa"), F.col("pb"), percent))
-    rest = cut(rest.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
-    more = cut(_verified(rest, docs, classes, profile, percent))
-    links, labels = links.unionByName(more), merged_components(labels, more)
 
-    if near is not None:
-        more = cut(_window_links(docs, near, pivots, classes, members, labels, percent))
+    small = _labelled(regions.select("s", "set_id", "place"), labels)
+    rest = _inner_pairs(small, percent).join(star, ["a", "b"], "left_anti")
+    more = _verified(cut(rest), docs, sets, percent)
+    links, labels = links.unionByName(more), merged_components(labels, more)
+    if late_rows is not None:
+        more = cut(_late_links(late_rows, docs, sets, labels, percent))
         links, labels = links.unionByName(more), merged_components(labels, more)
     return members, links, labels
 
 
-def _window_links(
-    docs: DataFrame, near: DataFrame, pivots: _Pivots, classes: DataFrame, members: DataFrame, labels: DataFrame, percent: int
-) -> DataFrame:
-    """Links (a, b) between sets that pivots own and those in the pivots' windows that are not connected to them yet.
-
-    A region is the label of a group with pivots. One link of a set to each block of a region is given.
-    """
-    of = {r["node"]: r["label"] for r in labels.where(F.col("node").isin([int(x) for x in pivots.names])).collect()}
-    region = [of.get(int(x), int(x)) for x in pivots.names]
-    known = {int(x) for x in pivots.names}
-
-    def roles(batches):
-        for batch in batches:
-            rows = []
-            for name, ball, ring, label in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if ball and name not in known:  # the distances to a pivot are known
-                    rows.append((label, name, True))
-                rows.extend((to, name, False) for to in {region[p] for p in ring} if to != label)
-            yield _batch(
-                region=pa.array([r[0] for r in rows], pa.int64()),
-                set_id=pa.array([r[1] for r in rows], pa.int64()),
-                owned=pa.array([r[2] for r in rows], pa.bool_()),
-            )
-
-    labelled = near.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
-    labelled = labelled.select("set_id", "ball", "ring", F.coalesce("label", "set_id").alias("label"))
-    placed = cut(labelled.mapInArrow(roles, "region long, set_id long, owned boolean"))
-    sizes = members.where("n_shingles > 0").groupBy("set_id").agg(F.first("n_shingles").alias("n"))
-    totals = placed.join(sizes, "set_id").groupBy("region")
-    blocks = totals.agg(
-        *(F.ceil(F.sum(F.when(side, F.col("n"))) / BLOCK_SHINGLES).cast("int").alias(c) for side, c in ((F.col("owned"), "i"), (~F.col("owned"), "j")))
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the component of their set."""
+    rows = rows.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+    return rows.select("s", "set_id", "place", F.coalesce("label", "set_id").alias("label"))
+
+
+def _late_regions(rows: DataFrame, percent: int) -> DataFrame:
+    """(s, set_id, place, core, low, high) of the regions with a core: with their smallest and largest core set and its place."""
+    rows = rows.withColumn("core", _is_core("place", percent))
+    pivot = F.struct("set_id", "place")
+    pivots = rows.where("core").groupBy("s").agg(F.min(pivot).alias("low"), F.max(pivot).alias("high"))
+    pivots = cut(pivots)
+    side = F.broadcast(pivots) if pivots.count() <= BROADCAST_ROWS // 4 else pivots
+    return written(rows.join(side, "s"))
+
+
+def _late_star(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each set with the pivots of its late regions."""
+    rows = rows.select("set_id", "place", F.explode(F.array("low", "high")).alias("pivot"))
+    rows = rows.select("set_id", "place", F.col("pivot.set_id").alias("pivot"), F.col("pivot.place").alias("at"))
+    rows = rows.where("set_id <> pivot").where(_window("place", "at", percent))
+    return rows.select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b"))
+
+
+def _late_links(rows: DataFrame, docs: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between sets of late regions that are not connected: one for each set, component and block."""
+    rows = _labelled(rows.select("s", "set_id", "place"), labels).withColumn("core", _is_core("place", percent))
+    parts = rows.groupBy("s", "label").agg(F.count("*").alias("size"))
+    open_ = parts.groupBy("s").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("parts"))
+    open_ = cut(open_.where("parts > 1").select("s", F.col("top.label").alias("region")))
+    side = F.broadcast(open_) if open_.count() <= BROADCAST_ROWS else open_
+    placed = rows.join(side, "s").groupBy("region", "set_id").agg(F.max("core").alias("core"), F.first("label").alias("label"))
+    placed = written(placed.join(sets.select("set_id", "n"), "set_id"))
+    guest = F.col("label") != F.col("region")
+    blocks = placed.groupBy("region").agg(
+        F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("i"),
+        F.ceil(F.sum(F.when(guest, F.col("n"))) / BLOCK_SHINGLES).cast("int").alias("j"),
     )
-    # Regions without owned or without replicated sets have a null number of blocks.
-    placed = cut(placed.join(blocks.where("i > 0 and j > 0"), "region"))
-    sets = written(_sets(docs, classes, placed.select("set_id").distinct()))
-    own, other = F.when(F.col("owned"), F.col("i")).otherwise(F.col("j")), F.when(F.col("owned"), F.col("j")).otherwise(F.col("i"))
-    dealt = placed.select("region", "set_id", "owned", F.pmod(F.xxhash64("set_id"), own).alias("at"), F.explode(F.sequence(F.lit(0), other - 1)).alias("with"))
-    i, j = F.when(F.col("owned"), F.col("at")).otherwise(F.col("with")), F.when(F.col("owned"), F.col("with")).otherwise(F.col("at"))
-    dealt = dealt.select("region", "set_id", "owned", i.alias("i"), j.alias("j")).join(sets, "set_id")
+    placed = placed.join(cut(blocks.where("j > 0")), "region")
+    full = written(_sets(docs, sets, cut(placed.select("set_id").distinct())))
+    # every set meets every set that is not connected with the largest component, in one block
+    own, other = F.pmod(F.xxhash64("set_id"), F.col("i")), F.pmod(F.xxhash64("set_id"), F.col("j"))
+    kept = ["region", "set_id", "core", "label"]
+    asked = placed.select(*kept, F.lit(False).alias("asks"), own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("j") - 1)).alias("j"))
+    asks = placed.where(guest)
+    asks = asks.select(*kept, F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("i") - 1)).alias("i"), other.alias("j"))
+    dealt = asked.unionByName(asks.withColumn("i", F.col("i").cast("long"))).join(full.select("set_id", "shingles"), "set_id")
 
     def measure(table: pa.Table) -> pa.Table:
-        names, owned = table["set_id"].to_pylist(), table["owned"].to_pylist()
+        names, labels, cores, asks = (table[c].to_numpy() for c in ("set_id", "label", "core", "asks"))
         found = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-        outer = [k for k, o in enumerate(owned) if not o]
-        guests = _Pivots([names[k] for k in outer], [found[k] for k in outer], percent)
-        link = {}
-        for name, s, o in zip(names, found, owned, strict=True):
-            if o:
-                link.update((int(guests.names[k]), name) for k in guests.near(s)[0])
-        return pa.table({"a": pa.array(list(link), pa.int64()), "b": pa.array(list(link.values()), pa.int64())})
+        own = np.flatnonzero(~asks)
+        index = _Pivots(names[own], [found[k] for k in own], percent)
+        link: dict[tuple[int, int], int] = {}
+        for k in np.flatnonzero(asks):
+            near = own[index.near(found[k])]
+            near = near[(labels[near] != labels[k]) & (cores[near] | cores[k])]
+            link.update({(int(names[k]), int(labels[x])): int(names[x]) for x in near})
+        return pa.table({"a": pa.array([a for a, _ in link], pa.int64()), "b": pa.array(list(link.values()), pa.int64())})
 
     return dealt.groupBy("region", "i", "j").applyInArrow(measure, "a long, b long")
 
@@ -449,7 +452,8 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id of the group of connected documents, for every row.
 
     Texts without a word stand alone. Rows with equal texts share a group; repeated doc_ids keep their rows; a null
-    doc_id is kept, joins a group only by an equal set, and never names one. An empty table gives an empty result. Other columns are ignored.
+    doc_id is grouped like any other and never names a group (one of null doc_ids alone has a null component_id). Very
+    long texts are whole sets. An empty table gives an empty result. Other columns are ignored.
     """
     members, _, labels = shingle_links(docs, percent)
     first = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"))
@@ -459,13 +463,19 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     named = cut(named.join(groups, "label").select("set_id", "component_id"))
     out = members.join(named, "set_id", "left")
     alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.coalesce(alone, "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", alone.alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs, with all its columns, with one row of each group of connected documents: that with the smallest doc_id.
 
-    doc_id must be unique or null; rows without one are kept.
+    Of repeated rows one stays; a null doc_id orders last. Texts without a word are a group each and stay. An empty
+    table stays empty, and columns may have any names.
     """
-    gone = near_duplicate_groups(docs, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    docs, row = numbered(docs)
+    found = near_duplicate_groups(docs.select(F.col(row).alias("doc_id"), "text"), percent).where("n_shingles > 0")
+    ids = docs.select(F.col(row).alias("_row"), F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("_rank"))
+    ranked = found.join(ids, found["doc_id"] == ids["_row"]).select("_row", "_rank", "component_id")
+    best = cut(ranked.groupBy("component_id").agg(F.min("_rank").alias("_best")))
+    gone = cut(ranked.join(best, "component_id").where("_rank <> _best").select(F.col("_row").alias(row)))
+    return semi_join_sized(docs, gone, row, how="left_anti").drop(row)

@@ -15,7 +15,7 @@ from granary.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from granary.llm.jaccard_join import _most_common, _signature, drop_near_duplicates, near_duplicate_groups
 from granary.llm.line_dedup import CuckooFilter, LineStore, line_dedup
 
-from .fixtures import awkward, documents, empty, rows
+from .fixtures import awkward, documents, empty, prose, rows
 
 
 def flat(text):
@@ -91,11 +91,12 @@ def test_near_duplicate_groups(spark, seed):
     assert got == near_brute(rows(seed))
 
 
-@pytest.mark.parametrize("pivots, block", [(256, 1_000_000), (3, 500)])
-def test_near_duplicate_groups_of_a_dense_neighbourhood(spark, monkeypatch, pivots, block):
-    """One text with up to 14 of 60 words changed: links at all distances around the threshold, pivots, and windows in blocks."""
-    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+@pytest.mark.parametrize("region, block, broadcast", [(32, 250_000, 2_000_000), (3, 500, 2_000_000), (3, 500, 0)])
+def test_near_duplicate_groups_of_a_dense_neighbourhood(spark, monkeypatch, region, block, broadcast):
+    """One text with up to 14 of 60 words changed: links at all distances around the threshold, late shingles, blocks."""
+    monkeypatch.setattr(jaccard_join, "REGION", region)
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", broadcast)
     rng = random.Random(5)
     base = [f"v{i}" for i in range(60)]
     docs = []
@@ -109,6 +110,20 @@ def test_near_duplicate_groups_of_a_dense_neighbourhood(spark, monkeypatch, pivo
     assert got == near_brute(docs)
 
 
+def test_near_duplicate_groups_of_texts_made_of_shared_passages(spark, monkeypatch):
+    """Texts of popular passages in any order with some words of their own: no shingle is rare, few texts are linked."""
+    monkeypatch.setattr(jaccard_join, "REGION", 4)
+    rng = random.Random(9)
+    passages = [prose(rng, 30, 5000) for _ in range(6)]
+    docs = []
+    for k in range(150):
+        own = [prose(rng, rng.choice((0, 2, 6, 20)), 5000)]
+        docs.append((k, " ".join(rng.sample(passages, rng.randrange(1, 4)) + own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicate_groups(df).collect()}
+    assert got == near_brute(docs)
+
+
 def test_signatures_bound_intersections():
     rng = np.random.default_rng(2)
     pool = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2))
