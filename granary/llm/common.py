@@ -34,13 +34,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder for a table."""
+    return f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """Larger tables: written as Parquet in the shared folder, so later reads prune columns."""
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = path or new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs, written once with a number of each row, and the name of that column, which no other has."""
     row = "row"

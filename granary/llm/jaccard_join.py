@@ -8,10 +8,11 @@ which other sets can still be within r of each other.
    its nearest pivot and one global order breaks the tie. A set is replicated to the Voronoi region of every shingle that
    a set within r of it could prefer: its first |x| - ceil(0.75 |x|) + 1 shingles in that order. Two sets within r meet
    in the region of their first common shingle, and there the order bounds what they can still have in common (_window).
-3. Regions grow with the corpus where many texts share a passage. The order is exact about that: shingles whose regions
-   hold more than REGION sets are found by a pre-aggregated count over all sets, the sets concerned are counted in full,
-   and every shingle with more than REGION of them is ordered last, the rarer first ("late"). Only sets that had such a
-   shingle among their first are ordered again; for all others nothing changes, so the order is the same for all.
+3. Regions grow with the corpus where many texts share a passage, so the order puts such shingles last ("late"). A
+   pre-aggregated count over the first shingles of all sets finds those with more than REGION sets. Sets concerned look
+   ahead, to the shingles that would take the places, and those with more than REGION of them are late as well. Sets
+   with a late shingle among their first are ordered again; for all others nothing changes, so the order is the same for
+   all, and what is late decides the amount of work alone, never the result.
 4. Second level, documents as pivots inside each region. Of two linked sets at least one has the common shingle in the
    first seventh of its order (at r = 0.25); such sets are the core of a region, a region without core is done, and a
    core set is its pivot. Late regions, which may be large, have two. Each set is measured against the pivots of its
@@ -21,7 +22,7 @@ which other sets can still be within r of each other.
    whose unconnected sets are measured against its members in blocks; a block is a task that emits the links it
    found, at most one per set and component, never candidates.
 
-Before any set travels, a candidate pair must pass its signatures: the number of shingles in each of about as many
+Before any set travels, a candidate pair must pass signatures: the number of shingles in each of about as many
 buckets as the set has shingles. The sum of the smaller counts bounds the intersection from above, so no link is lost.
 What passes is decided by the exact size of intersection and union. Components are found by large-star and small-star
 steps. Late shingles go to tasks up to a counted bound and are joined beyond it; nothing else visits the driver.
@@ -36,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, connected_components, cut, merged_components, numbered, semi_join_sized, written
+from .common import BROADCAST_ROWS, connected_components, cut, merged_components, new_path, numbered, removed, semi_join_sized, written
 from .text import set_name, shingle_sets
 
 #: Sets in a region beyond which its shingle is ordered last.
 REGION = 32
-#: Shingles of each side of a block in large regions.
-BLOCK_SHINGLES = 250_000
+#: Shingles and sets of each side of a block in large regions.
+BLOCK_SHINGLES, BLOCK_SETS = 250_000, 400
 
 _PLACES = "s long, set_id long, place long"
 _LOW = 0xFFFFFFFF
@@ -74,34 +75,26 @@ def _first(n: int, percent: int) -> int:
 
 
 def _profiles(docs: DataFrame, percent: int) -> DataFrame:
-    """For every row of docs: doc_id, h (of the text), set_id, n, its first shingles in the order of hashes, signature."""
+    """For every row of docs: doc_id, h (of the text), set_id, n, and its first shingles in the order of hashes."""
 
     def profile(batches):
         for batch in batches:
             rows = batch.num_rows
             names, sizes = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
             firsts: list[bytes | None] = [None] * rows
-            signatures: list[bytes | None] = [None] * rows
             for row, s in shingle_sets(batch):
                 sizes[row] = n = len(s)
                 if n:
-                    names[row], signatures[row] = set_name(s), _signature(s)
+                    names[row] = set_name(s)
                     firsts[row] = s[: _first(n, percent)].tobytes()
-            yield _batch(
-                doc_id=batch.column(0),
-                h=batch.column(1),
-                set_id=names,
-                n=sizes,
-                firsts=pa.array(firsts, pa.binary()),
-                signature=pa.array(signatures, pa.binary()),
-            )
+            yield _batch(doc_id=batch.column(0), h=batch.column(1), set_id=names, n=sizes, firsts=pa.array(firsts, pa.binary()))
 
     rows = docs.select("doc_id", "h", "text")
-    return rows.mapInArrow(profile, "doc_id long, h long, set_id long, n long, firsts binary, signature binary")
+    return rows.mapInArrow(profile, "doc_id long, h long, set_id long, n long, firsts binary")
 
 
-def _spread(sets: DataFrame, column: str) -> DataFrame:
-    """(s, set_id, place): a row per shingle of the column; place holds the size of the set and the shingle's position."""
+def _spread(sets: DataFrame, column: str, *more: str) -> DataFrame:
+    """(s, set_id, place, more): a row per shingle of the column; place holds the size of the set and the shingle's position."""
 
     def spread(batches):
         for batch in batches:
@@ -114,13 +107,22 @@ def _spread(sets: DataFrame, column: str) -> DataFrame:
                     s=np.concatenate(found),
                     set_id=np.repeat(part.column(0).to_numpy(), counts),
                     place=np.repeat(part.column(1).to_numpy() << 32, counts) + np.arange(counts.sum()) - base,
+                    **{name: np.repeat(part.column(3 + k).to_numpy(), counts) for k, name in enumerate(more)},
                 )
 
-    return sets.select("set_id", "n", column).mapInArrow(spread, _PLACES)
+    schema = ", ".join((_PLACES, *(f"{name} long" for name in more)))
+    return sets.select("set_id", "n", column, *more).mapInArrow(spread, schema)
+
+
+def _texts(docs: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
+    """text and the columns of ``names`` (set_id and others) of the documents whose sets are named; copies come with them."""
+    keys = cut(names.join(sets.select("set_id", "h"), "set_id").drop("set_id").distinct())
+    side = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys.hint("merge")
+    return docs.select("h", "text").join(side, "h").drop("h")
 
 
 def _sets(docs: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
-    """(set_id, n, shingles) of the named sets, each read from one text."""
+    """(set_id, n, shingles) of the named sets."""
 
     def read(batches):
         for batch in batches:
@@ -131,9 +133,42 @@ def _sets(docs: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
                 shingles=pa.array([s.tobytes() for s in found.values()], pa.binary()),
             )
 
-    keys = cut(semi_join_sized(sets.select("set_id", "h"), names, "set_id").select("h").distinct())
-    texts = semi_join_sized(docs.select("h", "text"), keys, "h")
-    return texts.mapInArrow(read, "set_id long, n long, shingles binary").dropDuplicates(["set_id"])
+    rows = _texts(docs, sets, names).mapInArrow(read, "set_id long, n long, shingles binary")
+    return rows.dropDuplicates(["set_id"])
+
+
+def _signatures(docs: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
+    """(set_id, n, signature) of the named sets."""
+
+    def read(batches):
+        for batch in batches:
+            found = {set_name(s): (len(s), _signature(s)) for _, s in shingle_sets(batch) if len(s)}
+            yield _batch(
+                set_id=pa.array(list(found), pa.int64()),
+                n=pa.array([n for n, _ in found.values()], pa.int64()),
+                signature=pa.array([x for _, x in found.values()], pa.binary()),
+            )
+
+    rows = _texts(docs, sets, names).mapInArrow(read, "set_id long, n long, signature binary")
+    return rows.dropDuplicates(["set_id"])
+
+
+def _ahead(docs: DataFrame, sets: DataFrame, touched: DataFrame, percent: int) -> DataFrame:
+    """The shingles (s) that could take the places of a set's crowded ones: three for each, all if half are crowded."""
+
+    def ahead(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            crowded = batch.column(1).to_pylist()
+            found = [np.zeros(0, np.uint64)]
+            for row, s in shingle_sets(batch):
+                if len(s) and (name := set_name(s)) not in seen:
+                    seen.add(name)
+                    p = _first(len(s), percent)
+                    found.append(s[p:] if 2 * crowded[row] >= p else s[p : p + 3 * crowded[row]])
+            yield _batch(s=np.concatenate(found).view(np.int64))
+
+    return _texts(docs, sets, touched).select("text", "crowded").mapInArrow(ahead, "s long")
 
 
 def _ranked(full: DataFrame, late: DataFrame) -> DataFrame:
@@ -143,39 +178,47 @@ def _ranked(full: DataFrame, late: DataFrame) -> DataFrame:
     return full.join(hits, "set_id", "left")
 
 
-def _reordered(full: DataFrame, late: DataFrame, percent: int) -> DataFrame:
-    """(s, set_id, place, late): the first shingles of sets in an order in which late ones come last, the rarer first."""
-    few = late.count() <= BROADCAST_ROWS
-    table = None
-    if few:
-        pairs = late.orderBy("s").toPandas()
-        # all-to-all copies of a counted size: 16 bytes for each of at most BROADCAST_ROWS
-        table = late.sparkSession.sparkContext.broadcast((pairs["s"].to_numpy(), pairs["df"].to_numpy()))
-    else:
-        full = _ranked(full, late)
+def _reordered(docs: DataFrame, sets: DataFrame, names: DataFrame, late: DataFrame, percent: int) -> DataFrame:
+    """(set_id, n, firsts, early): the first shingles of the sets in an order in which late ones come last, the rarer first.
 
-    def order(batches):
+    early: how many of them aren't late.
+    """
+    schema = "set_id long, n long, firsts binary, early long"
+
+    def ordered(s: np.ndarray, values: np.ndarray, df: np.ndarray) -> tuple[bytes, int]:
+        rank = np.zeros(len(s), np.int64)
+        if len(values):
+            at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+            rank = np.where(values[at] == s, df[at], 0)
+        first = np.lexsort((s.view(np.uint64), rank))[: _first(len(s), percent)]
+        return s[first].tobytes(), int(np.count_nonzero(rank[first] == 0))
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["set_id", "n", "firsts", "early"])
+
+    if late.count() <= BROADCAST_ROWS:
+        pairs = late.toPandas().sort_values("s")
+        # of a counted size: 16 bytes for each of at most BROADCAST_ROWS
+        sent = docs.sparkSession.sparkContext.broadcast((pairs["s"].to_numpy(np.int64), pairs["df"].to_numpy(np.int64)))
+
+        def order(batches):
+            for batch in batches:
+                found = {set_name(s): s for _, s in shingle_sets(batch) if len(s)}
+                yield made([(name, len(s), *ordered(s.view(np.int64), *sent.value)) for name, s in found.items()])
+
+        return _texts(docs, sets, names).mapInArrow(order, schema).dropDuplicates(["set_id"])
+
+    def order_marked(batches):
         for batch in batches:
-            for row in range(batch.num_rows):
-                s = np.frombuffer(batch.column(2)[row].as_py(), np.int64)
-                if few:
-                    values, df = table.value
-                else:
-                    marks = sorted((m["s"], m["df"]) for m in batch.column(3)[row].as_py() or [])
-                    values, df = (np.array(x, np.int64) for x in (zip(*marks, strict=True) if marks else ((), ())))
-                rank = np.zeros(len(s), np.int64)
-                if len(values):
-                    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                    rank = np.where(values[at] == s, df[at], 0)
-                first = np.lexsort((s.view(np.uint64), rank))[: _first(len(s), percent)]
-                yield _batch(
-                    s=s[first],
-                    set_id=np.full(len(first), batch.column(0)[row].as_py(), np.int64),
-                    place=np.arange(len(first)) + (len(s) << 32),
-                    late=rank[first] > 0,
-                )
+            rows = []
+            for name, n, shingles, marks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                values = np.array(sorted((m["s"], m["df"]) for m in marks or []), np.int64).reshape(-1, 2)
+                rows.append((name, n, *ordered(np.frombuffer(shingles, np.int64), values[:, 0], values[:, 1])))
+            yield made(rows)
 
-    return full.mapInArrow(order, _PLACES + ", late boolean")
+    return _ranked(written(_sets(docs, sets, names)), late).mapInArrow(order_marked, schema)
 
 
 def _size(place):
@@ -217,7 +260,7 @@ def _whole_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
 
 
 def _regions(rows: DataFrame, percent: int) -> DataFrame:
-    """(s, set_id, place, pivot, at): regions of two or more sets and a core, with the smallest core set and its place."""
+    """(s, set_id, place, size, pivot, at): regions of two or more sets and a core, with the smallest core set and its place."""
 
     def shared(batches):
         for s, name, place in _whole_regions(batches):
@@ -232,10 +275,11 @@ def _regions(rows: DataFrame, percent: int) -> DataFrame:
             pivot = np.repeat(least, size)
             own = core & (name == pivot)
             at = np.repeat(np.add.reduceat(np.where(own, place, 0), first), size)
-            yield _batch(s=s[keep], set_id=name[keep], place=place[keep], pivot=pivot[keep], at=at[keep])
+            sizes = np.repeat(size, size)[keep]
+            yield _batch(s=s[keep], set_id=name[keep], place=place[keep], size=sizes, pivot=pivot[keep], at=at[keep])
 
     rows = rows.repartition("s").sortWithinPartitions("s")
-    return rows.mapInArrow(shared, _PLACES + ", pivot long, at long")
+    return rows.mapInArrow(shared, _PLACES + ", size long, pivot long, at long")
 
 
 def _inner_pairs(regions: DataFrame, percent: int) -> DataFrame:
@@ -261,7 +305,7 @@ def _inner_pairs(regions: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(pairs, "a long, b long").distinct()
 
 
-def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _plausible(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose signatures leave room for a link."""
 
     def decide(batches):
@@ -274,7 +318,7 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     names = cut(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
-    held = cut(semi_join_sized(sets.select("set_id", "n", "signature"), names, "set_id"))
+    held = written(_signatures(docs, sets, names))
     left = held.select(F.col("set_id").alias("a"), F.col("signature").alias("x"), F.col("n").alias("nx"))
     right = held.select(F.col("set_id").alias("b"), F.col("signature").alias("y"), F.col("n").alias("ny"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "nx", "y", "ny")
@@ -283,7 +327,7 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) that are linked; sets are read for plausible pairs only."""
-    pairs = cut(_plausible(pairs, sets, percent))
+    pairs = cut(_plausible(pairs, docs, sets, percent))
     names = cut(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
     return cut(_linked(pairs, written(_sets(docs, sets, names)), percent))
 
@@ -342,35 +386,21 @@ def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFr
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     docs = docs.withColumn("h", F.xxhash64("text"))
-    profile = written(_profiles(docs, percent))
-    members = profile.select("doc_id", "set_id", F.col("n").alias("n_shingles"))
+    path = new_path(docs.sparkSession)
+    profile = written(_profiles(docs, percent), path)
+    members = written(profile.select("doc_id", "set_id", F.col("n").alias("n_shingles")))
     sets = profile.where("n > 0").groupBy("set_id")
-    sets = written(sets.agg(*(F.min(c).alias(c) for c in ("h", "n")), *(F.first(c).alias(c) for c in ("firsts", "signature"))))
-    rows = _spread(sets, "firsts")
-
-    crowded = cut(rows.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") > REGION).select("s"))
-    late_rows = None
-    if not crowded.isEmpty():
-        touched = cut(semi_join_sized(rows, crowded, "s").select("set_id").distinct())
-        full = written(_sets(docs, sets, touched))
-        late = _spread(full, "shingles").groupBy("s").agg(F.count("*").alias("df"))
-        late = cut(late.where(F.col("df") > REGION))
-        # sets of which only a shingle that is crowded elsewhere is among the first
-        also = semi_join_sized(rows, late.select("s"), "s").select("set_id").distinct()
-        also = cut(also.join(touched, "set_id", "left_anti"))
-        if not also.isEmpty():
-            full = full.unionByName(written(_sets(docs, sets, also)))
-        ordered = written(_reordered(full, late, percent))
-        moved = cut(touched.unionByName(also))
-        rows = _spread(semi_join_sized(sets, moved, "set_id", how="left_anti"), "firsts")
-        rows = rows.unionByName(ordered.where("not late").drop("late"))
-        late_rows = _late_regions(ordered.where("late").drop("late"), percent)
+    sets = written(sets.agg(F.min("h").alias("h"), F.min("n").alias("n"), F.first("firsts").alias("firsts")))
+    removed(docs.sparkSession, path)
+    rows, late_rows = _in_order(docs, sets, percent)
 
     regions = written(_regions(rows, percent))
+    large = F.col("size") > 4 * REGION
+    late_rows = _late_regions(late_rows.unionByName(regions.where(large).select("s", "set_id", "place")), percent)
+    regions = regions.where(~large)
     star = regions.where("set_id <> pivot").where(_window("place", "at", percent))
     star = star.select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b"))
-    if late_rows is not None:
-        star = star.unionByName(_late_star(late_rows, percent))
+    star = star.unionByName(_late_star(late_rows, percent))
     star = cut(star.distinct())
     links = _verified(star, docs, sets, percent)
     labels = connected_components(links)
@@ -379,10 +409,28 @@ def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFr
     rest = _inner_pairs(small, percent).join(star, ["a", "b"], "left_anti")
     more = _verified(cut(rest), docs, sets, percent)
     links, labels = links.unionByName(more), merged_components(labels, more)
-    if late_rows is not None:
-        more = cut(_late_links(late_rows, docs, sets, labels, percent))
-        links, labels = links.unionByName(more), merged_components(labels, more)
-    return members, links, labels
+    more = cut(_late_links(late_rows, docs, sets, labels, percent))
+    return members, links.unionByName(more), merged_components(labels, more)
+
+
+def _in_order(docs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(s, set_id, place): the first shingles of every set in the common order, those that aren't late and those that are."""
+    rows = _spread(sets, "firsts")
+    crowded = rows.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") > REGION)
+    crowded = cut(crowded)
+    if crowded.isEmpty():
+        return rows, rows.where("false")
+    side = F.broadcast(crowded.select("s")) if crowded.count() <= BROADCAST_ROWS else crowded.select("s")
+    touched = cut(rows.join(side, "s").groupBy("set_id").agg(F.count("*").alias("crowded")))
+    ahead = _ahead(docs, sets, touched, percent).groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") > REGION)
+    late = cut(crowded.unionByName(ahead).groupBy("s").agg(F.max("df").alias("df")))
+    # sets of which only a shingle that is crowded elsewhere is among the first
+    names = cut(semi_join_sized(rows, late.select("s"), "s").select("set_id").distinct())
+    ordered = written(_reordered(docs, sets, names, late, percent))
+    early = F.col("place").bitwiseAND(F.lit(_LOW)) < F.col("early")
+    moved = _spread(ordered, "firsts", "early")
+    same = _spread(semi_join_sized(sets, names, "set_id", how="left_anti"), "firsts")
+    return same.unionByName(moved.where(early).drop("early")), moved.where(~early).drop("early")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -419,10 +467,12 @@ def _late_links(rows: DataFrame, docs: DataFrame, sets: DataFrame, labels: DataF
     placed = rows.join(side, "s").groupBy("region", "set_id").agg(F.max("core").alias("core"), F.first("label").alias("label"))
     placed = written(placed.join(sets.select("set_id", "n"), "set_id"))
     guest = F.col("label") != F.col("region")
-    blocks = placed.groupBy("region").agg(
-        F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("i"),
-        F.ceil(F.sum(F.when(guest, F.col("n"))) / BLOCK_SHINGLES).cast("int").alias("j"),
-    )
+
+    def sides(who):
+        sets_, shingles = F.count_if(who), F.coalesce(F.sum(F.when(who, F.col("n"))), F.lit(0))
+        return F.greatest(F.ceil(shingles / BLOCK_SHINGLES), F.ceil(sets_ / BLOCK_SETS)).cast("int")
+
+    blocks = placed.groupBy("region").agg(sides(F.lit(True)).alias("i"), sides(guest).alias("j"))
     placed = placed.join(cut(blocks.where("j > 0")), "region")
     full = written(_sets(docs, sets, cut(placed.select("set_id").distinct())))
     # every set meets every set that is not connected with the largest component, in one block
