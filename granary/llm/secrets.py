@@ -109,19 +109,29 @@ def _hex_runs(data: np.ndarray) -> list[tuple[int, int]]:
     if len(anchors) < need:
         return []
     total = np.concatenate(([0], np.cumsum(anchors)))
-    near = np.flatnonzero(total[need:] - total[:-need] == need)
-    runs, end = [], 0
-    for at in near * STEP:
-        if at < end:
-            continue
-        start = int(at)
-        while start and _HEX[data[start - 1]]:
-            start -= 1
-        rest = np.flatnonzero(~_HEX[data[at:]])
-        end = int(at + rest[0]) if len(rest) else len(data)
-        if end - start >= LEAST_HEX:
-            runs.append((start, end))
-    return runs
+    if not (total[need:] - total[:-need] == need).any():
+        return []
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = _HEX[data]
+    borders = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = borders[::2], borders[1::2]
+    long_enough = ends - starts >= LEAST_HEX
+    return list(zip(starts[long_enough].tolist(), ends[long_enough].tolist(), strict=True))
+
+
+def _code_points(raw: bytes) -> np.ndarray:
+    """For each byte, and the end, how many code points begin before it."""
+    begins = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+    return np.concatenate(([0], np.cumsum(begins)))
+
+
+def _text_spans(raw: bytes, runs: list[tuple[str, int, int]], auto: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
+    """(kind, start, end) in code points of one text with these runs of hex digits."""
+    spans = _near_keywords(raw, auto) + runs
+    if spans and not raw.isascii():
+        place = _code_points(raw)
+        spans = [(k, int(place[a]), int(place[b])) for k, a, b in spans]
+    return spans
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -133,8 +143,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """For every row of docs: doc_id, n_assign, n_access, n_hex, base_sha256 and spans.
 
     Spans are kind:start:end in code points, end exclusive, by start and then by kind. base_sha256 digests those of the
-    kinds assign, access and hex. Null texts are empty and have no spans; repeated rows are scanned each; an empty table
-    gives an empty result; other columns are ignored.
+    kinds assign, access and hex. Null texts are empty and have no spans; repeated rows are scanned each; very long texts
+    are scanned whole in linear time; an empty table gives an empty result; other columns are ignored.
     """
 
     def scan(batches):
@@ -156,10 +166,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
                 text = data.tobytes()
                 for row in range(len(offsets) - 1):
                     raw = text[offsets[row] : offsets[row + 1]]
-                    spans = _near_keywords(raw, auto) + by_row.get(row, [])
+                    spans = _text_spans(raw, by_row.get(row, []), auto)
                     if spans:
-                        if not raw.isascii():
-                            spans = [(k, len(raw[:a].decode()), len(raw[:b].decode())) for k, a, b in spans]
                         base = [s for s in spans if s[0] in BASE]
                         for kind, _, _ in base:
                             counts[kind][first + row] += 1
