@@ -1,10 +1,16 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is a table of postings (term, doc_id, position) of the training documents. Benchmark windows are looked up from
-their rarest terms: training frequencies of all benchmark terms are counted over all documents, each window picks its
-rarest positions, and only postings of terms picked by some window are stored. Postings and window positions meet on the
-term; subtracting the window position from the document position gives an offset, and a window can only occur where all
-its picked terms agree on the document and the offset. What is left is compared word by word.
+The index is stored in shards of about SHARD_WORDS words of training documents. A shard holds, for every test term that
+some window picked, the sorted list of the places where its documents have it. Windows are looked up from their rarest
+terms: occurrences of all test terms are counted over all documents, each window picks its three rarest places, and in
+every shard the list of the rarest is shifted by the distance to the second and to the third and intersected with
+theirs. A window can only occur where all three agree; with a slop, places may be off by some words (proximity).
+All words of a document are in one shard, so nothing but the alignments found leaves a task. Texts are read again for
+these alone and compared word by word, so phrase results are exact whatever the hashes do.
+
+The benchmark is worked off in blocks of a bounded number of words, each of which reads the documents; only a block's
+terms, windows and words go to the tasks. Texts are known by two hashes of their content, so rows without a doc_id,
+repeated doc_ids and repeated rows are no special cases.
 
 Words are runs of a-z, 0-9 and non-ASCII characters of the text with A-Z lower-cased. A window is 10 consecutive words of
 an item; an item of fewer words is one window.
@@ -15,23 +21,29 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import BROADCAST_ROWS, cut, semi_join_sized, written
 from .text import LOWER, WORD, text_chunks, word_hashes, words
 
 WINDOW = 10
-#: Positions of a window whose postings must agree.
+#: Places of a window whose postings must agree.
 RAREST = 3
-#: Benchmark terms that may be sent to every task (8 bytes each); beyond it postings are selected by a join.
-BROADCAST_TERMS = 4_000_000
+#: Words of benchmark items in a block (about 100 bytes each go to every task), and of documents in a shard of the index.
+BLOCK_WORDS = 1_000_000
+SHARD_WORDS = 1_000_000
+#: Alignments that a task tests at once.
+SLAB = 2_000_000
 
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_INDEX = "doc_ids array<long>, h array<long>, g array<int>, first array<long>, terms binary, starts binary, places binary"
+_FOUND = "h long, g int, item long, at long"
 
 
 def word_list(text: str | None) -> list[str]:
@@ -50,24 +62,28 @@ class _Terms:
     """A set of terms, tested by a small table first."""
 
     def __init__(self, terms: np.ndarray):
-        self.terms, self.table = np.sort(terms), None
+        self.terms, self.table = np.sort(terms), np.zeros(1 << 22, bool)
+        self.table[self.terms & ((1 << 22) - 1)] = True
 
     def among(self, h: np.ndarray) -> np.ndarray:
         """Indexes of the hashes that are in the set."""
         if not len(self.terms):
             return np.zeros(0, np.int64)
-        if self.table is None:
-            self.table = np.zeros(1 << 22, bool)
-            self.table[self.terms & ((1 << 22) - 1)] = True
         at = np.flatnonzero(self.table[h & ((1 << 22) - 1)])
         near = np.minimum(np.searchsorted(self.terms, h[at]), len(self.terms) - 1)
         return at[self.terms[near] == h[at]]
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text and two independent hashes (h, g) of the text."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), F.hash("text").alias("g"), "text")
+
+
 def benchmark_terms(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words, terms): the words of each item and their hashes; items without words are left out.
+    """(item, item_id, words, terms, block): the words of each item and their hashes; items without words are left out.
 
-    Rows that share an item_id are separate items of the same name.
+    Rows that share an item_id are separate items of the same name; an item without item_id is searched for, nameless.
     """
 
     def split(batches):
@@ -84,164 +100,272 @@ def benchmark_terms(benchmark: DataFrame) -> DataFrame:
             )
 
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
-    rows = rows.where("item_id is not null").mapInArrow(split, "item_id string, words array<string>, terms array<long>")
-    return rows.where("size(words) > 0").withColumn("item", F.monotonically_increasing_id())
+    rows = rows.mapInArrow(split, "item_id string, words array<string>, terms array<long>")
+    items = cut(rows.where("size(words) > 0").withColumn("item", F.monotonically_increasing_id()))
+    total = items.agg(F.sum(F.size("words"))).first()[0] or 0
+    return items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(total // BLOCK_WORDS + 1)))
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The stored index: (term, doc_id, position) of the given distinct terms (a cut table) in all documents."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    few = terms.count() <= BROADCAST_TERMS
-    wanted = _Terms(np.array([r["term"] for r in terms.collect()], np.int64)) if few else None
-
-    def store(batches):
-        for batch in batches:
-            ids = batch.column(0)
-            for row, first, h in _terms(batch, "text"):
-                at = np.arange(len(h)) if wanted is None else wanted.among(h)
-                if len(at):
-                    own = np.searchsorted(first, at, "right") - 1
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "term": pa.array(h[at]),
-                            "doc_id": ids.take(pa.array(own + row)),
-                            "position": pa.array((at - first[own]).astype(np.int64)),
-                        }
-                    )
-
-    rows = docs.mapInArrow(store, "term long, doc_id long, position long")
-    return written(rows if few else rows.join(terms, "term", "left_semi"))
-
-
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): occurrences over all documents of the given distinct terms (a cut table)."""
-    few = terms.count() <= BROADCAST_TERMS
-    wanted = _Terms(np.array([r["term"] for r in terms.collect()], np.int64)) if few else None
+def term_counts(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms that occur, sorted, with their occurrences over all documents. terms: those of a block."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches):
+        wanted = _Terms(sent.value)
         for batch in batches:
-            found = [h if wanted is None else h[wanted.among(h)] for _, _, h in _terms(batch, "text")]
+            found = [h[wanted.among(h)] for _, _, h in _terms(batch, "text")]
             values, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
             yield pa.RecordBatch.from_pydict({"term": pa.array(values), "n": pa.array(n.astype(np.int64))})
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "term long, n long")
-    counts = rows.groupBy("term").agg(F.sum("n").alias("n"))
-    return terms.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    rows = docs.select("text").mapInArrow(count, "term long, n long")
+    counts = rows.groupBy("term").agg(F.sum("n").alias("n")).toPandas().sort_values("term")
+    return counts["term"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
 
 
-def _picks(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """(item, item_id, at, term): the positions that some window of the item picks, its rarest first."""
-    placed = items.select("item", "item_id", F.posexplode("terms").alias("at", "term"))
-    placed = placed.join(counts, "term").groupBy("item", "item_id")
-    ordered = placed.agg(F.sort_array(F.collect_list(F.struct("at", "n", "term"))).alias("places"))
+def _picks(items: DataFrame, counts: tuple[np.ndarray, np.ndarray], window: int, phrase: bool) -> np.ndarray:
+    """Rows of item and three times (place in the item, term), rarest first: what the windows of a block pick.
+
+    A window with a word that no document has cannot occur; for proximity it goes by the words that occur.
+    """
+    terms, n = counts
 
     def pick(batches):
         for batch in batches:
-            out: dict[str, list] = {"item": [], "item_id": [], "at": [], "term": [], "need": []}
-            for item, item_id, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                size = min(window, len(places))
-                chosen = set()
-                for start in range(len(places) - size + 1):
-                    own = sorted(places[start : start + size], key=lambda p: (p["n"], p["at"]))
-                    if own[0]["n"]:
-                        chosen.update((p["at"], p["term"]) for p in own[:RAREST])
-                for at, term in chosen:
-                    out["item"].append(item)
-                    out["item_id"].append(item_id)
-                    out["at"].append(at)
-                    out["term"].append(term)
-                    out["need"].append(min(RAREST, size))
-            yield pa.RecordBatch.from_pydict(
-                {k: pa.array(v, pa.string() if k == "item_id" else pa.int64()) for k, v in out.items()}
-            )
+            rows = set()
+            for item, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.array(own, np.int64)
+                at = np.minimum(np.searchsorted(terms, own), max(0, len(terms) - 1))
+                often = np.where(terms[at] == own, n[at], 0) if len(terms) else np.zeros(len(own), np.int64)
+                size = min(window, len(own))
+                for start in range(len(own) - size + 1):
+                    part = often[start : start + size]
+                    order = np.argsort(part, kind="stable")
+                    if not phrase:
+                        order = order[part[order] > 0]
+                    if len(order) >= min(RAREST, size) and part[order[0]]:
+                        chosen = [start + int(order[min(k, len(order) - 1)]) for k in range(RAREST)]
+                        rows.add((item, *(x for p in chosen for x in (p, int(own[p])))))
+            flat = np.array(sorted(rows), np.int64).reshape(-1, 1 + 2 * RAREST)
+            yield pa.RecordBatch.from_pydict({"pick": pa.array([r.tobytes() for r in flat], pa.binary())})
+
+    found = items.select("item", "terms").mapInArrow(pick, "pick binary").toPandas()["pick"]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 1 + 2 * RAREST)
+
+
+def positional_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+    """The stored index, a row per shard: its documents with their first word's place, and the places of each term.
+
+    docs: as of identified(). terms: those that windows of a block picked. Every row of docs is in one shard.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def shard(docs: list, lengths: list, found: list) -> pa.RecordBatch:
+        first = np.concatenate(([0], np.cumsum(np.concatenate(lengths))))
+        term, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((place, term))
+        term, place = term[order], place[order]
+        new = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+        columns = [pa.concat_arrays([d.column(i) for d in docs]) for i in range(3)]
+        whole = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+        return pa.RecordBatch.from_arrays(
+            [
+                *whole,
+                pa.array([first], pa.list_(pa.int64())),
+                *(pa.array([x.tobytes()], pa.binary()) for x in (term[new], np.append(new, len(term)), place)),
+            ],
+            names=["doc_ids", "h", "g", "first", "terms", "starts", "places"],
+        )
 
-    return ordered.mapInArrow(pick, "item long, item_id string, at long, term long, need long")
+    def store(batches):
+        wanted = _Terms(sent.value)
+        docs, lengths, found, held = [], [], [], 0
+        for batch in batches:
+            for row, first, h in _terms(batch, "text"):
+                at = wanted.among(h)
+                docs.append(batch.select([0, 1, 2]).slice(row, len(first) - 1))
+                lengths.append(np.diff(first))
+                found.append((h[at], at + held))
+                held += len(h)
+                if held >= SHARD_WORDS:
+                    yield shard(docs, lengths, found)
+                    docs, lengths, found, held = [], [], [], 0
+        if docs:
+            yield shard(docs, lengths, found)
+
+    return written(docs.mapInArrow(store, _INDEX))
+
+
+def _intersected(index: DataFrame, picks: np.ndarray, slop: int = 0) -> DataFrame:
+    """(h, g, item, at): texts and the places in them where an item begins if its picked terms agree within ``slop`` words."""
+    sent = index.sparkSession.sparkContext.broadcast(picks)
+
+    def listed(terms: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
+        return at, terms[at] == wanted
+
+    def meet(batches):
+        picks = sent.value
+        for batch in batches:
+            for row in range(batch.num_rows):
+                first, (terms, starts, places) = (
+                    batch.column(0)[row].values.to_numpy(),
+                    (np.frombuffer(batch.column(i)[row].as_py(), np.int64) for i in (1, 2, 3)),
+                )
+                if not len(terms) or not len(picks):
+                    continue
+                width = int(first[-1]) + 1
+                lists = np.repeat(np.arange(len(terms)), np.diff(starts)) * width + places
+                (one, has), (two, has2), (three, has3) = (listed(terms, picks[:, k]) for k in (2, 4, 6))
+                usable = np.flatnonzero(has & has2 & has3)
+                counts = starts[one[usable] + 1] - starts[one[usable]]
+                ends = np.cumsum(counts)
+                out = []
+                begin = 0
+                while begin < len(usable):
+                    end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + SLAB, "right")))
+                    use, n = usable[begin:end], counts[begin:end]
+                    own = np.repeat(use, n)
+                    slots = np.repeat(starts[one[use]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    place = places[slots]
+                    for at, other in ((3, two), (5, three)):
+                        want = place + picks[own, at] - picks[own, 1]
+                        low, high = np.clip(want - slop, 0, width - 1), np.clip(want + slop, 0, width - 1)
+                        key = other[own] * width
+                        near = np.minimum(np.searchsorted(lists, key + low), len(lists) - 1)
+                        fits = (lists[near] >= key + low) & (lists[near] <= key + high)
+                        own, place = own[fits], place[fits]
+                    if len(own):
+                        doc = np.searchsorted(first, place, "right") - 1
+                        out.append(np.stack((doc, picks[own, 0], place - first[doc] - picks[own, 1])))
+                    begin = end
+                if out:
+                    doc, item, at = np.unique(np.concatenate(out, axis=1), axis=1)
+                    h, g = (batch.column(i)[row].values.take(pa.array(doc)) for i in (4, 5))
+                    yield pa.RecordBatch.from_pydict({"h": h, "g": g, "item": pa.array(item), "at": pa.array(at)})
+
+    rows = index.select("first", "terms", "starts", "places", "h", "g")
+    return rows.mapInArrow(meet, _FOUND)
+
+
+def _alignments(docs: DataFrame, items: DataFrame, window: int, slop: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The index of the documents for a block of items, and the distinct (h, g, item, at) found in it."""
+    terms = items.select(F.explode("terms").alias("term")).distinct().toPandas()["term"].to_numpy(np.int64)
+    picks = _picks(items, term_counts(docs, terms), window, slop is None)
+    index = positional_index(docs, np.unique(picks[:, 2::2]))
+    return index, cut(_intersected(index, picks, slop or 0).distinct())
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 5) -> DataFrame:
-    """(doc_id, item_id, offset): where the picked terms of an item lie within ``slop`` words of their places.
+    """(doc_id, item_id, at): where a window's three rarest words of those that occur lie within ``slop`` words of their places.
 
-    Offsets are rounded down to multiples of slop and each posting also counts for the next multiple, so terms that are
-    up to slop words out of place still meet. Items whose picked terms don't occur match nothing.
+    ``at`` is where the item would begin. Windows of which fewer words occur match nothing. Repeated texts match each.
     """
-    items = cut(benchmark_terms(benchmark))
-    terms = cut(items.select(F.explode("terms").alias("term")).distinct())
-    picks = cut(_picks(items, cut(term_counts(docs, terms)), WINDOW))
-    index = postings(docs, cut(picks.select("term").distinct()))
-    step = max(1, slop)
-    met = index.join(picks, "term").withColumn("cell", F.floor((F.col("position") - F.col("at")) / step))
-    met = met.withColumn("cell", F.explode(F.array("cell", F.col("cell") + 1)))
-    met = met.groupBy("doc_id", "item_id", "item", "need", "cell").agg(F.count_distinct("at").alias("n")).where("n >= need")
-    return met.groupBy("doc_id", "item_id").agg(F.min(F.col("cell") * step).alias("offset"))
-
-
-def phrase_candidates(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item, offset): documents and alignments at which enough picked terms of an item agree."""
-    terms = cut(items.select(F.explode("terms").alias("term")).distinct())
-    picks = cut(_picks(items, cut(term_counts(docs, terms)), window))
-    index = postings(docs, cut(picks.select("term").distinct()))
-    met = index.where("doc_id is not null").join(picks, "term")
-    met = met.groupBy("doc_id", "item", "need", (F.col("position") - F.col("at")).alias("offset"))
-    return met.agg(F.count("*").alias("n")).where("n >= need").select("doc_id", "item", "offset")
-
-
-def _hits(own: list[str], candidates: list, window: int) -> tuple[int, list[str]]:
-    """Words of the document inside an occurring window, and the item_ids with one."""
-    hit = np.zeros(len(own), bool)
-    found = set()
-    for item_id, item, offset in candidates:
-        size = min(window, len(item))
-        run = 0
-        for i, word in enumerate(item):
-            at = offset + i
-            run = run + 1 if 0 <= at < len(own) and own[at] == word else 0
-            if run >= size:
-                hit[at - size + 1 : at + 1] = True
-                found.add(item_id)
-    return int(hit.sum()), sorted(found)
+    docs, items, out = identified(docs), benchmark_terms(benchmark), []
+    for block in _blocks(items):
+        index, found = _alignments(docs, block, WINDOW, slop)
+        rows = index.select(F.explode(F.arrays_zip("doc_ids", "h", "g")).alias("d")).select("d.doc_ids", "d.h", "d.g")
+        found = found.join(block.select("item", "item_id"), "item").groupBy("h", "g", "item_id").agg(F.min("at").alias("at"))
+        out.append(rows.join(found, ["h", "g"]).select(F.col("doc_ids").alias("doc_id"), "item_id", "at"))
+    return reduce(DataFrame.unionByName, out)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For every row of docs: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0).
+def _blocks(items: DataFrame) -> list[DataFrame]:
+    """The items by block; one empty block if there are none."""
+    numbers = [r["block"] for r in items.select("block").distinct().collect()] or [0]
+    return [items.where(F.col("block") == n) for n in sorted(numbers)]
 
-    A document word is hit inside any occurrence of a window of the benchmark. items_sha256 is the lowercase hex digest
-    of the item_ids with occurring windows, sorted as strings and comma-joined. Null texts have no words, null items and
-    item_ids are left out, rows without doc_id are searched for nothing, and an empty benchmark hits nothing.
-    """
-    items = cut(benchmark_terms(benchmark))
-    found = phrase_candidates(docs, items, window).join(items.select("item", "item_id", "words"), "item")
-    found = found.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "words", "offset")).alias("found"))
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
-    def decide(batches):
+def _spans(docs: DataFrame, found: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """(h, g, item_id, start, end): words of the texts inside occurring windows, compared word by word."""
+    sent = docs.sparkSession.sparkContext.broadcast({r["item"]: (r["item_id"], r["words"]) for r in items.select("item", "item_id", "words").collect()})
+    texts = semi_join_sized(docs.select("h", "g", "text"), cut(found.select("h", "g").distinct()), ["h", "g"])
+    texts = texts.groupBy("h", "g").agg(F.first("text").alias("text"))
+    asked = found.groupBy("h", "g").agg(F.collect_list(F.struct("item", "at")).alias("asked"))
+
+    def compare(batches):
         for batch in batches:
-            texts, found = batch.column(1), batch.column(2)
-            n_words = [int(b) - int(a) for _, first, _ in _counted(batch) for a, b in zip(first[:-1], first[1:], strict=True)]
-            n_hit, items = [0] * len(texts), [[]] * len(texts)
-            for row in np.flatnonzero(np.asarray(found.is_valid())):
-                candidates = [(c["item_id"], c["words"], c["offset"]) for c in found[int(row)].as_py()]
-                n_hit[row], items[row] = _hits(word_list(texts[int(row)].as_py()), candidates, window)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column(0),
-                    "n_words": pa.array(n_words, pa.int64()),
-                    "n_hit": pa.array(n_hit, pa.int64()),
-                    "n_items": pa.array([len(x) for x in items], pa.int64()),
-                    "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
-                    "contaminated": pa.array([n > 0 for n in n_hit]),
-                }
-            )
+            out = []
+            h, g = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for row in range(batch.num_rows):
+                own = word_list(batch.column(2)[row].as_py())
+                for c in batch.column(3)[row].as_py():
+                    name, item = sent.value[c["item"]]
+                    size, run = min(window, len(item)), 0
+                    for i, word in enumerate(item):
+                        at = c["at"] + i
+                        same = 0 <= at < len(own) and own[at] == word
+                        if not same and run >= size:
+                            out.append((h[row], g[row], name, at - run, at))
+                        run = run + 1 if same else 0
+                    if run >= size:
+                        out.append((h[row], g[row], name, c["at"] + len(item) - run, c["at"] + len(item)))
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+            columns = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "g", "item_id", "start", "end"])
+
+    both = texts.join(asked, ["h", "g"]).select("h", "g", "text", "asked")
+    return both.mapInArrow(compare, "h long, g int, item_id string, start long, end long")
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The index of the documents (of the first block), and (h, g, spans, items) of the texts with occurring windows.
+
+    spans: (start, end) of words, items: the names of items with an occurring window.
+    """
+    items, spans, indexes = benchmark_terms(benchmark), [], []
+    for block in _blocks(items):
+        index, found = _alignments(docs, block, window)
+        indexes.append(index)
+        spans.append(_spans(docs, found, block, window))
+    spans = reduce(DataFrame.unionByName, spans).groupBy("h", "g")
+    return indexes[0], cut(spans.agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set("item_id").alias("items")))
 
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return docs.join(found, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(decide, schema)
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """For every row of docs: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0).
 
-def _counted(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, None]]:
-    for row, _, raw, offsets in text_chunks(batch, "text"):
-        yield row, words(LOWER[raw], offsets, WORD)[2], None
+    A document word is hit inside any occurrence of a window of the benchmark. items_sha256 is the lowercase hex digest
+    of the item_ids with occurring windows, sorted as strings and comma-joined; an item without item_id hits words and is
+    not named. Null, empty and blank texts have no words. Rows with a null or repeated doc_id have the figures of their
+    own text. Very long texts are whole documents of a shard. An empty benchmark hits nothing, empty docs give an empty
+    result, and other columns are ignored.
+    """
+    index, hits = contaminated_texts(identified(docs), benchmark, window)
+    sizes = F.transform(F.sequence(F.lit(1), F.size("first") - 1), lambda i: F.element_at("first", i + 1) - F.element_at("first", i))
+    rows = index.select(F.explode(F.arrays_zip("doc_ids", "h", "g", sizes.alias("n"))).alias("d"))
+    rows = rows.select(F.col("d.doc_ids").alias("doc_id"), "d.h", "d.g", F.col("d.n").alias("n_words"))
+    side = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS // 20 else hits
+    rows = rows.join(side, ["h", "g"], "left")
+    # overlapping spans count once: in order, what lies beyond the furthest end so far
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    merged = F.aggregate(
+        F.array_sort("spans"),
+        start,
+        lambda x, s: F.struct(
+            (x["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(s["start"], x["end"]))).alias("n"),
+            F.greatest(x["end"], s["end"]).alias("end"),
+        ),
+    )
+    n_hit = F.coalesce(merged["n"], F.lit(0).cast("long"))
+    names = F.coalesce(F.array_sort("items"), F.array().cast("array<string>"))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size(names).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", names).cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs, with all its columns, without the rows that hold a window of the benchmark. doc_id must be unique or null."""
-    hit = decontaminate(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_hit"))
-    return docs.join(hit, F.col("doc_id") == F.col("_hit"), "left_anti")
+    """docs, with all its columns, without the rows whose text holds a window of the benchmark.
+
+    Decided by text alone: null and repeated doc_ids and columns of any name change nothing, a null, empty or blank text
+    stays, and an empty table stays empty.
+    """
+    _, hits = contaminated_texts(identified(docs), benchmark, window)
+    hits = hits.select("h", "g")
+    side = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
+    text = docs["text"].cast("string")
+    return docs.join(side, (F.xxhash64(text) == side["h"]) & (F.hash(text) == side["g"]), "left_anti")

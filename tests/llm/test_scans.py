@@ -3,11 +3,17 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from granary.llm import decontaminate as decontaminate_module
 from granary.llm.decontaminate import decontaminate, drop_contaminated, proximity_matches
 from granary.llm.licenses import RULES, SENTENCES, WORDS, scan_licenses
-from granary.llm.secrets import DIGITS, KINDS, checksum_ok, redact_secrets, scan_secrets
+from granary.llm.secrets import DIGITS, KINDS, _automaton, _hex_runs, _text_spans, checksum_ok, redact_secrets, scan_secrets
 
 from .fixtures import awkward, documents, empty, rows
 
@@ -56,6 +62,17 @@ def planted():
     return [None, "", *parts, *out, "x" * 200_000 + "f" * 40, "a" * 31, "a" * 32]
 
 
+def test_long_texts_take_linear_time():
+    """Megabytes of hex runs, and of non-ASCII text full of spans, in seconds."""
+    began = time.perf_counter()
+    raw = np.frombuffer((b"0123456789abcdef" * 3 + b" ") * 100_000, np.uint8)
+    assert _hex_runs(raw) == [(49 * k, 49 * k + 48) for k in range(100_000)]
+    text = "é token=abcdefgh1 " * 60_000
+    spans = _text_spans(text.encode(), [], _automaton())
+    assert len(spans) == 60_000 and spans[-1] == ("assign", len(text) - 16, len(text) - 1)
+    assert time.perf_counter() - began < 20
+
+
 def test_secret_spans(spark):
     texts = planted()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
@@ -210,10 +227,28 @@ def test_decontamination(spark):
 def test_decontamination_of_awkward_rows(spark):
     _, df = benchmark(spark)
     assert decontaminate(empty(spark), df).count() == 0
-    assert decontaminate(awkward(spark), df).count() == 5
+    clean = hashlib.sha256(b"").hexdigest()
+    got = sorted(((r["doc_id"] or 0), *tuple(r)[1:]) for r in decontaminate(awkward(spark), df).collect())
+    assert got == [(0, 5, 0, 0, clean, False), (1, 5, 0, 0, clean, False), (1, 5, 0, 0, clean, False), (2, 0, 0, 0, clean, False), (3, 0, 0, 0, clean, False)]
+    nameless = spark.createDataFrame([(None, "Words in every"), (7, "no such text")], "item_id long, text string")
+    got = sorted(((r["doc_id"] or 0), *tuple(r)[1:]) for r in decontaminate(awkward(spark), nameless).collect())
+    assert got[:3] == [(0, 5, 3, 0, clean, True), (1, 5, 3, 0, clean, True), (1, 5, 3, 0, clean, True)]
+    kept = drop_contaminated(awkward(spark).withColumn("h", F.lit(1)).withColumn("g", F.lit(1)), nameless)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
     assert not any(r["contaminated"] for r in decontaminate(documents(spark), df.where("false")).collect())
 
 
+@pytest.mark.parametrize("block, shard, slab", [(20, 1_000_000, 50), (1_000_000, 60, 2_000_000)])
+def test_decontamination_in_blocks_and_shards(spark, monkeypatch, block, shard, slab):
+    for name, value in (("BLOCK_WORDS", block), ("SHARD_WORDS", shard), ("SLAB", slab)):
+        monkeypatch.setattr(decontaminate_module, name, value)
+    items, df = benchmark(spark)
+    docs = [(d, t) for d, t, *_ in rows()] * 2
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in decontaminate(frame, df).collect()]
+    assert sorted(got) == sorted((d, *leak_brute(t, items)) for d, t in docs)
+
+
 def test_proximity(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     docs = [(1, "x y " + item), (2, item.replace("beta", "beta one two")), (3, "alpha beta")]
