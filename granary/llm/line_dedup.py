@@ -5,36 +5,37 @@ fewer than 10 code points never count. A store holds
 
 * references: (key, doc_id), exact, once per document that holds the key;
 * counts: (key, number of references, smallest and largest doc_id), exact;
-* filters: one cuckoo filter per shard of keys. Only what a filter may know is looked up in the counts: keys of an
-  insertion against all keys, references of a dedup against the keys that several documents hold. Filters support
-  deletion, so taking documents out undoes their insertion.
+* filters: one cuckoo filter per shard of keys. Keys of an insertion meet the filter of their shard first, and only what
+  it may know is looked up in the counts; the rest is new for certain and only appended. Filters support deletion, so
+  taking documents out undoes their insertion.
 
 Keys are 128-bit hashes. Everything is pre-aggregated per key before it meets a shard, so a line that a third of all
-documents hold is one row there. The number of shards follows the number of keys; filters go to all tasks only
-up to a stated number of keys.
+documents hold is one row there. Filters stay with their shards and are never sent to all tasks. A filter that gets too
+full is made again, larger, from the exact counts; when shards have grown to four times their size, there are more.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import BROADCAST_ROWS, cut, written
 
-#: Shortest key that counts, in code points, and keys that one filter is made for.
+#: Shortest key that counts, in code points, and keys that one shard is made for.
 LEAST = 10
 SHARD_KEYS = 1 << 16
-#: Keys whose filters may be sent to every task (about 5 bytes each).
-FILTER_KEYS = 4_000_000
+#: Share of a filter's slots beyond which it is made again.
+LOAD = 0.85
 _SLOTS = 4
+_FILTERS = "shard int, table binary, full boolean"
 _SPACE = b" \t\n\v\f\r"
 
 
@@ -52,16 +53,26 @@ class CuckooFilter:
     """A set of 64-bit keys that may say yes to a key it doesn't hold, never no to one it does.
 
     ``table`` holds 16-bit fingerprints, four to a bucket; 0 is free. A key lives in one of two buckets, each the other's
-    exclusive-or with a hash of the fingerprint. What finds no place after many moves goes to ``spill``, exactly.
+    exclusive-or with a hash of the fingerprint, so keys of one fingerprint that share a bucket share both. An insertion
+    happens as a whole or, if the filter has no room, not at all. A filter without a table says yes to every key.
     """
 
-    def __init__(self, table: np.ndarray, spill: set[int]):
-        self.table, self.spill = table, spill
+    def __init__(self, table: np.ndarray):
+        self.table = table
 
     @classmethod
     def sized(cls, keys: int) -> CuckooFilter:
-        buckets = 1 << max(4, int(np.ceil(np.log2(max(1, keys) / (_SLOTS * 0.85)))))
-        return cls(np.zeros((buckets, _SLOTS), np.uint16), set())
+        buckets = 1 << max(4, int(np.ceil(np.log2(max(1, keys) / (_SLOTS * LOAD)))))
+        return cls(np.zeros((buckets, _SLOTS), np.uint16))
+
+    @classmethod
+    def of(cls, keys: np.ndarray) -> CuckooFilter:
+        """A filter of these keys with room for as many again."""
+        for doubled in range(6):
+            f = cls.sized(2 * max(len(keys), 1024) << doubled)
+            if f.insert(keys):
+                return f
+        return cls(np.zeros((0, _SLOTS), np.uint16))
 
     def _home(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = keys.astype(np.int64).view(np.uint64)
@@ -73,21 +84,28 @@ class CuckooFilter:
         return bucket ^ step.astype(np.int64)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.table):
+            return np.ones(len(keys), bool)
         mark, bucket = self._home(keys)
         found = (self.table[bucket] == mark[:, None]).any(1)
-        found |= (self.table[self._other(mark, bucket)] == mark[:, None]).any(1)
-        if self.spill:
-            found |= np.isin(keys, np.fromiter(self.spill, np.int64))
-        return found
+        return found | (self.table[self._other(mark, bucket)] == mark[:, None]).any(1)
 
-    def insert(self, keys: np.ndarray) -> None:
-        """Adds keys that aren't in the filter yet, all at once: each round places what fits and evicts for the rest."""
+    def insert(self, keys: np.ndarray) -> bool:
+        """Adds keys that aren't in the filter yet, all at once: each round places what fits and evicts for the rest.
+
+        False, and the filter as it was, if they don't fit.
+        """
+        if not len(self.table):
+            return True
         keys = np.asarray(keys, np.int64)
+        if np.count_nonzero(self.table) + len(keys) > LOAD * self.table.size:
+            return False
+        before = self.table.copy()
         mark, bucket = self._home(keys)
         rng = np.random.default_rng(len(keys))
-        for turn in range(60):
+        for turn in range(200):
             if not len(mark):
-                return
+                return True
             _, one = np.unique(bucket, return_index=True)  # one newcomer per bucket and round
             free = self.table[bucket[one]] == 0
             fits = free.any(1)
@@ -103,15 +121,18 @@ class CuckooFilter:
                 self.table[home, slot] = mark[full]
             mark = np.concatenate((mark[wait], out))
             bucket = np.concatenate((bucket[wait], self._other(out, home)))
-        # an evicted fingerprint no longer tells its key: all keys of this call are kept exactly as well
-        self.spill.update(keys.tolist())
+        self.table = before
+        return False
 
     def delete(self, keys: np.ndarray) -> None:
-        """Removes keys that the filter holds."""
-        for key, mark, bucket in zip(np.asarray(keys, np.int64).tolist(), *self._home(keys), strict=True):
-            self.spill.discard(key)
-            for b in (bucket, self._other(np.array([mark]), np.array([bucket]))[0]):
-                at = np.flatnonzero(self.table[b] == mark)
+        """Removes keys that the filter holds, one fingerprint each."""
+        if not len(self.table):
+            return
+        keys = np.asarray(keys, np.int64)
+        mark, home = self._home(keys)
+        for m, *buckets in zip(mark, home, self._other(mark, home), strict=True):
+            for b in buckets:
+                at = np.flatnonzero(self.table[b] == m)
                 if len(at):
                     self.table[b, at[0]] = 0
                     break
@@ -138,32 +159,45 @@ def references(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(keys, "k1 long, k2 long, doc_id long")
 
 
-def _packed(f: CuckooFilter) -> dict:
-    return {"table": f.table.tobytes(), "spill": np.fromiter(f.spill, np.int64, len(f.spill)).tobytes()}
+def _unpacked(table: bytes) -> CuckooFilter:
+    return CuckooFilter(np.frombuffer(table, np.uint16).reshape(-1, _SLOTS).copy())
+
+
+def _sharded(keys: DataFrame, shards: int) -> DataFrame:
+    return keys.select("k1", "k2", F.pmod("k2", F.lit(shards)).cast("int").alias("shard"))
 
 
-def _unpacked(table: bytes, spill: bytes) -> CuckooFilter:
-    held = np.frombuffer(spill, np.int64).tolist()
-    return CuckooFilter(np.frombuffer(table, np.uint16).reshape(-1, _SLOTS).copy(), set(held))
+def _made(keys: DataFrame) -> DataFrame:
+    """The filters of distinct keys (k1, shard)."""
 
+    def make(key, keys: pd.DataFrame) -> pd.DataFrame:
+        f = CuckooFilter.of(keys["k1"].to_numpy())
+        return pd.DataFrame([{"shard": key[0], "table": f.table.tobytes(), "full": False}])
 
-def _revised(keys: DataFrame, filters: DataFrame | None, shards: int, how: str = "insert") -> DataFrame:
-    """(shard, table, spill): the filters after an insertion or deletion of the distinct keys."""
+    return keys.groupBy("shard").applyInPandas(make, _FILTERS)
 
-    def revise(key, keys: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if len(held):
-            f = _unpacked(held["table"][0], held["spill"][0])
+
+def _revised(filters: DataFrame, keys: DataFrame, counts: DataFrame, shards: int, delete: bool = False) -> DataFrame:
+    """The filters after an insertion or deletion of the distinct keys. counts: those of the store afterwards."""
+
+    def revise(key, held: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+        f, new = (_unpacked(held["table"][0]) if len(held) else None), keys["k1"].to_numpy()
+        fits = True
+        if f is None:
+            f = CuckooFilter.of(new)
+        elif delete:
+            f.delete(new)
         else:
-            f = CuckooFilter.sized(2 * max(len(keys), 1024))
-        if len(keys):
-            (f.delete if how == "delete" else f.insert)(keys["k1"].to_numpy())
-        return pd.DataFrame([{"shard": key[0]} | _packed(f)])
+            fits = f.insert(new)
+        return pd.DataFrame([{"shard": key[0], "table": f.table.tobytes(), "full": not fits}])
 
-    schema = "shard int, table binary, spill binary"
-    if filters is None:
-        filters = keys.sparkSession.createDataFrame([], schema)
-    keys = keys.select("k1", F.pmod("k2", F.lit(shards)).cast("int").alias("shard"))
-    return cut(keys.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(revise, schema))
+    both = filters.groupBy("shard").cogroup(_sharded(keys, shards).groupBy("shard"))
+    filters = cut(both.applyInPandas(revise, _FILTERS))
+    full = filters.where("full").select("shard")
+    if full.isEmpty():
+        return filters
+    again = _sharded(counts, shards).join(full, "shard")
+    return cut(filters.where("not full").unionByName(_made(again)))
 
 
 def _counted(refs: DataFrame) -> DataFrame:
@@ -178,21 +212,23 @@ class LineStore:
 
     references: DataFrame
     counts: DataFrame
-    shards: int
-    filters: DataFrame | None = None
+    filters: DataFrame
+    shards: int = 1
+
+    @classmethod
+    def empty(cls, spark: SparkSession) -> LineStore:
+        key = "k1 long, k2 long"
+        counts = spark.createDataFrame([], f"{key}, n long, first long, last long")
+        return cls(spark.createDataFrame([], f"{key}, doc_id long"), counts, spark.createDataFrame([], _FILTERS))
 
     @classmethod
-    def build(cls, docs: DataFrame) -> LineStore:
-        """A store of the documents."""
-        refs = written(references(docs))
-        counts = written(_counted(refs))
-        return cls(refs, counts, counts.count() // SHARD_KEYS + 1)
-
-    def _filters(self) -> DataFrame:
-        """Filters of all keys of the store, made when first needed."""
-        if self.filters is None:
-            self.filters = _revised(self.counts.select("k1", "k2"), None, self.shards)
-        return self.filters
+    def build(cls, docs: DataFrame, parts: int = 2) -> LineStore:
+        """A store of the documents, inserted in so many parts (by doc_id), so that later parts ask the filters of earlier ones."""
+        refs, store = written(references(docs)), cls.empty(docs.sparkSession)
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
+        for k in range(parts):
+            store = store._with(refs.where(part == k))
+        return store
 
     def maybe_known(self, keys: DataFrame) -> DataFrame:
         """Those of the distinct keys that the filters don't rule out."""
@@ -200,23 +236,31 @@ class LineStore:
         def probe(keys: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
             if not len(held) or not len(keys):
                 return keys.iloc[:0][["k1", "k2"]]
-            f = _unpacked(held["table"][0], held["spill"][0])
-            return keys.loc[f.holds(keys["k1"].to_numpy()), ["k1", "k2"]]
+            return keys.loc[_unpacked(held["table"][0]).holds(keys["k1"].to_numpy()), ["k1", "k2"]]
 
-        keys = keys.select("k1", "k2", F.pmod("k2", F.lit(self.shards)).cast("int").alias("shard"))
-        both = keys.groupBy("shard").cogroup(self._filters().groupBy("shard"))
+        both = _sharded(keys, self.shards).groupBy("shard").cogroup(self.filters.groupBy("shard"))
         return both.applyInPandas(probe, "k1 long, k2 long")
 
     def insert(self, docs: DataFrame) -> LineStore:
-        """The store with more documents. Only keys that the filters may know are looked up in the counts."""
-        refs = written(references(docs))
-        new = cut(_counted(refs))
-        known = self.maybe_known(new.select("k1", "k2")).join(self.counts.select("k1", "k2"), ["k1", "k2"], "left_semi")
-        fresh = new.select("k1", "k2").join(cut(known), ["k1", "k2"], "left_anti")
-        counts = self.counts.unionByName(new).groupBy("k1", "k2")
-        counts = counts.agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
-        filters = _revised(fresh, self._filters(), self.shards)
-        return LineStore(self.references.unionByName(refs), written(counts), self.shards, filters)
+        """The store with more documents, none of which it holds yet."""
+        return self._with(written(references(docs)))
+
+    def _with(self, refs: DataFrame) -> LineStore:
+        """Only keys that the filters may know are looked up in the counts; the others are appended."""
+        key, store = ["k1", "k2"], self
+        new = written(_counted(refs))
+        total = store.counts.count() + new.count()
+        if total > 4 * store.shards * SHARD_KEYS:
+            shards = total // SHARD_KEYS + 1
+            store = replace(store, shards=shards, filters=cut(_made(_sharded(store.counts, shards))))
+        maybe = written(store.maybe_known(new.select(key)))
+        held = written(store.counts.join(maybe, key, "left_semi"))
+        both = held.unionByName(new.join(held, key, "left_semi")).groupBy(key)
+        both = both.agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+        fresh = new.join(held, key, "left_anti")
+        counts = written(store.counts.join(held, key, "left_anti").unionByName(both).unionByName(fresh))
+        filters = _revised(store.filters, fresh, counts, store.shards)
+        return LineStore(store.references.unionByName(refs), counts, filters, store.shards)
 
     def delete(self, doc_ids: DataFrame) -> LineStore:
         """The store without the documents (a column doc_id): as if they had never been inserted."""
@@ -226,34 +270,13 @@ class LineStore:
         left = cut(_counted(refs.join(touched, ["k1", "k2"], "left_semi")))
         counts = written(self.counts.join(touched, ["k1", "k2"], "left_anti").unionByName(left))
         empty = touched.join(left, ["k1", "k2"], "left_anti")
-        return LineStore(refs, counts, self.shards, _revised(empty, self._filters(), self.shards, "delete"))
+        return LineStore(refs, counts, _revised(self.filters, empty, counts, self.shards, delete=True), self.shards)
 
     def dropped(self) -> DataFrame:
-        """(doc_id, k1, k2) of the references to keys that a smaller doc_id holds.
-
-        Filters of the keys that two or more documents hold pick the references worth a lookup, and the exact counts
-        decide. Up to FILTER_KEYS such keys the filters go to the tasks that read the references; beyond that all
-        references are looked up.
-        """
+        """(doc_id, k1, k2) of the references to keys that a smaller doc_id holds, as the exact counts say."""
         twice = cut(self.counts.where("first < last").select("k1", "k2", "first"))
-        refs, keys = self.references.select("k1", "k2", "doc_id"), twice.count()
-        if keys <= FILTER_KEYS:
-            shards = keys // SHARD_KEYS + 1
-            rows = _revised(twice, None, shards).collect()
-            filters = {r["shard"]: (bytes(r["table"]), bytes(r["spill"])) for r in rows}
-
-            def worth(batches):
-                made = {k: _unpacked(*v) for k, v in filters.items()}
-                for batch in batches:
-                    k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                    shard, keep = np.mod(k2, shards), np.zeros(len(k1), bool)
-                    for k, f in made.items():
-                        at = np.flatnonzero(shard == k)
-                        keep[at] = f.holds(k1[at])
-                    yield batch.filter(pa.array(keep))
-
-            refs = refs.mapInArrow(worth, refs.schema)
-        return refs.join(twice, ["k1", "k2"]).where("doc_id <> first").select("doc_id", "k1", "k2")
+        side = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS // 2 else twice
+        return self.references.join(side, ["k1", "k2"]).where("doc_id <> first").select("doc_id", "k1", "k2")
 
     def dedup(self, docs: DataFrame) -> DataFrame:
         """Every row of docs (documents of the store): doc_id, text, n_lines, n_dropped; text has lost its repeated lines.
@@ -301,7 +324,9 @@ def _bytes(column: str):
 def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256 (lowercase hex of the kept text) for every row of docs.
 
-    Empty tables give empty results; repeated doc_ids count as one document and keep their rows.
+    Null and empty texts are one empty line. Repeated doc_ids count as one document and keep their rows; rows without a
+    doc_id keep all their lines. Very long texts and lines are whole. Empty tables give empty results; other columns are
+    ignored.
     """
 
     def digest(batches):

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.llm import common, jaccard_join
+from granary.llm import line_dedup as line_dedup_module
 from granary.llm.common import connected_components, merged_components
 from granary.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from granary.llm.jaccard_join import _most_common, _signature, drop_near_duplicates, near_duplicate_groups
@@ -148,6 +149,8 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert near_duplicate_groups(empty(spark)).count() == 0
     kept = {r["doc_id"] for r in drop_near_duplicates(documents(spark)).collect()}
     assert kept == {c for _, c in near_brute(rows()).values()}
+    kept = drop_near_duplicates(awkward(spark).withColumn("_row", F.lit(1)).withColumn("_rank", F.lit(2)))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3]
 
 
 @pytest.mark.parametrize("edges_per_task", [200_000, 20])
@@ -205,7 +208,10 @@ def test_line_dedup(spark):
     docs = [(d, t) for d, t, *_ in rows()]
     assert line_results(line_dedup(documents(spark))) == lines_brute(docs)
     assert line_dedup(empty(spark)).count() == 0
-    assert line_dedup(awkward(spark)).count() == 5
+    nothing = hashlib.sha256(b"").hexdigest()
+    same = hashlib.sha256(b"same words in every row").hexdigest()
+    got = sorted((r["doc_id"] or 0, r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup(awkward(spark)).collect())
+    assert got == [(0, 1, 0, same), (1, 1, 0, same), (1, 1, 0, same), (2, 1, 0, nothing), (3, 1, 0, nothing)]
 
 
 def test_line_store_is_incremental_and_reversible(spark):
@@ -225,12 +231,45 @@ def test_line_store_is_incremental_and_reversible(spark):
 
 
 def test_cuckoo_filter_never_forgets():
-    rng = np.random.default_rng(1)
-    keys = rng.integers(-(2**62), 2**62, 20_000)
-    f = CuckooFilter.sized(len(keys))
-    f.insert(keys[:10_000])
-    f.insert(keys[10_000:])
-    assert f.holds(keys).all()
-    f.delete(keys[:5_000])
-    assert f.holds(keys[5_000:]).all()
-    assert f.holds(rng.integers(-(2**62), 2**62, 20_000)).mean() < 0.01
+    """A filter filled to the brim over several calls: an insertion that doesn't fit changes nothing."""
+    for seed in range(5):
+        rng = np.random.default_rng(seed)
+        keys = rng.integers(-(2**62), 2**62, 6_000)
+        f = CuckooFilter(np.zeros((1024, 4), np.uint16))
+        held = []
+        for part in (keys[:1_500], keys[1_500:3_300], keys[3_300:], keys[3_300:3_450], keys[3_300:]):
+            before = f.table.copy()
+            if f.insert(part):
+                held.append(part)
+            else:
+                assert (f.table == before).all()
+            assert f.holds(np.concatenate(held)).all()
+        assert len(held) == 3
+        f.delete(held[0])
+        assert f.holds(np.concatenate(held[1:])).all()
+        assert np.count_nonzero(f.table) == sum(map(len, held[1:]))
+        assert f.holds(rng.integers(-(2**62), 2**62, 20_000)).mean() < 0.01
+    same = np.full(12, 77)  # more equal keys than two buckets hold
+    assert CuckooFilter.of(same).holds(np.arange(5)).all()
+
+
+def test_line_store_grows(spark, monkeypatch):
+    """Shards of few keys: filters are made again from the counts, resharded, and give the same results."""
+    monkeypatch.setattr(line_dedup_module, "SHARD_KEYS", 8)
+    rng = random.Random(4)
+    docs = [(k, "\n".join(f"line number {rng.randrange(900)}" for _ in range(12))) for k in range(120)]
+    frames = [spark.createDataFrame(docs[a:b], "doc_id long, text string") for a, b in ((0, 3), (3, 10), (10, 60), (60, 120))]
+    store = LineStore.empty(spark)
+    for frame in frames:
+        store = store.insert(frame)
+    everything = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in store.dedup(everything).collect()}
+    assert got == {d: v[:2] for d, v in lines_brute(docs).items()}
+    assert store.shards > 8
+    known = store.maybe_known(store.counts).count()
+    assert known == store.counts.count()
+    back = store.delete(frames[3].select("doc_id"))
+    want = {d: v[:2] for d, v in lines_brute(docs[:60]).items()}
+    got = back.dedup(everything.where("doc_id < 60")).collect()
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in got} == want
+    assert back.maybe_known(back.counts).count() == back.counts.count()
