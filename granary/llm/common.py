@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.common import prepared
+
 #: Rows of two longs that one broadcast may hold (32 MB); larger sides are shuffled.
 BROADCAST_ROWS = 2_000_000
 #: Edges of a graph that one task holds while components are found.
@@ -19,7 +21,7 @@ EDGES_PER_TASK = 200_000
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one where none is set and Spark runs on one machine."""
-    sc = spark.sparkContext
+    sc = prepared(spark).sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):

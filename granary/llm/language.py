@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import Adam, bounded_sample, fold
+from .learning import Adam, fold
 from .text import LOWER, text_chunks
 
 WINDOW = 256
@@ -22,6 +22,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 #: Bound of the training sample, in documents; each gives up to three windows.
 SAMPLE = 4_000
+#: Languages that can be learned, the most frequent ones.
+LANGUAGES = 400
 EPOCHS = 6
 FOLDS, HELD_OUT = 3, 1
 #: Windows of the network's input handled at once.
@@ -103,6 +105,20 @@ class ByteNetwork:
         return self
 
 
+def _by_language(rows: DataFrame) -> DataFrame:
+    """About SAMPLE rows, chosen by a hash of the doc_id: as many of each language, all of those that have fewer."""
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    share, left = {}, SAMPLE
+    for k, r in enumerate(sorted(counts, key=lambda r: r["n"])):
+        share[r["lang"]] = min(1.0, left / (len(counts) - k) / r["n"])
+        left -= int(share[r["lang"]] * r["n"])
+    if not share:
+        return rows.limit(0)
+    bound = F.create_map(*[x for lang, s in share.items() for x in (F.lit(lang), F.lit(int(s * 1_000_000) + 1))])
+    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
+    return rows.where(place < F.try_element_at(bound, F.col("lang"))).limit(2 * SAMPLE)
+
+
 def train(docs: DataFrame) -> ByteNetwork | None:
     """A network from the documents with a language outside the held-out fold, or None if there are none."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -127,7 +143,7 @@ def train(docs: DataFrame) -> ByteNetwork | None:
                         names.append(langs[row + i])
             yield pa.RecordBatch.from_pydict({"x": pa.array(found, pa.binary()), "lang": pa.array(names, pa.string())})
 
-    sample = bounded_sample(rows, SAMPLE).select("text", "lang").mapInArrow(read, "x binary, lang string").collect()
+    sample = _by_language(rows).select("text", "lang").mapInArrow(read, "x binary, lang string").collect()
     if not sample:
         return None
     languages = sorted({r["lang"] for r in sample})
@@ -176,7 +192,8 @@ def identify(docs: DataFrame, model: ByteNetwork | None) -> DataFrame:
 def language_id(docs: DataFrame) -> DataFrame:
     """identify with a network trained on the same table (doc_id, text, lang).
 
-    Without labelled rows every text is ``und``. Null and repeated rows are predicted each; empty tables give empty
-    results; other columns are ignored.
+    Without labelled rows every text is ``und``. Null and repeated rows are predicted each, equal texts alike; very long
+    texts are read whole; of equally likely languages the first by name is given; empty tables give empty results; other
+    columns are ignored.
     """
     return identify(docs, train(docs))

@@ -220,12 +220,25 @@ def quality(docs: DataFrame) -> DataFrame:
     """score_quality with a model made from the same documents.
 
     Labellers abstain on empty, null and very short texts, which are kept. Repeated rows and rows without doc_id are
-    scored each; empty tables give empty results; other columns are ignored.
+    scored each, equal texts alike; very long texts are read whole; empty tables give empty results; other columns are
+    ignored.
     """
     return score_quality(docs, train(docs))
 
 
 def drop_low_quality(docs: DataFrame) -> DataFrame:
-    """docs, with all its columns, without the rows that the classifier rejects. doc_id must be unique or null."""
-    rejected = quality(docs).where("not keep and doc_id is not null").select(F.col("doc_id").alias("_rejected"))
-    return docs.join(rejected, F.col("doc_id") == F.col("_rejected"), "left_anti")
+    """docs, with all its columns, without the rows whose text the classifier rejects.
+
+    Decided row by row from the text: null and repeated doc_ids, repeated rows and columns of any name change nothing;
+    null, empty and very short texts stay, very long ones are judged whole, an empty table stays empty.
+    """
+    weights, bias = train(docs)
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(at).cast(pa.string())], names=["text"])
+            z = np.array([float(x @ weights) + bias for _, x in _rows(texts)], np.float64)
+            yield batch.filter(pa.array(sigmoid(z) >= THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -41,6 +41,20 @@ def _counts(bags: list[np.ndarray]) -> np.ndarray:
     return np.bincount(np.concatenate([*bags, np.zeros(0, np.int32)]), minlength=1 << BITS)
 
 
+def risk(x_p: np.ndarray, x_u: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, np.ndarray, float]:
+    """The non-negative risk with logistic loss, and the direction of descent for weights and bias."""
+    s_p, s_u = sigmoid(x_p @ w + b), sigmoid(x_u @ w + b)
+    # l(+) = -log s, l(-) = -log(1 - s); derivatives by the score are s - 1 and s
+    positive = -prior * np.log(s_p + 1e-12).mean()
+    negative = -np.log1p(-s_u + 1e-12).mean() + prior * np.log1p(-s_p + 1e-12).mean()
+    g_plus, g_minus_p, g_minus_u = (s_p - 1) / len(s_p), s_p / len(s_p), s_u / len(s_u)
+    if negative >= 0:
+        d_p, d_u = prior * g_plus - prior * g_minus_p, g_minus_u
+    else:  # the non-negative correction: step back out of the overfitted part
+        d_p, d_u = prior * g_minus_p, -g_minus_u
+    return positive + max(0.0, negative), x_p.T @ d_p + x_u.T @ d_u, d_p.sum() + d_u.sum()
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray, float]:
     """(words, weights, bias) of a linear scorer on the presence of words."""
     p_docs, u_docs = max(1, len(positive)), max(1, len(unlabelled))
@@ -56,15 +70,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     w, b = np.zeros(len(known)), np.array([-2.0])
     adam = Adam([w, b], 0.05)
     for _ in range(600):
-        s_p, s_u = sigmoid(x_p @ w + b), sigmoid(x_u @ w + b)
-        # logistic loss: l(+) = -log s, l(-) = -log(1 - s); derivatives by the score are s - 1 and s
-        negative = -np.log1p(-s_u + 1e-12).mean() + prior * np.log1p(-s_p + 1e-12).mean()
-        g_plus, g_minus_p, g_minus_u = (s_p - 1) / len(s_p), s_p / len(s_p), s_u / len(s_u)
-        if negative >= 0:
-            d_p, d_u = prior * g_plus - prior * g_minus_p, g_minus_u
-        else:  # the non-negative correction: step back out of the overfitted part
-            d_p, d_u = prior * g_minus_p, -g_minus_u
-        adam.step([x_p.T @ d_p + x_u.T @ d_u + 1e-4 * w, np.array([d_p.sum() + d_u.sum()])])
+        _, d_w, d_b = risk(x_p, x_u, w, float(b[0]), prior)
+        adam.step([d_w + 1e-4 * w, np.array([d_b])])
     return known, w, float(b[0])
 
 
@@ -106,6 +113,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """score_toxicity with a model trained on the same tables.
 
     Without labelled toxic rows every score is the class prior. Null labels and null doc_ids teach nothing; repeated rows
-    are scored each; other columns are ignored; empty tables give empty results.
+    are scored each, equal texts alike; very long texts are scored by all their words; other columns are ignored; empty
+    tables give empty results. Only words in at least 3 and 1 % of the sampled toxic documents can get a weight, the best
+    FEATURES of them, so toxic texts of rarer words alone score as low as any text.
     """
     return score_toxicity(docs, train(docs, labels))

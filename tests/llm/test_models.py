@@ -1,17 +1,21 @@
 """Classifiers by held-out accuracy, and the mix by its own promises."""
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from granary.llm.language import identify, language_id
+from granary.llm import language
+from granary.llm.exact_dedup import drop_exact_duplicates
+from granary.llm.language import ByteNetwork, identify, language_id
 from granary.llm.mixing import edf, exact, mix, mixed_order, phases, shares
-from granary.llm.quality import drop_low_quality, estimate, quality
-from granary.llm.toxicity import fit, toxicity
+from granary.llm.quality import LABELLERS, drop_low_quality, estimate, quality
+from granary.llm.toxicity import fit, risk, toxicity
 
-from .fixtures import awkward, documents, empty, prose
+from .fixtures import awkward, documents, empty, prose, rows
 
 
 def fold(doc_id, n):
@@ -72,6 +76,120 @@ def test_toxicity_risk_stays_non_negative():
     assert fit([], [], 0.0)[0].size == 0
 
 
+def test_toxicity_risk_against_loops():
+    rng = np.random.default_rng(3)
+    for prior in (0.05, 0.9):
+        x_p, x_u = (rng.integers(0, 2, (n, 4)).astype(float) for n in (7, 11))
+        w, b = rng.normal(size=4), 0.3
+        for scale in (0.1, 4.0):
+
+            def parts(w, b, scale=scale, prior=prior, x_p=x_p, x_u=x_u):
+                s = [[1 / (1 + math.exp(-(sum(x * y for x, y in zip(row, w, strict=True)) + b))) for row in x] for x in (x_p, x_u)]
+                plus = prior * sum(-math.log(v) for v in s[0]) / len(s[0])
+                minus = sum(-math.log(1 - v) for v in s[1]) / len(s[1]) - prior * sum(-math.log(1 - v) for v in s[0]) / len(s[0])
+                return plus, minus
+
+            plus, minus = parts(w * scale, b)
+            value, d_w, d_b = risk(x_p, x_u, w * scale, b, prior)
+            assert abs(value - (plus + max(0, minus))) < 1e-6
+            objective = (lambda w, b: sum(parts(w, b))) if minus >= 0 else (lambda w, b: -parts(w, b)[1])
+            for k in range(4):
+                step = np.eye(4)[k] * 1e-5
+                slope = (objective(w * scale + step, b) - objective(w * scale - step, b)) / 2e-5
+                assert abs(slope - d_w[k]) < 1e-5
+            assert abs((objective(w * scale, b + 1e-5) - objective(w * scale, b - 1e-5)) / 2e-5 - d_b) < 1e-5
+
+
+def test_toxicity_scores_against_loops(spark):
+    from granary.llm.text import word_hashes
+    from granary.llm.toxicity import BITS, score_toxicity
+
+    def bucket(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        return int(word_hashes(data, np.array([0]), np.array([len(data)]))[0] >> np.uint64(64 - BITS))
+
+    words = ["vile", "wabc", "wbcd", "bad", "wa"]
+    known = sorted((bucket(w), 0.7 * k - 1) for k, w in enumerate(words))
+    model = (np.array([h for h, _ in known], np.int32), np.array([v for _, v in known]), -0.4)
+    weight = dict(known)
+    docs = [(k, t) for k, (_, t, *_) in enumerate(rows())] + [(800, "Vile vile BAD"), (801, None)]
+    got = {r["doc_id"]: r["score"] for r in score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    for d, text in docs:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        own = {bucket(w) for w in re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", low)}
+        assert abs(got[d] - 1 / (1 + math.exp(0.4 - sum(weight.get(h, 0) for h in own)))) < 1e-9
+
+
+def test_language_network_against_loops(spark):
+    """A plain forward pass: windows, filters, the largest response of each, softmax, the weighted mean of logarithms."""
+    model = ByteNetwork(["aa", "bb", "cc"], seed=5)
+    model.bias += np.array([0.1, -0.2, 0.3], np.float32)
+    docs = [(k, t) for k, (_, t, *_) in enumerate(rows()) if t and len(t) < 2500] + [(900, "x" * 700), (901, "É")]
+    got = {r["doc_id"]: r for r in identify(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    for d, text in docs:
+        raw = [b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+        total = [0.0] * 3
+        for at in range(0, len(raw), 256):
+            part = raw[at : at + 256]
+            window = part + [32] * (256 - len(part))
+            pooled = []
+            for table in model.tables:
+                responses = [sum(table[k][window[i + k]] for k in range(len(table))) for i in range(256 - len(table) + 1)]
+                pooled += list(np.max(responses, axis=0))
+            z = [sum(p * model.out[f][c] for f, p in enumerate(pooled)) + model.bias[c] for c in range(3)]
+            norm = math.log(sum(math.exp(v) for v in z))
+            total = [t + len(part) * (v - norm) for t, v in zip(total, z, strict=True)]
+        p = [math.exp(t / max(1, len(raw))) for t in total]
+        if any(c.isalpha() for c in text):
+            assert got[d]["lang_pred"] == ["aa", "bb", "cc"][int(np.argmax(p))]
+            assert abs(got[d]["score"] - max(p) / sum(p)) < 1e-4
+        else:
+            assert (got[d]["lang_pred"], got[d]["score"]) == ("und", 0.0)
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 60)
+    docs = [(k, "kalomitu " * 20, "aa") for k in range(3000)] + [(k, "schungerei " * 20, "bb") for k in range(3000, 3020)]
+    got = language_id(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()
+    assert all(r["lang_pred"] == ("aa" if r["doc_id"] < 3000 else "bb") for r in got)
+
+
+def test_em_against_documents():
+    """EM document by document, with loops, gives the posterior that counted patterns give."""
+    rng = np.random.default_rng(6)
+    votes = rng.integers(0, 3, (200, len(LABELLERS)))
+    votes[:120] = np.where(votes[:120] == 2, 1, votes[:120])
+    patterns = (votes * 3 ** np.arange(len(LABELLERS))).sum(1)
+    values, counts = np.unique(patterns, return_counts=True)
+    got = estimate(values, counts.astype(float), rounds=7)[0]
+    good = [0.1 if 2 in v else 0.95 for v in votes.tolist()]
+    for _ in range(7):
+        share = (sum(good) + 1) / (len(good) + 2)
+        rates = []
+        for k in range(len(LABELLERS)):
+            row = []
+            for c, (seen, fired) in enumerate(((1.0, 0.02), (1.0, 0.5))):
+                own = good if c == 0 else [1 - g for g in good]
+                fired += sum(g for g, v in zip(own, votes, strict=True) if v[k] == 2)
+                seen += sum(g for g, v in zip(own, votes, strict=True) if v[k])
+                row.append(fired / seen)
+            rates.append(row)
+        for i, v in enumerate(votes.tolist()):
+            like = [share, 1 - share]
+            for k, vote in enumerate(v):
+                for c in (0, 1):
+                    like[c] *= rates[k][c] if vote == 2 else 1 - rates[k][c] if vote == 1 else 1
+            good[i] = like[0] / sum(like)
+    assert np.allclose(got[np.searchsorted(values, patterns)], good, atol=1e-6)
+
+
+def test_stages_keep_one_of_repeated_rows(spark):
+    kept = sorted((r["doc_id"] or 0) for r in drop_exact_duplicates(awkward(spark)).collect())
+    assert kept == [1, 2]
+    odd = awkward(spark).withColumn("_rejected", F.lit(1))
+    assert drop_low_quality(odd).columns == odd.columns and drop_low_quality(odd).count() == 5
+
+
 def test_weak_labels_are_recovered():
     rng = np.random.default_rng(1)
     junk = rng.random(5000) < 0.2
