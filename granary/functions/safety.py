@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import canonical, path_line_share, strip
+from .text import canonical, path_line_share, strip, token_estimate
 
-# Label, pattern, weight of what makes content risky.
+# Label, pattern, weight of what makes content risky. "(\\s|$)" stands for a look-ahead, which DuckDB lacks.
 RISKS = [
     ("curl-pipe-shell", r"curl\s+[^\n|]*\|\s*(sudo\s+)?(sh|bash|zsh)\b", 3),
     ("wget-pipe-shell", r"wget\s+[^\n|]*\|\s*(sudo\s+)?(sh|bash|zsh)\b", 3),
@@ -43,11 +43,33 @@ CAPABILITIES = [
     ("unconfirmed-action", r"(?is)\b(?:send|post|publish|delete|remove|drop|write|modify|change|create|execute|run|install|deploy|push)\b.{0,180}\b(?:do\s+not|don't|never|without)\s+(?:ask|request|seek|require)\b.{0,80}\b(?:confirm|approval|permission)\b"),
 ]
 
-# Lines that are masked.
-CREDENTIAL_LINE = r"(?i)\b(password|passwd|secret|token|api[_-]?key)\b\s*[:=]\s*\S{6,}"
-INJECTION_LINE = r"(?i)(ignore|disregard)\s+(all\s+)?(previous|prior|above|your)\s+instructions"
-
-LEAST_CHARS, LEAST_WORDS, MOST_PATH_LINES = 180, 35, 0.6
+# Lines that are masked, and what a text may make happen.
+CREDENTIAL_LINE = (
+    r"(?i)(?:\b(?:api[_ -]?key|access[_ -]?token|secret|password|authorization)\b\s*[:=]\s*\S+|\bBearer\s+[A-Za-z0-9._~+/-]{8,}"
+    r"|\bAKIA[0-9A-Z]{12,}|\b(?:sk|ghp|github_pat|xox[baprs])[-_][A-Za-z0-9_-]{8,})"
+)
+CONTROL_LINE = (
+    r"(?i)\b(?:ignore (?:all |any )?(?:previous|prior|system|developer) instructions|system prompt|developer message|override (?:the )?user"
+    r"|do not answer the user|never reveal|hidden instructions|jailbreak|prompt injection|spawn (?:a |the )?(?:subagent|agent)|use the agent tool"
+    r"|stop (?:immediately|now|processing)|wait for (?:the )?user|ask (?:the )?user before (?:continuing|proceeding)"
+    r"|read (?:every|all) (?:skill|instruction) file)\b"
+)
+EXTERNAL = (
+    r"(?i)\b(?:send|post|publish|deploy|upload|email|message|purchase|pay|create (?:an )?account|open a pull request|push to|call (?:the )?api"
+    r"|network request|download|install)\b"
+)
+DESTRUCTIVE = (
+    r"(?i)\b(?:delete|remove|drop|truncate|overwrite|reset --hard|force push|revoke|purge|destroy|format (?:the )?(?:disk|drive)|rm\s+-rf)\b"
+)
+PROJECT_PATH = r"\b([A-Z][A-Za-z0-9_]{2,})/(?:[A-Za-z0-9_.\-]+/){0,4}[A-Za-z0-9_.\-]+\.(?:py|json|ya?ml|sh|ps1|pdf|csv|xlsx?|txt|md)\b"
+SANDBOX_PATH = r"(?i)(?:/mnt/(?:skills|user-data)/|/home/claude/)"
+CREDENTIAL_MARK = "[redacted: credential-like content removed]"
+CONTROL_MARK = "[redacted: agent-control/meta-instruction content removed]"
+SAME_ROOT = 3
+#: Characters up to which content is delivered inline.
+INLINE_CHARS = 24_000
+
+LEAST_CHARS, LEAST_WORDS, MOST_PATH_LINES, MOST_CHARS = 180, 35, 0.6, 500_000
 
 
 def _hits(text: Column, labelled: list[tuple]) -> Column:
@@ -70,7 +92,7 @@ def capability_flags(text: Column) -> Column:
 
 def looks_like_html(text: Column) -> Column:
     head = F.lower(F.substring(F.regexp_replace(text, r"^\s+", ""), 1, 300))
-    return head.rlike(r"^(<!doctype|<html|<\?xml)") | head.contains("<head>")
+    return head.rlike(r"^(<!doctype|<html|<\?xml)") | head.contains("<head>") | head.contains("githubassets.com")
 
 
 def front_matter(text: Column) -> Column:
@@ -87,13 +109,16 @@ def has_front_matter(text: Column) -> Column:
     return block.rlike(r"(?m)^name:\s*\S+") & block.rlike(r"(?m)^description:\s*(\S+|[>|])")
 
 
-def rejection_reasons(text: Column) -> Column:
-    """What speaks against storing a fetched text, in a fixed order."""
+def rejection_reasons(text: Column, allow_oversized: Column | None = None) -> Column:
+    """What speaks against storing a fetched text, in a fixed order; of a text that is too large that alone."""
+    oversized = F.length(text) > MOST_CHARS
+    if allow_oversized is not None:
+        oversized = oversized & ~allow_oversized
     flat = strip(text)
     body = without_front_matter(flat)
     n_words = F.size(F.regexp_extract_all(body, F.lit(r"[A-Za-z][A-Za-z0-9_-]+"), F.lit(0)))
     structure = body.contains("##") | body.rlike(r"(?m)^\s*[-*]\s+\S+") | flat.rlike(r"(?m)^name:\s*\S+")
-    return F.array_compact(
+    found = F.array_compact(
         F.array(
             F.when(looks_like_html(text), F.lit("html-response")),
             F.when(F.length(flat) < LEAST_CHARS, F.lit("too-short")),
@@ -102,21 +127,64 @@ def rejection_reasons(text: Column) -> Column:
             F.when(~structure, F.lit("no-skill-structure")),
         )
     )
+    return F.when(oversized, F.array(F.lit("content-too-large"))).otherwise(found)
+
 
+def _masked(line: Column) -> Column:
+    return F.when(line.rlike(CREDENTIAL_LINE), CREDENTIAL_MARK).when(line.rlike(CONTROL_LINE), CONTROL_MARK).otherwise(line)
 
-def redacted(text: Column, mark: str = "[redacted]") -> Column:
-    """The text with every line masked that holds a credential or tries to override instructions."""
-    lines = F.split(text, "\n", -1)
-    masked = F.transform(lines, lambda s: F.when(s.rlike(CREDENTIAL_LINE) | s.rlike(INJECTION_LINE), F.lit(mark)).otherwise(s))
-    return F.array_join(masked, "\n")
+
+def redacted(text: Column) -> Column:
+    """The text with every line masked that holds a credential or tries to take control."""
+    return F.array_join(F.transform(F.split(text, "\n", -1), _masked), "\n")
 
 
 def redacted_lines(text: Column) -> Column:
-    bad = F.filter(F.split(text, "\n", -1), lambda s: s.rlike(CREDENTIAL_LINE) | s.rlike(INJECTION_LINE))
-    return F.size(bad)
+    """(credentials, controls): how many lines are masked as which."""
+    kinds = F.transform(
+        F.split(text, "\n", -1), lambda s: F.when(s.rlike(CREDENTIAL_LINE), 1).when(s.rlike(CONTROL_LINE), 2).otherwise(0)
+    )
+    return F.struct(
+        F.size(F.filter(kinds, lambda k: k == 1)).alias("credentials"), F.size(F.filter(kinds, lambda k: k == 2)).alias("controls")
+    )
+
+
+def _lines_with(text: Column, pattern: str) -> Column:
+    """Whether a line that isn't masked matches."""
+    kept = F.filter(F.split(text, "\n", -1), lambda s: ~s.rlike(CREDENTIAL_LINE) & ~s.rlike(CONTROL_LINE))
+    return F.exists(kept, lambda s: s.rlike(pattern))
+
+
+def destructive_actions(text: Column) -> Column:
+    return _lines_with(text, DESTRUCTIVE)
+
+
+def external_actions(text: Column) -> Column:
+    return _lines_with(text, EXTERNAL)
 
 
 def non_portable(text: Column) -> Column:
-    """Three or more absolute paths below the same home or root folder."""
-    roots = F.regexp_extract_all(text, F.lit(r"(?:/home/|/Users/|[A-Za-z]:\\)[A-Za-z0-9_.-]+"), F.lit(0))
-    return F.exists(F.array_distinct(roots), lambda r: F.size(F.filter(roots, lambda x: x == r)) >= 3)
+    """Several files below the same made-up root folder, or a path of a sandbox, outside masked lines."""
+    left = redacted(text)
+    roots = F.regexp_extract_all(left, F.lit(PROJECT_PATH), F.lit(1))
+    return F.exists(F.array_distinct(roots), lambda r: F.size(F.filter(roots, lambda x: x == r)) >= SAME_ROOT) | left.rlike(SANDBOX_PATH)
+
+
+def delivery(content: Column) -> Column:
+    """struct(delivery, reason, capsule_chars, estimated_tokens): a capsule, the isolated whole, or a hint and what stands against more."""
+    clean = redacted(F.coalesce(content, F.lit("")))
+    reason = (
+        F.when(F.coalesce(content, F.lit("")) == "", "content_unavailable")
+        .when(~has_front_matter(content), "invalid_skill_frontmatter")
+        .when(F.length(content) > MOST_CHARS, "content_too_large")
+        .when(non_portable(content), "non_portable_project_specific")
+        .when(F.length(clean) > INLINE_CHARS, "public-source-isolated-full")
+        .otherwise("public-source-distilled")
+    )
+    kind = F.when(reason == "public-source-isolated-full", "isolation").when(reason == "public-source-distilled", "capsule").otherwise("hint")
+    return F.struct(
+        kind.alias("delivery"),
+        reason.alias("reason"),
+        F.when(kind == "capsule", F.length(clean)).otherwise(0).cast("long").alias("capsule_chars"),
+        F.when(kind == "hint", 0).otherwise(token_estimate(clean)).cast("long").alias("estimated_tokens"),
+    )

@@ -41,7 +41,7 @@ META_PHRASES = [
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def collapse(text: Column) -> Column:
@@ -50,7 +50,8 @@ def collapse(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """Without byte-order mark, with line feeds only."""
-    return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), r"\r\n?", "\n")
+    marked = F.regexp_replace(text, "^﻿", "")
+    return F.replace(F.replace(marked, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def normalised(text: Column) -> Column:
@@ -92,7 +93,7 @@ def words(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Distinct words of three or more characters that name a subject, sorted."""
     long = F.filter(words(text), lambda t: F.length(t) > 2)
-    return F.array_sort(F.array_distinct(F.array_except(long, F.array(*[F.lit(w) for w in NAME_STOPWORDS]))))
+    return F.sort_array(F.array_except(long, F.array(*[F.lit(w) for w in NAME_STOPWORDS])))
 
 
 def singular(token: Column) -> Column:
@@ -106,8 +107,8 @@ def singular(token: Column) -> Column:
 
 def index_terms(text: Column) -> Column:
     """Sorted distinct singular words of three or more characters."""
-    long = F.filter(words(text), lambda t: F.length(t) >= 3)
-    return F.array_sort(F.array_distinct(F.transform(long, singular)))
+    long = F.filter(F.array_distinct(words(text)), lambda t: F.length(t) >= 3)
+    return F.sort_array(F.array_distinct(F.transform(long, singular)))
 
 
 def common(a: Column, b: Column) -> Column:

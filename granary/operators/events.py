@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import order_statistics, top_per_group, value_at, with_previous
+from .common import order_statistics, sized, top_per_group, value_at, with_previous
 
 POSITIVE, NEGATIVE = ["used", "installed"], ["failed", "dismissed"]
 REROUTE_SECONDS = 300
@@ -29,7 +29,7 @@ def percentiles(df: DataFrame, group: list[str], value: str, points: dict[str, C
     """(group, one column per name): order statistics at the given places, exact and without gathering a group."""
     ranked = order_statistics(df, group, value)
     wanted = ranked.groupBy(*group).agg(F.max("upto").alias("rows"))
-    ranked = ranked.join(F.broadcast(wanted), group)
+    ranked = ranked.join(sized(wanted), group)
     found = [
         F.max(F.when((F.col("below") <= at.cast("long")) & (at.cast("long") < F.col("upto")), F.col(value))).alias(name)
         for name, at in points.items()
@@ -156,7 +156,7 @@ def bandit_weights(events: DataFrame, least: int = 5) -> DataFrame:
     family = own.groupBy("family").agg(((F.sum("s") + 1) / (F.sum("s") + F.sum("f") + 2)).alias("family_mean"))
     n = F.col("s") + F.col("f")
     mean = (F.col("s") + 1) / (n + 2)
-    rows = own.join(F.broadcast(family), "family")
+    rows = own.join(sized(family), "family")
     return rows.select(
         "item_id",
         "family",

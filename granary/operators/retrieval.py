@@ -7,6 +7,7 @@ doc_id, as everywhere in this module. Lanes keep their best k per query within e
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import index_terms, words
-from .common import BROADCAST_ROWS, cut, sized, top_per_group
+from .common import cut, sized, top_per_group
 
 #: Terms that a lexical query keeps, in alphabetical order.
 QUERY_TERMS = 12
@@ -27,8 +28,47 @@ LEAST_SIMILARITY, CLOSE_SIMILARITY, CLOSE_MEANINGFULNESS = 0.87, 0.025, 0.08
 BM25_K1, BM25_B = 1.2, 0.75
 
 
+#: Queries of a block: they visit the driver and every task together. Queries measured at once against an Arrow batch.
+QUERY_BLOCK = 50_000
+QUERY_SLICE = 200
+
+
+class _Best:
+    """The k best documents of each query that a task has seen: by score, then the larger id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.held = k, [(np.zeros(0), np.zeros(0, np.int64)) for _ in range(queries)]
+
+    def add(self, first: int, docs: np.ndarray, scores: np.ndarray, found: np.ndarray) -> None:
+        """scores of documents (rows) for queries (columns) from the first on; only ``found`` ones count."""
+        for j in range(scores.shape[1]):
+            old, old_docs = self.held[first + j]
+            fits = found[:, j] if len(old) < self.k else found[:, j] & (scores[:, j] >= old[-1])
+            new = np.flatnonzero(fits)
+            if len(new):
+                s, d = np.concatenate((old, scores[new, j])), np.concatenate((old_docs, docs[new]))
+                order = np.lexsort((-d, -s))[: self.k]
+                self.held[first + j] = (s[order], d[order])
+
+    def batch(self, ids: np.ndarray) -> pa.RecordBatch:
+        sizes = [len(s) for s, _ in self.held]
+        s, d = (np.concatenate([*x, np.zeros(0)]) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0),) * 2
+        return pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(ids, sizes)), "doc_id": pa.array(d.astype(np.int64)), "score": pa.array(s)})
+
+
+def _blocked(queries: DataFrame, top, block: int) -> DataFrame:
+    """top(queries) over blocks of about so many queries, one after the other; results wait in the shared folder."""
+    n = queries.count()
+    if n <= block:
+        return top(queries)
+    queries = cut(queries)
+    number = F.pmod(F.xxhash64("query_id"), F.lit(-(-n // block)))
+    parts = [cut(top(queries.where(number == b))) for b in range(-(-n // block))]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id) of documents (doc_id, text): the lexical index."""
+    """(term, doc_id) of documents (doc_id, text): the lexical index as a table."""
     return docs.select("doc_id", F.explode(index_terms(F.col("text"))).alias("term"))
 
 
@@ -37,40 +77,106 @@ def query_terms(queries: DataFrame, most: int = QUERY_TERMS) -> DataFrame:
     return queries.select("query_id", F.explode(terms).alias("term"))
 
 
-def lexical_topk(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
-    """Documents by the number of query terms that they hold."""
-    hits = postings(docs).join(sized(query_terms(queries)), "term")
-    scored = hits.groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
+def _singular(word: str) -> str:
+    """As text.singular, for the distinct words of a batch."""
+    if word.endswith("ies") and len(word) > 4:
+        return word[:-3] + "y"
+    return word[:-1] if word.endswith("s") and not word.endswith("ss") and len(word) > 3 else word
+
+
+class _Asked:
+    """The terms of a block of queries, and for each term the queries that ask for it and its weight in them."""
+
+    def __init__(self, rows: list):
+        self.ids = np.array(sorted({r["query_id"] for r in rows}), np.int64)
+        self.terms = {t: n for n, t in enumerate(sorted({r["term"] for r in rows}))}
+        found = sorted((self.terms[r["term"]], int(np.searchsorted(self.ids, r["query_id"])), float(r["weight"])) for r in rows)
+        term, self.query, self.weight = (np.array([f[i] for f in found], kind) for i, kind in enumerate((np.int64, np.int64, np.float64)))
+        self.starts = np.searchsorted(term, np.arange(len(self.terms) + 1))
+
+    def counts(self, column: pa.ListArray, form, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, times) of the asked terms in lists of words; only distinct words are looked at one by one."""
+        coded = column.flatten().dictionary_encode()
+        codes = np.array([known.setdefault(w, self.terms.get(form(w), -1)) for w in coded.dictionary.to_pylist()], np.int64)
+        row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+        term = codes[coded.indices.to_numpy()] if len(codes) else np.zeros(0, np.int64)
+        width = max(1, len(self.terms))
+        pair, times = np.unique((row * width + term)[term >= 0], return_counts=True)
+        return pair // width, pair % width, times
+
+
+def _term_scores(asked: _Asked, rows: DataFrame, k: int, form, weigh) -> DataFrame:
+    """(query_id, doc_id, score, position): the k best of rows (doc_id, terms) by the sum of weights of their terms.
+
+    A document's terms are one row, so its scores are summed where it is read, and a task passes on k rows per query:
+    pairs of queries and documents never travel. weigh(times, lengths) is the weight of a term in a document.
+    """
+
+    def score(batches):
+        best, known = _Best(len(asked.ids), k), {}
+        for batch in batches:
+            column = batch.column(1)
+            row, term, times = asked.counts(column, form, known)
+            value = weigh(times, np.diff(column.offsets.to_numpy())[row])
+            n = asked.starts[term + 1] - asked.starts[term]
+            slot = np.repeat(asked.starts[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            doc, part, to = np.repeat(row, n), np.repeat(value, n) * asked.weight[slot], asked.query[slot]
+            docs = batch.column(0).to_numpy()
+            for first in range(0, len(asked.ids), QUERY_SLICE):
+                width = min(QUERY_SLICE, len(asked.ids) - first)
+                here = (to >= first) & (to < first + width)
+                at = doc[here] * width + to[here] - first
+                shape = (len(docs), width)
+                scores = np.bincount(at, part[here], len(docs) * width).reshape(shape)
+                best.add(first, docs, np.round(scores, 6), np.bincount(at, minlength=len(docs) * width).reshape(shape) > 0)
+        yield best.batch(asked.ids)
+
+    scored = rows.mapInArrow(score, "query_id long, doc_id long, score double")
     return top_per_group(scored, ["query_id"], [F.desc("score"), F.desc("doc_id")], k)
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+def lexical_topk(queries: DataFrame, docs: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
+    """Documents by the number of query terms that they hold."""
+    long = F.filter(F.array_distinct(words(F.col("text"))), lambda w: F.length(w) >= 3)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), long.alias("terms")).where("size(terms) > 0")
+
+    def top(own: DataFrame) -> DataFrame:
+        asked = _Asked(query_terms(own).withColumn("weight", F.lit(1.0)).collect())
+        found = _term_scores(asked, rows, k, _singular, lambda times, _: np.ones(len(times)))
+        return found.withColumn("score", F.col("score").cast("long"))
+
+    return _blocked(queries, top, block)
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = BM25_K1, b: float = BM25_B, block: int = QUERY_BLOCK) -> DataFrame:
     """Okapi BM25 over words of two or more characters; a repeated query word counts each time."""
     long = F.filter(words(F.col("text")), lambda t: F.length(t) > 1)
-    asked = sized(queries.select("query_id", F.explode(long).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")))
-    split = docs.select("doc_id", long.alias("terms"))
-    corpus = split.agg(F.count("*").alias("docs"), F.avg(F.size("terms")).alias("mean_size"))
-    tf = split.select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    tf = tf.join(F.broadcast(asked.select("term").distinct()) if asked.count() <= BROADCAST_ROWS else asked.select("term").distinct(), "term")
-    tf = tf.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    df = sized(tf.groupBy("term").agg(F.count("*").alias("df")))
-    weight = df.crossJoin(F.broadcast(corpus))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = weight.select("term", idf.alias("idf"), "mean_size")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1)
-    part = part / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_size")))
-    hits = tf.join(weight, "term").join(asked, "term")
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top_per_group(scored, ["query_id"], [F.desc("score"), F.desc("doc_id")], k)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), long.alias("terms")).where("text is not null")
 
+    def top(own: DataFrame) -> DataFrame:
+        times = own.select("query_id", F.explode(long).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight")).collect()
+        asked = _Asked(times)
+
+        def count(batches):
+            held, total, size, known = np.zeros(len(asked.terms), np.int64), 0, 0, {}
+            for batch in batches:
+                _, term, _ = asked.counts(batch.column(1), str, known)
+                held += np.bincount(term, minlength=len(held))
+                total, size = total + batch.num_rows, size + len(batch.column(1).flatten())
+            yield pa.RecordBatch.from_pydict({"term": pa.array([*range(len(held)), -1, -2], pa.int64()), "n": pa.array([*held.tolist(), total, size], pa.int64())})
+
+        n = {r["term"]: r["n"] for r in rows.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        documents, size = n.get(-1, 0), n.get(-2, 0)
+        df = np.array([n.get(t, 0) for t in range(len(asked.terms))], np.float64)
+        asked.weight = asked.weight * np.log1p((documents - df + 0.5) / (df + 0.5))[np.repeat(np.arange(len(df)), np.diff(asked.starts))]
+        mean = size / max(1, documents) or 1.0
+        return _term_scores(asked, rows, k, str, lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)))
 
-#: Query vectors that visit the driver and a task together, and those measured at once against an Arrow batch.
-QUERY_BLOCK = 50_000
-QUERY_SLICE = 1_000
+    return _blocked(queries, top, block)
 
 
-def _scores(queries: DataFrame, vectors: DataFrame, reduce, schema: str) -> DataFrame:
-    """Arrow batches of (doc_id, embedding, label) against the matrix of queries, reduced within each batch.
+def _scores(queries: DataFrame, vectors: DataFrame, made, schema: str) -> DataFrame:
+    """Arrow batches of (doc_id, embedding, label) against the matrix of queries; ``made(ids)`` holds what a task has found.
 
     The query matrix is sent to every task; _blocked keeps it bounded.
     """
@@ -79,74 +185,83 @@ def _scores(queries: DataFrame, vectors: DataFrame, reduce, schema: str) -> Data
     matrix = np.array([r["embedding"] for r in rows], np.float64)
 
     def score(batches):
+        found = made(ids)
         for batch in batches:
             if not batch.num_rows:
                 continue
             column = batch.column(1)
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            flat = flat.reshape(len(column), -1)
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
             for at in range(0, len(ids), QUERY_SLICE):
                 sims = np.round(flat @ matrix[at : at + QUERY_SLICE].T, 6)
-                yield reduce(ids[at : at + QUERY_SLICE], batch.column(0).to_numpy(), batch.column(2).to_numpy(), sims)
+                yield from found.add(at, batch.column(0).to_numpy(), batch.column(2).to_numpy(), sims)
+        yield from found.rest()
 
     return vectors.select("doc_id", "embedding", "label").where("embedding is not null").mapInArrow(score, schema)
 
 
-def _blocked(queries: DataFrame, top, block: int) -> DataFrame:
-    """top(queries) over blocks of about so many query vectors, one after the other; results wait in the shared folder."""
-    n = queries.count()
-    if n <= block:
-        return top(queries)
-    queries = cut(queries.select("query_id", "embedding"))
-    number = F.pmod(F.xxhash64("query_id"), F.lit(-(-n // block)))
-    parts = [cut(top(queries.where(number == b))) for b in range(-(-n // block))]
-    return functools.reduce(DataFrame.unionByName, parts)
+class _BestVectors(_Best):
+    def __init__(self, ids: np.ndarray, k: int):
+        super().__init__(len(ids), k)
+        self.ids = ids
+
+    def add(self, first: int, docs: np.ndarray, labels: np.ndarray, sims: np.ndarray) -> Iterator[pa.RecordBatch]:
+        super().add(first, docs, sims, np.ones(sims.shape, bool))
+        yield from ()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        yield self.batch(self.ids)
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
     """Rows of (doc_id, embedding, label) by inner product with each query (query_id, embedding)."""
 
-    def best(ids, docs, labels, sims):
-        out = {"query_id": [], "doc_id": [], "score": []}
-        for j in range(len(ids)):
-            order = np.lexsort((-docs, -sims[:, j]))[:k]
-            out["query_id"].append(np.full(len(order), ids[j]))
-            out["doc_id"].append(docs[order])
-            out["score"].append(sims[order, j])
-        return pa.RecordBatch.from_pydict({c: pa.array(np.concatenate(v)) for c, v in out.items()})
-
     def top(own: DataFrame) -> DataFrame:
-        scored = _scores(own, vectors, best, "query_id long, doc_id long, score double")
+        scored = _scores(own, vectors, lambda ids: _BestVectors(ids, k), "query_id long, doc_id long, score double")
         return top_per_group(scored, ["query_id"], [F.desc("score"), F.desc("doc_id")], k)
 
     return _blocked(queries, top, block)
 
 
-def best_member_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
-    """Labels by their best vector: (query_id, label, score, member, position).
+class _BestLabels:
+    """The k best labels of each query that a task has seen, each by its best member there."""
 
-    A batch passes on its k best labels for each query. Labels that precede one in the batch of its best vector precede it
-    in the result as well, so the k best of all are among them, with their true scores; others can only seem worse.
-    """
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.held = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
 
-    def best(ids, docs, labels, sims):
+    def add(self, first: int, docs: np.ndarray, labels: np.ndarray, sims: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((-docs, labels))
         docs, sims = docs[order], sims[order]
         names, starts = np.unique(labels[order], return_index=True)
         scores = np.maximum.reduceat(sims, starts)
         ends = np.append(starts[1:], len(docs))
-        out = {"query_id": [], "label": [], "score": [], "member": []}
-        for j in range(len(ids)):
-            first = np.lexsort((-names, -scores[:, j]))[:k]
-            out["query_id"].append(np.full(len(first), ids[j]))
-            out["label"].append(names[first])
-            out["score"].append(scores[first, j])
+        for j in range(sims.shape[1]):
+            top = np.lexsort((-names, -scores[:, j]))[: self.k]
             # members of a label are in descending order, so that ties go to the larger one
-            out["member"].append(np.array([docs[starts[t] + sims[starts[t] : ends[t], j].argmax()] for t in first], np.int64))
-        return pa.RecordBatch.from_pydict({c: pa.array(np.concatenate(v)) for c, v in out.items()})
+            member = np.array([docs[starts[t] + sims[starts[t] : ends[t], j].argmax()] for t in top], np.int64)
+            label, score, member = (np.concatenate(x) for x in zip(self.held[first + j], (names[top], scores[top, j], member), strict=True))
+            order = np.lexsort((-member, -score, label))
+            order = order[np.append(True, label[order][1:] != label[order][:-1])]  # the best of each label
+            order = order[np.lexsort((-label[order], -score[order]))[: self.k]]
+            self.held[first + j] = (label[order], score[order], member[order])
+        yield from ()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        sizes = [len(h[0]) for h in self.held]
+        columns = [np.concatenate(x) for x in zip(*self.held, strict=True)] if self.held else [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+        names = dict(zip(("label", "score", "member"), map(pa.array, columns), strict=True))
+        yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(self.ids, sizes)), **names})
+
+
+def best_member_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
+    """Labels by their best vector: (query_id, label, score, member, position).
+
+    A task passes on its k best labels for each query. Labels that precede one in the task of its best vector precede it
+    in the result as well, so the k best of all are among them, with their true scores; others can only seem worse.
+    """
 
     def top(own: DataFrame) -> DataFrame:
-        scored = _scores(own, vectors, best, "query_id long, label long, score double, member long")
+        scored = _scores(own, vectors, lambda ids: _BestLabels(ids, k), "query_id long, label long, score double, member long")
         found = scored.groupBy("query_id", "label").agg(F.max(F.struct("score", "member")).alias("best"))
         found = found.select("query_id", "label", F.col("best.score").alias("score"), F.col("best.member").alias("member"))
         return top_per_group(found, ["query_id"], [F.desc("score"), F.desc("label")], k)
@@ -200,7 +315,9 @@ def hybrid_search(
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-    fused = union.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("fused"), F.max("similarity").alias("similarity"))
+    fused = cut(union.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("fused"), F.max("similarity").alias("similarity")))
+    # only candidates are judged; hashes of other texts are not computed
+    docs = docs.join(sized(fused.select("doc_id").distinct()), "doc_id", "left_semi")
     rows = fused.join(docs.where("eligible"), "doc_id")
     # copies: at most the depth of the lanes per query, so a window over a query is bounded
     best = F.struct("meaningfulness", "doc_id", "fused", "similarity", "risk")

