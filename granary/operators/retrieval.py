@@ -269,15 +269,44 @@ def best_member_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block:
     return _blocked(queries, top, block)
 
 
-def phrase_matches(queries: DataFrame, phrases: DataFrame, least: float = FAST_PATH_SHARE) -> DataFrame:
-    """(query_id, doc_id, strength): the best share of a document's phrase (doc_id, phrase) that a query holds."""
-    size = F.size("terms")
-    terms = phrases.select("doc_id", F.monotonically_increasing_id().alias("phrase"), index_terms(F.col("phrase")).alias("terms"))
-    terms = terms.where(size > 0).select("doc_id", "phrase", size.alias("size"), F.explode("terms").alias("term"))
-    asked = sized(queries.select("query_id", F.explode(index_terms(F.col("text"))).alias("term")))
-    met = terms.join(asked, "term").groupBy("query_id", "doc_id", "phrase", "size").agg(F.count("*").alias("n"))
-    met = met.where(F.col("n") / F.col("size") >= least)
-    return met.groupBy("query_id", "doc_id").agg(F.round(F.max(F.col("n") / F.col("size")), 6).alias("strength"))
+def phrase_matches(queries: DataFrame, phrases: DataFrame, least: float = FAST_PATH_SHARE, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, doc_id, strength): the best share of a document's phrase (doc_id, phrase) that a query holds.
+
+    A phrase is one row and meets all queries where it is read; only matches leave the task.
+    """
+    terms = index_terms(F.col("phrase"))
+    rows = phrases.select(F.col("doc_id").cast("long").alias("doc_id"), terms.alias("terms")).where("size(terms) > 0")
+
+    def top(own: DataFrame) -> DataFrame:
+        words = own.select("query_id", F.explode(index_terms(F.col("text"))).alias("term"), F.lit(1.0).alias("weight"))
+        asked = _Asked(words.collect())
+
+        def match(batches):
+            known: dict[str, int] = {}
+            for batch in batches:
+                column, docs = batch.column(1), batch.column(0).to_numpy()
+                sizes = np.diff(column.offsets.to_numpy())
+                row, term, _ = asked.counts(column, str, known)
+                n = asked.starts[term + 1] - asked.starts[term]
+                to = asked.query[np.repeat(asked.starts[term] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                row = np.repeat(row, n)
+                for first in range(0, len(asked.ids), QUERY_SLICE):
+                    width = min(QUERY_SLICE, len(asked.ids) - first)
+                    here = (to >= first) & (to < first + width)
+                    counts = np.bincount(row[here] * width + to[here] - first, minlength=len(docs) * width).reshape(len(docs), width)
+                    line, query = np.nonzero((counts > 0) & (counts / sizes[:, None] >= least))
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "query_id": pa.array(asked.ids[first + query]),
+                            "doc_id": pa.array(docs[line]),
+                            "share": pa.array(counts[line, query] / sizes[line]),
+                        }
+                    )
+
+        found = rows.mapInArrow(match, "query_id long, doc_id long, share double")
+        return found.groupBy("query_id", "doc_id").agg(F.round(F.max("share"), 6).alias("strength"))
+
+    return _blocked(queries, top, block)
 
 
 def rrf(lanes: list[tuple[DataFrame, float]], k: int = PLAIN_K) -> DataFrame:

@@ -83,7 +83,7 @@ def run_available(
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows").select(rows.columns)
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:
