@@ -59,6 +59,33 @@ SENTENCES = {
     "cc-by-nc-work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
     "cc0-spdx": "spdx license identifier cc0 1 0",
     "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-useful": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "agpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl2-title": "gnu general public license version 2 june 1991",
+    "gpl3-title": "gnu general public license version 3 29 june 2007",
+    "lgpl21-title": "gnu lesser general public license version 2 1 february 1999",
+    "lgpl3-title": "gnu lesser general public license version 3 29 june 2007",
+    "agpl3-title": "gnu affero general public license version 3 19 november 2007",
+    "apache-title": "apache license version 2 0 january 2004 http www apache org licenses",
+    "mpl2-title": "mozilla public license version 2 0",
+    "epl2-notice": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "bsl-notice": "distributed under the boost software license version 1 0",
+    "bsl-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "artistic2-title": "the artistic license 2 0",
+    "lgpl21-spdx": "spdx license identifier lgpl 2 1 only",
+    "lgpl21-spdx-later": "spdx license identifier lgpl 2 1 or later",
+    "lgpl3-spdx": "spdx license identifier lgpl 3 0 only",
+    "lgpl3-spdx-later": "spdx license identifier lgpl 3 0 or later",
+    "agpl3-spdx": "spdx license identifier agpl 3 0 only",
+    "agpl3-spdx-later": "spdx license identifier agpl 3 0 or later",
+    "epl2-spdx": "spdx license identifier epl 2 0",
+    "bsl-spdx": "spdx license identifier bsl 1 0",
+    "zlib-spdx": "spdx license identifier zlib",
+    "artistic2-spdx": "spdx license identifier artistic 2 0",
 }
 #: Words of which every known sentence has one.
 WORDS = ("license", "permission", "copyright", "warranty", "licensed", "redistribution", "unencumbered")
@@ -97,6 +124,31 @@ RULES = [
     ("CC-BY-NC-4.0", "notice", ["cc-by-nc-work"]),
     ("CC0-1.0", "notice", ["cc0-spdx"]),
     ("Unlicense", "text", ["unlicense-free"]),
+    ("LGPL-2.1", "header", ["lgpl21-free", "lgpl-useful"]),
+    ("LGPL-2.1", "notice", ["lgpl21-spdx"]),
+    ("LGPL-2.1", "notice", ["lgpl21-spdx-later"]),
+    ("LGPL-2.1", "title", ["lgpl21-title"]),
+    ("LGPL-3.0", "header", ["lgpl3-free", "gpl-useful"]),
+    ("LGPL-3.0", "notice", ["lgpl3-spdx"]),
+    ("LGPL-3.0", "notice", ["lgpl3-spdx-later"]),
+    ("LGPL-3.0", "title", ["lgpl3-title"]),
+    ("AGPL-3.0", "header", ["agpl3-free", "gpl-useful"]),
+    ("AGPL-3.0", "notice", ["agpl3-spdx"]),
+    ("AGPL-3.0", "notice", ["agpl3-spdx-later"]),
+    ("AGPL-3.0", "title", ["agpl3-title"]),
+    ("GPL-3.0", "title", ["gpl3-title"]),
+    ("GPL-2.0", "title", ["gpl2-title"]),
+    ("Apache-2.0", "title", ["apache-title"]),
+    ("MPL-2.0", "title", ["mpl2-title"]),
+    ("EPL-2.0", "notice", ["epl2-notice"]),
+    ("EPL-2.0", "notice", ["epl2-spdx"]),
+    ("BSL-1.0", "text", ["bsl-grant"]),
+    ("BSL-1.0", "notice", ["bsl-notice"]),
+    ("BSL-1.0", "notice", ["bsl-spdx"]),
+    ("Zlib", "text", ["zlib-as-is", "zlib-grant"]),
+    ("Zlib", "notice", ["zlib-spdx"]),
+    ("Artistic-2.0", "notice", ["artistic2-spdx"]),
+    ("Artistic-2.0", "title", ["artistic2-title"]),
 ]
 #: Licenses whose rule is part of another license's: not reported beside it.
 PART_OF = {"BSD-2-Clause": "BSD-3-Clause"}
@@ -122,6 +174,9 @@ STARTS = [
     "unless required by applicable law",
     r"this program is free software[:;,]? you can",
     "this program is distributed in the hope",
+    r"this library is free software[:;,]? you can",
+    "this library is distributed in the hope",
+    r"permission is granted to anyone to use this software",
     "this is free and unencumbered software",
 ]
 #: How a lower-cased text is laid out, in order: (pattern, replacement).
@@ -190,8 +245,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """For every row of docs: doc_id, n_sentences (known ones, of the sequence that has the most), sentences (their identifiers in order, comma-joined), licenses (comma-joined, in the order of the rules) and rules
     (license:rule, likewise).
 
-    Null and empty texts have none; repeated rows are scanned each; an empty table gives an empty result; other columns
-    are ignored.
+    Null and empty texts have none; repeated rows are scanned each; very long texts are scanned whole; an empty table
+    gives an empty result; other columns are ignored.
     """
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER + _QUOTES, _LOWER + " " * len(_QUOTES))
     # split into jobs of a few columns, so that each is evaluated once per row

@@ -186,6 +186,48 @@ def test_license_tables_agree():
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+FAMILIES = {
+    "LGPL-2.1": """/* This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. */""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU Affero General Public License for more details.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented""",
+    "BSL-1.0": "// Distributed under the Boost Software License, Version 1.0. (See\n// accompanying file LICENSE_1_0.txt)",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the\nEclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/\n",
+    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.",
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS",
+}
+
+
+def test_license_families(spark):
+    """Texts as they are found in files, not made from the operator's own sentences."""
+    docs = [(k, text) for k, text in enumerate(FAMILIES.values())]
+    docs += [(50, "A word on licenses: this library is free, the software is provided as it is."), (51, "permission " * 30_000)]
+    got = {r["doc_id"]: r["licenses"] for r in scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(FAMILIES)) | {50: "", 51: ""}
+
+
 def leak_brute(text, items):
     def words(t):
         return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
