@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text, urls
 from ..functions.text import content_digest
+from ..operators.common import shared_folder
 from ..operators.sections import capsules, sections
 from ..sources import store
-from ..streaming.streams import deduplicated_events, run_available, windowed_counts
+from ..streaming.streams import deduplicated_events, run_available, survey_prompts, windowed_counts
 from .tables import table
+from .text_queries import _STRIP, _canonical_sql, _tokens_sql
 
 
 def catalog_browse(spark: SparkSession, d: str) -> DataFrame:
@@ -128,14 +133,35 @@ group by all
 
 
 def document_sections(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("intro\n## Usage\n"), "text", F.lit("\n## Notes\nend")).alias("text"))
-    return sections(docs)
-
-
-SECTIONS = """
-select doc_id, 0::bigint as place, '' as heading, 'intro' as body from documents
-union all select doc_id, 1, 'Usage', regexp_replace(text, '^\\s+|\\s+$', '', 'g') from documents
-union all select doc_id, 2, 'Notes', 'end' from documents
+    """Sections of texts with nested, repeated and empty ones, and with marks that are no headings."""
+    n = F.col("doc_id")
+    led = (
+        F.when(n % 4 == 0, F.concat(F.lit("# One\n"), "text", F.lit("\n### Deep \n\n## One\nagain #not\n####### seven")))
+        .when(n % 4 == 1, F.concat("text", F.lit("\n#nospace\n## Last")))
+        .when(n % 4 == 2, F.concat(F.lit("\n\n## Only\t\n"), "text"))
+        .otherwise(F.concat(F.lit("intro\r\n## Usage\r\n"), "text", F.lit("\n## Notes\nend")))
+    )
+    return sections(table(spark, d, "documents").select("doc_id", led.alias("text")))
+
+
+SECTIONS = rf"""
+with led as (
+  select doc_id, case doc_id % 4
+    when 0 then '# One' || chr(10) || text || chr(10) || '### Deep ' || chr(10) || chr(10) || '## One' || chr(10) || 'again #not' || chr(10) || '####### seven'
+    when 1 then text || chr(10) || '#nospace' || chr(10) || '## Last' when 2 then chr(10) || chr(10) || '## Only' || chr(9) || chr(10) || text
+    else 'intro' || chr(13) || chr(10) || '## Usage' || chr(13) || chr(10) || text || chr(10) || '## Notes' || chr(10) || 'end' end as t
+  from documents
+), lines as (
+  select doc_id, unnest(string_split(c, chr(10))) as line, generate_subscripts(string_split(c, chr(10)), 1) as i
+  from (select doc_id, {_canonical_sql("t")} as c from led)
+), numbered as (
+  select *, sum(case when regexp_matches(line, '^#{{1,6}}[ 	]') then 1 else 0 end) over (partition by doc_id order by i) as place from lines
+), parts as (
+  select doc_id, place::bigint as place, case when place = 0 then '' else regexp_replace(regexp_extract(first(line order by i), '^#{{1,6}}[ 	]+(.*)$', 1), {_STRIP}) end as heading,
+         regexp_replace(coalesce(string_agg(line, chr(10) order by i) filter (place = 0 or not regexp_matches(line, '^#{{1,6}}[ 	]')), ''), {_STRIP}) as body
+  from numbered group by doc_id, place
+)
+select * from parts where place > 0 or body <> ''
 """
 
 
@@ -159,7 +185,87 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def update_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", "source", "lang")
+    return store.update(rows, F.col("lang") == "en", {"source": F.lit("changed"), "lang": F.upper("lang")})
+
+
+def delete_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", "toxic")
+    return store.delete(rows, F.col("toxic") == 0)
+
+
+def delta_export(spark: SparkSession, d: str) -> DataFrame:
+    """A delta written as gzipped JSON lines and read back with its schema."""
+    path = f"{shared_folder(spark)}/delta-{uuid.uuid4().hex}"
+    store.export_delta(_now(spark, d), path)
+    return store.read_json_cases(spark, path, "doc_id long, digest string, source string")
+
+
+def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
+    led = F.concat(F.lit("---\nname: x\n---\n# Title ![badge](http://a/b.svg) see [the page](http://a/b) <b>"), F.substring("text", 1, 300), F.lit("</b>"))
+    return table(spark, d, "documents").select("doc_id", text.clean_markdown(led).alias("clean"))
+
+
+_PROSE = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({_canonical_sql("led")}, '(?s)\A---[ \t]*\n.*?\n---[ \t]*(\n|\z)', ''),
+  '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '<[^>]+>', ' ', 'g')"""
+CLEAN_MARKDOWN = rf"""
+select doc_id, regexp_replace(regexp_replace({_PROSE}, '\s+', ' ', 'g'), {_STRIP}) as clean
+from (select doc_id, '---' || chr(10) || 'name: x' || chr(10) || '---' || chr(10) || '# Title ![badge](http://a/b.svg) see [the page](http://a/b) <b>'
+             || substring(text, 1, 300) || '</b>' as led from documents)
+"""
+
+
+def token_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Jaccard similarity of the tokens of each document and the next one."""
+    docs = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("own"))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("own").alias("next"))
+    return docs.join(after, "doc_id").select("doc_id", F.round(text.jaccard(F.col("own"), F.col("next")), 9).alias("similarity"))
+
+
+TOKEN_OVERLAP = f"""
+with docs as (select doc_id, {_tokens_sql("text")} as own from documents)
+select a.doc_id, round(len(list_intersect(a.own, b.own)) / greatest(1, len(list_distinct(list_concat(a.own, b.own)))), 9) as similarity
+from docs a join docs b on b.doc_id = a.doc_id + 1
+"""
+
+
+def repositories(spark: SparkSession, d: str) -> DataFrame:
+    at = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://github.com/Own-er/Repo"), F.col("page_id"), F.lit("/blob/main/a.md"))).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", urls.owner_and_repository(at).alias("repository"))
+
+
+REPOSITORIES = r"""
+select page_id, lower(regexp_extract(case when page_id % 3 = 0 then 'https://github.com/Own-er/Repo' || page_id || '/blob/main/a.md' else url end,
+  'github\.com/([^/]+/[^/#?]+)', 1)) as repository from pages
+"""
+
+
+def survey_cadence(spark: SparkSession, d: str) -> DataFrame:
+    return run_available(spark, d, "events", survey_prompts).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+SURVEY_CADENCE = """
+with recursive seen as (
+  select user_id, ts, floor(epoch(ts)) as second, row_number() over (partition by user_id order by ts) as place from events
+), walk as (
+  select distinct user_id, 0::bigint as place, 0::bigint as n, -1e18::double as last, false as due, null::timestamp as ts from events
+  union all
+  select w.user_id, s.place, case when w.n + 1 >= 12 and s.second - w.last >= 86400 then 0 else w.n + 1 end,
+         case when w.n + 1 >= 12 and s.second - w.last >= 86400 then s.second else w.last end, w.n + 1 >= 12 and s.second - w.last >= 86400, s.ts
+  from walk w join seen s on s.user_id = w.user_id and s.place = w.place + 1
+)
+select user_id, ts from walk where due
+"""
+
 QUERIES = {
+    "update_rows": (update_rows, "select doc_id, case when lang = 'en' then 'changed' else source end as source, case when lang = 'en' then 'EN' else lang end as lang from documents"),
+    "delete_rows": (delete_rows, "select doc_id, toxic from documents left join labels using (doc_id) where toxic is distinct from 0"),
+    "delta_export": (delta_export, "select doc_id, sha256(text) as digest, source from documents"),
+    "clean_markdown": (clean_markdown, CLEAN_MARKDOWN),
+    "token_overlap": (token_overlap, TOKEN_OVERLAP),
+    "repositories": (repositories, REPOSITORIES),
+    "survey_cadence": (survey_cadence, SURVEY_CADENCE),
     "catalog_browse": (catalog_browse, CATALOG),
     "delta_plan": (delta_plan, DELTA),
     "upsert_documents": (upsert_documents, UPSERT),
