@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .events import linear_percentile
+
 Z = 1.96
 
 
@@ -119,3 +121,35 @@ def bootstrap_lift(rows: DataFrame, draws: int = 200, seed: int = 20260730) -> D
         F.avg(F.when(F.col("treated"), F.col("value"))).alias("t"), F.avg(F.when(~F.col("treated"), F.col("value"))).alias("c")
     )
     return interval.crossJoin(point.select(F.round(F.col("t") / F.col("c") - 1, 6).alias("lift")))
+
+
+# Metrics of the lift gate, the first with enough samples counts, and what is enough in each arm.
+LIFT_METRICS = ["turns", "total_tokens", "tool_calls", "elapsed_seconds"]
+LEAST_SAMPLES = 15
+
+
+def lift_gate(rows: DataFrame, group: str, least: int = LEAST_SAMPLES) -> DataFrame:
+    """(group, metric, routed_samples, holdout_samples, reduction_pct): by how much the routed median lies below the other.
+
+    rows: group, arm (routed or holdout) and a column per metric. Each group is judged by the first metric with ``least``
+    samples in both arms and a held-out median other than 0; groups without one have nulls. Medians are exact and gather
+    no group.
+    """
+    known = rows.where(F.col("arm").isin("routed", "holdout"))
+    pairs = F.array(*[F.struct(F.lit(k).alias("rank"), F.col(m).cast("double").alias("value")) for k, m in enumerate(LIFT_METRICS)])
+    long = known.select(group, "arm", F.explode(pairs).alias("p")).select(group, "arm", "p.*").where("value is not null")
+    key = [group, "rank", "arm"]
+    medians = linear_percentile(long, key, "value", 0.5, "median").join(long.groupBy(*key).agg(F.count("*").alias("n")), key)
+    arm = {a: [F.max(F.when(F.col("arm") == a, F.col(c))).alias(f"{a}_{c}") for c in ("median", "n")] for a in ("routed", "holdout")}
+    both = medians.groupBy(group, "rank").agg(*arm["routed"], *arm["holdout"])
+    both = both.where((F.col("routed_n") >= least) & (F.col("holdout_n") >= least) & (F.col("holdout_median") != 0))
+    first = both.groupBy(group).agg(F.min(F.struct("rank", "routed_median", "holdout_median", "routed_n", "holdout_n")).alias("f"))
+    lift = (F.col("f.holdout_median") - F.col("f.routed_median")) / F.col("f.holdout_median") * 100
+    out = rows.select(group).distinct().join(first, group, "left")
+    return out.select(
+        group,
+        F.element_at(F.array(*[F.lit(m) for m in LIFT_METRICS]), F.col("f.rank") + 1).alias("metric"),
+        F.col("f.routed_n").alias("routed_samples"),
+        F.col("f.holdout_n").alias("holdout_samples"),
+        F.round(lift, 1).alias("reduction_pct"),
+    )

@@ -400,7 +400,34 @@ with marked as (
 select user_id, min(ts) as start, max(ts) + interval 12 hours as "end", count(*) as n from numbered group by user_id, s
 """
 
+_MEASURED = """
+select event_type as family, case when user_id % 2 = 0 then 'routed' when user_id % 10 = 1 then null else 'holdout' end as arm,
+       case when event_type = 'view' then null when event_id % 3 = 0 then event_id % 11 end as turns,
+       case when event_type = 'signup' then 0 when event_id % 400 = 0 then null else value * (1 + event_id % 2) end as total_tokens,
+       case when event_type = 'error' then event_id % 7 end as tool_calls, event_id % 97 as elapsed_seconds
+from {events} where event_type <> 'signup' or event_id % 5 > 0
+"""
+
+
+def lift_gate(spark: SparkSession, d: str) -> DataFrame:
+    return S.lift_gate(spark.sql(_MEASURED, events=table(spark, d, "events")), "family")
+
+
+LIFT_GATE = f"""
+with measured as ({_MEASURED.format(events="events")}), long as (
+  select family, arm, unnest([0, 1, 2, 3]) as rank, unnest([turns::double, total_tokens::double, tool_calls::double, elapsed_seconds::double]) as v from measured
+  where arm is not null
+), arms as (
+  select family, rank, quantile_cont(v, 0.5) filter (arm = 'routed') as r, quantile_cont(v, 0.5) filter (arm = 'holdout') as h,
+         count(v) filter (arm = 'routed') as rn, count(v) filter (arm = 'holdout') as hn
+  from long where v is not null group by all
+), firsts as (select * from arms where rn >= 15 and hn >= 15 and h <> 0 qualify row_number() over (partition by family order by rank) = 1)
+select family, ['turns', 'total_tokens', 'tool_calls', 'elapsed_seconds'][rank + 1] as metric, rn as routed_samples, hn as holdout_samples, round((h - r) / h * 100, 1) as reduction_pct
+from (select distinct family from measured) left join firsts using (family)
+"""
+
 QUERIES = {
+    "lift_gate": (lift_gate, LIFT_GATE),
     "intent_fusion": (intent_fusion, INTENT_FUSION),
     "hit_rates": (hit_rates, HIT_RATES),
     "clear_winners": (clear_winners, CLEAR_WINNERS),
