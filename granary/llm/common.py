@@ -21,7 +21,7 @@ EDGES_PER_TASK = 200_000
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one where none is set and Spark runs on one machine."""
-    sc = prepared(spark).sparkContext
+    sc = ready(spark).sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
@@ -54,12 +54,53 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs, written once with a number of each row, and the name of that column, which no other has."""
-    row = "row"
-    while row in {c.lower() for c in docs.columns}:
-        row = f"_{row}"
-    return written(docs.withColumn(row, F.monotonically_increasing_id())), row
+class Scratch:
+    """Tables in the shared folder that are needed until ``clear``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.paths.append(new_path(self.spark))
+        return written(df, self.paths[-1])
+
+    def clear(self) -> None:
+        for path in self.paths:
+            removed(self.spark, path)
+        self.paths = []
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches of few rows (unless it says otherwise), since a row may be a long text."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return prepared(spark)
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, two independent hashes (h, g) of the text, and text: rows that agree in all have the same doc_id and text."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), F.hash("text").alias("g"), "text")
+
+
+def rows_that_stay(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """docs, with all its columns, after decisions (doc_id, h, g, kept) on its rows: of rows with equal doc_id and text, which
+    are as good as one, one stays if any was kept, and none otherwise. Rows without a decision stay.
+    """
+    keys = decided.groupBy("doc_id", "h", "g").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    keys = cut(keys.where("not kept or n > 1"))
+    gone, repeated = keys.where("not kept"), keys.where("kept")
+    text, doc_id = docs["text"].cast("string"), docs["doc_id"].cast("long")
+
+    def joined(left: DataFrame, side: DataFrame, how: str) -> DataFrame:
+        same = doc_id.eqNullSafe(side["doc_id"]) & (F.xxhash64(text) == side["h"]) & (F.hash(text) == side["g"])
+        return left.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS // 2 else side, same, how)
+
+    out = joined(docs, gone, "left_anti")
+    if repeated.isEmpty():
+        return out
+    one = joined(docs, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+    return joined(out, repeated, "left_anti").unionByName(one)
 
 
 def semi_join_sized(left: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:

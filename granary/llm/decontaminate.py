@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, semi_join_sized, written
+from .common import BROADCAST_ROWS, cut, identified, semi_join_sized, written
 from .text import LOWER, WORD, text_chunks, word_hashes, words
 
 WINDOW = 10
@@ -74,12 +74,6 @@ class _Terms:
         return at[self.terms[near] == h[at]]
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text and two independent hashes (h, g) of the text."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), F.hash("text").alias("g"), "text")
-
-
 def benchmark_terms(benchmark: DataFrame) -> DataFrame:
     """(item, item_id, words, terms, block): the words of each item and their hashes; items without words are left out.
 

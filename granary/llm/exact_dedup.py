@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, numbered, semi_join_sized, written
+from .common import cut, identified, rows_that_stay, written
 
 #: Code points in a block.
 BLOCK = 2048
@@ -46,16 +46,14 @@ def _named(keys: DataFrame, columns: list[str]) -> DataFrame:
     return keys.withColumn("name", place * shards + F.col("shard")).drop("shard")
 
 
-def block_names(docs: DataFrame, block: int = BLOCK, bucket: Callable[[Column], Column] = F.xxhash64, row: str | None = None) -> DataFrame:
-    """One row per row of docs, without its text: row, doc_id, n_chars (of the original), n_blocks, name, text_sha256.
-
-    ``row`` names a column that numbers the rows of docs; without one they are numbered here.
+def block_names(docs: DataFrame, block: int = BLOCK, bucket: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """One row per row of docs, without its text: row, doc_id, h and g (as of identified), n_chars (of the original),
+    n_blocks, name, text_sha256.
 
     Rows have equal (n_blocks, name) exactly when their normalised texts are equal. ``bucket`` is the first key of the
     sort of blocks; it may collide at any rate.
     """
-    number = F.monotonically_increasing_id() if row is None else F.col(row)
-    text = docs.select(number.alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
+    text = identified(docs).withColumn("row", F.monotonically_increasing_id())
     text = text.withColumn("flat", normalised(F.col("text")))
     content = text.select(F.explode(_blocks(F.col("flat"), block)).alias("block"))
     content = content.select(bucket(F.col("block")).cast("long").alias("bucket"), "block").distinct()
@@ -73,6 +71,8 @@ def block_names(docs: DataFrame, block: int = BLOCK, bucket: Callable[[Column],
         text.select(
             "row",
             "doc_id",
+            "h",
+            "g",
             F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"),
             F.sha2(F.encode("flat", "UTF-8"), 256).alias("text_sha256"),
             blocks.alias("buckets"),
@@ -106,6 +106,8 @@ def block_names(docs: DataFrame, block: int = BLOCK, bucket: Callable[[Column],
     return out.select(
         "row",
         "doc_id",
+        "h",
+        "g",
         "n_chars",
         F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"),
         F.coalesce("name", F.lit(0)).alias("name"),
@@ -120,19 +122,20 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     repeated rows) one of them. Null texts are empty texts, and those are equal to each other. A null doc_id orders
     last. Empty tables give empty results; other columns are ignored.
     """
-    return _groups(docs, **options).drop("row")
+    return _groups(docs, **options).drop("h", "g")
 
 
 def _groups(docs: DataFrame, **options) -> DataFrame:
-    """exact_duplicates with ``row``."""
+    """exact_duplicates with h and g (as of identified)."""
     rows = cut(block_names(docs, **options))
     # the smallest of (fewer code points last, doc_id, row)
     rank = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("void"), "doc_id", "row")
     groups = cut(rows.groupBy("n_blocks", "name").agg(F.min(rank).alias("first"), F.count("*").alias("group_size")))
     out = rows.join(groups, ["n_blocks", "name"])
     return out.select(
-        "row",
         "doc_id",
+        "h",
+        "g",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",
         (F.col("row") == F.col("first.row")).alias("kept"),
@@ -143,10 +146,7 @@ def _groups(docs: DataFrame, **options) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """docs, with all its columns, without the rows that exact_duplicates drops.
 
-    Rows are numbered, so of repeated rows one stays, whatever their doc_id; of equal texts with a null doc_id others go
-    first. Null and empty texts are equal, very long ones are compared whole, columns may have any names, and an empty
-    table stays empty.
+    Of repeated rows one stays, whatever their doc_id; of equal texts with a null doc_id others come first. Null and empty
+    texts are equal, very long ones are compared whole, columns may have any names, and an empty table stays empty.
     """
-    docs, row = numbered(docs)
-    gone = cut(_groups(docs.select(row, "doc_id", "text"), row=row).where("not kept").select(F.col("row").alias(row)))
-    return semi_join_sized(docs, gone, row, how="left_anti").drop(row)
+    return rows_that_stay(docs, _groups(docs).select("doc_id", "h", "g", "kept"))

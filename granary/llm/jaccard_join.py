@@ -37,7 +37,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, connected_components, cut, merged_components, new_path, numbered, removed, semi_join_sized, written
+from .common import (
+    BROADCAST_ROWS,
+    Scratch,
+    connected_components,
+    cut,
+    identified,
+    merged_components,
+    ready,
+    rows_that_stay,
+    semi_join_sized,
+    written,
+)
 from .text import set_name, shingle_sets
 
 #: Sets in a region beyond which its shingle is ordered last.
@@ -75,7 +86,7 @@ def _first(n: int, percent: int) -> int:
 
 
 def _profiles(docs: DataFrame, percent: int) -> DataFrame:
-    """For every row of docs: doc_id, h (of the text), set_id, n, and its first shingles in the order of hashes."""
+    """For every row of docs: doc_id, h, g, set_id, n, and its first shingles in the order of hashes."""
 
     def profile(batches):
         for batch in batches:
@@ -87,10 +98,10 @@ def _profiles(docs: DataFrame, percent: int) -> DataFrame:
                 if n:
                     names[row] = set_name(s)
                     firsts[row] = s[: _first(n, percent)].tobytes()
-            yield _batch(doc_id=batch.column(0), h=batch.column(1), set_id=names, n=sizes, firsts=pa.array(firsts, pa.binary()))
+            ids = dict(zip(("doc_id", "h", "g"), batch.columns, strict=False))
+            yield _batch(**ids, set_id=names, n=sizes, firsts=pa.array(firsts, pa.binary()))
 
-    rows = docs.select("doc_id", "h", "text")
-    return rows.mapInArrow(profile, "doc_id long, h long, set_id long, n long, firsts binary")
+    return docs.mapInArrow(profile, "doc_id long, h long, g int, set_id long, n long, firsts binary")
 
 
 def _spread(sets: DataFrame, column: str, *more: str) -> DataFrame:
@@ -178,7 +189,7 @@ def _ranked(full: DataFrame, late: DataFrame) -> DataFrame:
     return full.join(hits, "set_id", "left")
 
 
-def _reordered(docs: DataFrame, sets: DataFrame, names: DataFrame, late: DataFrame, percent: int) -> DataFrame:
+def _reordered(docs: DataFrame, sets: DataFrame, names: DataFrame, late: DataFrame, percent: int, tables: Scratch) -> DataFrame:
     """(set_id, n, firsts, early): the first shingles of the sets in an order in which late ones come last, the rarer first.
 
     early: how many of them aren't late.
@@ -218,7 +229,7 @@ def _reordered(docs: DataFrame, sets: DataFrame, names: DataFrame, late: DataFra
                 rows.append((name, n, *ordered(np.frombuffer(shingles, np.int64), values[:, 0], values[:, 1])))
             yield made(rows)
 
-    return _ranked(written(_sets(docs, sets, names)), late).mapInArrow(order_marked, schema)
+    return _ranked(tables.written(_sets(docs, sets, names)), late).mapInArrow(order_marked, schema)
 
 
 def _size(place):
@@ -305,7 +316,7 @@ def _inner_pairs(regions: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(pairs, "a long, b long").distinct()
 
 
-def _plausible(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _plausible(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, tables: Scratch) -> DataFrame:
     """Those of the pairs (a, b) whose signatures leave room for a link."""
 
     def decide(batches):
@@ -318,18 +329,18 @@ def _plausible(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     names = cut(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
-    held = written(_signatures(docs, sets, names))
+    held = tables.written(_signatures(docs, sets, names))
     left = held.select(F.col("set_id").alias("a"), F.col("signature").alias("x"), F.col("n").alias("nx"))
     right = held.select(F.col("set_id").alias("b"), F.col("signature").alias("y"), F.col("n").alias("ny"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "nx", "y", "ny")
     return both.mapInArrow(decide, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, tables: Scratch) -> DataFrame:
     """Those of the distinct pairs (a, b) that are linked; sets are read for plausible pairs only."""
-    pairs = cut(_plausible(pairs, docs, sets, percent))
+    pairs = cut(_plausible(pairs, docs, sets, percent, tables))
     names = cut(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
-    return cut(_linked(pairs, written(_sets(docs, sets, names)), percent))
+    return cut(_linked(pairs, tables.written(_sets(docs, sets, names)), percent))
 
 
 def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -378,42 +389,43 @@ class _Pivots:
 
 
 def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents' sets (doc_id, set_id, n_shingles), exact links (a, b) that connect the sets of each group, and the
+    """The documents' sets (doc_id, h, g, set_id, n_shingles), exact links (a, b) that connect the sets of each group, and the
     groups (node, label).
 
     Two sets within the threshold are always connected by links; not every link of a dense group is listed.
     docs: doc_id long and text string. A null or blank text has an empty set, which links with nothing.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    docs = docs.withColumn("h", F.xxhash64("text"))
-    path = new_path(docs.sparkSession)
-    profile = written(_profiles(docs, percent), path)
-    members = written(profile.select("doc_id", "set_id", F.col("n").alias("n_shingles")))
+    docs = identified(docs)
+    scratch = Scratch(ready(docs.sparkSession))
+    profile = scratch.written(_profiles(docs, percent))
+    members = written(profile.select("doc_id", "h", "g", "set_id", F.col("n").alias("n_shingles")))
     sets = profile.where("n > 0").groupBy("set_id")
-    sets = written(sets.agg(F.min("h").alias("h"), F.min("n").alias("n"), F.first("firsts").alias("firsts")))
-    removed(docs.sparkSession, path)
-    rows, late_rows = _in_order(docs, sets, percent)
+    tables = Scratch(scratch.spark)
+    sets = tables.written(sets.agg(F.min("h").alias("h"), F.min("n").alias("n"), F.first("firsts").alias("firsts")))
+    scratch.clear()
+    rows, late_rows = _in_order(docs, sets, percent, tables)
 
-    regions = written(_regions(rows, percent))
+    regions = tables.written(_regions(rows, percent))
     large = F.col("size") > 4 * REGION
-    late_rows = _late_regions(late_rows.unionByName(regions.where(large).select("s", "set_id", "place")), percent)
+    late_rows = _late_regions(late_rows.unionByName(regions.where(large).select("s", "set_id", "place")), percent, tables)
     regions = regions.where(~large)
     star = regions.where("set_id <> pivot").where(_window("place", "at", percent))
     star = star.select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b"))
     star = star.unionByName(_late_star(late_rows, percent))
     star = cut(star.distinct())
-    links = _verified(star, docs, sets, percent)
+    links = _verified(star, docs, sets, percent, tables)
     labels = connected_components(links)
 
     small = _labelled(regions.select("s", "set_id", "place"), labels)
     rest = _inner_pairs(small, percent).join(star, ["a", "b"], "left_anti")
-    more = _verified(cut(rest), docs, sets, percent)
+    more = _verified(cut(rest), docs, sets, percent, tables)
     links, labels = links.unionByName(more), merged_components(labels, more)
-    more = cut(_late_links(late_rows, docs, sets, labels, percent))
+    more = cut(_late_links(late_rows, docs, sets, labels, percent, tables))
+    tables.clear()
     return members, links.unionByName(more), merged_components(labels, more)
 
 
-def _in_order(docs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _in_order(docs: DataFrame, sets: DataFrame, percent: int, tables: Scratch) -> tuple[DataFrame, DataFrame]:
     """(s, set_id, place): the first shingles of every set in the common order, those that aren't late and those that are."""
     rows = _spread(sets, "firsts")
     crowded = rows.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") > REGION)
@@ -426,7 +438,7 @@ def _in_order(docs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
     late = cut(crowded.unionByName(ahead).groupBy("s").agg(F.max("df").alias("df")))
     # sets of which only a shingle that is crowded elsewhere is among the first
     names = cut(semi_join_sized(rows, late.select("s"), "s").select("set_id").distinct())
-    ordered = written(_reordered(docs, sets, names, late, percent))
+    ordered = tables.written(_reordered(docs, sets, names, late, percent, tables))
     early = F.col("place").bitwiseAND(F.lit(_LOW)) < F.col("early")
     moved = _spread(ordered, "firsts", "early")
     same = _spread(semi_join_sized(sets, names, "set_id", how="left_anti"), "firsts")
@@ -439,14 +451,14 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("s", "set_id", "place", F.coalesce("label", "set_id").alias("label"))
 
 
-def _late_regions(rows: DataFrame, percent: int) -> DataFrame:
+def _late_regions(rows: DataFrame, percent: int, tables: Scratch) -> DataFrame:
     """(s, set_id, place, core, low, high) of the regions with a core: with their smallest and largest core set and its place."""
     rows = rows.withColumn("core", _is_core("place", percent))
     pivot = F.struct("set_id", "place")
     pivots = rows.where("core").groupBy("s").agg(F.min(pivot).alias("low"), F.max(pivot).alias("high"))
     pivots = cut(pivots)
     side = F.broadcast(pivots) if pivots.count() <= BROADCAST_ROWS // 4 else pivots
-    return written(rows.join(side, "s"))
+    return tables.written(rows.join(side, "s"))
 
 
 def _late_star(rows: DataFrame, percent: int) -> DataFrame:
@@ -457,7 +469,9 @@ def _late_star(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b"))
 
 
-def _late_links(rows: DataFrame, docs: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _late_links(
+    rows: DataFrame, docs: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, tables: Scratch
+) -> DataFrame:
     """Links (a, b) between sets of late regions that are not connected: one for each set, component and block."""
     rows = _labelled(rows.select("s", "set_id", "place"), labels).withColumn("core", _is_core("place", percent))
     parts = rows.groupBy("s", "label").agg(F.count("*").alias("size"))
@@ -465,7 +479,7 @@ def _late_links(rows: DataFrame, docs: DataFrame, sets: DataFrame, labels: DataF
     open_ = cut(open_.where("parts > 1").select("s", F.col("top.label").alias("region")))
     side = F.broadcast(open_) if open_.count() <= BROADCAST_ROWS else open_
     placed = rows.join(side, "s").groupBy("region", "set_id").agg(F.max("core").alias("core"), F.first("label").alias("label"))
-    placed = written(placed.join(sets.select("set_id", "n"), "set_id"))
+    placed = tables.written(placed.join(sets.select("set_id", "n"), "set_id"))
     guest = F.col("label") != F.col("region")
 
     def sides(who):
@@ -474,7 +488,7 @@ def _late_links(rows: DataFrame, docs: DataFrame, sets: DataFrame, labels: DataF
 
     blocks = placed.groupBy("region").agg(sides(F.lit(True)).alias("i"), sides(guest).alias("j"))
     placed = placed.join(cut(blocks.where("j > 0")), "region")
-    full = written(_sets(docs, sets, cut(placed.select("set_id").distinct())))
+    full = tables.written(_sets(docs, sets, cut(placed.select("set_id").distinct())))
     # every set meets every set that is not connected with the largest component, in one block
     own, other = F.pmod(F.xxhash64("set_id"), F.col("i")), F.pmod(F.xxhash64("set_id"), F.col("j"))
     kept = ["region", "set_id", "core", "label"]
@@ -522,10 +536,10 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     Of repeated rows one stays; a null doc_id orders last. Texts without a word are a group each and stay. An empty
     table stays empty, and columns may have any names.
     """
-    docs, row = numbered(docs)
-    found = near_duplicate_groups(docs.select(F.col(row).alias("doc_id"), "text"), percent).where("n_shingles > 0")
-    ids = docs.select(F.col(row).alias("_row"), F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("_rank"))
-    ranked = found.join(ids, found["doc_id"] == ids["_row"]).select("_row", "_rank", "component_id")
-    best = cut(ranked.groupBy("component_id").agg(F.min("_rank").alias("_best")))
-    gone = cut(ranked.join(best, "component_id").where("_rank <> _best").select(F.col("_row").alias(row)))
-    return semi_join_sized(docs, gone, row, how="left_anti").drop(row)
+    members, _, labels = shingle_links(docs, percent)
+    rows = members.where("n_shingles > 0").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+    rank = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "h", "g")
+    rows = rows.select("doc_id", "h", "g", F.coalesce("label", "set_id").alias("label"), rank.alias("rank"))
+    best = cut(rows.groupBy("label").agg(F.min("rank").alias("best")))
+    decided = rows.join(best, "label").select("doc_id", "h", "g", F.col("rank").eqNullSafe(F.col("best")).alias("kept"))
+    return rows_that_stay(docs, decided)

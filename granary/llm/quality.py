@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ready
 from .learning import Adam, bounded_sample, sigmoid
 from .text import LOWER, NOT_SPACE, text_chunks, word_hashes, words
 
@@ -232,6 +233,7 @@ def drop_low_quality(docs: DataFrame) -> DataFrame:
     Decided row by row from the text: null and repeated doc_ids, repeated rows and columns of any name change nothing;
     null, empty and very short texts stay, very long ones are judged whole, an empty table stays empty.
     """
+    ready(docs.sparkSession)
     weights, bias = train(docs)
     at = docs.columns.index("text")
 

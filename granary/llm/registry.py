@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.common import prepared
+from .common import ready
 from .decontaminate import decontaminate
 from .exact_dedup import exact_duplicates
 from .jaccard_join import near_duplicate_groups
@@ -21,7 +21,7 @@ from .toxicity import toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return prepared(spark).read.parquet(f"{folder}/{name}.parquet")
+    return ready(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

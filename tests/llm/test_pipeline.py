@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from granary.llm.quality import quality
 
-from .fixtures import prose
+from .fixtures import awkward, prose
 from .test_dedup import exact_brute, near_brute
 from .test_scans import leak_brute
 
@@ -48,3 +48,20 @@ def test_stages_keep_the_columns_of_documents(spark, folder):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder[0]).columns == docs.columns
         assert stage(spark, docs.where("false"), folder[0]).count() == 0
+
+
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    """Null and repeated doc_ids, repeated rows, null and empty texts, clashing column names, empty tables."""
+    items = spark.createDataFrame([(1, "words that no document has at all")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    docs = awkward(spark)
+    for name in ("_row", "_rank", "_gone", "_hit", "h", "g", "kept", "keys", "item"):
+        if name not in docs.columns:
+            docs = docs.selectExpr("*", f"1 as {name}")
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got if r["text"]) == [(1, "same words in every row")]
+    assert [r["doc_id"] for r in got if not r["text"]] == [2] and len(got) == 2
+    items.write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    docs.where("false").write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
