@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text, urls
+from ..functions import safety, text, urls
 from ..functions.text import content_digest
 from ..operators.common import shared_folder
 from ..operators.sections import capsules, sections
 from ..sources import store
 from ..streaming.streams import deduplicated_events, run_available, survey_prompts, windowed_counts
 from .tables import table
-from .text_queries import _STRIP, _canonical_sql, _tokens_sql
+from .text_queries import _KIND, _STRIP, _canonical_sql, _tokens_sql
 
 
 def catalog_browse(spark: SparkSession, d: str) -> DataFrame:
@@ -170,6 +170,19 @@ def document_capsules(spark: SparkSession, d: str) -> DataFrame:
     return capsules(docs, 400)
 
 
+CAPSULES = rf"""
+with masked as (
+  select doc_id, {_canonical_sql("array_to_string(list_transform(string_split(text, chr(10)), lambda s: case " + _KIND + " when 1 then '" + safety.CREDENTIAL_MARK + "' when 2 then '" + safety.CONTROL_MARK + "' else s end), chr(10))")} as m
+  from documents
+), bodies as (select doc_id, regexp_replace(m, {_STRIP}) as body, chr(10) || chr(10) as gap from masked),
+first as (
+  select *, case when body <> '' and length('intro' || gap || '## Usage' || chr(10) || body) <= 400 then 'intro' || gap || '## Usage' || chr(10) || body else 'intro' end as c
+  from bodies
+), second as (select *, case when length(c || gap || '## Notes' || chr(10) || 'end') <= 400 then c || gap || '## Notes' || chr(10) || 'end' else c end as capsule from first)
+select doc_id, capsule, (1 + case when c <> 'intro' then 1 else 0 end + case when capsule <> c then 1 else 0 end)::int as n_sections from second
+"""
+
+
 def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = run_available(spark, d, "events", lambda s: windowed_counts(s, "6 hours", "1 hour"), complete=True)
     return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
@@ -286,7 +299,7 @@ QUERIES = {
     "audit_buckets": (audit_buckets, AUDIT),
     "package_audit": (package_audit, PACKAGES),
     "document_sections": (document_sections, SECTIONS),
-    "document_capsules": (document_capsules, None),
+    "document_capsules": (document_capsules, CAPSULES),
     "stream_window_counts": (stream_window_counts, WINDOWS),
     "stream_dedupe": (stream_dedupe, "select event_id, ts, user_id, event_type, value from events"),
 }
