@@ -86,13 +86,13 @@ def near_brute(docs, percent=75):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [2])
 def test_near_duplicate_groups(spark, seed):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicate_groups(documents(spark, seed)).collect()}
     assert got == near_brute(rows(seed))
 
 
-@pytest.mark.parametrize("region, block, broadcast", [(32, 250_000, 2_000_000), (3, 500, 2_000_000), (3, 500, 0)])
+@pytest.mark.parametrize("region, block, broadcast", [(3, 500, 2_000_000), (3, 500, 0)])
 def test_near_duplicate_groups_of_a_dense_neighbourhood(spark, monkeypatch, region, block, broadcast):
     """One text with up to 14 of 60 words changed: links at all distances around the threshold, late shingles, blocks."""
     monkeypatch.setattr(jaccard_join, "REGION", region)
