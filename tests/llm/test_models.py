@@ -147,11 +147,13 @@ def test_language_network_against_loops(spark):
             assert (got[d]["lang_pred"], got[d]["score"]) == ("und", 0.0)
 
 
-def test_rare_languages_are_learned(spark, monkeypatch):
+def test_rare_languages_are_in_the_sample(spark, monkeypatch):
     monkeypatch.setattr(language, "SAMPLE", 60)
-    docs = [(k, "kalomitu " * 20, "aa") for k in range(3000)] + [(k, "schungerei " * 20, "bb") for k in range(3000, 3020)]
-    got = language_id(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()
-    assert all(r["lang_pred"] == ("aa" if r["doc_id"] < 3000 else "bb") for r in got)
+    docs = [(k, "aa" if k < 3000 else "bb" if k < 3020 else "cc") for k in range(3400)]
+    sample = language._by_language(spark.createDataFrame(docs, "doc_id long, lang string"))
+    found = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert found["bb"] == 20 and 5 <= found["aa"] <= 40 and 5 <= found["cc"] <= 40
+    assert language._by_language(spark.createDataFrame([], "doc_id long, lang string")).count() == 0
 
 
 def test_em_against_documents():
