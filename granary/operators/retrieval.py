@@ -52,8 +52,9 @@ class _Best:
 
     def batch(self, ids: np.ndarray) -> pa.RecordBatch:
         sizes = [len(s) for s, _ in self.held]
-        s, d = (np.concatenate([*x, np.zeros(0)]) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0),) * 2
-        return pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(ids, sizes)), "doc_id": pa.array(d.astype(np.int64)), "score": pa.array(s)})
+        scores = np.concatenate([np.zeros(0), *(s for s, _ in self.held)])
+        docs = np.concatenate([np.zeros(0, np.int64), *(d for _, d in self.held)])
+        return pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(ids, sizes)), "doc_id": pa.array(docs), "score": pa.array(scores)})
 
 
 def _blocked(queries: DataFrame, top, block: int) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation_queries, event_queries, intent_queries, quality_queries, retrieval_queries, store_queries, text_queries
+from . import evaluation_queries, event_queries, intent_queries, package_queries, quality_queries, retrieval_queries, store_queries, text_queries
 
 FLAGSHIP = "hybrid_search"
 _ALL = {
@@ -14,6 +14,7 @@ _ALL = {
     **text_queries.QUERIES,
     **quality_queries.QUERIES,
     **intent_queries.QUERIES,
+    **package_queries.QUERIES,
     **event_queries.QUERIES,
     **store_queries.QUERIES,
     **evaluation_queries.QUERIES,

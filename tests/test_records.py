@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from granary.functions import intent, record, safety
+from granary.functions import intent, package, record, safety
+from granary.operators import retrieval
 
 
 def one(spark, **columns):
@@ -116,3 +117,22 @@ def test_delivery(spark):
     cases = {"": "content_unavailable", "no front": "invalid_skill_frontmatter", FRONT: "public-source-distilled", FRONT + "x" * 24_000: "public-source-isolated-full"}
     for text, reason in cases.items():
         assert one(spark, x=safety.delivery(F.lit(text)))["x"]["reason"] == reason
+
+
+def test_package_files(spark):
+    paths = {"./a//b/.": "a/b", "a\\b": "a/b", "/x": None, "a/../b": None, "": None, ".": None, None: None}
+    for path, want in paths.items():
+        assert one(spark, x=package.safe_path(some(path)))["x"] == want
+    roles = {"SKILL.md": "entrypoint", "docs/Copying": "license", "x/README": "readme", "references/x": "reference", "a.PS1": "script", "q.schema.json": "schema", "a/b": "other"}
+    for path, want in roles.items():
+        assert one(spark, x=package.file_role(F.lit(path), F.lit("SKILL.md")))["x"] == want
+    assert one(spark, x=package.license_id(F.lit("no license named")))["x"] is None
+    assert one(spark, x=package.severity(F.array(F.lit("Pass"), F.lit("WARN"))))["x"] == "warn"
+
+
+def test_large_ids_survive_lexical_search(spark):
+    docs = spark.createDataFrame([(2**60 + k, "alpha beta" + " gamma" * (k % 2)) for k in range(5)], "doc_id long, text string")
+    asked = spark.createDataFrame([(2**59 + 1, "gamma alphas")], "query_id long, text string")
+    got = [tuple(r) for r in retrieval.lexical_topk(asked, docs, 3).orderBy("position").collect()]
+    assert got == [(2**59 + 1, 2**60 + 3, 2, 1), (2**59 + 1, 2**60 + 1, 2, 2), (2**59 + 1, 2**60 + 4, 1, 3)]
+    assert retrieval.bm25_topk(asked, docs, 1).first()["doc_id"] == 2**60 + 3
