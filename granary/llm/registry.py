@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import ready
 from .decontaminate import decontaminate
 from .exact_dedup import exact_duplicates
+from .filter_audit import filter_audit
 from .jaccard_join import near_duplicate_groups
 from .language import language_id
 from .licenses import scan_licenses
 from .line_dedup import line_dedup
 from .mixing import mixed_order
+from .packing import pack
+from .periodic_runs import run_digest, with_planted_runs, word_runs
 from .quality import quality
 from .secrets import scan_secrets
 from .sql import SQL
@@ -64,6 +67,18 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup(table(spark, folder, "documents"))
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return run_digest(word_runs(with_planted_runs(table(spark, folder, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_exact_dedup,
@@ -76,6 +91,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality,
         op9_license_scan,
         op10_line_dedup,
+        op11_packing,
+        op12_filter_audit,
+        op13_periodic_runs,
     )
     return {f.__name__: f for f in ops}
 

@@ -115,6 +115,38 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
 from marked group by doc_id
 """
 
+_AUDIT = r"""
+with parts as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws
+  from documents
+), judged as (
+  select part, t, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+         [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+          regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) over (partition by t), false)] as fails
+  from parts left join (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id) using (doc_id)
+), masks as (
+  select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from judged group by all
+), letters(x, k) as (values ('A', 1), ('B', 2), ('C', 3), ('D', 4), ('E', 5)),
+orders as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order, [a.k, b.k, c.k, d.k, e.k] as ks
+  from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), steps as (
+  select part, filter_order, step, ks[step] as k, fails, n, good, toxic,
+         fails[ks[step]] as own, len(list_filter(ks[1:step - 1], lambda j: fails[j])) > 0 as gone
+  from masks, orders, range(1, 6) r(step)
+), found as (
+  select part, filter_order, step::int as step, k,
+         coalesce(sum(n) filter (not own and not gone), 0)::bigint as kept, coalesce(sum(n) filter (own and not gone), 0)::bigint as removed,
+         coalesce(sum(n) filter (own and gone), 0)::bigint as redundant,
+         coalesce(sum(n) filter (own and len(list_filter(fails, lambda f: f)) = 1), 0)::bigint as unique_fails,
+         coalesce(sum(good) filter (own and not gone), 0)::bigint as good_lost, coalesce(sum(toxic) filter (own and not gone), 0)::bigint as toxic_lost
+  from steps group by all
+)
+select * exclude (k), (sum(removed) over (partition by part, k))::bigint as shapley from found
+"""
+
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -176,4 +208,5 @@ SQL = {
     "op6_decontamination": _DECONTAMINATE,
     "op9_license_scan": _licenses(),
     "op10_line_dedup": _LINES,
+    "op12_filter_audit": _AUDIT,
 }
