@@ -39,10 +39,12 @@ POOL_TOKENS, STEP_TOKENS = 1 << 21, 1 << 17
 #: The id after the last token of a document.
 END_ID = 1
 #: Pieces whose ids a task remembers.
-KNOWN = 1 << 18
+KNOWN = 1 << 19
 
-#: How the tokenizer cuts lower-case ASCII text, fixed by its file.
-_ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 \t-\r]+")
+#: Texts of ASCII and the letters of Western languages, which neither normalisation nor a lower-case form of two characters
+#: changes, and how the tokenizer cuts them in lower case, fixed by its file.
+_PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-įı-ž]*")
+_PIECE_OF_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-zß-öø-ž0-9 \t-\r]+")
 _SPACE = re.compile(r"[ \t-\r]+")
 _SPECIAL = re.compile(r"<\|startoftext\|>|<\|endoftext\|>")
 
@@ -51,23 +53,25 @@ class Ids(dict):
     """The ids (little-endian, 32 bits each) of pieces of text, remembered.
 
     The tokenizer forgets white space and never joins what stands on two sides of it, so words can be looked up one by one,
-    and ASCII words in the pieces that it cuts them into. Words with other characters, and texts that name a special token,
-    are left to the tokenizer.
+    and words of Western letters in the pieces that it cuts them into. Words with other characters, and texts that name a
+    special token, are left to the tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isprintable():
-            found = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+        if _PIECE_OF_PLAIN.fullmatch(piece) and _PLAIN.fullmatch(piece):
+            (own, _), *_ = self.bytes.pre_tokenize_str(piece)
+            found = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(own)])
         else:
             found = self.encoded(piece)
         if len(piece) < 64:
@@ -79,12 +83,12 @@ class Ids(dict):
             self.clear()
         if _SPECIAL.search(text):
             return self.encoded(text)
-        if text.isascii():
-            return b"".join(map(self.__getitem__, _ASCII_PIECE.findall(text.lower())))
+        if _PLAIN.fullmatch(text):
+            return b"".join(map(self.__getitem__, _PIECE_OF_PLAIN.findall(text.lower())))
         out = []
         for word in _SPACE.split(text):
-            if word.isascii():
-                out += map(self.__getitem__, _ASCII_PIECE.findall(word.lower()))
+            if _PLAIN.fullmatch(word):
+                out += map(self.__getitem__, _PIECE_OF_PLAIN.findall(word.lower()))
             else:
                 out.append(self[word])
         return b"".join(out)

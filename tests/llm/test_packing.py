@@ -30,7 +30,7 @@ def doc_ids(tokenizer, text):
 def test_ids_are_the_tokenizers(tokenizer):
     rng = random.Random(5)
     known = Ids(PATH)
-    parts = ["don't", "I'LL", "''s", "a'sb", "x1y22", "#$%", "é", "é", " ́a", "ΣΑΣ Σ", "İI", "ß", " ", "\x1c", "\x85", "\x00", "\x7f"]
+    parts = ["don't", "I'LL", "''s", "a'sb", "x1y22", "#$%", "é", "é", " ́a", "ΣΑΣ Σ", "İI", "ß", "éÉté ÀŽ", "ŸÿÆœ", "ſ", "éa\u0301", "É\u0300", "×÷", " ", "\x1c", "\x85", "\x00", "\x7f"]
     parts += ["<|endoftext|>", "<|startoftext|", "ﬁ", "한글", "가", "😀", "_", "\t", "\n", " ", "tail", "0" * 70, "ab" * 50, "١٢", " "]
     for _ in range(400):
         text = "".join(rng.choice(parts) + rng.choice(["", " ", "\n"]) for _ in range(rng.randrange(12)))
