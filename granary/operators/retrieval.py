@@ -68,11 +68,6 @@ def _blocked(queries: DataFrame, top, block: int) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id) of documents (doc_id, text): the lexical index as a table."""
-    return docs.select("doc_id", F.explode(index_terms(F.col("text"))).alias("term"))
-
-
 def query_terms(queries: DataFrame, most: int = QUERY_TERMS) -> DataFrame:
     terms = F.slice(index_terms(F.col("text")), 1, most)
     return queries.select("query_id", F.explode(terms).alias("term"))
@@ -138,7 +133,7 @@ def _term_scores(asked: _Asked, rows: DataFrame, k: int, form, weigh) -> DataFra
 
 def lexical_topk(queries: DataFrame, docs: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
     """Documents by the number of query terms that they hold."""
-    long = F.filter(F.array_distinct(words(F.col("text"))), lambda w: F.length(w) >= 3)
+    long = F.filter(words(F.col("text")), lambda w: F.length(w) >= 3)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), long.alias("terms")).where("size(terms) > 0")
 
     def top(own: DataFrame) -> DataFrame:
