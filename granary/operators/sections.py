@@ -61,3 +61,75 @@ def capsules(docs: DataFrame, budget: int) -> DataFrame:
 
     folded = docs.select("doc_id", F.aggregate(F.array_sort(parts), start, add).alias("c"))
     return folded.select("doc_id", F.col("c.text").alias("capsule"), F.col("c.n").alias("n_sections"))
+
+# Characters of a document's sample, the share of head and tail and their least size.
+SAMPLE_CHARS, HEAD_SHARE, LEAST_HEAD, TAIL_SHARE, LEAST_TAIL = 1800, 4, 120, 5, 80
+
+
+def sample_prose(text: Column) -> Column:
+    """A markdown text on one line: front matter, images and tags of up to 200 characters go, links become their text."""
+    out = F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n", " ")
+    out = F.regexp_replace(out, r"!\[[^\]]*\]\([^)]*\)", " ")
+    out = F.regexp_replace(F.regexp_replace(out, r"<[^>]{1,200}>", " "), r"\[([^\]]*)\]\([^)]*\)", "$1")
+    return F.regexp_replace(F.regexp_replace(out, r"\s+", " "), "^ | $", "")
+
+
+def embedding_samples(docs: DataFrame, budget: int = SAMPLE_CHARS) -> DataFrame:
+    """(doc_id, sample): what a document (doc_id, text) says, in at most ``budget`` characters.
+
+    The text before the first heading gets a quarter of the budget; then come the sections that readers need first, the
+    end of the last section from what is kept back for it, and other sections in order while there is room. The three
+    budgets are one ordered fold over the sections. Without headings the beginning is taken; null texts give an empty sample.
+    """
+    bare = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"(?s)\A---\n.*?\n---\n", "")
+    rows = docs.select("doc_id", F.split(F.concat(F.lit("\n"), strip(bare)), r"\n(?=[ ]{0,3}#{1,6}[ \t]+\S)", -1).alias("pieces"))
+    heading = r"^[ ]{0,3}#{1,6}[ \t]+([^\n]*)"
+
+    def section(piece: Column, place: Column) -> Column:
+        title = F.regexp_replace(strip(F.regexp_extract(piece, heading, 1)), r"\s+", " ")
+        body = strip(F.regexp_replace(piece, heading, ""))
+        return F.struct(priority(title).alias("rank"), place.alias("place"), sample_prose(F.concat(title, F.lit(". "), body)).alias("clean"))
+
+    rows = rows.select(
+        "doc_id",
+        sample_prose(strip(F.get("pieces", F.lit(0)))).alias("head"),
+        F.transform(F.slice("pieces", F.lit(2), F.size("pieces") - 1), section).alias("sections"),
+    )
+    least_head = min(budget, max(LEAST_HEAD, budget // HEAD_SHARE)) if budget >= LEAST_HEAD else budget
+    tail = max(LEAST_TAIL, budget // TAIL_SHARE)
+    none = F.array().cast("array<string>")
+
+    def added(state: Column, clean: Column, place: Column) -> Column:
+        """state with as much of ``clean`` as its budget allows."""
+        own = F.when(F.length(clean) > state["left"], F.rtrim(F.substr(clean, F.lit(1), state["left"]))).otherwise(clean)
+        fits = (state["left"] > 0) & (own != "")
+        return F.when(
+            fits,
+            F.struct(
+                F.concat(state["parts"], F.array(own)).alias("parts"),
+                (state["left"] - F.length(own)).alias("left"),
+                F.concat(state["used"], F.array(place)).alias("used"),
+            ),
+        ).otherwise(state)
+
+    def state(parts, left, used=None) -> Column:
+        used = F.array().cast("array<int>") if used is None else used
+        return F.struct(parts.alias("parts"), left.cast("int").alias("left"), used.alias("used"))
+
+    rows = rows.withColumn("own", F.rtrim(F.substr("head", F.lit(1), F.lit(least_head))))
+    left = F.lit(budget) - F.length("own")
+    kept = F.when((left >= LEAST_TAIL) & (F.size("sections") > 1), F.least(left, F.lit(tail))).otherwise(0)
+    rows = rows.withColumn("kept", kept).withColumn("start", state(F.when(F.col("own") != "", F.array("own")).otherwise(none), left - F.col("kept")))
+    step = lambda s, x: added(s, x["clean"], x["place"])
+    rows = rows.withColumn("first", F.aggregate(F.array_sort("sections"), F.col("start"), step))
+    # what is left of both budgets goes to the end of the last section
+    last = F.element_at("sections", -1)
+    rows = rows.withColumn("again", state(F.col("first.parts"), F.col("first.left") + F.col("kept"), F.col("first.used")))
+    end = strip(F.when(F.length(last["clean"]) > F.col("again.left"), F.expr("substr(element_at(sections, -1).clean, length(element_at(sections, -1).clean) - again.left + 1)")).otherwise(last["clean"]))
+    unused = ~F.array_contains("again.used", last["place"]) & (F.col("again.left") > 0)
+    rows = rows.withColumn("second", F.when(unused, added(F.col("again"), end, last["place"])).otherwise(F.col("again")))
+    rest = F.filter("sections", lambda x: ~F.array_contains("second.used", x["place"]) & (x["place"] != F.when(unused, last["place"]).otherwise(-1)))
+    rows = rows.withColumn("third", F.aggregate(rest, F.col("second"), step))
+    joined = strip(F.regexp_replace(F.array_join("third.parts", " "), r"\s+", " "))
+    sample = F.when(F.size("sections") == 0, F.substr("head", F.lit(1), F.lit(budget))).otherwise(F.substr(joined, F.lit(1), F.lit(budget)))
+    return rows.select("doc_id", sample.alias("sample"))
