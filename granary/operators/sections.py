@@ -123,9 +123,9 @@ def embedding_samples(docs: DataFrame, budget: int = SAMPLE_CHARS) -> DataFrame:
     step = lambda s, x: added(s, x["clean"], x["place"])
     rows = rows.withColumn("first", F.aggregate(F.array_sort("sections"), F.col("start"), step))
     # what is left of both budgets goes to the end of the last section
-    last = F.element_at("sections", -1)
+    last = F.try_element_at("sections", F.lit(-1))
     rows = rows.withColumn("again", state(F.col("first.parts"), F.col("first.left") + F.col("kept"), F.col("first.used")))
-    end = strip(F.when(F.length(last["clean"]) > F.col("again.left"), F.expr("substr(element_at(sections, -1).clean, length(element_at(sections, -1).clean) - again.left + 1)")).otherwise(last["clean"]))
+    end = strip(F.when(F.length(last["clean"]) > F.col("again.left"), F.expr("substr(try_element_at(sections, -1).clean, length(try_element_at(sections, -1).clean) - again.left + 1)")).otherwise(last["clean"]))
     unused = ~F.array_contains("again.used", last["place"]) & (F.col("again.left") > 0)
     rows = rows.withColumn("second", F.when(unused, added(F.col("again"), end, last["place"])).otherwise(F.col("again")))
     rest = F.filter("sections", lambda x: ~F.array_contains("second.used", x["place"]) & (x["place"] != F.when(unused, last["place"]).otherwise(-1)))

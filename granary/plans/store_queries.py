@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import safety, text, urls
 from ..functions.text import content_digest
 from ..operators.common import shared_folder
+from ..operators import sections as sections_operators
 from ..operators.sections import capsules, sections
 from ..sources import store
 from ..streaming.streams import deduplicated_events, run_available, survey_prompts, windowed_counts
@@ -271,7 +272,46 @@ with recursive seen as (
 select user_id, ts from walk where due
 """
 
+#: Characters of the samples of the query, few enough that sections are cut.
+_SAMPLE = 400
+_SECTIONED = "concat('Opening of ', source, ' <b>by</b> [us](http://x/y).\\n# Background\\n', replace(text, '#', ''), '\\n## When to use it\\nFor ', lang, case when doc_id % 3 = 0 then concat('\\n', replace(text, '#', '')) else '' end, '\\n### Closing notes\\n', replace(text, '#', ''))"
+
+
+def embedding_samples(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").selectExpr("doc_id", f"{_SECTIONED} as text")
+    return sections_operators.embedding_samples(docs, _SAMPLE)
+
+
+def _sampled(x: str) -> str:
+    x = rf"regexp_replace(regexp_replace({x}, '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '<[^>]{{1,200}}>', ' ', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({x}, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\s+', ' ', 'g'))"
+
+
+def _sample_sql() -> str:
+    """The three budgets step by step for three sections, of which the second has priority."""
+    flat = r"regexp_replace(replace(text, '#', ''), '^\s+|\s+$', '', 'g')"
+    out = f"""
+select doc_id, {_sampled("'Opening of ' || source || ' <b>by</b> [us](http://x/y).'")} as h, {_sampled(f"'Background. ' || {flat}")} as c0,
+       {_sampled(f"'When to use it. ' || trim('For ' || lang || case when doc_id % 3 = 0 then chr(10) || {flat} else '' end)")} as c1,
+       {_sampled(f"'Closing notes. ' || {flat}")} as c2
+from documents"""
+    out = f"select *, rtrim(left(h, 120)) as head, {_SAMPLE} - length(rtrim(left(h, 120))) as l from ({out})"
+    out = f"select *, least(l, 80) as kept, l - least(l, 80) as w0 from ({out})"
+    for k, name in enumerate(["c1", "c0", "c2"]):
+        out = f"select *, case when w{k} > 0 then rtrim(left({name}, w{k})) else '' end as a{k} from ({out})"
+        out = f"select *, w{k} - length(a{k}) as w{k + 1} from ({out})"
+    out = f"select *, w3 + kept as w4 from ({out})"
+    out = f"select *, case when a2 = '' and w4 > 0 then rtrim(left(trim(right(c2, least(w4, length(c2))::bigint)), w4)) else '' end as a3 from ({out})"
+    out = f"select *, w4 - length(a3) as w5 from ({out})"
+    out = f"select *, case when a1 = '' and w5 > 0 then rtrim(left(c0, w5)) else '' end as a4 from ({out})"
+    out = f"select *, w5 - length(a4) as w6 from ({out})"
+    out = f"select *, case when a0 = '' and w6 > 0 then rtrim(left(c1, w6)) else '' end as a5 from ({out})"
+    parts = "array_to_string(list_filter([head, a0, a1, a2, a3, a4, a5], lambda a: a <> ''), ' ')"
+    return rf"select doc_id, left(trim(regexp_replace({parts}, '\s+', ' ', 'g')), {_SAMPLE}) as sample from ({out})"
+
+
 QUERIES = {
+    "embedding_samples": (embedding_samples, _sample_sql()),
     "update_rows": (update_rows, "select doc_id, case when lang = 'en' then 'changed' else source end as source, case when lang = 'en' then 'EN' else lang end as lang from documents"),
     "delete_rows": (delete_rows, "select doc_id, toxic from documents left join labels using (doc_id) where toxic is distinct from 0"),
     "delta_export": (delta_export, "select doc_id, sha256(text) as digest, source from documents"),
