@@ -1,11 +1,7 @@
-"""Evaluation statistics: paired outcomes, exact tests, intervals, gates and a distributed bootstrap."""
+"""Evaluation statistics: paired outcomes, exact tests, intervals and gates."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,55 +70,6 @@ def regression_gate(before: DataFrame, after: DataFrame, key: str, tolerance: fl
     return both.withColumn("regressed", F.coalesce(F.col("change") > tolerance, F.lit(False)))
 
 
-def bootstrap_lift(rows: DataFrame, draws: int = 200, seed: int = 20260730) -> DataFrame:
-    """One row: lift of the mean of the treated over the control, with a 95 percent bootstrap interval.
-
-    rows: id, treated boolean, value double. Each row gets a Poisson(1) weight per draw from a hash of its id and the draw, so
-    a draw is a sum that tasks make in parts: no group is gathered, and a lost task gives the same weights again.
-    """
-
-    steps = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(12)])
-
-    def weights(ids: np.ndarray, draw: int) -> np.ndarray:
-        """Poisson(1) by inversion of a hash of id and draw."""
-        with np.errstate(over="ignore"):
-            x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed) + np.uint64(draw) * np.uint64(0xC2B2AE3D27D4EB4F)
-            for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
-                x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-            x ^= x >> np.uint64(33)
-        return np.searchsorted(steps, (x >> np.uint64(11)).astype(np.float64) / 2**53, "right").astype(np.float64)
-
-    def weigh(batches):
-        total = np.zeros((2, 2, draws))
-        for batch in batches:
-            ids, treated, value = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            arms = treated.astype(bool)
-            for draw in range(draws):
-                w = weights(ids, draw)
-                for arm, rows in ((0, ~arms), (1, arms)):
-                    total[arm, :, draw] += [(w * value)[rows].sum(), w[rows].sum()]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "draw": pa.array(np.arange(draws, dtype=np.int64)),
-                **{f"{name}{arm}": pa.array(total[arm, j]) for arm in (0, 1) for j, name in enumerate(("sum", "n"))},
-            }
-        )
-
-    parts = rows.select("id", "treated", "value").where("value is not null and treated is not null")
-    parts = parts.mapInArrow(weigh, "draw long, sum0 double, n0 double, sum1 double, n1 double")
-    by_draw = parts.groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("sum0", "n0", "sum1", "n1")])
-    lift = by_draw.where("n0 > 0 and n1 > 0 and sum0 <> 0").select((F.col("sum1") / F.col("n1") / (F.col("sum0") / F.col("n0")) - 1).alias("lift"))
-    interval = lift.agg(
-        F.count("*").alias("draws"),
-        F.round(F.percentile("lift", F.lit(0.025)), 6).alias("low"),
-        F.round(F.percentile("lift", F.lit(0.975)), 6).alias("high"),
-    )
-    point = rows.agg(
-        F.avg(F.when(F.col("treated"), F.col("value"))).alias("t"), F.avg(F.when(~F.col("treated"), F.col("value"))).alias("c")
-    )
-    return interval.crossJoin(point.select(F.round(F.col("t") / F.col("c") - 1, 6).alias("lift")))
-
-
 # Metrics of the lift gate, the first with enough samples counts, and what is enough in each arm.
 LIFT_METRICS = ["turns", "total_tokens", "tool_calls", "elapsed_seconds"]
 LEAST_SAMPLES = 15

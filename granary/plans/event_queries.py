@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import bootstrap as B
 from ..operators import events as E
 from ..operators import stats as S
 from .tables import ROUTES, corpus, routes, table
@@ -341,7 +342,75 @@ select family, before, after, round((after - before) / before, 9) as change, coa
 
 def bootstrap_lift(spark: SparkSession, d: str) -> DataFrame:
     rows = routes(spark, d).select(F.col("event_id").alias("id"), (F.col("user_id") % 2 == 0).alias("treated"), F.col("latency").alias("value"))
-    return S.bootstrap_lift(rows)
+    return B.mean_lift(rows)
+
+
+BOOTSTRAP_LIFT = f"""
+with {ROUTES}, own as (select event_id as id, user_id % 2 = 0 as treated, latency as value from routes where latency is not null),
+drawn as (select draw, treated, sum(w * value) as s, sum(w) as n from {B.drawn_sql("own", "id")} group by all),
+lifts as (
+  select draw, (t.s / t.n) / (c.s / c.n) - 1 as lift from (select * from drawn where treated) t join (select * from drawn where not treated) c using (draw)
+  where t.n > 0 and c.n > 0 and c.s <> 0
+)
+select count(*) as draws, round(quantile_cont(lift, 0.025), 6) as low, round(quantile_cont(lift, 0.975), 6) as high,
+       (select round(avg(value) filter (treated) / avg(value) filter (not treated) - 1, 6) from own) as lift
+from lifts
+"""
+
+
+def cluster_difference(spark: SparkSession, d: str) -> DataFrame:
+    """Users are clusters; their even events are one arm, the others the other, and positive outcomes are hits."""
+    odd, hit = (F.col("event_id") % 2 == 1).cast("int"), F.coalesce(F.col("outcome").isin(E.POSITIVE), F.lit(False)).cast("int")
+    rows = routes(spark, d).select(
+        F.col("user_id").alias("cluster"),
+        ((1 - odd) * hit).alias("control_hits"),
+        (1 - odd).alias("control_n"),
+        (odd * hit).alias("treatment_hits"),
+        odd.alias("treatment_n"),
+    )
+    return B.cluster_difference(rows)
+
+
+CLUSTER_DIFFERENCE = f"""
+with {ROUTES}, own as (
+  select user_id as id, sum((event_id % 2 = 0 and hit)::int) as ch, sum((event_id % 2 = 0)::int) as cn, sum((event_id % 2 = 1 and hit)::int) as th, sum((event_id % 2 = 1)::int) as tn
+  from (select *, coalesce(outcome in ('used', 'installed'), false) as hit from routes where user_id is not null) group by user_id
+), drawn as (
+  select draw, sum(w * th)::double / nullif(sum(w * tn), 0) - sum(w * ch)::double / nullif(sum(w * cn), 0) as difference from {B.drawn_sql("own", "id")} group by draw
+)
+select count(*) as clusters, count(*) filter (cn > 0 and tn > 0 and th * cn > ch * tn) as wins, count(*) filter (cn > 0 and tn > 0 and th * cn < ch * tn) as losses,
+       count(*) filter (cn > 0 and tn > 0 and th * cn = ch * tn) as ties, round(sum(ch)::double / sum(cn), 6) as control, round(sum(th)::double / sum(tn), 6) as treatment,
+       round(sum(th)::double / sum(tn) - sum(ch)::double / sum(cn), 6) as difference,
+       (select count(difference) from drawn) as draws, (select round(quantile_cont(difference, 0.025), 6) from drawn) as low, (select round(quantile_cont(difference, 0.975), 6) from drawn) as high
+from own
+"""
+
+
+def median_reduction(spark: SparkSession, d: str) -> DataFrame:
+    arm = F.when(F.col("user_id") % 3 == 0, "holdout").when(F.col("user_id") % 3 == 1, "routed")
+    rows = routes(spark, d).select(F.col("event_id").alias("id"), "family", arm.alias("arm"), F.col("latency").alias("value"))
+    return B.median_reduction(rows, "family")
+
+
+MEDIAN_REDUCTION = f"""
+with {ROUTES}, own as (
+  select event_id as id, family, case user_id % 3 when 0 then 'holdout' when 1 then 'routed' end as arm, latency as value from routes where user_id % 3 < 2 and latency is not null
+), placed as (
+  select family, arm, draw, value, w, sum(w) over (partition by family, arm, draw order by value, id rows unbounded preceding) as upto, sum(w) over (partition by family, arm, draw) as n
+  from {B.drawn_sql("own", "id")}
+), medians as (
+  select family, arm, draw, (max(value) filter (upto - w <= (n - 1) // 2 and (n - 1) // 2 < upto) + max(value) filter (upto - w <= n // 2 and n // 2 < upto)) / 2 as m
+  from placed where n > 0 group by all
+), drawn as (
+  select h.family, (h.m - r.m) / h.m * 100 as reduction from (select * from medians where arm = 'holdout' and m <> 0) h join (select * from medians where arm = 'routed') r using (family, draw)
+), bounds as (
+  select family, round(quantile_cont(reduction, 0.025), 1) as low_pct, round(quantile_cont(reduction, 0.975), 1) as high_pct, count(*) as draws from drawn group by family having count(*) * 2 >= {B.DRAWS}
+), points as (
+  select family, round((quantile_cont(value, 0.5) filter (arm = 'holdout') - quantile_cont(value, 0.5) filter (arm = 'routed')) / quantile_cont(value, 0.5) filter (arm = 'holdout') * 100, 1) as reduction_pct
+  from own group by family
+)
+select family, reduction_pct, low_pct, high_pct, draws from (select distinct family from routes) left join points using (family) left join bounds using (family)
+"""
 
 
 def session_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -397,6 +466,8 @@ QUERIES = {
     "wilson_by_source": (wilson_by_source, WILSON),
     "gate_metrics": (gate_metrics, GATE),
     "regression_gate": (regression_gate, REGRESSION),
-    "bootstrap_lift": (bootstrap_lift, None),
+    "bootstrap_lift": (bootstrap_lift, BOOTSTRAP_LIFT),
+    "cluster_difference": (cluster_difference, CLUSTER_DIFFERENCE),
+    "median_reduction": (median_reduction, MEDIAN_REDUCTION),
     "session_metrics": (session_metrics, SESSION),
 }

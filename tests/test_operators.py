@@ -133,13 +133,6 @@ def test_wilson_and_gates(spark):
     assert stats.gate_metrics(rows.where("false"), "d", "t").first()["precision"] is None
 
 
-def test_bootstrap_is_repeatable(spark):
-    rows = spark.createDataFrame([(i, i % 2 == 0, 10.0 + (i % 5) + (5.0 if i % 2 == 0 else 0.0)) for i in range(400)], "id long, treated boolean, value double")
-    a = stats.bootstrap_lift(rows.repartition(2)).first()
-    b = stats.bootstrap_lift(rows.repartition(7)).first()
-    assert a["low"] == pytest.approx(b["low"], abs=1e-6) and a["low"] < a["lift"] < a["high"] and a["draws"] == 200
-
-
 def test_duplicates(spark):
     df = spark.createDataFrame(
         [(1, "h", "active", 5), (2, "h", "active", 7), (3, "h", "rejected", 9), (4, "", "active", 1), (5, None, "active", 1)],
