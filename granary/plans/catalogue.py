@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation_queries, event_queries, intent_queries, package_queries, quality_queries, retrieval_queries, store_queries, text_queries
+from . import evaluation_queries, event_queries, intent_queries, load_queries, package_queries, quality_queries, retrieval_queries, store_queries, text_queries
 
 FLAGSHIP = "hybrid_search"
 _ALL = {
@@ -17,6 +17,7 @@ _ALL = {
     **package_queries.QUERIES,
     **event_queries.QUERIES,
     **store_queries.QUERIES,
+    **load_queries.QUERIES,
     **evaluation_queries.QUERIES,
 }
 
