@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import bootstrap as B
 from ..operators import events as E
 from ..operators import stats as S
+from ..operators.asof import latest_before
 from .tables import ROUTES, corpus, routes, table
 from .retrieval_queries import CORPUS
 
@@ -432,7 +433,26 @@ select conv_id, count(*) as turns, count(*) filter (role = 'user') as user_turns
 from conversations group by conv_id
 """
 
+def outcome_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes with the latest view or click of their user before them."""
+    own = routes(spark, d).select("event_id", "user_id", "ts", "family", "item_id")
+    outcomes = own.where("family in ('purchase', 'error')").select("event_id", "user_id", "ts")
+    shown = own.where("family in ('view', 'click')")
+    out = latest_before(outcomes, shown, ["user_id"], "ts", "event_id", ["event_id", "item_id", "ts"], lambda t: F.date_trunc("day", t))
+    wait = F.unix_micros("ts") - F.unix_micros("found_ts")
+    return out.select("event_id", "user_id", F.col("found_event_id").alias("route_id"), F.col("found_item_id").alias("item_id"), wait.alias("waited_us"))
+
+
+OUTCOME_ROUTES = f"""
+with {ROUTES}
+select o.event_id, o.user_id, r.event_id as route_id, r.item_id, epoch_us(o.ts) - epoch_us(r.ts) as waited_us
+from (select * from routes where family in ('purchase', 'error')) o
+left join (select * from routes where family in ('view', 'click')) r on r.user_id = o.user_id and r.ts <= o.ts
+qualify row_number() over (partition by o.event_id order by r.ts desc, r.event_id desc) = 1
+"""
+
 QUERIES = {
+    "outcome_routes": (outcome_routes, OUTCOME_ROUTES),
     "event_summary": (event_summary, EVENT_SUMMARY),
     "outcome_counts": (outcome_counts, f"with {ROUTES} select coalesce(outcome, 'pending') as outcome, count(*) as n from routes group by all"),
     "slowest_events": (slowest_events, f"with {ROUTES} select event_id, family, item_id, latency from routes order by latency desc, event_id limit 5"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import safety, text, urls
 from ..operators.dedupe import first_by_key
+from ..operators.set_join import near_matches
 from .tables import table
 
 _STRIP = r"'^\s+|\s+$', '', 'g'"
@@ -269,7 +270,27 @@ def heldout_split(spark: SparkSession, d: str) -> DataFrame:
 
 HELDOUT_SPLIT = "select item_id, ('0x' || left(sha256(text), 8))::bigint % 10 < 4 as heldout from benchmark"
 
+def draft_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every hundredth document as a draft against all others: rejected where one of them is nearly the same."""
+    rows = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
+    drafts = rows.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "draft_id")
+    found = near_matches(drafts, rows.where("doc_id % 100 <> 0").withColumnRenamed("doc_id", "entry_id"))
+    return found.withColumn("rejected", F.col("n_matches") > 0)
+
+
+DRAFT_MATCHES = f"""
+with sets as (select doc_id, {_tokens_sql("text")} as ts from documents),
+pairs as (
+  select a.doc_id as draft_id, b.doc_id as entry_id, len(list_intersect(a.ts, b.ts)) as k, len(a.ts) + len(b.ts) as n
+  from sets a, sets b where a.doc_id % 100 = 0 and b.doc_id % 100 <> 0
+), found as (select *, k::double / (n - k) as s from pairs where k > 0 and 100 * k >= 80 * (n - k)),
+best as (select draft_id, count(*) as n_matches, arg_min(entry_id, (-s, entry_id)) as best_id, max(s) as s from found group by draft_id)
+select doc_id as draft_id, coalesce(n_matches, 0) as n_matches, best_id, round(s, 6) as similarity, coalesce(n_matches, 0) > 0 as rejected
+from documents left join best on draft_id = doc_id where doc_id % 100 = 0
+"""
+
 QUERIES = {
+    "draft_matches": (draft_matches, DRAFT_MATCHES),
     "content_hashes": (content_hashes, CONTENT_HASHES),
     "token_measures": (token_measures, TOKEN_MEASURES),
     "risk_scan": (risk_scan, RISK_SCAN),
