@@ -13,7 +13,8 @@ from ..operators.common import shared_folder
 from ..operators import sections as sections_operators
 from ..operators.sections import capsules, sections
 from ..sources import store
-from ..streaming.streams import deduplicated_events, run_available, survey_prompts, windowed_counts
+from ..streaming import state
+from ..streaming.streams import deduplicated_events, run_available, windowed_counts
 from .tables import table
 from .text_queries import _KIND, _STRIP, _canonical_sql, _tokens_sql
 
@@ -256,22 +257,87 @@ select page_id, lower(regexp_extract(case when page_id % 3 = 0 then 'https://git
 
 
 def survey_cadence(spark: SparkSession, d: str) -> DataFrame:
-    return run_available(spark, d, "events", survey_prompts).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    """Sign-ups stand for answers; prompts up to an hour before the newest event are final."""
 
+    def asked(events: DataFrame) -> DataFrame:
+        return state.survey_prompts(events.withColumn("answered", F.col("event_type") == "signup"))
 
-SURVEY_CADENCE = """
+    return run_available(spark, d, "events", asked).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+#: Events before the watermark of an hour, in milliseconds.
+_PASSED = "epoch_us(ts) // 1000 < (select max(epoch_us(ts)) // 1000 from events) - 3600000"
+SURVEY_CADENCE = f"""
 with recursive seen as (
-  select user_id, ts, floor(epoch(ts)) as second, row_number() over (partition by user_id order by ts) as place from events
+  select user_id, ts, epoch_us(ts) as t, event_type = 'signup' as answered, row_number() over (partition by user_id order by ts, event_id) as place from events
+  where {_PASSED}
 ), walk as (
-  select distinct user_id, 0::bigint as place, 0::bigint as n, -1e18::double as last, false as due, null::timestamp as ts from events
+  select distinct user_id, 0::bigint as place, 0::bigint as n, null::bigint as last, false as due, null::timestamp as ts from seen
   union all
-  select w.user_id, s.place, case when w.n + 1 >= 12 and s.second - w.last >= 86400 then 0 else w.n + 1 end,
-         case when w.n + 1 >= 12 and s.second - w.last >= 86400 then s.second else w.last end, w.n + 1 >= 12 and s.second - w.last >= 86400, s.ts
+  select w.user_id, s.place, case when s.answered then 0 else w.n + 1 end,
+         case when s.answered then null when w.n + 1 >= 12 and (w.last is null or s.t - w.last >= 86400000000) then s.t else w.last end,
+         not s.answered and w.n + 1 >= 12 and (w.last is null or s.t - w.last >= 86400000000), s.ts
   from walk w join seen s on s.user_id = w.user_id and s.place = w.place + 1
 )
 select user_id, ts from walk where due
 """
 
+
+def session_state(spark: SparkSession, d: str) -> DataFrame:
+    """Events of one type are a session of their user, and the items they name its activations."""
+
+    def activated(events: DataFrame) -> DataFrame:
+        return state.bounded_sessions(events.withColumn("session", F.col("event_type")).withColumn("name", F.get_json_object("props", "$.k")))
+
+    return run_available(spark, d, "events", activated).withColumn("names", F.array_join("names", "|"))
+
+
+SESSION_STATE = f"""
+with seen as (
+  select user_id, event_id, epoch_us(ts) as t, event_type as session, json_extract_string(props, '$.k') as name from events where {_PASSED}
+), cut as (
+  select *, case when t - lag(t) over (partition by user_id, session order by t, event_id) <= 86400000000 then 0 else 1 end as first from seen
+), numbered as (select *, sum(first) over (partition by user_id, session order by t, event_id rows unbounded preceding) as part from cut),
+listed as (
+  select *, list_reverse(list(name) over (partition by user_id, session, part order by t, event_id rows unbounded preceding)) as back,
+         list({{'s': session, 't': t}}) over (partition by user_id order by t, event_id rows unbounded preceding) as all_of
+  from numbered
+)
+select user_id, event_id, session,
+       array_to_string(list_reverse(list_filter(back, lambda n, i: list_position(back, n) = i)[1:12]), '|') as names,
+       len(list_distinct(list_transform(list_filter(all_of, lambda x: listed.t - x.t <= 86400000000), lambda x: x.s)))::bigint as live
+from listed
+"""
+
+
+def stale_visits(spark: SparkSession, d: str) -> DataFrame:
+    """A purchase ends what any other event of its user began."""
+
+    def runs(events: DataFrame) -> DataFrame:
+        return state.stale_runs(events.withColumn("finished", F.col("event_type") == "purchase"), "user_id")
+
+    out = run_available(spark, d, "events", runs)
+    return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "stale")])
+
+
+STALE_VISITS = f"""
+with recursive seen as (
+  select user_id, epoch_us(ts) as t, event_type = 'purchase' as finished, row_number() over (partition by user_id order by ts, event_id) as place from events where {_PASSED}
+), walk as (
+  select distinct user_id, 0::bigint as place, null::bigint as started, null::bigint as lost from seen
+  union all
+  select w.user_id, s.place, case when s.finished then null when w.started is null or s.t - w.started > 7200000000 then s.t else w.started end,
+         case when s.t - w.started > 7200000000 then w.started end
+  from walk w join seen s on s.user_id = w.user_id and s.place = w.place + 1
+), ended as (
+  select user_id, lost from walk where lost is not null
+  union all
+  select user_id, started from walk where started is not null and ((select max(epoch_us(ts)) // 1000 from events) - 3600000) * 1000 - 1 - started > 7200000000
+  qualify row_number() over (partition by user_id order by place desc) = 1 and place = (select max(s.place) from seen s where s.user_id = walk.user_id)
+)
+select user_id, make_timestamp(lost) as started, make_timestamp(lost + 7200000000) as stale from ended
+"""
+
 #: Characters of the samples of the query, few enough that sections are cut.
 _SAMPLE = 400
 _SECTIONED = "concat('Opening of ', source, ' <b>by</b> [us](http://x/y).\\n# Background\\n', replace(text, '#', ''), '\\n## When to use it\\nFor ', lang, case when doc_id % 3 = 0 then concat('\\n', replace(text, '#', '')) else '' end, '\\n### Closing notes\\n', replace(text, '#', ''))"
@@ -319,6 +385,8 @@ QUERIES = {
     "token_overlap": (token_overlap, TOKEN_OVERLAP),
     "repositories": (repositories, REPOSITORIES),
     "survey_cadence": (survey_cadence, SURVEY_CADENCE),
+    "session_state": (session_state, SESSION_STATE),
+    "stale_visits": (stale_visits, STALE_VISITS),
     "catalog_browse": (catalog_browse, CATALOG),
     "delta_plan": (delta_plan, DELTA),
     "upsert_documents": (upsert_documents, UPSERT),

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.common import shared_folder
+from .state import SETTINGS
 
 
 def windowed_counts(events: DataFrame, width: str, late: str) -> DataFrame:
@@ -26,30 +25,6 @@ def deduplicated_events(events: DataFrame, late: str) -> DataFrame:
     return out.select("event_id", "ts", "user_id", "event_type", "value")
 
 
-def survey_prompts(events: DataFrame, every: int = 12, hours: int = 24) -> DataFrame:
-    """(user_id, ts): when a user is due a question: ``every`` events and ``hours`` after the last one.
-
-    The state is two numbers per user, so a busy user is a stream and not a group in memory.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, last = state.get if state.exists else (0, -(1 << 62))
-        out = []
-        for batch in batches:
-            for ts in batch["ts"].sort_values():
-                now = int(ts.timestamp())
-                count += 1
-                if count >= every and now - last >= hours * 3600:
-                    out.append(ts)
-                    count, last = 0, now
-        state.update((count, last))
-        yield pd.DataFrame({"user_id": [key[0]] * len(out), "ts": out})
-
-    return events.select("user_id", "ts").groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, ts timestamp", "count long, last long", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
     """(user_id, start, end, n) of sessions that end after a gap without events."""
     grouped = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
@@ -57,17 +32,22 @@ def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
 
 
 def run_available(
-    spark: SparkSession, folder: str, name: str, transform: Callable[[DataFrame], DataFrame], complete: bool = False
+    spark: SparkSession, folder: str, name: str, transform: Callable[[DataFrame], DataFrame], complete: bool = False, files: int | None = None
 ) -> DataFrame:
-    """The result of a query over a table's files read as a stream until all are consumed.
+    """The result of a query over a table's files read as a stream, ``files`` at a time, until all are consumed.
 
+    The stream has a session of its own, so that the caller's settings stay as they are.
     Each micro-batch replaces a table in the shared folder (complete) or is a folder of it (append), so a batch that is
     tried again replaces what it wrote before.
     """
     path = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     # one file or a folder of them: a stream reads folders, so a single file is picked by its name
-    source = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet" if _is_file(spark, path) else "*.parquet")
+    own = spark.newSession()
+    for key, value in {**SETTINGS, "spark.sql.session.timeZone": spark.conf.get("spark.sql.session.timeZone")}.items():
+        own.conf.set(key, value)
+    source = own.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet" if _is_file(spark, path) else "*.parquet")
+    source = source.option("maxFilesPerTrigger", files) if files else source
     events = source.parquet(folder if _is_file(spark, path) else path)
     rows = transform(events.withColumn("ts", F.col("ts").cast("timestamp")))
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"

@@ -255,5 +255,3 @@ def test_streams(spark, tmp_path):
     assert sorted(r["n"] for r in counts.collect()) == [24] * 4
     unique = streams.run_available(spark, str(tmp_path), "events", lambda s: streams.deduplicated_events(s.unionByName(s), "1 hour"))
     assert unique.count() == 96
-    due = streams.run_available(spark, str(tmp_path), "events", lambda s: streams.survey_prompts(s))
-    assert due.count() == 6
