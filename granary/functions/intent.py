@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Bounds and patterns of intents.
 MOST_CHARS, MOST_WORDS, MOST_KEYWORDS = 240, 32, 14
@@ -69,6 +70,7 @@ CONSTRAINTS = [
 ]
 
 # Thresholds and words of roles.
+HARMFUL_FLAGS = ["prompt-injection", "credential-access", "destructive", "malware"]
 PRIMARY, SUPPORTING, POLICY = 0.80, 0.72, 0.95
 ROLE_TOKEN = r"(?i)[a-z0-9][a-z0-9+#.-]*"
 CONFLICT = (
@@ -183,8 +185,10 @@ def _shared(parts: Column, tokens: Column) -> Column:
     return F.size(F.array_intersect(role_tokens(F.array_join(parts, " ")), tokens))
 
 
-def role(task: Column, text: Column, similarity: Column, quality: Column, provenance: Column, risk: Column, is_policy: Column, has_content: Column) -> Column:
-    """struct(role, confidence, surfaced) of a candidate with this text for the flattened task.
+def role(
+    task: Column, text: Column, similarity: Column, quality: Column, provenance: Column, risk: Column, is_policy: Column, has_content: Column, risk_flags: Column | None = None
+) -> Column:
+    """struct(role, confidence, surfaced, reasons) of a candidate with this text for the flattened task.
 
     Roles: harmful/conflicting, policy, primary, supporting, irrelevant.
     """
@@ -203,11 +207,35 @@ def role(task: Column, text: Column, similarity: Column, quality: Column, proven
     generic = F.size(F.array_intersect(tokens, _strings(GENERIC))) > 0
     adjacent = (direct >= 2) & (generic | (operation > 0) | (technology > 0) | (artifact > 0)) & (confidence >= SUPPORTING)
     sound = (risk == 0) & has_content
-    found = lambda name, value, shown: F.struct(F.lit(name).alias("role"), value.alias("confidence"), shown.alias("surfaced"))
+    flags = F.transform(F.coalesce(risk_flags, F.array().cast("array<string>")), F.lower) if risk_flags is not None else F.array().cast("array<string>")
+    harmful = (risk >= 3) | low.rlike(CONFLICT) | F.arrays_overlap(flags, _strings(HARMFUL_FLAGS))
+    shares = {"technology-match": technology, "operation-match": operation, "artifact-match": artifact, "failure-mode-match": failure}
+    matches = F.array_compact(F.array(*[F.when(n > 0, name) for name, n in shares.items()]))
+
+    def found(name: str, value: Column, shown: Column, reasons: Column) -> Column:
+        return F.struct(F.lit(name).alias("role"), value.alias("confidence"), shown.alias("surfaced"), reasons.alias("reasons"))
+
+    def or_else(reason: str) -> Column:
+        return F.when(F.size(matches) > 0, matches).otherwise(F.array(F.lit(reason)))
+
     return (
-        F.when((risk >= 3) | low.rlike(CONFLICT), found("harmful/conflicting", F.lit(1.0), F.lit(False)))
-        .when(is_policy, found("policy", F.when(sound, 0.98).otherwise(0.60), sound))
-        .when(contract & (confidence >= PRIMARY), found("primary", confidence, F.lit(True)))
-        .when(adjacent, found("supporting", confidence, F.lit(True)))
-        .otherwise(found("irrelevant", confidence, F.lit(False)))
+        F.when(harmful, found("harmful/conflicting", F.lit(1.0), F.lit(False), F.array(F.lit("safety-conflict"))))
+        .when(is_policy, found("policy", F.when(sound, 0.98).otherwise(0.60), sound, F.array(F.when(sound, "curated-policy").otherwise("unverified-policy"))))
+        .when(contract & (confidence >= PRIMARY), found("primary", confidence, F.lit(True), or_else("specific-match")))
+        .when(adjacent, found("supporting", confidence, F.lit(True), or_else("adjacent-match")))
+        .otherwise(found("irrelevant", confidence, F.lit(False), or_else("insufficient-task-contract")))
     )
+
+
+def slots(rows: DataFrame, supporting: int = 2) -> DataFrame:
+    """Judged candidates (query_id, doc_id, position, score, similarity, role, confidence) with ``slot``: primary for the best
+    primary candidate of a query, supporting for the best supporting ones.
+
+    Among primary candidates the retrieval's score decides, then similarity, and confidence only after them, since it is a gate
+    and must not undo a better match; supporting ones go by confidence. The first place decides ties.
+    """
+    first = F.col("role") == "primary"
+    order = [F.desc(F.when(first, F.col("score"))), F.desc(F.when(first, F.coalesce("similarity", F.lit(0.0)))), F.desc("confidence"), "position"]
+    place = F.row_number().over(Window.partitionBy("query_id", "role").orderBy(*order))
+    slot = F.when(first & (F.col("place") == 1), "primary").when((F.col("role") == "supporting") & (F.col("place") <= supporting), "supporting")
+    return rows.withColumn("place", place).withColumn("slot", slot).drop("place")

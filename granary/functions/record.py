@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .safety import has_front_matter, rejection_reasons
@@ -92,13 +92,45 @@ def readiness(
     )
 
 
-def evaluation(content: Column, name: Column, description: Column, source: Column, registry: Column, package: Column, closure: Column, truncated: Column) -> dict[str, Column]:
-    """quality_status, quality_reasons (sorted), quality_score (0 to 100), content_hash and category of a record."""
+def content_parts(content: Column, name: Column, description: Column, registry: Column) -> dict[str, Column]:
+    """What evaluation reads from a content: text, found (reasons to reject it), front (has front matter), hash, and known
+    (names a platform)."""
     text = F.when(F.coalesce(content, F.lit("")) != "", canonical(content)).otherwise(F.lit(""))
+    found = F.when(text != "", rejection_reasons(text, allow_oversized=_low(registry) == MIRROR)).otherwise(F.array().cast("array<string>"))
+    names = F.concat_ws(" ", *[strip(F.coalesce(c, F.lit(""))) for c in (name, description)])
+    return {
+        "text": text,
+        "found": found,
+        "front": has_front_matter(text),
+        "hash": F.when(text != "", content_hash(text)).otherwise(F.lit("")),
+        "known": F.size(platforms(names)) > 0,
+    }
+
+
+def evaluated(rows: DataFrame) -> DataFrame:
+    """Records with the columns of ``evaluation``. Each content is read once: canonical text, then what it says, then the rest."""
+    c = F.col
+    text = F.when(F.coalesce("content", F.lit("")) != "", canonical(c("content"))).otherwise(F.lit(""))
+    rows = rows.withColumn("_text", text)
+    parts = content_parts(c("_text"), c("name"), c("description"), c("registry"))
+    rows = rows.select("*", *[value.alias(f"_{name}") for name, value in parts.items() if name != "text"])
+    read = {name: c(f"_{name}") for name in parts}
+    found = evaluation(*(c(x) for x in ("content", "name", "description", "source", "registry", "package", "closure", "truncated")), read)
+    return rows.select("*", *[value.alias(name) for name, value in found.items()]).drop(*[f"_{name}" for name in parts])
+
+
+def evaluation(
+    content: Column, name: Column, description: Column, source: Column, registry: Column, package: Column, closure: Column, truncated: Column, read: dict[str, Column] | None = None
+) -> dict[str, Column]:
+    """quality_status, quality_reasons (sorted), quality_score (0 to 100), content_hash and category of a record.
+
+    read: what ``content_parts`` gives, where it is columns already: as expressions it is worked out for each use.
+    """
+    read = read or content_parts(content, name, description, registry)
+    text, found, front = read["text"], read["found"], read["front"]
     name, description = (strip(F.coalesce(c, F.lit(""))) for c in (name, description))
     source, mirrored = F.coalesce(source, F.lit("")), _low(registry) == MIRROR
-    filled, front = text != "", has_front_matter(text)
-    found = F.when(filled, rejection_reasons(text, allow_oversized=mirrored)).otherwise(F.array().cast("array<string>"))
+    filled = text != ""
     good = filled & (F.size(found) == 0)
     metadata = ~filled & source.isin(METADATA_SOURCES) & (name != "") & (F.length(description) >= LONG_DESCRIPTION)
     packaged = filled & ~mirrored & source.isin(PACKAGE_SOURCES)
@@ -125,11 +157,10 @@ def evaluation(content: Column, name: Column, description: Column, source: Colum
     points += F.when(text.contains("##"), HEADING_POINTS).otherwise(0) + F.when(metadata, METADATA_POINTS).otherwise(0)
     unfit = filled & (~good | F.arrays_overlap(own, F.array(*[F.lit(r) for r in UNFIT])))
     status = F.when(unfit | (~filled & ~metadata), "rejected").when((filled & ~front) | metadata, "metadata_only").otherwise("active")
-    known = F.size(platforms(F.concat_ws(" ", name, description))) > 0
     return {
         "quality_status": status,
         "quality_reasons": reasons,
         "quality_score": F.greatest(F.lit(0), F.least(F.lit(100), points)),
-        "content_hash": F.when(filled, content_hash(text)).otherwise(F.lit("")),
-        "category": F.when(known, "integration").otherwise("capability"),
+        "content_hash": read["hash"],
+        "category": F.when(read["known"], "integration").otherwise("capability"),
     }

@@ -11,6 +11,8 @@ from ..functions.text import collapse, strip
 from .common import cut
 
 ACTIVE = ["active", "metadata_only"]
+#: What decides between copies, most important first and largest best; the id comes last.
+CANONICAL = ["meaningfulness", "quality", "provenance", "prominence", "recency"]
 
 
 def first_by_key(df: DataFrame, key: str, prefer: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import intent, safety
-from ..operators.common import cut, sized, top_per_group
+from ..operators.common import cut, sized
 from ..operators.retrieval import lexical_topk
 from .retrieval_queries import _lexical_sql
 from .tables import prompts, table
@@ -36,7 +36,7 @@ SUBJECTS = [
 
 def tasks(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, text, task): benchmark prompts with the flattened task."""
-    led = F.concat(F.element_at(F.array(*[F.lit(t) for t in TASKS]), (F.col("query_id") % len(TASKS) + 1).cast("int")), F.lit("\n "), F.substring("text", 1, 150))
+    led = F.concat(F.element_at(F.array(*[F.lit(t) for t in TASKS]), (F.col("query_id") % len(TASKS) + 1).cast("int")), F.lit("\n "), "text")
     return prompts(spark, d).withColumn("task", intent.flattened(led))
 
 
@@ -69,19 +69,18 @@ def candidate_roles(spark: SparkSession, d: str) -> DataFrame:
     subject = F.element_at(F.array(*[F.lit(s) for s in SUBJECTS]), (n % len(SUBJECTS) + 1).cast("int"))
     judged = intent.role(
         F.col("task"),
-        F.concat(subject, F.lit(" "), F.substring("text", 1, 80)),
+        F.concat(subject, F.lit(" "), "text"),
         F.when(n % 4 > 0, 0.7 + (n % 30) / 100.0),
         n % 101,
         F.when(n % 7 > 0, (n % 10) / 10.0),
         F.when(n % 17 == 0, 3).when(n % 2 == 0, 0).otherwise(1),
         n % 19 == 0,
         n % 3 > 0,
+        F.when(n % 23 == 0, F.array(F.lit("Malware"))).when(n % 2 == 0, F.array(F.lit("network"))),
     )
-    rows = cut(rows.select("query_id", "doc_id", "position", judged.alias("r")).select("query_id", "doc_id", "position", "r.*"))
-    order = [F.desc("confidence"), "position"]
-    chosen = [top_per_group(rows.where(F.col("role") == role), ["query_id"], order, k).select("query_id", "doc_id", F.lit(role).alias("slot")) for role, k in (("primary", 1), ("supporting", 2))]
-    slots = chosen[0].unionByName(chosen[1])
-    return rows.join(slots, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "role", "confidence", "surfaced", "slot")
+    near = F.when(n % 4 > 0, 0.7 + (n % 30) / 100.0).alias("similarity")
+    rows = cut(rows.select("query_id", "doc_id", "position", "score", near, judged.alias("r")).select("query_id", "doc_id", "position", "score", "similarity", "r.*"))
+    return intent.slots(rows).select("query_id", "doc_id", "role", "confidence", "surfaced", F.array_join("reasons", "|").alias("reasons"), "slot")
 
 
 def content_delivery(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +118,7 @@ def _bounded_sql(name: str, parts: str, source: str) -> str:
 
 _INTENT = rf"""
 tasks as (
-  select item_id as query_id, trim(regexp_replace({_TASKS_SQL} || chr(10) || ' ' || substring(text, 1, 150), '[\s\x00]+', ' ', 'g')) as task from benchmark
+  select item_id as query_id, trim(regexp_replace({_TASKS_SQL} || chr(10) || ' ' || text, '[\s\x00]+', ' ', 'g')) as task from benchmark
 ), split as (
   select *, lower(task) as low, regexp_extract_all(task, '{_q(intent.TOKEN)}') as toks, regexp_extract_all(task, '{_q(intent.FAILURE)}') as hits,
          string_split_regex(task, '{_q(intent.FAILURE)}') as between,
@@ -173,7 +172,7 @@ _SUBJECTS_SQL = "case doc_id % 5 " + " ".join(f"when {k} then '{_q(s)}'" for k,
 CANDIDATE_ROLES = f"""
 with {_lexical_sql(10)}, {_INTENT},
 rows as (
-  select query_id, doc_id, position, i.* exclude (query_id), lower({_SUBJECTS_SQL} || ' ' || substring(text, 1, 80)) as c,
+  select query_id, doc_id, position, score, i.* exclude (query_id), lower({_SUBJECTS_SQL} || ' ' || text) as c,
          case when doc_id % 4 > 0 then 0.7::double + (doc_id % 30) / 100.0::double end as similarity, doc_id % 101 as quality,
          case when doc_id % 7 > 0 then (doc_id % 10) / 10.0::double else 0.25::double end as provenance,
          case when doc_id % 17 = 0 then 3 when doc_id % 2 = 0 then 0 else 1 end as risk
@@ -192,15 +191,22 @@ counted as (
       + case when (o > 0 and (a > 0 or t > 0)) or (f > 0 and t > 0) then 0.23::double else 0.0::double end)), 6) as sure
   from counted
 ), judged as (
-  select query_id, doc_id, position, sure,
-    case when risk >= 3 or regexp_matches(c, '{_q(intent.CONFLICT)}') then 'harmful/conflicting' when doc_id % 19 = 0 then 'policy'
+  select query_id, doc_id, position, score, similarity, sure, t, o, a, f,
+    case when risk >= 3 or doc_id % 23 = 0 or regexp_matches(c, '{_q(intent.CONFLICT)}') then 'harmful/conflicting' when doc_id % 19 = 0 then 'policy'
          when contract and sure >= 0.8 then 'primary'
          when direct >= 2 and (len(list_intersect(tokens, [{_sql_list(intent.GENERIC)}])) > 0 or o > 0 or t > 0 or a > 0) and sure >= 0.72 then 'supporting'
          else 'irrelevant' end as role, risk = 0 and doc_id % 3 > 0 as sound
   from scored
-), placed as (select *, row_number() over (partition by query_id, role order by sure desc, position) as place from judged)
+), placed as (
+  select *, row_number() over (partition by query_id, role order by case when role = 'primary' then score else 0 end desc,
+    case when role = 'primary' then coalesce(similarity, 0.0::double) else 0 end desc, sure desc, position) as place from judged
+)
 select query_id, doc_id, role, case role when 'harmful/conflicting' then 1.0::double when 'policy' then case when sound then 0.98::double else 0.6::double end else sure end as confidence,
        case role when 'policy' then sound when 'primary' then true when 'supporting' then true else false end as surfaced,
+       case role when 'harmful/conflicting' then 'safety-conflict' when 'policy' then case when sound then 'curated-policy' else 'unverified-policy' end
+         else coalesce(nullif(array_to_string(list_filter([case when t > 0 then 'technology-match' end, case when o > 0 then 'operation-match' end, case when a > 0 then 'artifact-match' end,
+           case when f > 0 then 'failure-mode-match' end], lambda x: x is not null), '|'), ''),
+           case role when 'primary' then 'specific-match' when 'supporting' then 'adjacent-match' else 'insufficient-task-contract' end) end as reasons,
        case when (role = 'primary' and place = 1) or (role = 'supporting' and place <= 2) then role end as slot
 from placed
 """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import record, text
 from ..operators.common import cut, sized
-from ..operators.dedupe import metadata_key, three_stage_dedupe
+from ..operators.dedupe import CANONICAL, metadata_key, three_stage_dedupe
 from ..operators.retrieval import lexical_topk
 from .retrieval_queries import CORPUS, _lexical_sql
 from .tables import corpus, prompts, table
@@ -42,8 +42,7 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     rows = records(spark, d)
-    parts = record.evaluation(*(c(x) for x in ("content", "name", "description", "source", "registry", "package", "closure", "truncated")))
-    rows = cut(rows.select("*", *[value.alias(name) for name, value in parts.items()]).drop("content"))
+    rows = cut(record.evaluated(rows).drop("content"))
     trust = record.provenance(c("source"), c("registry"), c("source_type"), c("verified"))
     proof = record.evidence(c("evaluated"), c("feedback"))
     rows = rows.withColumn("provenance", trust).withColumn("prominence", record.prominence(record.stars(c("stars")))).withColumn("evidence", proof)
@@ -148,7 +147,7 @@ def _result_rows(spark: SparkSession, d: str) -> DataFrame:
     docs = corpus(spark, d).join(sized(found.select("doc_id").distinct()), "doc_id", "left_semi")
     name = F.when(F.col("doc_id") % 4 == 0, F.lit("Shared  Name")).otherwise(F.substring("text", 1, 30))
     description = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Used for "), "source")).otherwise(F.substring("text", 31, 90))
-    docs = docs.select("doc_id", "content_hash", "meaningfulness", "quality", name.alias("name"), description.alias("description"), "source")
+    docs = docs.select("doc_id", "content_hash", *CANONICAL, name.alias("name"), description.alias("description"), "source")
     platform = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("slack"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("jira"))).otherwise(F.array().cast("array<string>"))
     rows = found.join(docs.withColumn("platforms", platform), "doc_id")
     both = F.concat_ws(" ", "name", "description")
@@ -157,8 +156,7 @@ def _result_rows(spark: SparkSession, d: str) -> DataFrame:
         "doc_id",
         "position",
         "content_hash",
-        "meaningfulness",
-        "quality",
+        *CANONICAL,
         metadata_key(F.col("name"), F.col("description")).alias("metadata_key"),
         "platforms",
         text.tokens(both).alias("tokens"),
@@ -168,7 +166,7 @@ def _result_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def result_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return three_stage_dedupe(_result_rows(spark, d), ["meaningfulness", "quality"])
+    return three_stage_dedupe(_result_rows(spark, d), CANONICAL)
 
 
 _NAME = "case when doc_id % 4 = 0 then 'Shared  Name' else substring(text, 1, 30) end"
@@ -182,7 +180,7 @@ def _flat(x: str) -> str:
 def _stage_sql(source: str, key: str) -> str:
     own = f"case when {key} = '' then 'id' || doc_id else 'key' || {key} end"
     return f"""select * exclude (position, place, least_position), least_position as position from (
-    select *, row_number() over (partition by query_id, {own} order by meaningfulness desc, quality desc, doc_id desc) as place,
+    select *, row_number() over (partition by query_id, {own} order by meaningfulness desc, quality desc, provenance desc, prominence desc, recency desc, doc_id desc) as place,
            min(position) over (partition by query_id, {own}) as least_position
     from {source}
   ) where place = 1"""
@@ -191,7 +189,7 @@ def _stage_sql(source: str, key: str) -> str:
 RESULT_DEDUPE = f"""
 with recursive {_lexical_sql(_DEPTH)}, {CORPUS},
 named as (
-  select query_id, doc_id, position, content_hash, meaningfulness, quality, {_NAME} as name, {_DESCRIPTION} as description,
+  select query_id, doc_id, position, content_hash, meaningfulness, quality, provenance, prominence, recency, {_NAME} as name, {_DESCRIPTION} as description,
          case doc_id % 3 when 0 then ['slack'] when 1 then ['jira'] else [] end as platforms
   from lexical join corpus using (doc_id)
 ), marked as (
@@ -217,7 +215,7 @@ walk as (
          coalesce(list_min(list_intersect(w.leaders, s.near)), s.place)
   from walk w join steps s on s.query_id = w.query_id and s.place = w.place + 1
 ), grouped as (select o.*, w.leader from ordered o join walk w using (query_id, place))
-select query_id, arg_max(doc_id, (meaningfulness, quality, doc_id)) as doc_id, min(place) as position, count(*) as duplicate_group_size
+select query_id, arg_max(doc_id, (meaningfulness, quality, provenance, prominence, recency, doc_id)) as doc_id, min(place) as position, count(*) as duplicate_group_size
 from grouped group by query_id, leader
 """
 

@@ -10,7 +10,7 @@ from ..functions.stemmer import stems_sql
 from ..operators import retrieval as R
 from ..operators import lexical_index
 from ..operators.common import cut, new_path, sized
-from ..operators.dedupe import canonical_pick, greedy_near_duplicates, mark_duplicates
+from ..operators.dedupe import CANONICAL, canonical_pick, greedy_near_duplicates, mark_duplicates
 from .tables import corpus, corpus_sql, prompts, table, vectors
 from .text_queries import _tokens_sql, index_terms_sql, normalised_sql
 
@@ -324,7 +324,7 @@ from walk k join worded w on w.query_id = k.query_id and w.position = k.position
 
 def _statuses(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus(spark, d).withColumn("status", F.when(F.col("eligible"), "active").otherwise("rejected"))
-    return rows.select("doc_id", "content_hash", "status", "meaningfulness", "quality")
+    return rows.select("doc_id", "content_hash", "status", *CANONICAL)
 
 
 def dedupe_exact_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -349,12 +349,12 @@ def canonical_picks(spark: SparkSession, d: str) -> DataFrame:
     found = cut(found)
     docs = _statuses(spark, d).join(sized(found.select("doc_id").distinct()), "doc_id", "left_semi")
     rows = found.join(docs, "doc_id")
-    return canonical_pick(rows, ["query_id", "content_hash"], "position", ["meaningfulness", "quality"], "doc_id")
+    return canonical_pick(rows, ["query_id", "content_hash"], "position", CANONICAL, "doc_id")
 
 
 CANONICAL_PICKS = f"""
 with {_lexical_sql(60)}, {CORPUS}
-select query_id, content_hash, arg_max(doc_id, (meaningfulness, quality, doc_id)) as doc_id, min(position) as position, count(*) as group_size
+select query_id, content_hash, arg_max(doc_id, (meaningfulness, quality, provenance, prominence, recency, doc_id)) as doc_id, min(position) as position, count(*) as group_size
 from lexical join corpus using (doc_id) group by query_id, content_hash
 """
 

@@ -218,7 +218,7 @@ def delta_export(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
-    led = F.concat(F.lit("---\nname: x\n---\n# Title ![badge](http://a/b.svg) see [the page](http://a/b) <b>"), F.substring("text", 1, 300), F.lit("</b>"))
+    led = F.concat(F.lit("---\nname: x\n---\n# Title ![badge](http://a/b.svg) see [the page](http://a/b) <b>"), "text", F.lit("</b>"))
     return table(spark, d, "documents").select("doc_id", text.clean_markdown(led).alias("clean"))
 
 
@@ -227,7 +227,7 @@ _PROSE = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({_cano
 CLEAN_MARKDOWN = rf"""
 select doc_id, regexp_replace(regexp_replace({_PROSE}, '\s+', ' ', 'g'), {_STRIP}) as clean
 from (select doc_id, '---' || chr(10) || 'name: x' || chr(10) || '---' || chr(10) || '# Title ![badge](http://a/b.svg) see [the page](http://a/b) <b>'
-             || substring(text, 1, 300) || '</b>' as led from documents)
+             || text || '</b>' as led from documents)
 """
 
 

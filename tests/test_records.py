@@ -104,7 +104,7 @@ def test_roles(spark):
 
     def judged(text, risk=0, policy=False, similarity=0.95):
         role = intent.role(task, F.lit(text), some(similarity, "double"), F.lit(90), F.lit(0.9), F.lit(risk), F.lit(policy), F.lit(True))
-        return tuple(one(spark, x=role)["x"])
+        return tuple(one(spark, x=role)["x"])[:3]
 
     assert judged("docker build debug repair compile guide fix")[0] == "primary"
     assert judged("docker build", risk=3) == ("harmful/conflicting", 1.0, False)
@@ -136,3 +136,23 @@ def test_large_ids_survive_lexical_search(spark):
     got = [tuple(r) for r in retrieval.lexical_topk(asked, docs, 3).orderBy("position").collect()]
     assert got == [(2**59 + 1, 2**60 + 3, 2, 1), (2**59 + 1, 2**60 + 1, 2, 2), (2**59 + 1, 2**60 + 4, 1, 3)]
     assert retrieval.bm25_topk(asked, docs, 1).first()["doc_id"] == 2**60 + 3
+
+
+def test_slots_keep_the_order_of_retrieval(spark):
+    """A lower score never wins by confidence; confidence decides among equals, and among supporting candidates."""
+    rows = [
+        (1, 10, 1, 5.0, 0.9, "primary", 0.81), (1, 11, 2, 4.0, 0.99, "primary", 0.99), (1, 12, 3, 1.0, None, "supporting", 0.75),
+        (1, 13, 4, 1.0, None, "supporting", 0.8), (1, 14, 5, 9.0, 1.0, "supporting", 0.75), (2, 20, 1, 2.0, None, "primary", 0.8),
+        (2, 21, 2, 2.0, 0.1, "primary", 0.8), (3, 30, 1, 1.0, 0.5, "primary", 0.8), (3, 31, 2, 1.0, 0.5, "primary", 0.9), (4, 40, 1, 9.0, 1.0, "irrelevant", 0.9),
+    ]
+    df = spark.createDataFrame(rows, "query_id long, doc_id long, position int, score double, similarity double, role string, confidence double")
+    got = {r["doc_id"]: r["slot"] for r in intent.slots(df).collect() if r["slot"]}
+    assert got == {10: "primary", 13: "supporting", 12: "supporting", 21: "primary", 31: "primary"}
+
+
+def test_harmful_flags(spark):
+    judged = intent.role(F.lit("fix the docker build"), F.lit("fix docker build"), F.lit(0.9), F.lit(90), F.lit(0.9), F.lit(0), F.lit(False), F.lit(True), F.array(F.lit("Destructive")))
+    r = spark.range(1).select(judged.alias("r")).first()["r"]
+    assert (r["role"], r["confidence"], r["reasons"]) == ("harmful/conflicting", 1.0, ["safety-conflict"])
+    judged = intent.role(F.lit("fix the docker build"), F.lit("fix docker build"), F.lit(0.9), F.lit(90), F.lit(0.9), F.lit(0), F.lit(False), F.lit(True), F.array(F.lit("network")))
+    assert spark.range(1).select(judged.alias("r")).first()["r"]["reasons"] == ["technology-match", "operation-match"]
