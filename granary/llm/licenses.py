@@ -4,12 +4,13 @@ A text is cut into sentences three times: where a sentence ends or a line is emp
 word); at every line break as well (notices stand on lines of their own); and, for texts in comments, on one line or in
 lists, without the comment marks that begin lines, at colons and semicolons, around copyright lines, and before known
 beginnings. There SPDX expressions count by their parts. Sentences are normalised to lower-case words. Known ones have
-identifiers; all others vanish. Each of the three sequences of identifiers is matched against ordered rules: a rule holds
+identifiers; short ones that name a license as notices, titles and SPDX lines do (NOTICE, TITLE, SPDX_LINE, with names
+built by ``license_names``) have that of the license; all others vanish. Each of the three sequences of identifiers is matched against ordered rules: a rule holds
 if its identifiers occur in its order, other ones between them allowed. For each license the first rule that holds counts.
 The SQL of the query states the first two sequences.
 
-Only texts that hold one of a few words go through the sentences at all; every known sentence has such a word, so
-nothing is missed.
+Only texts that hold one of a few words, or words that notices have, go through the sentences at all; every known sentence
+has such words, so nothing is missed.
 """
 
 from __future__ import annotations
@@ -87,7 +88,74 @@ SENTENCES = {
     "zlib-spdx": "spdx license identifier zlib",
     "artistic2-spdx": "spdx license identifier artistic 2 0",
 }
-#: Words of which every known sentence has one.
+
+# What licenses are called. Names are built from families, versions and words that may follow.
+_SHORT_NAMES = {
+    "MIT": ["mit", "expat"],
+    "BSD-3-Clause": ["bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd"],
+    "BSD-2-Clause": ["bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd"],
+    "ISC": ["isc"],
+    "Zlib": ["zlib", "zlib libpng"],
+    "PostgreSQL": ["postgresql"],
+    "PSF-2.0": ["psf", "python software foundation", "psf 2 0", "python software foundation license version 2"],
+    "WTFPL": ["wtfpl", "do what the fuck you want to public"],
+    "Unlicense": ["unlicense", "the unlicense"],
+    "CC0-1.0": ["cc0", "cc0 1 0", "cc0 1 0 universal", "creative commons zero v1 0 universal", "creative commons cc0 1 0 universal"],
+}
+#: License, its long and short names, and versions as they are written (the first one also stands in the identifier).
+_VERSIONED = [
+    ("GPL", ["gnu general public license", "gnu gpl", "gpl"], {"2.0": ["2 0", "2"], "3.0": ["3 0", "3"]}),
+    ("LGPL", ["gnu lesser general public license", "gnu lgpl", "lgpl"], {"2.1": ["2 1"], "3.0": ["3 0", "3"]}),
+    ("AGPL", ["gnu affero general public license", "gnu agpl", "agpl"], {"3.0": ["3 0", "3"]}),
+    ("Apache", ["apache license", "apache software license", "apache"], {"2.0": ["2 0", "2"]}),
+    ("MPL", ["mozilla public license", "mpl"], {"2.0": ["2 0"], "1.1": ["1 1"]}),
+    ("EPL", ["eclipse public license", "epl"], {"2.0": ["2 0"], "1.0": ["1 0"]}),
+    ("OFL", ["sil open font license", "open font license", "ofl"], {"1.1": ["1 1"]}),
+    ("BSL", ["boost software license", "bsl"], {"1.0": ["1 0"]}),
+    ("Artistic", ["artistic license", "artistic"], {"2.0": ["2 0"]}),
+]
+_CC_TERMS = {"BY": "attribution", "SA": "sharealike", "NC": "noncommercial", "ND": "noderivatives"}
+_CC_KINDS, _CC_VERSIONS = ["BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"], ["2.0", "2.5", "3.0", "4.0"]
+
+
+def license_names() -> dict[str, str]:
+    """Normalised names of licenses, without "license" at the end and "the" at the beginning, and what they name."""
+    out = {name: license for license, names in _SHORT_NAMES.items() for name in names}
+    for family, names, versions in _VERSIONED:
+        for version, written in versions.items():
+            for name in names:
+                for v in written:
+                    out |= {f"{name} {lead}{v}": f"{family}-{version}" for lead in ("", "v", "v ", "version ")}
+                    if name.endswith(("gpl", "mpl", "epl")):
+                        out[f"{name}v{v}"] = f"{family}-{version}"
+    for kind in _CC_KINDS:
+        terms = kind.split("-")
+        for version in _CC_VERSIONS:
+            v, license = version.replace(".", " "), f"CC-{kind}-{version}"
+            out[f"cc {' '.join(terms).lower()} {v}"] = license
+            words = " ".join(_CC_TERMS[t] for t in terms)
+            for spelled in {words, words.replace("sharealike", "share alike").replace("noderivatives", "no derivatives").replace("noncommercial", "non commercial")}:
+                out |= {f"creative commons {spelled} {v}{tail}": license for tail in ("", " international", " unported", " generic")}
+    return out
+
+
+#: A notice is known by what follows these words; an SPDX line and a title by themselves.
+NOTICE = (
+    r"^(?:(?:this|the|all) (?:[a-z]+ ){0,2}?(?:is |are |may be )|it is |and |is )?(?:dual |also )?"
+    r"(?:(?:licensed|distributed|released|available|published|provided|redistributed) under|(?:covered|governed) by|licen[cs]e(?: is)?) "
+    r"(?:the )?(?:terms (?:and conditions )?of )?(?:the |a |an )?(.+?)(?: public)?(?: licen[cs]e)?(?: only| or later| or any later version| or at your option any later version)?$"
+)
+TITLE = r"^(?:the )?(.+?)(?: public)?(?: licen[cs]e)?$"
+SPDX_LINE = r"^spdx license identifier (.+?)(?: only| or later)?$"
+#: Notices that may have none of WORDS.
+NOTICE_WORDS = r"\b(?:distributed|released|available|published|provided|redistributed|covered|governed)[\x20\x09-\x0D]+(?:under|by)\b|\bcc0\b|\bcreative\s+commons\b"
+#: Characters that a normalised notice has at most.
+LONGEST_NOTICE = 200
+#: A title is a name with one of these words, so that a word like "mit" or "isc" alone is none.
+TITLE_WORD = r"licen[cs]e|universal$|international$|unported$|generic$"
+
+
+#: Words of which every other known sentence has one.
 WORDS = ("license", "permission", "copyright", "warranty", "licensed", "redistribution", "unencumbered")
 
 # Rules in order, (license, rule, identifiers in order).
@@ -150,6 +218,13 @@ RULES = [
     ("Artistic-2.0", "notice", ["artistic2-spdx"]),
     ("Artistic-2.0", "title", ["artistic2-title"]),
 ]
+#: Names as notices, titles and SPDX lines leave them: without "public" and "license" at the end.
+NAMES = {}
+for _name, _license in license_names().items():
+    for _end in (" public license", " license", " public"):
+        _name = _name.removesuffix(_end)
+    NAMES.setdefault(_name, _license)
+RULES += [(_license, kind, [f"{_license}~{kind}"]) for _license in dict.fromkeys(NAMES.values()) for kind in ("notice", "spdx", "title")]
 #: Licenses whose rule is part of another license's: not reported beside it.
 PART_OF = {"BSD-2-Clause": "BSD-3-Clause"}
 
@@ -204,8 +279,19 @@ def ordered_pattern(identifiers: list[str]) -> str:
 def _identifiers(pieces: Column) -> Column:
     """The identifiers of the known sentences among the pieces, in order, as ``,a,b,``; ``,`` if there are none."""
     known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
+    named = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
     sentences = F.transform(pieces, lambda s: F.trim(F.regexp_replace(s, BETWEEN, " ")))
-    names = F.filter(F.transform(sentences, lambda s: F.try_element_at(known, s)), lambda n: n.isNotNull())
+
+    def by_name(s: Column, pattern: str, kind: str) -> Column:
+        return F.concat(F.try_element_at(named, F.regexp_extract(s, pattern, 1)), F.lit(f"~{kind}"))
+
+    def identifier(s: Column) -> Column:
+        """The sentence's own identifier, or that of the license it names; long sentences name none that way."""
+        title = F.when(s.rlike(TITLE_WORD), by_name(s, TITLE, "title"))
+        named_ = F.when(s.startswith("spdx "), by_name(s, SPDX_LINE, "spdx")).otherwise(F.coalesce(by_name(s, NOTICE, "notice"), title))
+        return F.coalesce(F.try_element_at(known, s), F.when(F.length(s) <= LONGEST_NOTICE, named_))
+
+    names = F.filter(F.transform(sentences, identifier), lambda n: n.isNotNull())
     return F.concat(F.lit(","), F.array_join(F.transform(names, lambda n: F.concat(n, F.lit(","))), ""))
 
 
@@ -251,7 +337,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER + _QUOTES, _LOWER + " " * len(_QUOTES))
     # split into jobs of a few columns, so that each is evaluated once per row
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    worth = _any([F.col("text").contains(w) for w in WORDS])
+    worth = _any([F.col("text").contains(w) for w in WORDS]) | F.col("text").rlike(NOTICE_WORDS)
     cuts = {"by_line": F.split("text", BY_LINE), "wrapped": F.split("text", WRAPPED), "laid_out": _laid_out(F.col("text"))}
     ids = F.struct(*[_identifiers(pieces).alias(c) for c, pieces in cuts.items()])
     found = rows.select("doc_id", F.when(worth, ids).alias("ids"))

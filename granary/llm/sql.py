@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import BETWEEN, BY_LINE, PART_OF, RULES, SENTENCES, WRAPPED, ordered_pattern
+from .licenses import BETWEEN, BY_LINE, LONGEST_NOTICE, NAMES, NOTICE, PART_OF, RULES, SENTENCES, SPDX_LINE, TITLE, TITLE_WORD, WRAPPED, ordered_pattern
 
 _EXACT = r"""
 with flat as (
@@ -154,6 +154,7 @@ def _quoted(text: str) -> str:
 
 def _licenses() -> str:
     known = ", ".join(f"({_quoted(s)}, {_quoted(n)})" for n, s in SENTENCES.items())
+    spoken = ", ".join(f"({_quoted(n)}, {_quoted(license)})" for n, license in NAMES.items())
     names = list(dict.fromkeys(name for name, _, _ in RULES))
 
     def holds(identifiers: list[str]) -> str:
@@ -173,14 +174,20 @@ def _licenses() -> str:
         return f"""
 {name} as (
   select doc_id, ',' || string_agg(name || ',', '' order by i) as {name}, count(*) as n_{name} from (
-    select doc_id, i, trim(regexp_replace(s, {_quoted(BETWEEN)}, ' ', 'g')) as sentence
-    from (select doc_id, unnest(ss) as s, generate_subscripts(ss, 1) as i
-          from (select doc_id, regexp_split_to_array(t, {_quoted(ends)}) as ss from lowered))
-  ) join known using (sentence) group by doc_id
+    select doc_id, i, coalesce(known.name, case when length(sentence) <= {LONGEST_NOTICE} then case when sentence like 'spdx %' then p.license || '~spdx'
+             else coalesce(n.license || '~notice', case when regexp_matches(sentence, {_quoted(TITLE_WORD)}) then t.license || '~title' end) end end) as name
+    from (
+      select doc_id, i, trim(regexp_replace(s, {_quoted(BETWEEN)}, ' ', 'g')) as sentence
+      from (select doc_id, unnest(ss) as s, generate_subscripts(ss, 1) as i
+            from (select doc_id, regexp_split_to_array(t, {_quoted(ends)}) as ss from lowered))
+    ) left join known using (sentence)
+    left join spoken n on n.name = regexp_extract(sentence, {_quoted(NOTICE)}, 1) left join spoken t on t.name = regexp_extract(sentence, {_quoted(TITLE)}, 1)
+    left join spoken p on p.name = regexp_extract(sentence, {_quoted(SPDX_LINE)}, 1)
+  ) where name is not null group by doc_id
 )"""
 
     return f"""
-with known(sentence, name) as (values {known}),
+with known(sentence, name) as (values {known}), spoken(name, license) as (values {spoken}),
 lowered as (
   select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ“”‘’', 'abcdefghijklmnopqrstuvwxyz    ') as t from documents
 ),

@@ -116,7 +116,7 @@ AUTHORS BE LIABLE."""
 
 
 def test_license_rules(spark):
-    backwards = "\n\n".join(MIT.split("\n\n")[::-1])
+    backwards = "\n\n".join(MIT.split("\n\n")[:0:-1])  # without the title, which names the license by itself
     bsd = [SENTENCES[k] for k in ("bsd-redistribution", "bsd-source", "bsd-binary")]
     cases = {
         1: (MIT, "MIT", "MIT:text"),
@@ -297,3 +297,38 @@ def test_proximity(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = proximity_matches(frame, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert {r["doc_id"] for r in got.collect()} == {1, 2}
+
+
+NOTICES = [
+    ("License: MIT", "MIT"),
+    ("This package is licensed under the terms of the MIT license.", "MIT"),
+    ("Distributed under the MIT License. See LICENSE for more.", "MIT"),
+    ("MIT License\n\nCopyright (c) 2020 Someone\n\nPermission is hereby granted, free of", "MIT"),
+    ("// SPDX-License-Identifier: GPL-2.0\nint x;", "GPL-2.0"),
+    ("# SPDX-License-Identifier: GPL-2.0+", "GPL-2.0"),
+    ("License: LGPL-2.1+", "LGPL-2.1"),
+    ("GNU General Public License v3.0", "GPL-3.0"),
+    ("Released under the GNU GPLv3 or later.", "GPL-3.0"),
+    ("Released under the GPLv3 or later.", "GPL-3.0"),
+    ("BSD 3-Clause License", "BSD-3-Clause"),
+    ("CC0 1.0 Universal", "CC0-1.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "CC-BY-SA-3.0"),
+    ("All content is licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+    ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "OFL-1.1"),
+    ("Released under the PSF license.", "PSF-2.0"),
+    ("Available under the PostgreSQL License", "PostgreSQL"),
+    ("Licensed under the WTFPL", "WTFPL"),
+    ("Distributed under the\nApache License 2.0.", "Apache-2.0"),
+    ("It is governed by the Mozilla Public License, v. 2.0.", "MPL-2.0"),
+    ("Data provided by ISC. The MIT campus, a license plate, and code released under pressure.", ""),
+    ("mit", ""),
+    ("The license is expensive. This software is available under the table.", ""),
+]
+
+
+def test_notices_that_name_a_license(spark):
+    df = spark.createDataFrame(list(enumerate(t for t, _ in NOTICES)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in scan_licenses(df).collect()}
+    assert {NOTICES[k][0]: v for k, v in got.items()} == {t: want for t, want in NOTICES}
+    long = "word " * 200_000 + "\nLicense: MIT\n" + "word " * 200_000
+    assert scan_licenses(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()["licenses"] == "MIT"
