@@ -53,6 +53,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows for Python tasks, dealt out anew where they come from fewer files than there are cores: a small table in one file
+    would be one task. Larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def sized(df: DataFrame) -> DataFrame:
     """A cut table, marked for broadcast if its counted size allows it."""
     df = cut(df)

@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from ..functions.stemmer import stem
 from ..functions.text import NAME_STOPWORDS
-from .common import cut, sized, top_per_group
+from .common import cut, sized, spread, top_per_group
 
 K1, B = 1.2, 0.75
 #: The least weight that a term has, however frequent it is.
@@ -111,7 +111,7 @@ class LexicalIndex:
         and a null doc_id is refused."""
         rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.raise_error(F.lit("a document without doc_id"))).alias("doc_id"), *[F.col(f).cast("string") for f in self.fields])
         weights, segment = list(self.fields.values()), uuid.uuid4().hex
-        found = rows.mapInArrow(lambda batches: _block_rows(batches, weights, segment), _BLOCK)
+        found = spread(rows).mapInArrow(lambda batches: _block_rows(batches, weights, segment), _BLOCK)
         shard = F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(self.shards)))
         found = found.withColumn("shard", shard.cast("int")).repartition("shard", F.pmod(F.xxhash64("block"), F.lit(8)))
         found.sortWithinPartitions("shard", "term").write.partitionBy("shard").mode("append").parquet(self.folder)

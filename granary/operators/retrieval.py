@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import index_terms, words
-from .common import cut, sized, top_per_group
+from .common import cut, sized, spread, top_per_group
 
 #: Terms that a lexical query keeps, in alphabetical order.
 QUERY_TERMS = 12
@@ -134,7 +134,7 @@ def _term_scores(asked: _Asked, rows: DataFrame, k: int, form, weigh) -> DataFra
 def lexical_topk(queries: DataFrame, docs: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
     """Documents by the number of query terms that they hold."""
     long = F.filter(words(F.col("text")), lambda w: F.length(w) >= 3)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), long.alias("terms")).where("size(terms) > 0")
+    rows = spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), long.alias("terms")).where("size(terms) > 0")
 
     def top(own: DataFrame) -> DataFrame:
         asked = _Asked(query_terms(own).withColumn("weight", F.lit(1.0)).collect())
@@ -147,7 +147,7 @@ def lexical_topk(queries: DataFrame, docs: DataFrame, k: int = 10, block: int =
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = BM25_K1, b: float = BM25_B, block: int = QUERY_BLOCK) -> DataFrame:
     """Okapi BM25 over words of two or more characters; a repeated query word counts each time."""
     long = F.filter(words(F.col("text")), lambda t: F.length(t) > 1)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), long.alias("terms")).where("text is not null")
+    rows = spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), long.alias("terms")).where("text is not null")
 
     def top(own: DataFrame) -> DataFrame:
         times = own.select("query_id", F.explode(long).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight")).collect()
