@@ -10,7 +10,7 @@ from ..operators import evaluation as V
 from ..operators import events as E
 from ..operators import retrieval as R
 from ..operators import stats as S
-from ..operators.common import top_per_group
+from ..operators.common import cut, top_per_group
 from ..operators.dedupe import canonical_pick
 from ..sources import store
 from ..streaming.streams import run_available, sessions
@@ -309,12 +309,37 @@ from routes
 """
 
 
+#: Copies of lineitem by name: in another order, with a value changed, a row lost, and a row lost where another stands twice.
+_COPIES = {
+    "order": "select * from {t}",
+    "value": "select l_orderkey, l_partkey, l_suppkey, l_linenumber, case when l_orderkey = {k} and l_linenumber = 1 then l_quantity + 1 else l_quantity end as l_quantity from {t}",
+    "lost": "select * from {t} where not (l_orderkey = {k} and l_linenumber = 1)",
+    "twice": "select * from {t} where not (l_orderkey = {k} and l_linenumber = 1) union all select * from {t} where l_orderkey = {k2} and l_linenumber = 1",
+}
+_PARITY_COLUMNS = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity"
+
+
 def table_parity(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a compacted copy of a table has the rows of the table, whatever their order."""
-    rows = table(spark, d, "lineitem")
-    copy = rows.repartition(F.col("l_orderkey")).sortWithinPartitions("l_partkey")
-    a, b = store.table_digest(rows), store.table_digest(copy).select(F.col("rows").alias("n"), F.col("digest").alias("other"))
-    return a.crossJoin(F.broadcast(b)).select("rows", ((F.col("rows") == F.col("n")) & F.col("digest").eqNullSafe(F.col("other"))).alias("same"))
+    """Whether copies of a table have the rows of the table, whatever their order."""
+    rows = table(spark, d, "lineitem").selectExpr(*_PARITY_COLUMNS.split(", "))
+    ends = rows.agg(F.min("l_orderkey").alias("k"), F.max("l_orderkey").alias("k2")).first()
+    own, out = cut(store.table_digest(rows)), None
+    for name, copy in _COPIES.items():
+        copied = spark.sql(copy.replace("{t}", "{rows}").replace("{k}", str(ends["k"])).replace("{k2}", str(ends["k2"])), rows=rows)
+        copied = copied.repartition(F.col("l_partkey")).sortWithinPartitions("l_suppkey")
+        other = store.table_digest(copied).select(F.col("rows").alias("n"), F.col("digest").alias("other"))
+        same = (F.col("rows") == F.col("n")) & F.col("digest").eqNullSafe(F.col("other"))
+        one = own.crossJoin(F.broadcast(other)).select(F.lit(name).alias("copy"), F.col("n").alias("rows"), same.alias("same"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _parity_sql() -> str:
+    parts = []
+    for name, copy in _COPIES.items():
+        c = copy.replace("{k}", "(select min(l_orderkey) from lineitem)").replace("{k2}", "(select max(l_orderkey) from lineitem)").replace("{t}", "own")
+        parts.append(f"select '{name}' as copy, (select count(*) from ({c})) as rows, not exists (({c}) except all (select * from own)) and not exists ((select * from own) except all ({c})) as same")
+    return f"with own as (select {_PARITY_COLUMNS} from lineitem) " + " union all ".join(parts)
 
 
 def forked_packages(spark: SparkSession, d: str) -> DataFrame:
@@ -451,7 +476,7 @@ QUERIES = {
     "run_summary": (run_summary, RUNS),
     "privacy_counts": (privacy_counts, PRIVACY),
     "append_events": (append_events, APPEND),
-    "table_parity": (table_parity, "select count(*) as rows, true as same from lineitem"),
+    "table_parity": (table_parity, _parity_sql()),
     "forked_packages": (forked_packages, FORKS),
     "rate_limit": (rate_limit, RATE_LIMIT),
     "best_entitlement": (best_entitlement, ENTITLEMENT),
