@@ -136,3 +136,20 @@ def profile_regressions(before: DataFrame, after: DataFrame, slowdown: float = S
     b = after.where("value is not null").select("metric", "statistic", F.col("value").cast("long").alias("after"))
     slower = (F.col("before") > 0) & (F.col("after") - F.col("before") >= least_ms) & (F.col("after") > F.col("before") * (1 + slowdown))
     return a.join(b, ["metric", "statistic"]).withColumn("regressed", slower)
+
+
+def snapshot_regressions(before: DataFrame, after: DataFrame, positive: list[str] = (), slowdown: float = SLOWDOWN) -> DataFrame:
+    """(metric, before, after, failure) of the metrics (metric, value, higher_is_better) of two snapshots.
+
+    A metric that a snapshot lacks is 0 in it. Where higher is better any decrease is a failure; otherwise an increase by more
+    than ``slowdown`` of what it was, unless that was 0. Metrics named in ``positive`` fail whenever they are not above 0.
+    """
+    a = before.select("metric", F.col("value").cast("double").alias("before"), F.col("higher_is_better").alias("high"))
+    b = after.select("metric", F.col("value").cast("double").alias("after"), F.col("higher_is_better").alias("high2"))
+    both = a.join(b, "metric", "full").na.fill(0.0, ["before", "after"]).withColumn("high", F.coalesce("high", "high2"))
+    failure = (
+        F.when(F.col("metric").isin(list(positive)) & (F.col("after") <= 0), "not positive")
+        .when(F.col("high") & (F.col("after") < F.col("before")), "regressed")
+        .when(~F.col("high") & (F.col("before") > 0) & (F.col("after") > F.col("before") * (1 + slowdown)), "increased")
+    )
+    return both.select("metric", "before", "after", failure.alias("failure"))

@@ -159,7 +159,39 @@ select a.family as metric, statistic, a.value as before, b.value as after, a.val
 from (select * from points where half = 0) a join (select * from points where half = 1) b using (family, statistic)
 """
 
+def snapshot_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes and latencies by family of users with even and with odd numbers, and what the odd ones gain in positive outcomes."""
+    rows = routes(spark, d).withColumn("positive", F.coalesce(F.col("outcome").isin("used", "installed"), F.lit(False)).cast("double"))
+
+    def snapshot(half: int, scale: float) -> DataFrame:
+        own = rows.where(F.col("user_id") % 2 == half)
+        rates = own.groupBy("family").agg(F.round(F.avg("positive") * F.lit(scale), 6).alias("value")).where(f"family <> 'signup' or {half} = 0")
+        times = own.groupBy("family").agg(F.round(F.avg("latency") * F.when(F.col("family") == "click", scale), 6).alias("value"))
+        lift = own.agg(F.round(F.avg("positive") - 0.5, 6).alias("value"))
+        out = rates.select(F.concat("family", F.lit(".rate")).alias("metric"), "value", F.lit(True).alias("higher_is_better"))
+        out = out.unionByName(times.select(F.concat("family", F.lit(".ms")).alias("metric"), "value", F.lit(False).alias("higher_is_better")))
+        return out.unionByName(lift.select(F.lit("lift").alias("metric"), "value", F.lit(True).alias("higher_is_better")))
+
+    return K.snapshot_regressions(snapshot(0, 1.0), snapshot(1, 1.5), ["lift"])
+
+
+def _snapshot_sql(half: int, scale: float) -> str:
+    return f"""
+  select family || '.rate' as metric, round(avg(p) * {scale}::double, 6) as value, true as high from rows where user_id % 2 = {half} and (family <> 'signup' or {half} = 0) group by family
+  union all select family || '.ms', case when family = 'click' then round(avg(latency) * {scale}::double, 6) end, false from rows where user_id % 2 = {half} group by family
+  union all select 'lift', round(avg(p) - 0.5, 6), true from rows where user_id % 2 = {half}"""
+
+
+SNAPSHOT_GATE = f"""
+with {ROUTES}, rows as (select *, coalesce(outcome in ('used', 'installed'), false)::int::double as p from routes),
+a as ({_snapshot_sql(0, 1.0)}), b as ({_snapshot_sql(1, 1.5)}),
+both_of as (select metric, coalesce(a.value, 0) as before, coalesce(b.value, 0) as after, coalesce(a.high, b.high) as high from a full join b using (metric))
+select metric, before, after, case when metric = 'lift' and after <= 0 then 'not positive' when high and after < before then 'regressed' when not high and before > 0 and after > before * 1.25::double then 'increased' end as failure
+from both_of
+"""
+
 QUERIES = {
+    "snapshot_gate": (snapshot_gate, SNAPSHOT_GATE),
     "route_cases": (route_cases, ROUTE_CASES),
     "score_margins": (score_margins, SCORE_MARGINS),
     "keyword_grades": (keyword_grades, KEYWORD_GRADES),

@@ -77,3 +77,11 @@ def test_profiles(spark):
     schema = "metric string, statistic string, value double"
     got = K.profile_regressions(spark.createDataFrame(before, schema), spark.createDataFrame(after, schema)).collect()
     assert sorted(map(tuple, got)) == [("a", "p50", 100, 125, False), ("b", "p50", 100, 126, True), ("c", "p95", 10, 29, False), ("d", "max", 0, 900, False)]
+
+
+def test_snapshots(spark):
+    before = [("up", 0.5, True), ("down", 0.5, True), ("same", 0.5, True), ("slow", 100.0, False), ("ok", 100.0, False), ("gone", 0.5, True), ("lift", 0.2, True), ("zero", 0.0, False)]
+    after = [("up", 0.6, True), ("down", 0.49, True), ("same", 0.5, True), ("slow", 126.0, False), ("ok", 125.0, False), ("new", 0.1, True), ("lift", 0.0, True), ("zero", 9.0, False)]
+    kind = "metric string, value double, higher_is_better boolean"
+    got = {r["metric"]: r["failure"] for r in K.snapshot_regressions(spark.createDataFrame(before, kind), spark.createDataFrame(after, kind), ["lift"]).collect()}
+    assert got == {"up": None, "down": "regressed", "same": None, "slow": "increased", "ok": None, "gone": "regressed", "new": None, "lift": "not positive", "zero": None}
