@@ -5,8 +5,10 @@ some window picked, the sorted list of the places where its documents have it. W
 terms: occurrences of all test terms are counted over all documents, each window picks its three rarest places, and in
 every shard the list of the rarest is shifted by the distance to the second and to the third and intersected with
 theirs. A window can only occur where all three agree; with a slop, places may be off by some words (proximity).
-All words of a document are in one shard, so nothing but the alignments found leaves a task. Texts are read again for
-these alone and compared word by word, so phrase results are exact whatever the hashes do.
+All words of a document are in one shard, so nothing but the texts found and their items leave a task. Texts are read again
+for these alone, and their windows are compared with the items' word by word, so phrase results are exact whatever the
+hashes do. Windows of an item that differ by a shift alone are one lookup, and a text's windows are hashed once for all
+its items, so texts and items of one repeated word take time in proportion to their length.
 
 The benchmark is worked off in blocks of a bounded number of words, each of which reads the documents; only a block's
 terms, windows and words go to the tasks. Texts are known by two hashes of their content, so rows without a doc_id,
@@ -125,7 +127,7 @@ def _picks(items: DataFrame, counts: tuple[np.ndarray, np.ndarray], window: int,
 
     def pick(batches):
         for batch in batches:
-            rows = set()
+            rows = {}
             for item, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = np.array(own, np.int64)
                 at = np.minimum(np.searchsorted(terms, own), max(0, len(terms) - 1))
@@ -138,8 +140,10 @@ def _picks(items: DataFrame, counts: tuple[np.ndarray, np.ndarray], window: int,
                         order = order[part[order] > 0]
                     if len(order) >= min(RAREST, size) and part[order[0]]:
                         chosen = [start + int(order[min(k, len(order) - 1)]) for k in range(RAREST)]
-                        rows.add((item, *(x for p in chosen for x in (p, int(own[p])))))
-            flat = np.array(sorted(rows), np.int64).reshape(-1, 1 + 2 * RAREST)
+                        # windows of the same terms at the same distances agree at the same places: the last one stands for all
+                        rows[item, *(x for p in chosen for x in (p - chosen[0], int(own[p])))] = chosen[0]
+            flat = np.array([(k[0], *(x + place if i % 2 == 0 else x for i, x in enumerate(k[1:]))) for k, place in rows.items()], np.int64)
+            flat = flat.reshape(-1, 1 + 2 * RAREST)
             yield pa.RecordBatch.from_pydict({"pick": pa.array([r.tobytes() for r in flat], pa.binary())})
 
     found = items.select("item", "terms").mapInArrow(pick, "pick binary").toPandas()["pick"]
@@ -189,8 +193,17 @@ def positional_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     return written(docs.mapInArrow(store, _INDEX))
 
 
+def _firsts(doc: np.ndarray, item: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Columns of (doc, item, at): each pair of a document and an item once, with its first place."""
+    order = np.lexsort((at, item, doc))
+    doc, item, at = doc[order], item[order], at[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))[: len(doc)]
+    return np.stack((doc[new], item[new], at[new]))
+
+
 def _intersected(index: DataFrame, picks: np.ndarray, slop: int = 0) -> DataFrame:
-    """(h, g, item, at): texts and the places in them where an item begins if its picked terms agree within ``slop`` words."""
+    """(h, g, item, at): texts, items of which some picked terms agree in them within ``slop`` words, and the first place
+    where the item would then begin."""
     sent = index.sparkSession.sparkContext.broadcast(picks)
 
     def listed(terms: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,10 +243,10 @@ def _intersected(index: DataFrame, picks: np.ndarray, slop: int = 0) -> DataFram
                         own, place = own[fits], place[fits]
                     if len(own):
                         doc = np.searchsorted(first, place, "right") - 1
-                        out.append(np.stack((doc, picks[own, 0], place - first[doc] - picks[own, 1])))
+                        out.append(_firsts(doc, picks[own, 0], place - first[doc] - picks[own, 1]))
                     begin = end
                 if out:
-                    doc, item, at = np.unique(np.concatenate(out, axis=1), axis=1)
+                    doc, item, at = _firsts(*np.concatenate(out, axis=1))
                     h, g = (batch.column(i)[row].values.take(pa.array(doc)) for i in (4, 5))
                     yield pa.RecordBatch.from_pydict({"h": h, "g": g, "item": pa.array(item), "at": pa.array(at)})
 
@@ -269,50 +282,102 @@ def _blocks(items: DataFrame) -> list[DataFrame]:
     return [items.where(F.col("block") == n) for n in sorted(numbers)]
 
 
+def _rolled(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` consecutive word hashes."""
+    out = np.zeros(max(0, len(h) - size + 1), np.uint64)
+    for i in range(size if len(out) else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)].view(np.uint64)
+    return out
+
+
+class _Windows:
+    """The windows of an item: their hashes, and the windows themselves."""
+
+    def __init__(self, name: str | None, own: list[str], terms: list[int], window: int):
+        self.name, self.size = name, min(window, len(own))
+        self.hashes = np.unique(_rolled(np.array(terms, np.int64), self.size))
+        self.whole = {tuple(own[i : i + self.size]) for i in range(len(own) - self.size + 1)}
+
+    def starts(self, own: list[str], rolled: np.ndarray) -> np.ndarray:
+        """Where the windows occur among words whose ``size`` consecutive hashes are these, in order."""
+        near = np.minimum(np.searchsorted(self.hashes, rolled), len(self.hashes) - 1)
+        maybe = np.flatnonzero(self.hashes[near] == rolled).tolist()
+        return np.array([i for i in maybe if tuple(own[i : i + self.size]) in self.whole], np.int64)
+
+
+def _united(starts: list[np.ndarray], sizes: list[int]) -> list[dict]:
+    """The spans of words that windows at these starts cover, apart and in order."""
+    size = np.repeat(np.array(sizes, np.int64), [len(x) for x in starts])
+    start = np.concatenate(starts)
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate((start + size)[order])
+    new = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
+    return [{"start": int(a), "end": int(b)} for a, b in zip(start[new], end[np.append(new[1:], len(end)) - 1], strict=True)]
+
+
 def _spans(docs: DataFrame, found: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """(h, g, item_id, start, end): words of the texts inside occurring windows, compared word by word."""
-    sent = docs.sparkSession.sparkContext.broadcast({r["item"]: (r["item_id"], r["words"]) for r in items.select("item", "item_id", "words").collect()})
+    """(h, g, spans, items): the texts with windows of these items, the words that they cover and the items' names."""
+    rows = items.select("item", "item_id", "words", "terms").collect()
+    sent = docs.sparkSession.sparkContext.broadcast({r["item"]: (r["item_id"], r["words"], r["terms"]) for r in rows})
     texts = semi_join_sized(docs.select("h", "g", "text"), cut(found.select("h", "g").distinct()), ["h", "g"])
     texts = texts.groupBy("h", "g").agg(F.first("text").alias("text"))
-    asked = found.groupBy("h", "g").agg(F.collect_list(F.struct("item", "at")).alias("asked"))
+    asked = found.groupBy("h", "g").agg(F.collect_list("item").alias("asked"))  # at most the items of a block
 
     def compare(batches):
+        known: dict[int, _Windows] = {}
         for batch in batches:
-            out = []
-            h, g = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for row in range(batch.num_rows):
-                own = word_list(batch.column(2)[row].as_py())
-                for c in batch.column(3)[row].as_py():
-                    name, item = sent.value[c["item"]]
-                    size, run = min(window, len(item)), 0
-                    for i, word in enumerate(item):
-                        at = c["at"] + i
-                        same = 0 <= at < len(own) and own[at] == word
-                        if not same and run >= size:
-                            out.append((h[row], g[row], name, at - run, at))
-                        run = run + 1 if same else 0
-                    if run >= size:
-                        out.append((h[row], g[row], name, c["at"] + len(item) - run, c["at"] + len(item)))
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
-            columns = zip(*out, strict=True) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "g", "item_id", "start", "end"])
+            out = {name: [] for name in ("h", "g", "spans", "items")}
+            for row, first, hashes in _terms(batch, "text"):
+                for i in range(len(first) - 1):
+                    own, h, rolled = word_list(batch.column(2)[row + i].as_py()), hashes[first[i] : first[i + 1]], {}
+                    hit, starts = [], []
+                    for number in batch.column(3)[row + i].as_py():
+                        if number not in known:
+                            known[number] = _Windows(*sent.value[number], window)
+                        item = known[number]
+                        if item.size not in rolled:
+                            rolled[item.size] = _rolled(h, item.size)
+                        at = item.starts(own, rolled[item.size])
+                        if len(at):
+                            hit.append(item)
+                            starts.append(at)
+                    if hit:
+                        out["h"].append(batch.column(0)[row + i].as_py())
+                        out["g"].append(batch.column(1)[row + i].as_py())
+                        out["spans"].append(_united(starts, [x.size for x in hit]))
+                        out["items"].append([x.name for x in hit if x.name is not None])
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
     both = texts.join(asked, ["h", "g"]).select("h", "g", "text", "asked")
-    return both.mapInArrow(compare, "h long, g int, item_id string, start long, end long")
+    return both.mapInArrow(compare, "h long, g int, spans array<struct<start:long,end:long>>, items array<string>")
 
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The index of the documents (of the first block), and (h, g, spans, items) of the texts with occurring windows.
-
-    spans: (start, end) of words, items: the names of items with an occurring window.
-    """
+    """The index of the documents (of the first block), and (h, g, n_hit, n_items, items_sha256) of the texts with occurring
+    windows: words inside them, and the number and digest of the names of their items."""
     items, spans, indexes = benchmark_terms(benchmark), [], []
     for block in _blocks(items):
         index, found = _alignments(docs, block, window)
         indexes.append(index)
         spans.append(_spans(docs, found, block, window))
-    spans = reduce(DataFrame.unionByName, spans).groupBy("h", "g")
-    return indexes[0], cut(spans.agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set("item_id").alias("items")))
+    # a text has a row per block of items
+    texts = reduce(DataFrame.unionByName, spans).groupBy("h", "g").agg(
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    # overlapping spans count once: in order, what lies beyond the furthest end so far
+    none = F.lit(0).cast("long")
+    merged = F.aggregate(
+        "spans",
+        F.struct(none.alias("n"), none.alias("end")),
+        lambda x, s: F.struct(
+            (x["n"] + F.greatest(none, s["end"] - F.greatest(s["start"], x["end"]))).alias("n"),
+            F.greatest(x["end"], s["end"]).alias("end"),
+        ),
+    )
+    digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
+    return indexes[0], cut(texts.select("h", "g", merged["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -330,24 +395,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     rows = rows.select(F.col("d.doc_ids").alias("doc_id"), "d.h", "d.g", F.col("d.n").alias("n_words"))
     side = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS // 20 else hits
     rows = rows.join(side, ["h", "g"], "left")
-    # overlapping spans count once: in order, what lies beyond the furthest end so far
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
-    merged = F.aggregate(
-        F.array_sort("spans"),
-        start,
-        lambda x, s: F.struct(
-            (x["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(s["start"], x["end"]))).alias("n"),
-            F.greatest(x["end"], s["end"]).alias("end"),
-        ),
-    )
-    n_hit = F.coalesce(merged["n"], F.lit(0).cast("long"))
-    names = F.coalesce(F.array_sort("items"), F.array().cast("array<string>"))
+    none = F.lit(0).cast("long")
+    n_hit = F.coalesce("n_hit", none)
     return rows.select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
-        F.size(names).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", names).cast("binary"), 256).alias("items_sha256"),
+        F.coalesce("n_items", none).alias("n_items"),
+        F.coalesce("items_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
 

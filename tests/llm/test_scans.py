@@ -291,6 +291,26 @@ def test_decontamination_in_blocks_and_shards(spark, monkeypatch, block, shard,
     assert sorted(got) == sorted((d, *leak_brute(t, items)) for d, t in docs)
 
 
+def test_decontamination_of_repeated_words(spark):
+    """Every window of such items occurs everywhere, with any shift."""
+    items = [(1, "0 " * 800), (2, "0 1 " * 300), (3, " ".join(random.Random(3).choices("0123456789", k=900))), (4, "0 0 0")]
+    docs = [(1, "0 " * 32_000), (2, "1 0 " * 9_000 + "x" + " 0" * 9), (3, " ".join(random.Random(4).choices("0123456789", k=20_000)))]
+    docs += [(4, "a " + items[2][1][21:61] + " b"), (5, "0 0")]
+    start = time.time()
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert time.time() - start < 40
+    for d, text in docs:
+        own, hit, named = text.split(), set(), []
+        for name, item in ((str(k), t.split()) for k, t in items):
+            size = min(10, len(item))
+            windows = {tuple(item[i : i + size]) for i in range(len(item) - size + 1)}
+            at = [i for i in range(len(own) - size + 1) if tuple(own[i : i + size]) in windows]
+            hit.update(p for i in at for p in range(i, i + size))
+            named += [name] if at else []
+        assert got[d] == (len(own), len(hit), len(named), hashlib.sha256(",".join(named).encode()).hexdigest(), bool(hit))
+
+
 def test_proximity(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     docs = [(1, "x y " + item), (2, item.replace("beta", "beta one two")), (3, "alpha beta")]
