@@ -66,6 +66,11 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def semi_joined(left: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of left whose key is among the distinct ``keys``, which are broadcast if their counted size allows it."""
+    return left.join(sized(keys), on, "left_semi")
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group with their ``position``; tasks keep k rows per group before the shuffle."""
     place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import case_queries, contract_queries, evaluation_queries, event_queries, intent_queries, load_queries, package_queries, quality_queries, retrieval_queries, store_queries, text_queries
+from . import case_queries, contract_queries, evaluation_queries, event_queries, feed_queries, intent_queries, load_queries, package_queries, quality_queries, retrieval_queries, store_queries, text_queries
 
 FLAGSHIP = "hybrid_search"
 _ALL = {
@@ -16,6 +16,7 @@ _ALL = {
     **intent_queries.QUERIES,
     **package_queries.QUERIES,
     **event_queries.QUERIES,
+    **feed_queries.QUERIES,
     **store_queries.QUERIES,
     **load_queries.QUERIES,
     **contract_queries.QUERIES,
