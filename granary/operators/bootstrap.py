@@ -8,6 +8,7 @@ with resampling rows with replacement. No group, cluster or arm is gathered.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ MODULUS = (1 << 31) - 1
 STEPS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
 #: Draws that a task weighs at once.
 SLICE = 20
+#: Rows of a range of values that a task weighs together.
+BLOCK = 20_000
 
 
 def weights(ids: np.ndarray, draws: np.ndarray, seed: int = SEED) -> np.ndarray:
@@ -122,18 +125,20 @@ def cluster_difference(rows: DataFrame, draws: int = DRAWS, seed: int = SEED) ->
     return whole.crossJoin(interval(drawn, "difference", []))
 
 
-def median_reduction(rows: DataFrame, group: str, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+def median_reduction(rows: DataFrame, group: str, draws: int = DRAWS, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """(group, reduction_pct, low_pct, high_pct, draws): by how much the routed median lies below the held-out one.
 
-    rows: id long, group, arm (routed or holdout), value. Rows are dealt out by range of value; totals of the draws per
-    range tell each range where in it the median of a draw lies, so each median is exact and neither an arm nor a frequent
-    value is one task. Draws with a held-out median of 0 do not count, and fewer than half of all draws give no interval; a
+    rows: id long, group, arm (routed or holdout), value. Rows are dealt out by range of value, and a range is numbered in
+    blocks of so many rows; totals of the draws per block tell where in which block the median of a draw lies, so each median
+    is exact, neither an arm nor a frequent value is one task, and a task weighs one block at a time. Draws with a held-out median of 0 do not count, and fewer than half of all draws give no interval; a
     group without rows in both arms, or with a held-out median of 0, has nulls.
     """
     full = rows.where(F.col("arm").isin("routed", "holdout") & F.col("value").isNotNull() & F.col("id").isNotNull())
     full = full.select(F.col("id").cast("long"), group, "arm", F.col("value").cast("double"))
-    ranged = written(full.repartitionByRange(group, "arm", "value", "id").withColumn("range", F.spark_partition_id()))
-    key = [group, "arm", "range"]
+    ranged = full.repartitionByRange(group, "arm", "value", "id").withColumn("range", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy(group, "arm", "range").orderBy("value", "id"))
+    ranged = written(ranged.withColumn("block", F.floor((place - 1) / block).cast("int")))
+    key = [group, "arm", "range", "block"]
     kind = {c: ranged.schema[c].dataType.simpleString() for c in key}
 
     def total(part: pd.DataFrame) -> pd.DataFrame:
@@ -141,17 +146,16 @@ def median_reduction(rows: DataFrame, group: str, draws: int = DRAWS, seed: int
         return pd.DataFrame({**{c: [part[c].iloc[0]] * draws for c in key}, "draw": np.arange(draws), "n": n})
 
     totals = cut(ranged.groupBy(*key).applyInPandas(total, ", ".join(f"{c} {k}" for c, k in kind.items()) + ", draw long, n long"))
-    upto = Window.partitionBy(group, "arm", "draw").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(group, "arm", "draw").orderBy("range", "block").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy(group, "arm", "draw")))
     # of n values in order the median is the mean of those at the places (n - 1) / 2 and n / 2, rounded down
     low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
     asked = totals.where("all > 0").select(*key, "draw", "before", "n", F.explode(F.array(low, high)).alias("place"))
     asked = asked.where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("n"))).withColumn("place", (F.col("place") - F.col("before")).cast("long"))
+    asked = cut(asked.select(*key, "draw", "place"))
 
-    def look_up(part: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if part.empty or wanted.empty:
-            return pd.DataFrame({group: [], "arm": [], "draw": [], "value": []})
-        part = part.sort_values(["value", "id"])
+    def look_up(both: pd.DataFrame) -> pd.DataFrame:
+        wanted, part = both[both["draw"] >= 0], both[both["draw"] < 0].sort_values(["value", "id"])
         ids, values, out = part["id"].to_numpy(), part["value"].to_numpy(), np.zeros(len(wanted))
         drawn, place = wanted["draw"].to_numpy(), wanted["place"].to_numpy()
         for k in range(0, draws, SLICE):
@@ -159,9 +163,14 @@ def median_reduction(rows: DataFrame, group: str, draws: int = DRAWS, seed: int
             sums = np.cumsum(weights(ids, own, seed), 0)
             for j in np.flatnonzero((drawn >= k) & (drawn < k + SLICE)):
                 out[j] = values[np.searchsorted(sums[:, drawn[j] - k], place[j], "right")]
-        return pd.DataFrame({group: part[group].iloc[0], "arm": part["arm"].iloc[0], "draw": drawn, "value": out})
-
-    found = ranged.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(look_up, f"{group} {kind[group]}, arm string, draw long, value double")
+        return pd.DataFrame({group: [both[group].iloc[0]] * len(out), "arm": [both["arm"].iloc[0]] * len(out), "draw": drawn, "value": out})
+
+    # rows and what is asked of them meet as one table: Spark 4.1 fails on cogroups of more than one Arrow batch
+    blank = F.lit(0).cast("long")
+    same = reduce(lambda x, y: x & y, [ranged[c].eqNullSafe(asked[c]) for c in key])
+    rows_asked = ranged.join(asked.select(*key).distinct(), same, "left_semi").select(*key, "id", "value", F.lit(-1).cast("long").alias("draw"), blank.alias("place"))
+    both = rows_asked.unionByName(asked.select(*key, blank.alias("id"), F.lit(0.0).alias("value"), "draw", "place"))
+    found = both.groupBy(*key).applyInPandas(look_up, f"{group} {kind[group]}, arm string, draw long, value double")
     arm = {a: F.avg(F.when(F.col("arm") == a, F.col("value"))).alias(a) for a in ("routed", "holdout")}
     reduction = F.when(F.col("holdout") != 0, (F.col("holdout") - F.col("routed")) / F.col("holdout") * 100)
     drawn = found.groupBy(group, "draw").agg(*arm.values()).select(group, reduction.alias("reduction"))

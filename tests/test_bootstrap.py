@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from granary.operators import bootstrap
 from granary.operators.bootstrap import cluster_difference, mean_lift, median_reduction, weights
@@ -77,3 +78,18 @@ def test_medians_are_those_of_the_weights(spark, monkeypatch):
     median = {arm: np.array([np.median(np.repeat(values[arm], w[arm][:, d])) for d in range(40)]) for arm in values}
     samples = (median["holdout"] - median["routed"]) / median["holdout"] * 100
     assert (r["low_pct"], r["high_pct"]) == pytest.approx(tuple(np.round(np.percentile(samples, [2.5, 97.5]), 1)), abs=0.051)
+
+
+def test_medians_of_more_rows_than_an_arrow_batch(spark):
+    """Groups of several Arrow batches, in blocks that a draw's median may lie across."""
+    n, draws = 30_000, 20
+    ids = np.arange(n)
+    values, routed = ids * 7919 % 30_011 / 100, ids % 2 == 0
+    arm = F.when(F.col("id") % 2 == 0, "routed").otherwise("holdout")
+    rows = spark.range(n).select("id", F.lit("a").alias("family"), arm.alias("arm"), (F.col("id") * 7919 % 30_011 / 100).alias("value"))
+    w = weights(ids, np.arange(draws))
+    median = {a: np.array([np.median(np.repeat(values[own], w[own, d])) for d in range(draws)]) for a, own in (("routed", routed), ("holdout", ~routed))}
+    low, high = np.percentile((median["holdout"] - median["routed"]) / median["holdout"] * 100, [2.5, 97.5])
+    for more in ({}, {"block": 999}):
+        r = median_reduction(rows, "family", draws=draws, **more).first()
+        assert (r["low_pct"], r["high_pct"], r["draws"]) == (pytest.approx(low, abs=0.06), pytest.approx(high, abs=0.06), draws)
