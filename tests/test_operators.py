@@ -255,3 +255,25 @@ def test_streams(spark, tmp_path):
     assert sorted(r["n"] for r in counts.collect()) == [24] * 4
     unique = streams.run_available(spark, str(tmp_path), "events", lambda s: streams.deduplicated_events(s.unionByName(s), "1 hour"))
     assert unique.count() == 96
+
+
+def test_matches_of_a_task_are_bounded(spark, monkeypatch):
+    """Batches are matched in parts of so many words, and remembered words are bounded."""
+    import pyarrow as pa
+
+    from granary.operators import common, retrieval
+
+    monkeypatch.setattr(retrieval, "PART_WORDS", 50)
+    monkeypatch.setattr(retrieval, "KNOWN_WORDS", 100)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(60)), "terms": pa.array([[f"w{k}", f"v{k}", "x", "x", "x"] for k in range(60)])})
+    parts = list(retrieval._parts([batch]))
+    assert [p.num_rows for p in parts] == [10] * 6 and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    asked, known = retrieval._Asked([{"query_id": 1, "term": t, "weight": 1.0} for t in ("w7", "x", "w59")]), {}
+    found = []
+    for p in parts:
+        row, term, times = asked.counts(p.column(1), str, known)
+        found += zip((p.column(0).to_numpy()[row]).tolist(), term.tolist(), times.tolist(), strict=True)
+        assert len(known) <= 130
+    assert sorted(found) == sorted([(k, asked.terms["x"], 3) for k in range(60)] + [(7, asked.terms["w7"], 1), (59, asked.terms["w59"], 1)])
+    common.prepared(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000" and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8388608b"
