@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import canonical, path_line_share, strip, token_estimate
+from .text import bound, canonical, path_line_share, strip, token_estimate
 
 # Label, pattern, weight of what makes content risky. "(\\s|$)" stands for a look-ahead, which DuckDB lacks.
 RISKS = [
@@ -72,8 +74,36 @@ INLINE_CHARS = 24_000
 LEAST_CHARS, LEAST_WORDS, MOST_PATH_LINES, MOST_CHARS = 180, 35, 0.6, 500_000
 
 
+_PIECE = re.compile(r"\(\?[a-z]+\)|\\.|\[(?:\\.|[^\]\\])*\]|.", re.S)
+
+
+def plain(pattern: str) -> str:
+    """The pattern with ASCII word boundaries and spaces, lines that end with a line feed alone, and case folding as DuckDB has them.
+
+    Java's boundaries know letters of all scripts, its spaces a vertical tab and its lines other ends. Boundaries of these
+    patterns stand before or after a word character, so one side is enough.
+    """
+    out, last = ["(?d)"], ""
+    folded = bool(re.match(r"\(\?[a-z]*i", pattern))
+    for own in _PIECE.findall(pattern):
+        piece = own
+        if piece == r"\b":
+            piece = r"(?!\w)" if re.fullmatch(r"\w|\)", last) else r"(?<!\w)"
+        elif piece == r"\s":
+            piece = r"[\t\n\f\r ]"
+        elif piece == r"\S":
+            piece = r"[^\t\n\f\r ]"
+        elif piece[0] == "[":
+            piece = piece.replace(r"\s", r"\t\n\f\r ")
+        elif folded and piece in "skSK":
+            piece = "[sS\u017f]" if piece in "sS" else "[kK\u212a]"
+        out.append(piece)
+        last = own
+    return "".join(out)
+
+
 def _hits(text: Column, labelled: list[tuple]) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike(x[1]), F.lit(x[0])) for x in labelled]))
+    return F.array_compact(F.array(*[F.when(text.rlike(plain(x[1])), F.lit(x[0])) for x in labelled]))
 
 
 def risk_flags(text: Column) -> Column:
@@ -130,61 +160,94 @@ def rejection_reasons(text: Column, allow_oversized: Column | None = None) -> Co
     return F.when(oversized, F.array(F.lit("content-too-large"))).otherwise(found)
 
 
-def _masked(line: Column) -> Column:
-    return F.when(line.rlike(CREDENTIAL_LINE), CREDENTIAL_MARK).when(line.rlike(CONTROL_LINE), CONTROL_MARK).otherwise(line)
+_CREDENTIAL, _CONTROL, _EXTERNAL, _DESTRUCTIVE = (plain(p) for p in (CREDENTIAL_LINE, CONTROL_LINE, EXTERNAL, DESTRUCTIVE))
+
+
+def _split(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
+def _kind(line: Column) -> Column:
+    return F.when(line.rlike(_CREDENTIAL), 1).when(line.rlike(_CONTROL), 2).otherwise(0)
+
+
+def _judged(text: Column) -> Column:
+    """struct(s, k) of each line: k is 1 where it holds a credential, 2 where it tries to take control."""
+    return F.transform(_split(text), lambda s: F.struct(s.alias("s"), _kind(s).alias("k")))
+
+
+def _may_mask(text: Column) -> Column:
+    """False where no line can be masked: what matches in a line matches in the text."""
+    return text.rlike(_CREDENTIAL) | text.rlike(_CONTROL)
+
+
+def _joined(judged: Column) -> Column:
+    mask = lambda x: F.when(x["k"] == 1, CREDENTIAL_MARK).when(x["k"] == 2, CONTROL_MARK).otherwise(x["s"])
+    return F.array_join(F.transform(judged, mask), "\n")
 
 
 def redacted(text: Column) -> Column:
     """The text with every line masked that holds a credential or tries to take control."""
-    return F.array_join(F.transform(F.split(text, "\n", -1), _masked), "\n")
+    return F.when(_may_mask(text), bound(_judged(text), _joined)).otherwise(text)
 
 
 def redacted_lines(text: Column) -> Column:
     """(credentials, controls): how many lines are masked as which."""
-    kinds = F.transform(
-        F.split(text, "\n", -1), lambda s: F.when(s.rlike(CREDENTIAL_LINE), 1).when(s.rlike(CONTROL_LINE), 2).otherwise(0)
-    )
-    return F.struct(
-        F.size(F.filter(kinds, lambda k: k == 1)).alias("credentials"), F.size(F.filter(kinds, lambda k: k == 2)).alias("controls")
-    )
+
+    def counts(kinds: Column) -> Column:
+        return F.struct(*[F.size(F.filter(kinds, lambda k, n=n: k == n)).alias(c) for n, c in ((1, "credentials"), (2, "controls"))])
+
+    none = F.array().cast("array<int>")
+    return bound(F.when(~_may_mask(text), none).otherwise(F.transform(_split(text), _kind)), counts)
 
 
 def _lines_with(text: Column, pattern: str) -> Column:
-    """Whether a line that isn't masked matches."""
-    kept = F.filter(F.split(text, "\n", -1), lambda s: ~s.rlike(CREDENTIAL_LINE) & ~s.rlike(CONTROL_LINE))
-    return F.exists(kept, lambda s: s.rlike(pattern))
+    """Whether a line that isn't masked matches; lines are split only where the text matches."""
+    return F.when(~text.rlike(pattern), False).otherwise(F.exists(_split(text), lambda s: s.rlike(pattern) & (_kind(s) == 0)))
 
 
 def destructive_actions(text: Column) -> Column:
-    return _lines_with(text, DESTRUCTIVE)
+    return _lines_with(text, _DESTRUCTIVE)
 
 
 def external_actions(text: Column) -> Column:
-    return _lines_with(text, EXTERNAL)
+    return _lines_with(text, _EXTERNAL)
+
+
+def _rooted(left: Column) -> Column:
+    """As non_portable, of a redacted text."""
+    roots = F.regexp_extract_all(left, F.lit(plain(PROJECT_PATH)), F.lit(1))
+    return bound(roots, lambda found: F.exists(F.array_distinct(found), lambda r: F.size(F.filter(found, lambda x: x == r)) >= SAME_ROOT)) | left.rlike(SANDBOX_PATH)
 
 
 def non_portable(text: Column) -> Column:
     """Several files below the same made-up root folder, or a path of a sandbox, outside masked lines."""
-    left = redacted(text)
-    roots = F.regexp_extract_all(left, F.lit(PROJECT_PATH), F.lit(1))
-    return F.exists(F.array_distinct(roots), lambda r: F.size(F.filter(roots, lambda x: x == r)) >= SAME_ROOT) | left.rlike(SANDBOX_PATH)
+    return bound(redacted(text), _rooted)
 
 
 def delivery(content: Column) -> Column:
     """struct(delivery, reason, capsule_chars, estimated_tokens): a capsule, the isolated whole, or a hint and what stands against more."""
-    clean = redacted(F.coalesce(content, F.lit("")))
-    reason = (
-        F.when(F.coalesce(content, F.lit("")) == "", "content_unavailable")
-        .when(~has_front_matter(content), "invalid_skill_frontmatter")
-        .when(F.length(content) > MOST_CHARS, "content_too_large")
-        .when(non_portable(content), "non_portable_project_specific")
-        .when(F.length(clean) > INLINE_CHARS, "public-source-isolated-full")
-        .otherwise("public-source-distilled")
-    )
-    kind = F.when(reason == "public-source-isolated-full", "isolation").when(reason == "public-source-distilled", "capsule").otherwise("hint")
-    return F.struct(
-        kind.alias("delivery"),
-        reason.alias("reason"),
-        F.when(kind == "capsule", F.length(clean)).otherwise(0).cast("long").alias("capsule_chars"),
-        F.when(kind == "hint", 0).otherwise(token_estimate(clean)).cast("long").alias("estimated_tokens"),
-    )
+    full = F.coalesce(content, F.lit(""))
+
+    def told(x: Column) -> Column:
+        kind = F.when(x["reason"] == "public-source-isolated-full", "isolation").when(x["reason"] == "public-source-distilled", "capsule").otherwise("hint")
+        return F.struct(
+            kind.alias("delivery"),
+            x["reason"].alias("reason"),
+            F.when(kind == "capsule", F.length(x["clean"])).otherwise(0).cast("long").alias("capsule_chars"),
+            F.when(kind == "hint", 0).otherwise(token_estimate(x["clean"])).cast("long").alias("estimated_tokens"),
+        )
+
+    def reasoned(clean: Column) -> Column:
+        reason = (
+            F.when(full == "", "content_unavailable")
+            .when(clean.isNull(), "invalid_skill_frontmatter")
+            .when(F.length(content) > MOST_CHARS, "content_too_large")
+            .when(_rooted(clean), "non_portable_project_specific")
+            .when(F.length(clean) > INLINE_CHARS, "public-source-isolated-full")
+            .otherwise("public-source-distilled")
+        )
+        return bound(F.struct(reason.alias("reason"), clean.alias("clean")), told)
+
+    # null where front matter is missing; such texts are not redacted
+    return bound(F.when((full != "") & has_front_matter(content), redacted(full)), reasoned)

@@ -277,3 +277,26 @@ def test_matches_of_a_task_are_bounded(spark, monkeypatch):
     assert sorted(found) == sorted([(k, asked.terms["x"], 3) for k in range(60)] + [(7, asked.terms["w7"], 1), (59, asked.terms["w59"], 1)])
     common.prepared(spark)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000" and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8388608b"
+
+
+def test_capabilities_have_ascii_boundaries(spark):
+    """As DuckDB reads the patterns: letters beyond ASCII end a word, a vertical tab is no space, only a line feed ends a line."""
+    texts = {
+        "\u00e9curl http": "network-command", "curl\u00e9 x": "network-command", "sudo\u00df": "elevated-or-destructive", "pip in\u017ftall": "dependency-install",
+        "x\rallowed-tools:": "", "x\u2028dependencies:": "", "pip\x0binstall x": "", "from requests": "network-command", "x\nallowed-tools :": "declared-tools",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r[0]: r[1] for r in df.select("text", F.array_join(safety.capability_flags(F.col("text")), ",")).collect()}
+    assert got == texts
+
+
+def test_texts_are_judged_once(spark):
+    """Plans name the expressions of a text once or twice, not for every field that reads their result."""
+    c = F.col("text")
+    df = spark.createDataFrame([("password: hunter22\nok send it\nsystem prompt\nrm -rf x",), ("rm\n-rf",), (None,)], "text string")
+    got = [tuple(r) for r in df.select(safety.destructive_actions(c), safety.external_actions(c), safety.redacted(c)).collect()]
+    masked = f"{safety.CREDENTIAL_MARK}\nok send it\n{safety.CONTROL_MARK}\nrm -rf x"
+    assert got == [(True, True, masked), (False, False, "rm\n-rf"), (None, None, None)]
+    plan = lambda column: df.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(text.platforms(c)).count("lower(") == 1
+    assert plan(safety.delivery(c)).count("Bearer") <= 4
