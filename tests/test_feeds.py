@@ -114,3 +114,11 @@ def test_public_record(spark):
     assert got[1]["session_activation"]["source"] == "u" and got[3]["session_activation"]["source"] == "i"
     assert got[2]["session_activation"] is None and got[4]["session_activation"] is None and got[3]["slug"] is None
     assert got[1]["platforms"] == [] == got[1]["role_reasons"]
+
+
+def test_dates_of_items_are_written_before_the_join(spark):
+    """The result of visible_items has many rows of an item; its date is formatted once."""
+    from granary.plans.feed_queries import visible_items
+
+    plan = visible_items(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "date_format" in plan and "date_format" not in plan.split("Join")[0]
