@@ -183,6 +183,23 @@ def test_vectors_in_blocks_of_queries(spark, monkeypatch):
         assert all(part.groupBy("query_id").count().where("count > 4 * 3").isEmpty() for part in scored)
 
 
+def test_members_by_score_and_id_come_from_any_task(spark):
+    """With a scale the member may have a lower score, and lie in a task that passes on other labels; ids weigh as SQL says."""
+    rows = [(1, 0.9, 5), (2, 0.8, 6), (3, 0.1, 7), (4001, 0.899998, 5), (5002, 0.899994, 5), (9000, 0.799999, 6)]
+    rows += [(6000, 0.7, 8), (6001, 0.7, 9), (2003, 0.1, 7), (1003, 0.099999, 7)]
+    vectors = spark.createDataFrame([(n, [s, 0.0], label) for n, s, label in rows], "doc_id long, embedding array<double>, label long")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, embedding array<double>")
+    for parts in (1, 10):
+        for block in (1, 50):
+            got = retrieval.best_member_topk(queries, vectors.repartition(parts), 2, block, scale=1e9)
+            assert got.columns == ["query_id", "label", "score", "member", "position"]
+            got = sorted(tuple(r) for r in got.collect())
+            assert got[:2] == [(1, 5, 0.9, 4001, 1), (1, 6, 0.8, 9000, 2)]
+            assert got[2:] == [(2, 8, 0.0, 6000, 2), (2, 9, 0.0, 6001, 1)]
+    plain = sorted(tuple(r) for r in retrieval.best_member_topk(queries.where("query_id = 1"), vectors, 2).collect())
+    assert plain == [(1, 5, 0.9, 1, 1), (1, 6, 0.8, 2, 2)]
+
+
 def test_hybrid_keeps_one_place_for_rows_without_similarity(spark):
     n = 60
     lexical = spark.createDataFrame([(1, i, i + 1) for i in range(n)], "query_id long, doc_id long, position int")
