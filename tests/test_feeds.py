@@ -1,5 +1,6 @@
 """Feeds, visible items, audit rows, session plans and totals by hand-worked rows."""
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -90,6 +91,20 @@ def test_user_stats(spark):
     assert (got[3]["runs"], got[3]["installs"], got[3]["last_run"], got[3]["tiers"], got[3]["outcomes"]) == (0, 0, None, {}, {})
 
 
+def test_averages_of_a_half_do_not_depend_on_the_order_of_rows(spark):
+    """Sums of these doubles differ in their last digits from order to order; their averages are exact halves."""
+    users = spark.createDataFrame([(n, "u") for n in range(6)], "user_id long, email string")
+    for seed in range(4):
+        rows, rng = [], random.Random(seed)
+        for user, half in enumerate((0.5, 1.5, 2.5, 93.5, 105.5)):
+            values = [half + x / 100 for n in range(1, 30) for x in (n, -n)]
+            rng.shuffle(values)
+            rows += [(n, user, n, "t", rng.choice("abcd"), round(v, 2), "") for n, v in enumerate(values)]
+        rows.append((9, 5, 9, "t", None, 1e15, ""))
+        got = {r["user_id"]: r["avg_latency"] for r in feeds.user_stats(users, events(spark, rows), {}).collect()}
+        assert got == {0: 0, 1: 2, 2: 2, 3: 94, 4: 106, 5: 10**15}
+
+
 def test_plan_totals(spark):
     users = [(1, None, None, None), (2, "free", "pro", None), (3, "pro", "pro", "b"), (4, "team", "free", "c")]
     users = spark.createDataFrame(users, "user_id long, plan string, effective string, billing_id string")
