@@ -108,3 +108,21 @@ def test_nothing_before_the_watermark_and_no_change_of_settings(spark, tmp_path)
     got = streamed(spark, str(tmp_path), rows, newest, lambda s: state.survey_prompts(s.selectExpr("*", "false as answered"), 1, 0, late="2 days"), None)
     assert {r["ts"] for r in got} == {r[1] for r in rows if r[1] < newest[1] - dt.timedelta(days=2)}
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_many_keys_cost_as_many_calls_as_buckets(spark, tmp_path, monkeypatch):
+    """Python is called for a bucket of keys, whose states are one value, and the result does not depend on the buckets."""
+    rng, calls = random.Random(4), spark.sparkContext.accumulator(0)
+    rows = [(k, START + dt.timedelta(seconds=rng.randrange(5 * 86400)), rng.randrange(300), rng.choice(["a", "end"]), "0") for k in range(2000)]
+    last, call = (9999, START + dt.timedelta(days=60), 999, "end", "0"), state._Stale.__call__
+
+    class Counted(state._Stale):
+        def __call__(self, batches, group):
+            calls.add(1)
+            yield from call(self, batches, group)
+
+    monkeypatch.setattr(state, "_Stale", Counted)
+    monkeypatch.setattr(state, "BUCKETS", 5)
+    got = streamed(spark, str(tmp_path), rows, last, lambda s: state.stale_runs(s.selectExpr("*", "event_type = 'end' as finished"), "user_id"), None)
+    assert {tuple(r) for r in got} == stale_brute(rows, 7200) and len(got) > 300
+    assert 5 <= calls.value <= 15
