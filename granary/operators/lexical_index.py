@@ -16,6 +16,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
@@ -43,60 +44,83 @@ QUERY_STOPWORDS = [
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
-def terms(text: str | None) -> list[str]:
-    """Stems of all words of a text: letters and digits of any script, lower-cased, without accents."""
+def _words(text: str | None) -> list[str]:
+    """All words of a text: letters and digits of any script, lower-cased, without accents."""
     if not text:
         return []
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c)[0] != "M")
-    return [stem(w) for w in _WORD.findall(text.lower())]
+        text = unicodedata.normalize("NFD", text)
+        text = text.translate({ord(c): None for c in set(text) if unicodedata.category(c)[0] == "M"})
+    return _WORD.findall(text.lower())
+
+
+def terms(text: str | None) -> list[str]:
+    """Stems of all words of a text."""
+    return [stem(w) for w in _words(text)]
+
+
+class _Block:
+    """Postings of documents in the order of reading, as flat lists; ``codes`` numbers the terms."""
+
+    def __init__(self):
+        self.codes: dict[str, int] = {}
+        self.posted, self.freqs, self.docs, self.sizes, self.spans = [], [], [], [], []
+
+    def add(self, doc_id: int, counts: dict[str, float], size: int) -> None:
+        codes = self.codes
+        self.posted += [codes.setdefault(term, len(codes)) for term in counts]
+        self.freqs += counts.values()
+        self.docs.append(doc_id)
+        self.sizes.append(size)
+        self.spans.append(len(counts))
+
+    def full(self) -> bool:
+        return len(self.docs) >= BLOCK_DOCS or len(self.posted) >= BLOCK_WORDS
+
+    def rows(self, number: str) -> Iterator[pa.RecordBatch]:
+        code = np.array(self.posted, np.int64)
+        order = np.argsort(code, kind="stable")
+        n = np.bincount(code, minlength=len(self.codes))
+        starts = np.append(0, np.cumsum(n))
+        docs, sizes = (np.repeat(np.array(x, np.int64), self.spans)[order] for x in (self.docs, self.sizes))
+        freqs = np.array(self.freqs, np.float64)[order]
+        if len(n):
+            lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(x)) for x in (docs, freqs, sizes)]
+            most, least = np.maximum.reduceat(freqs, starts[:-1]), np.minimum.reduceat(sizes, starts[:-1])
+            blocks = pa.array([number] * len(n), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(self.codes, pa.string()), blocks, *lists, pa.array(n), pa.array(most), pa.array(least)], _COLUMNS)
+        none = [pa.nulls(1, pa.list_(t)) for t in (pa.int64(), pa.float64(), pa.int64())]
+        whole = [pa.array([len(self.docs)], pa.int64()), pa.array([float(sum(self.sizes))]), pa.array([0], pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([number]), *none, *whole], _COLUMNS)
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch], weights: list[float], segment: str) -> Iterator[pa.RecordBatch]:
     """(term, block, docs, freqs, sizes, n, most, least) of blocks, and for each block a row without term with n documents and
-    the sum of their sizes in ``most``."""
-    found: dict[str, list] = {}
-    docs, total, held, blocks = 0, 0, 0, 0
-    task = TaskContext.get().partitionId()
-
-    def block() -> pa.RecordBatch:
-        rows = [(t, [p[0] for p in ps], [p[1] for p in ps], [p[2] for p in ps]) for t, ps in found.items()]
-        names, ids, freqs, sizes = zip(*rows, strict=True) if rows else ((), (), (), ())
-        number = f"{segment}-{task}-{blocks}"
-        return pa.RecordBatch.from_pydict(
-            {
-                "term": pa.array([*names, None], pa.string()),
-                "block": pa.array([number] * (len(names) + 1), pa.string()),
-                "docs": pa.array([*ids, None], pa.list_(pa.int64())),
-                "freqs": pa.array([*freqs, None], pa.list_(pa.float64())),
-                "sizes": pa.array([*sizes, None], pa.list_(pa.int64())),
-                "n": pa.array([*map(len, ids), docs], pa.int64()),
-                "most": pa.array([*map(max, freqs), float(total)], pa.float64()),
-                "least": pa.array([*map(min, sizes), 0], pa.int64()),
-            }
-        )
-
+    the sum of their sizes in ``most``. A document's words are counted before they are stemmed."""
+    task, blocks, block = TaskContext.get().partitionId(), 0, _Block()
     for batch in batches:
         ids = batch.column(0).to_pylist()
         columns = [c.to_pylist() for c in batch.columns[1:]]
         for k, doc_id in enumerate(ids):
-            counts: Counter = Counter()
+            counts: dict[str, float] = {}
             size = 0
             for weight, column in zip(weights, columns, strict=True):
-                own = Counter(terms(column[k]))
-                size += own.total()
+                own: dict[str, int] = {}
+                for word, n in Counter(_words(column[k])).items():
+                    term = stem(word)
+                    own[term] = own.get(term, 0) + n
+                    size += n
                 for term, n in own.items():
-                    counts[term] += weight * n
-            for term, f in counts.items():
-                found.setdefault(term, []).append((doc_id, f, size))
-            docs, total, held = docs + 1, total + size, held + len(counts)
-            if docs >= BLOCK_DOCS or held >= BLOCK_WORDS:
-                yield block()
-                found, docs, total, held, blocks = {}, 0, 0, 0, blocks + 1
-    if docs:
-        yield block()
+                    counts[term] = counts.get(term, 0.0) + weight * n
+            block.add(doc_id, counts, size)
+            if block.full():
+                yield from block.rows(f"{segment}-{task}-{blocks}")
+                block, blocks = _Block(), blocks + 1
+    if block.docs:
+        yield from block.rows(f"{segment}-{task}-{blocks}")
 
 
+_COLUMNS = ["term", "block", "docs", "freqs", "sizes", "n", "most", "least"]
 _BLOCK = "term string, block string, docs array<long>, freqs array<double>, sizes array<long>, n long, most double, least long"
 
 

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,20 @@ def test_empty_index_and_null_ids(spark, tmp_path):
     assert index.topk(spark.createDataFrame([(1, "lantern")], "query_id long, text string")).count() == 0
     with pytest.raises(Exception, match="without doc_id"):
         index.add(spark.createDataFrame([(None, "a", "b")], nothing.schema))
+
+
+def test_words_of_a_text_are_counted_before_they_are_stemmed(monkeypatch):
+    stemmed, stem = [], lexical_index.stem
+    monkeypatch.setattr(lexical_index, "stem", lambda w: stemmed.append(w) or stem(w))
+    monkeypatch.setattr(lexical_index.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    monkeypatch.setattr(lexical_index, "BLOCK_DOCS", 2)
+    texts = ["Running run " * 500 + "caf\u00e9 cafe\u0301", "cafe", None, "run"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [4, 2, 7, 9], "name": ["runs", None, "", "x"], "body": texts})
+    rows = [r for b in lexical_index._block_rows(iter([batch]), [2.0, 0.5], "s") for r in b.to_pylist()]
+    assert len(stemmed) == 7
+    got = {(r["block"], r["term"]): (r["docs"], r["freqs"], r["sizes"], r["n"], r["most"], r["least"]) for r in rows}
+    assert got == {
+        ("s-3-0", "run"): ([4], [502.0], [1003], 1, 502.0, 1003), ("s-3-0", "cafe"): ([4, 2], [1.0, 0.5], [1003, 1], 2, 1.0, 1),
+        ("s-3-0", None): (None, None, None, 2, 1004.0, 0), ("s-3-1", "x"): ([9], [2.0], [2], 1, 2.0, 2),
+        ("s-3-1", "run"): ([9], [0.5], [2], 1, 0.5, 2), ("s-3-1", None): (None, None, None, 2, 2.0, 0),
+    }
