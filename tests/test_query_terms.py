@@ -28,6 +28,7 @@ def folder(spark, tmp_path_factory):
 #: What a query says of the documents, by name: (columns, rows).
 WANTED = {
     "candidate_roles": ("doc_id", {(101,), (202,)}),
+    "intent_fusion": ("doc_id lanes", {(101, 2), (202, 2)}),
     "first_deliverable": ("doc_id", {(101,)}),
     "canonical_picks": ("doc_id position", {(101, 1), (202, 2)}),
 }
