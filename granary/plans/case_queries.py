@@ -70,12 +70,12 @@ select case_id, tier, n_candidates, array_to_string(failures, '|') as failures,
 
 
 def score_margins(spark: SparkSession, d: str) -> DataFrame:
-    found = lexical_topk(prompts(spark, d), table(spark, d, "documents"), 2)
+    found = lexical_topk(prompts(spark, d), table(spark, d, "documents"), 2, most=None)
     return K.score_margins(found.withColumn("score", F.col("score").cast("double")))
 
 
 SCORE_MARGINS = f"""
-with {_lexical_sql(2)}
+with {_lexical_sql(2, None)}
 select query_id, max(score) filter (position = 1)::double as top_score, coalesce(max(score) filter (position = 2), 0)::double as runner_score,
        round(max(score) filter (position = 1)::double - coalesce(max(score) filter (position = 2), 0)::double, 6) as margin
 from lexical group by query_id
