@@ -28,6 +28,7 @@ def folder(spark, tmp_path_factory):
 #: What a query says of the documents, by name: (columns, rows).
 WANTED = {
     "candidate_roles": ("doc_id", {(101,), (202,)}),
+    "task_contract": ("doc_id", {(101,), (202,)}),
     "score_margins": ("top_score runner_score", {(2.0, 1.0)}),
     "label_precision": ("position exact irrelevant", {(1, 1, 0), (2, 0, 1)}),
     "intent_fusion": ("doc_id lanes", {(101, 2), (202, 2)}),
