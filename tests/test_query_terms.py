@@ -11,9 +11,9 @@ FILLER = "\n" + "0 1 2 3 4 5 6 7 8 9 " * 12
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
-    """Two documents: 101 has two of the last terms, 202 one of the first twelve."""
+    """Two documents: 101 has two of the last terms, 202 one of the first twelve; no line is mostly terms of the prompt."""
     path = tmp_path_factory.mktemp("prompts")
-    docs = [(101, "zulu yankee" + FILLER, "en", "s5", 252), (202, "alpha" + FILLER, "en", "s5", 246)]
+    docs = [(101, "zulu yankee xray whiskey victor" + FILLER, "en", "s5", 252), (202, "alpha xray whiskey" + FILLER, "en", "s5", 246)]
     tables = {
         "benchmark": ([(0, f"zulu yankee {FIRST}")], "item_id long, text string"),
         "documents": (docs, "doc_id long, text string, lang string, source string, n_chars long"),
