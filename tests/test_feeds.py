@@ -137,3 +137,11 @@ def test_dates_of_items_are_written_before_the_join(spark):
 
     plan = visible_items(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "date_format" in plan and "date_format" not in plan.split("Join")[0]
+
+
+def test_items_of_an_organisation_follow_each_other(spark):
+    """Interleaved items give runs of one organisation in each task of the result."""
+    items = spark.range(600).selectExpr("id as item_id", "id as owner", "id % 5 as org_id", "'approved' as status", "'2024' as created").coalesce(2)
+    members, asked = spark.createDataFrame([(u, u % 5) for u in range(20)], "user_id long, org_id long"), spark.range(20).withColumnRenamed("id", "user_id")
+    parts = feeds.visible_items(items, members, asked).select("org_id").rdd.glom().collect()
+    assert sum(map(len, parts)) == 600 * 4 and sum(a != b for part in parts for a, b in zip(part, part[1:])) <= 8
